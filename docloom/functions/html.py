@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from docloom import profiles as P
 
@@ -101,7 +102,7 @@ def select_content(page: str) -> str:
     return plain_text(body)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def main_content(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: select_content(p) if isinstance(p, str) else p)
 

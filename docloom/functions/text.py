@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, StringType
 
 from docloom import profiles as P
 
@@ -45,7 +46,7 @@ def null_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML entities decoded once."""
     return texts.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
@@ -60,7 +61,7 @@ def normalize(text: Column, entities: bool = True) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines with their white space collapsed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, LINE_BREAKS), collapse), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, LINE_BREAKS), lambda x: collapse(x)), lambda x: x != "")
 
 
 def is_page_marker(line: Column) -> Column:
@@ -196,7 +197,7 @@ def python_tokens(text: str) -> list[str]:
     return [t for t in out if len(t) > 1 and t not in P.STOP_WORDS]
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def negation_near(texts: pd.Series, options: pd.Series) -> pd.Series:
     """Whether some negation has a token of the option within 50 characters on either side: needs offsets of overlapping matches."""
 

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from docloom import profiles as P
 from docloom.functions.html import page_text
@@ -43,7 +44,7 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_utf8(contents: pd.Series) -> pd.Series:
     """Text of a file; bytes that are not UTF-8 are left out."""
     return contents.map(lambda b: bytes(b).decode("utf-8", errors="ignore") if b is not None else None)

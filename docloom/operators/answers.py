@@ -162,7 +162,8 @@ def ask(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None =
 
 def combine_answers(cases: DataFrame, rule: DataFrame, replies: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
     """``qid, domain, answer, prompt_tokens, completion_tokens, total_tokens``: a verified reply before a first one before the rule's answer; tokens add up."""
-    out = cases.select("qid", "domain", "answer_format").join(rule, "qid", "left")
+    domain = F.col("domain") if "domain" in cases.columns else F.lit("unknown")
+    out = cases.select("qid", domain.alias("domain"), "answer_format").join(rule, "qid", "left")
     tokens = {"prompt_tokens": F.lit(0).cast("long"), "completion_tokens": F.lit(0).cast("long")}
     answer = F.col("answer")
     for i, r in enumerate(x for x in (replies, checks) if x is not None):

@@ -113,3 +113,28 @@ def page_text(page: Column) -> Column:
     head = F.array_join(F.filter(F.array(m["title"], m["pub_date"], m["source"]), lambda x: x != ""), "\n")
     body = F.coalesce(main_content(page), F.lit(""))
     return F.array_join(F.filter(F.array(head, body), lambda x: x != ""), "\n\n")
+
+
+# ------------------------------------------------------------------ the validation report's simpler selection
+_PREFERRED = [r"""(?is)<div[^>]+class=["'][^"']*(?:detail-news|article-content|TRS_Editor|Custom_UnionStyle)[^"']*["'][^>]*>(.*?)</div>""", r"(?is)<article[^>]*>(.*?)</article>"]
+_GENERAL = [
+    r"""(?is)<div[^>]+(?:id|class)=["'][^"']*(?:content|article|main|detail|正文|TRS_Editor|Custom_UnionStyle)[^"']*["'][^>]*>(.*?)</div>""",
+    r"""(?is)<section[^>]+(?:id|class)=["'][^"']*(?:content|article|main|detail)[^"']*["'][^>]*>(.*?)</section>""",
+]
+
+
+def strip_tags_simply(page: Column) -> Column:
+    """Without navigation classes and entities: what clause markers of raw pages are counted in."""
+    return strip_tags(page, OLD_DROPPED_TAGS, navigation=False, entities_too=False)
+
+
+def select_simply(page: Column) -> Column:
+    """The longest preferred block of over 40 characters, else general block of over 200, else the body; blocks end at the first closing tag."""
+    body = F.coalesce(null_if_empty(F.regexp_extract(page, "(?is)<body[^>]*>(.*?)</body>", 1)), page)
+
+    def longest(patterns: list[str], least: int) -> Column:
+        blocks = F.concat(*[F.regexp_extract_all(body, F.lit(p), 1) for p in patterns])
+        texts = F.filter(F.transform(blocks, lambda b: strip_tags_simply(b)), lambda t: F.length(t) > least)
+        return F.aggregate(texts, F.lit(None).cast("string"), lambda a, t: F.when(a.isNull() | (F.length(t) > F.length(a)), t).otherwise(a))
+
+    return F.coalesce(longest(_PREFERRED, 40), longest(_GENERAL, 200), strip_tags_simply(body))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions import text as T
-from docloom.functions.html import main_content
+from docloom.functions.html import select_simply
 
 
 def nearest_rank(rows: DataFrame, value: str, ratio: float, by: list[str] | None = None) -> DataFrame:
@@ -85,7 +85,7 @@ def document_metrics(manifest: DataFrame, chunks: DataFrame, raw: DataFrame, ref
     rows = manifest.join(own, "doc_id", "left").join(sorted_, "doc_id", "left").join(raw, "doc_id", "left").join(referenced.select("doc_id").distinct().withColumn("mapped", F.lit(True)), "doc_id", "left").join(attachments, "doc_id", "left")
     rows = rows.na.fill(0, ["n_chunks", "filled", "no_section", "no_text", "clauses", "n_attachments"]).na.fill(False, ["mapped", "exists"])
     is_html, is_text = F.col("file_type") == "html", F.col("file_type").isin("txt", "html")
-    source = F.when(is_html, main_content(F.coalesce("raw_text", F.lit("")))).otherwise(F.coalesce(T.null_if_empty(F.col("raw_text")), F.col("chunk_texts"), F.lit("")))
+    source = F.when(is_html, select_simply(F.coalesce("raw_text", F.lit("")))).otherwise(F.coalesce(T.null_if_empty(F.col("raw_text")), F.col("chunk_texts"), F.lit("")))
     rows = rows.withColumns({"markers": T.clause_marker_count(source), "links": F.size(T.pdf_links(F.coalesce("raw_text", F.lit(""))))})
     has = lambda c: F.coalesce(c, F.lit("")) != ""
     rows = rows.withColumns({

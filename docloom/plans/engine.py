@@ -11,7 +11,7 @@ from docloom.operators import answers, chunking, merge, ranking, reports
 from docloom.operators.pages import clean_pages
 from docloom.sources import readers
 
-from . import loop, planner
+from . import loop, planner, prompts
 
 
 class Engine:
@@ -51,15 +51,19 @@ class Engine:
     def answer(self, questions: DataFrame, chunks: DataFrame, available: DataFrame | None = None, answerer: answers.Answerer | None = None, templates: DataFrame | None = None) -> dict[str, DataFrame]:
         """The loop, then the rule's answer or a model's: ``answers, items, ledger`` beside the loop's tables.
 
-        A model needs ``answerer`` and prompt ``templates``; questions that ask for a check get a second call.
+        A model needs an ``answerer``; prompts come from ``templates`` or the default ones. Questions that ask for a check get a second call.
         """
+        if answerer is not None and templates is None:
+            templates = prompts.default_templates(self.spark)
+        if "domain" not in questions.columns:
+            questions = questions.join(planner.build_plans(questions).select("qid", "domain"), "qid")
         if "mode" not in questions.columns:
             questions = questions.withColumn("mode", F.lit("A"))
         available = chunks.select("doc_id").distinct() if available is None else available
         out = loop.run_loop(questions, chunks, available)
         rule = answers.choose_answers(out["results"], questions)
         replies = checks = None
-        if answerer is not None and templates is not None:
+        if answerer is not None:
             cases = questions.join(answers.pack_evidence(out["evidence"]), "qid", "left")
             short = answers.render_prompts(answers.short_prompts(cases, out["evidence"]), templates)
             replies = loop.stored(answers.ask(answers.render_prompts(cases, templates), answerer, [short, short]), "replies")

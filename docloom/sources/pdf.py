@@ -35,12 +35,47 @@ def table_lines(table: list[list[str | None]]) -> str:
     return "\n".join(" | ".join(r) for r in rows if any(r))
 
 
+_ocr: list = []
+
+
+def ocr_reader():
+    """A function from PNG bytes to text, made once per worker from RapidOCR or PaddleOCR; null without either."""
+    if not _ocr:
+        rapid, paddle = _module("rapidocr_onnxruntime"), _module("paddleocr")
+        if rapid is not None:
+            engine = rapid.RapidOCR()
+            _ocr.append(lambda png: "\n".join(line[1] for line in (engine(png)[0] or [])))
+        elif paddle is not None:
+            engine = paddle.PaddleOCR(lang="ch")
+            _ocr.append(lambda png: "\n".join(line[1][0] for block in (engine.ocr(png) or []) for line in (block or [])))
+        else:
+            _ocr.append(None)
+    return _ocr[0]
+
+
+def _scanned(page, text: str) -> bool:
+    """``needs_ocr`` for a page at hand."""
+    if len(text) >= 120:
+        return False
+    images = [r for info in page.get_images(full=True) for r in page.get_image_rects(info[0])]
+    area = page.rect.width * page.rect.height
+    return sum(r.width * r.height for r in images) >= 0.30 * area > 0 if images else len(text) < 40
+
+
+def page_text(page) -> str:
+    """Text of a PyMuPDF page; a scanned page's recognised text, at twice the size, if that is longer."""
+    text = page.get_text("text").strip()
+    reader = ocr_reader() if _scanned(page, text) else None
+    seen = reader(page.get_pixmap(dpi=144).tobytes("png")).strip() if reader else ""
+    return seen if len(seen) > len(text) else text
+
+
 def extract(content: bytes, plumber: bool, tables: bool) -> list[tuple[int, str, list[str]]]:
     """(page, text, tables) of a file with whichever library is there."""
     fitz, pdfplumber = (None if plumber else _module("fitz")), _module("pdfplumber")
     if fitz is not None:
         with fitz.open(stream=content, filetype="pdf") as doc:
-            return [(i, page.get_text("text"), [table_lines(t.extract()) for t in page.find_tables().tables] if tables else []) for i, page in enumerate(doc, 1)]
+            return [(i, page_text(page), [table_lines(t.extract()) for t in page.find_tables().tables] if tables else []) for i, page in enumerate(doc, 1)]
     if pdfplumber is not None:
         with pdfplumber.open(io.BytesIO(content)) as doc:
             return [(i, page.extract_text() or "", [table_lines(t) for t in page.extract_tables()] if tables else []) for i, page in enumerate(doc.pages, 1)]

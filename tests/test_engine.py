@@ -9,7 +9,7 @@ from docloom import profiles as P
 from docloom.functions import html as H
 from docloom.functions import text as T
 from docloom.operators import answers, chunking, merge, pages, ranking, reasoning, reports
-from docloom.plans import planner
+from docloom.plans import planner, prompts
 from docloom.plans.engine import Engine
 from docloom.sources import readers, sinks
 from docloom.streaming import ingest
@@ -108,6 +108,19 @@ def test_metadata_cascade(spark):
     assert (m["title"], m["pub_date"], m["source"]) == ("标题", "2024-04-30", "某局")
 
 
+def test_simple_selection(spark):
+    long = "第一条 " + "正文" * 30
+    page = f'<body><nav>导航</nav><div class="article-content"><p>{long}</p></div><article>短</article></body>'
+    assert one(spark, H.select_simply(F.col("t")), t=page) == long
+    assert one(spark, H.select_simply(F.col("t")), t="<p>a</p>b") == "a\nb"
+
+
+def test_default_prompts(spark):
+    rows = {(r["answer_format"], r["domain"]): r for r in prompts.default_templates(spark).collect()}
+    assert len(rows) == 18 and prompts.RULES["high", "multi"] in rows["multi", "research"]["system"]
+    assert prompts.VERIFY in rows["tf", "general"]["verify_system"] and prompts.VERIFY not in rows["tf", "general"]["system"]
+
+
 def test_balanced_blocks_nest():
     assert H.balanced_blocks('<div id="main">a<div>b</div>c</div><div class="x">d</div>', ["main"]) == ["a<div>b</div>c"]
     assert H.select_content("plain <b>text</b>") == "plain text"

@@ -76,6 +76,24 @@ e AS (SELECT source, 'header' AS edge, l[1] AS x FROM t WHERE len(l) > 0 UNION A
 SELECT source, edge, x AS line FROM e JOIN n USING (source)
 WHERE CASE WHEN edge = 'header' THEN length(x) BETWEEN 3 AND 80 AND NOT regexp_matches(x, '(?i)^(第?\\s*\\d+\\s*页|page\\s*\\d+|\\d+/\\d+|\\d+)$') ELSE length(x) BETWEEN 1 AND 80 END
 GROUP BY 1, 2, 3 HAVING count(*) >= any_value(least)""",
+        "segment_sentences": f"""
+WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(array_to_string({lines}, chr(10)), '([.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS parts FROM documents)
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_parts, CAST(coalesce(list_max(list_transform(parts, lambda x: length(x))), 0) AS BIGINT) AS longest FROM t""",
+        "evidence_top3": f"""
+WITH top AS ({_bm25_sql({"text": 1.0})}),
+o AS (SELECT item_id, question, unnest(options) AS option_text, unnest(range(len(options))) AS i FROM (SELECT item_id, {_TEXT} AS question, {_OPTIONS.format(_TEXT)} AS options FROM benchmark)),
+ot AS (SELECT item_id, i, token, count(*) AS tf FROM (SELECT item_id, i, unnest({_TOKENS.format("option_text")}) AS token FROM o) GROUP BY ALL),
+qt AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM benchmark) GROUP BY ALL),
+dt AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM documents SEMI JOIN top USING (doc_id)) GROUP BY ALL),
+onorm AS (SELECT item_id, i, sqrt(CAST(sum(tf * tf) AS DOUBLE)) + 1 AS n FROM ot GROUP BY ALL), qnorm AS (SELECT item_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) + 1 AS n FROM qt GROUP BY ALL),
+oc AS (SELECT ot.item_id, ot.i, top.doc_id, sum(least(ot.tf, dt.tf)) AS c FROM ot JOIN top USING (item_id) JOIN dt ON dt.doc_id = top.doc_id AND dt.token = ot.token GROUP BY ALL),
+qc AS (SELECT qt.item_id, top.doc_id, sum(least(qt.tf, dt.tf)) AS c FROM qt JOIN top USING (item_id) JOIN dt ON dt.doc_id = top.doc_id AND dt.token = qt.token GROUP BY ALL),
+nums AS (SELECT o.item_id, o.i, top.doc_id, len(list_intersect(list_distinct(regexp_extract_all(o.option_text, '\\d+(?:\\.\\d+)?')), regexp_extract_all(coalesce(d.text, ''), '\\d+(?:\\.\\d+)?'))) AS k FROM o JOIN top USING (item_id) JOIN documents d ON d.doc_id = top.doc_id),
+s AS (SELECT o.item_id, o.i, top.doc_id, top.rank, coalesce(oc.c / onorm.n, 0) + 0.3::DOUBLE * coalesce(qc.c / qnorm.n, 0) + least(0.15::DOUBLE * nums.k, 0.3::DOUBLE) AS score
+  FROM o JOIN top USING (item_id) JOIN nums ON nums.item_id = o.item_id AND nums.i = o.i AND nums.doc_id = top.doc_id LEFT JOIN oc ON oc.item_id = o.item_id AND oc.i = o.i AND oc.doc_id = top.doc_id
+  LEFT JOIN onorm ON onorm.item_id = o.item_id AND onorm.i = o.i LEFT JOIN qc ON qc.item_id = o.item_id AND qc.doc_id = top.doc_id LEFT JOIN qnorm ON qnorm.item_id = o.item_id)
+SELECT CAST(item_id AS VARCHAR) AS qid, ['A', 'B', 'C', 'D'][i + 1] AS option, n, CAST(doc_id AS VARCHAR) AS doc_id, round(score, 4) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, i ORDER BY score DESC, rank) AS n FROM s) WHERE n <= 3""",
         "dedup_exact": f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY regexp_replace({_TEXT}, '\\s+', '', 'g')",
         "dedup_prefix160": f"""
 SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, regexp_replace(substr({_TEXT}, 1, 160), '\\s+', '', 'g') ORDER BY doc_id) AS n FROM documents) WHERE n = 1""",

@@ -32,7 +32,8 @@ from .common import Interner, docs_text, ranges, slices, utf8_buffers
 MARKER = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _UNIGRAM = 1
-CACHE_ENTRIES, CACHE_IDS = 250_000, 4_000_000
+#: Parts and ids of a worker's table of paths; it is emptied when full and lives as long as the worker.
+CACHE_ENTRIES, CACHE_IDS = 800_000, 8_000_000
 _PARTS = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
 
 
@@ -110,7 +111,7 @@ class DoubleArray:
         size = 1 << 16
         self.base, self.check, self.value = [0] * size, [-1] * size, [-1] * size
         place, work, low = {0: 0}, [0], 1
-        self.check[0] = 0
+        self.check[0] = -2  # the root is nobody's child
         while work:
             node = work.pop()
             s, kids = place[node], children[node]
@@ -143,7 +144,7 @@ class DoubleArray:
         s, base, check, value = 0, self.base, self.check, self.value
         for i in range(at, len(data)):
             t = base[s] + data[i]
-            if check[t] != s or t == 0:
+            if check[t] != s:
                 return
             s = t
             if value[s] >= 0:
@@ -172,48 +173,70 @@ class UnigramCoder:
 
     def _clear(self) -> None:
         self.table = Interner()
-        self.paths: list[list[int]] = []
+        self.pool, self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.held = 0
 
+    def _add(self, parts: list[str]) -> None:
+        """Paths of parts that have just got the last numbers of the table."""
+        paths = [self.viterbi(p) for p in parts]
+        sizes = np.fromiter(map(len, paths), np.int64, len(paths))
+        flat = np.fromiter(chain.from_iterable(paths), np.int32, int(sizes.sum()))
+        stop, held = len(self.table), self.held
+        while stop > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
+        while held + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool * 0])
+        self.pool[held : held + len(flat)] = flat
+        self.size[stop - len(paths) : stop] = sizes
+        self.start[stop - len(paths) : stop] = held + np.cumsum(sizes) - sizes
+        self.held = held + len(flat)
+
     def viterbi(self, part: str) -> list[int]:
         """Ids of the best path of one part."""
         data = part.encode("utf-8")
         n = len(data)
-        best = [-math.inf] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        low = -math.inf
+        best = [low] * (n + 1)
+        came, piece = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        scores, trie = self.scores, self.trie
-        base, check, value = trie.base, trie.check, trie.value
+        scores, base, check, value, unknown = self.scores, self.trie.base, self.trie.check, self.trie.value, self.unknown_score
         for at in range(n):
             here = best[at]
-            if here == -math.inf:
+            if here == low:
                 continue
             lead = data[at]
             char_end = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
             covered = False
-            s = 0
-            for i in range(at, n):
+            s, i = 0, at
+            while i < n:
                 t = base[s] + data[i]
-                if check[t] != s or t == 0:
+                if check[t] != s:
                     break
                 s = t
+                i += 1
                 k = value[s]
                 if k >= 0:
-                    i += 1
-                    covered = covered or i == char_end
+                    if i == char_end:
+                        covered = True
                     total = here + scores[k]
                     if total > best[i]:
-                        best[i], back[i] = total, (at, k)
-            if not covered:
-                total = here + self.unknown_score
-                if total > best[char_end]:
-                    best[char_end], back[char_end] = total, (at, -1)
+                        best[i] = total
+                        came[i] = at
+                        piece[i] = k
+            if not covered and here + unknown > best[char_end]:
+                best[char_end] = here + unknown
+                came[char_end] = at
+                piece[char_end] = -1
         ids, at = [], n
         while at > 0:
-            start, k = back[at]
-            ids.append([self.number[k]] if k >= 0 else [self.bytes[b] for b in data[start:at]])
+            start, k = came[at], piece[at]
+            if k >= 0:
+                ids.append(self.number[k])
+            else:
+                ids.extend([self.bytes[b] for b in reversed(data[start:at])])
             at = start
-        return list(chain.from_iterable(reversed(ids)))
+        ids.reverse()
+        return ids
 
     def parts(self, text: str) -> list[str]:
         if not text:
@@ -228,14 +251,11 @@ class UnigramCoder:
             self._clear()
         split = [self.parts(t) for t in texts]
         at = self.table.number(list(chain.from_iterable(split)))
-        for p in self.table.fresh:
-            path = self.viterbi(p)
-            self.held += len(path)
-            self.paths.append(path)
+        if self.table.fresh:
+            self._add(self.table.fresh)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        chosen = [self.paths[i] for i in at.tolist()]
-        sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
-        ids = np.fromiter(chain.from_iterable(chosen), np.int32, int(sizes.sum()))
+        sizes = self.size[at]
+        ids = self.pool[ranges(self.start[at], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[np.concatenate([[0], np.cumsum(counts)])]
 

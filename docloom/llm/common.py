@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a Python worker; temporaries stay a few times this size.
 SLICE_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
 # ---------------------------------------------------------------- shared files
@@ -35,11 +36,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def narrow(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """At most ``per_core`` partitions for each core of the cluster, without a shuffle: small partitions end in fewer files."""
+    return df.coalesce(per_core * max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def materialize(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    narrow(df, per_core).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,8 +53,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``: long texts would make the default of 10,000 rows too large for a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def docs_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (as long) and the text (null: empty), whatever other columns the table has."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 

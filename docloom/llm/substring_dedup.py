@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHasher, shuffle_partitions, slices, span_hashes, utf8_buffers, window_starts, word_spans
+from .common import WindowHasher, bound_batches, mix, narrow, shuffle_partitions, slices, span_hashes, utf8_buffers, window_starts, word_spans
 
 WINDOW = 35
 ANCHOR = 8
@@ -34,7 +34,7 @@ ANCHOR = 8
 BLOCK = 2_000_000
 
 _U64 = np.uint64
-_BLOCKS = "bucket int, h binary, doc binary, pos binary, known binary"
+BLOCKS = "bucket int, h binary, doc binary, pos binary, known binary"
 
 
 def _sliding_min(values: np.ndarray, k: int) -> np.ndarray:
@@ -90,42 +90,68 @@ def settle(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, n_buckets: int) -> I
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]], ["bucket", "h", "doc", "pos", "known"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray] | None:
+    """Each column's blobs of a whole partition, one after another; the first column is the bucket."""
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for batch in batches:
+        for i, kind in enumerate(kinds):
+            parts[i] += [np.frombuffer(b, kind) for b in batch.column(i + 1).to_pylist()]
+    return [np.concatenate(p) for p in parts] if parts[0] else None
+
+
+def _cuts(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(sorted_) else np.zeros(1, np.int64)
+
+
 def repeated(blocks: DataFrame, n: int) -> DataFrame:
-    """``row_id, positions``: for each document, the positions (uint32 blobs, several rows a document) whose hash occurs twice or more."""
+    """``row_id, positions``: one row for each document with a hash that occurs twice or more, and their places as a uint32 blob.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            for h, doc, pos, known in zip(*[batch.column(i).to_pylist() for i in range(1, 5)], strict=True):
-                parts.append((np.frombuffer(h, _U64), np.frombuffer(doc, np.int64), np.frombuffer(pos, np.uint32), np.frombuffer(known, np.uint8)))
-        if not parts:
+    Answers travel as blobs as well, one for each pair of tasks at most, and are put in order by document where they arrive.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gathered(batches, [_U64, np.int64, np.uint32, np.uint8])
+        if got is None:
             return
-        h, doc, pos, known = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
+        h, doc, pos, known = got
         order = np.argsort(h)
         h, doc, pos, known = h[order], doc[order], pos[order], known[order]
-        here = known < 2
         group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-        total = np.bincount(group, weights=here)[group]
+        total = np.bincount(group, weights=known < 2)[group]
         good = (known > 0) | (total > 1)
         doc, pos = doc[good], pos[good]
+        bucket = (mix(doc.view(_U64)) >> _U64(33)) % _U64(n)
+        order = np.argsort(bucket, kind="stable")
+        bucket, doc, pos = bucket[order], doc[order], pos[order]
+        cut = _cuts(bucket)
+        rows = [(int(bucket[x]), doc[x:y].tobytes(), pos[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "doc", "pos"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gathered(batches, [np.int64, np.uint32])
+        if got is None:
+            return
+        doc, pos = got
         order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
-        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
+        cut = _cuts(doc)
         for a in range(0, len(cut) - 1, 5000):
             own = cut[a : a + 5001]
             yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array([pos[x:y].tobytes() for x, y in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["row_id", "positions"])
 
-    return blocks.repartition(n, "bucket").mapInArrow(run, "row_id long, positions binary")
+    answers = blocks.repartition(n, "bucket").mapInArrow(count, "bucket int, doc binary, pos binary")
+    return answers.repartition(n, "bucket").mapInArrow(collect, "row_id long, positions binary")
 
 
 def _joined(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Every text with the list of its position blobs (null: none)."""
-    return texts.join(found.groupBy("row_id").agg(F.collect_list("positions").alias("positions")), "row_id", "left")
+    """Every text with its positions (null: none)."""
+    return texts.join(found, "row_id", "left")
 
 
-def _positions(blobs: list | None) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in blobs])).astype(np.int64) if blobs else np.zeros(0, np.int64)
+def _positions(blob: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(blob, np.uint32)).astype(np.int64) if blob else np.zeros(0, np.int64)
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -181,8 +207,8 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         if held:
             yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), n)
 
-    places = repeated(texts.mapInArrow(first_pass, _BLOCKS), n)
-    windows = _joined(texts, places).mapInArrow(second_pass, _BLOCKS)
+    places = repeated(texts.mapInArrow(first_pass, BLOCKS), n)
+    windows = _joined(texts, places).mapInArrow(second_pass, BLOCKS)
     return repeated(windows, n)
 
 
@@ -199,10 +225,10 @@ def _cleaned(batch: pa.RecordBatch, text_at: int, window: int) -> Iterator[tuple
     data, off = utf8_buffers(batch.column(text_at))
     starts, ends, first = word_spans(data, off)
     raw = data.tobytes()
-    for i, blobs in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+    for i, blob in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
         a, b = int(first[i]), int(first[i + 1])
         text = raw[off[i] : off[i + 1]]
-        gone = removed_words(b - a, _positions(blobs), window) if blobs else None
+        gone = removed_words(b - a, _positions(blob), window) if blob else None
         if gone is None or not gone.any():
             yield text, b - a, 0
             continue
@@ -213,6 +239,7 @@ def _cleaned(batch: pa.RecordBatch, text_at: int, window: int) -> Iterator[tuple
 def _dealt(docs: DataFrame, columns: list, text_col: str) -> DataFrame:
     """The rows numbered and dealt out by their number; all later uses share this exchange."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    bound_batches(docs.sparkSession)
     return docs.select(F.monotonically_increasing_id().alias("row_id"), text, *columns).repartition(shuffle_partitions(docs.sparkSession), "row_id")
 
 
@@ -225,7 +252,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             rows = list(_cleaned(batch, 1, window))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return _joined(texts, repeated_windows(texts, window)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return narrow(_joined(texts, repeated_windows(texts, window)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string"))
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -242,4 +269,4 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text")
 
     out = joined.mapInArrow(run, schema)
     place = {c: F.col(f"others._{i}").alias(c) for i, c in enumerate(others)}
-    return out.select(*[place.get(c, F.col("text").alias(text_col)) for c in docs.columns])
+    return narrow(out.select(*[place.get(c, F.col("text").alias(text_col)) for c in docs.columns]))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, materialize
+from .common import docs_text, materialize, narrow
 
 BUCKETS = 1 << 14
 #: Mean log ratio a document must reach.
@@ -95,7 +95,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     marked = worded.select("trusted", F.explode(F.concat("h1", "h2")).alias("h")).select("trusted", F.pmod("h", F.lit(buckets)).alias("bucket"))
     none = spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
     seen = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
-    counts = materialize(seen.unionByName(none).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "grams")
+    counts = materialize(seen.unionByName(none).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "grams", 1)
     raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
     p = lambda n, total: F.log((F.col(n) + 1) / F.lit(float(total + buckets)))
     return counts.select("bucket", (p("target", target) - p("raw", raw) if target else F.lit(0.0)).alias("ratio"))
@@ -116,4 +116,4 @@ def rate_quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, mi
     out = out.withColumn("ratio", F.when(n_grams > 0, F.round(total / n_grams, 9)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(*counts, failed.alias("base_failed"), "ratio", (~failed & F.coalesce(F.col("ratio") >= min_ratio, F.lit(False))).alias("kept"))
+    return narrow(out.select(*counts, failed.alias("base_failed"), "ratio", (~failed & F.coalesce(F.col("ratio") >= min_ratio, F.lit(False))).alias("kept")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, lower_ascii, mix, slices, span_hashes, utf8_buffers, word_spans
+from .common import bound_batches, docs_text, lower_ascii, mix, narrow, slices, span_hashes, utf8_buffers, word_spans
 
 BUCKETS = 1 << 18
 #: Rated documents that the fit reads at most.
@@ -93,9 +93,10 @@ def fit_ordinal(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, n_grades
     n = len(grade)
     if n == 0:
         return OrdinalModel(weights, np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1)))
-    seen = np.bincount(bucket, minlength=BUCKETS) >= MIN_DOCS
-    used, at = np.unique(bucket[seen[bucket]], return_inverse=True)
-    doc = doc[seen[bucket]]
+    common = (np.bincount(bucket, minlength=BUCKETS) >= MIN_DOCS)[bucket]
+    used, at = np.unique(bucket[common], return_inverse=True)
+    doc = doc[common].astype(np.int64)
+    del bucket, common
     share = np.clip(np.array([(grade <= k).mean() for k in range(n_grades - 1)]), 1e-3, 1 - 1e-3)
     theta = np.log(share / (1 - share))
     # thresholds as the first one and positive gaps keeps them in order
@@ -149,8 +150,13 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int =
         found.setdefault(r["doc_id"], np.frombuffer(bytes(r["buckets"]), "<i4"))
     rated = sorted((r["doc_id"], r["grade"]) for r in sample if r["doc_id"] in found)
     own = [found[d] for d, _ in rated]
-    doc = np.repeat(np.arange(len(own)), [len(b) for b in own]) if own else np.zeros(0, np.int64)
-    return fit_ordinal(doc, np.concatenate(own).astype(np.int64) if own else doc, np.array([g for _, g in rated], np.int64), n_grades)
+    del found, sample
+    grades = np.array([g for _, g in rated], np.int64)
+    if not own:
+        return fit_ordinal(np.zeros(0, np.int32), np.zeros(0, np.int32), grades, n_grades)
+    doc, bucket = np.repeat(np.arange(len(own), dtype=np.int32), [len(b) for b in own]), np.concatenate(own)
+    del own
+    return fit_ordinal(doc, bucket, grades, n_grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel, cut: int, min_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +172,7 @@ def score(docs: DataFrame, model: OrdinalModel, cut: int, min_tail: float = 0.5,
             tail = tails[:, cut - 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(tails.sum(axis=1), 6)), pa.array(np.round(tail, 6)), pa.array(tail >= min_tail)], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return docs_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return narrow(docs_text(docs, id_col, text_col)).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, cut: int, min_tail: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -181,7 +187,8 @@ def keep_good(docs: DataFrame, model: OrdinalModel, cut: int, min_tail: float =
             total = np.bincount(doc, weights=m.weights[bucket], minlength=batch.num_rows)
             yield batch.filter(pa.array(m.tails(total)[:, cut - 1] >= min_tail))
 
-    return docs.mapInArrow(run, docs.schema)
+    bound_batches(docs.sparkSession)
+    return narrow(docs).mapInArrow(run, docs.schema)
 
 
 def graded_ratings(labels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ each give a row; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from .bpe import PieceCoder, piece_coder, read_bytes
 from .common import Interner, docs_text, slices, utf8_buffers
 
-#: Entries of a worker's table of piece counts; it is emptied when full.
-CACHE_ENTRIES = 250_000
+#: Entries of a worker's table of piece counts; it is emptied when full and lives as long as the worker.
+CACHE_ENTRIES = 400_000
 #: White space beside a blank: there a pre-token may take several of them.
 _AWKWARD = regex.compile(r" \s|^\s")
 _SAFE_CUT = regex.compile(r"(?<=\S)(?= \S)")
@@ -67,12 +68,18 @@ class TokenCounter:
         return total[ends] - total[ends - sizes]
 
 
+@lru_cache(maxsize=2)
+def token_counter(data: bytes) -> TokenCounter:
+    """The counter of a vocabulary file, kept through the tasks of a Python worker."""
+    return TokenCounter(piece_coder(data))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit`` (n_tokens > limit)."""
     data = docs.sparkSession.sparkContext.broadcast(read_bytes(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(piece_coder(data.value))
+        counter = token_counter(data.value)
         for batch in slices(batches, 1):
             _, off = utf8_buffers(batch.column(1))
             tokens = counter.count(batch.column(1).to_pylist())

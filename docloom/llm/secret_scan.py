@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_text, slices, utf8_buffers
+from .common import bound_batches, docs_text, narrow, slices, utf8_buffers
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER_BYTES = 64 << 20
@@ -228,7 +228,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> D
             texts = [clean(*x) for x in zip(batch.column(at).to_pylist(), hexes, coded, strict=True)]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    bound_batches(docs.sparkSession)
+    return narrow(docs).mapInArrow(run, docs.schema)
 
 
 def spans_text(spans: Column) -> Column:

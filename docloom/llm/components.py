@@ -33,10 +33,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Self-loops and null ends are ignored; a node without an edge to another is not listed. An empty table gives an empty table.
     """
-    now = materialize(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges")
+    now = materialize(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges", 1)
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        now = materialize(_small_star(_large_star(now)), "stars", 1)
         n = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(n) == mark:
             break

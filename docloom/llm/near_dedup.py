@@ -9,13 +9,16 @@ under 10**-7 for 0.85), which prunes twice:
 * prefix: of a class's s shared postings, ordered by how common they are, only the s - MATCHES + 1 rarest are merged, since two classes that
   agree in MATCHES coordinates meet in one of those.
 
-Within a posting, pairs are not written out: its members are held against its most central member (the one whose
-postings are the most common), pairs with enough equal coordinates are confirmed on full sets, and confirmed links join components. Where a posting still
-spans several components, that is repeated with another central member, and after ``ROUNDS`` rounds the remaining pairs of different components
-are compared block by block, so that no link is lost; members of one component need no further comparison.
+The classes left are then bounded exactly: with c of a class's n shingles shared by any other, two classes have at most
+min(c) in common, so a class with c below the threshold's share of n can have no link, nor can a pair whose bound is below it.
+
+Within a posting, pairs are not written out: its members are held against its most central member (the one whose postings are the most
+common), pairs with enough equal coordinates are confirmed on full sets, and confirmed links join components. Where a posting still spans
+several components, its members are compared block by block inside tasks, and pairs of different components that pass all bounds are
+confirmed too, so that no link is lost; members of one component need no further comparison.
 
 Defined results: null or empty texts, and texts without words, have an empty set and are linked with nothing; equal texts
-share a component; repeated ids are one document for the grouping, and each row gives a row; an empty table gives an empty table; other columns are ignored.
+share a component; repeated ids are one document for the grouping, and each row gives a row; a row without an id has the component of equal texts, if any; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WindowHasher, docs_text, lower_ascii, materialize, mix, ranges, slices, span_hashes, utf8_buffers, word_spans
+from .common import WindowHasher, docs_text, lower_ascii, materialize, mix, narrow, ranges, shuffle_partitions, slices, span_hashes, utf8_buffers, word_spans
 from .components import connected_components
+from .substring_dedup import BLOCK, BLOCKS, repeated, settle
 
 SHINGLE = 5
 COORDINATES = 64
 MATCHES = 36
-ROUNDS = 3
 #: Ids up to which a list of active classes is broadcast; beyond, it is joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Members of a posting compared at once in the last step.
 BLOCK_MEMBERS = 512
+#: Files a core writes of each intermediate table.
+FILES = 2
 _U64 = np.uint64
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15)) | _U64(1)
 
@@ -143,32 +148,47 @@ def shared_postings(classes: DataFrame, matches: int) -> DataFrame:
     return ranked.where((F.col("s") >= matches) & (F.col("rank") <= F.col("s") - (matches - 1))).select("tok", "coord", "cls", "central")
 
 
-def star_pairs(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """``u`` (a member) and ``v`` (a central member) of every posting.
+def bounded_classes(sets: DataFrame, percent: int) -> DataFrame:
+    """``cls, n, shared``: set sizes and how many of the shingles some other class has, for classes that can have a link."""
+    parts = shuffle_partitions(sets.sparkSession)
 
-    With components: in postings that still span several, the central member is the most central one outside the component
-    of the posting's first central member, and only members of other components are held against it.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in slices(batches, 1):
+            data, off = utf8_buffers(batch.column(1))
+            counts = np.diff(off) // 8
+            held.append((data.view(_U64).copy(), np.repeat(batch.column(0).to_numpy(), counts), ranges(np.zeros(len(counts), np.int64), counts).astype(np.uint32)))
+            size += int(counts.sum())
+            if size >= BLOCK:
+                yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
+                held, size = [], 0
+        if size:
+            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)
+
+    found = repeated(sets.mapInArrow(run, BLOCKS), parts).select(F.col("row_id").alias("cls"), (F.length("positions") / 4).cast("long").alias("shared"))
+    sized = sets.select("cls", (F.length("items") / 8).cast("long").alias("n"))
+    return sized.join(found, "cls").where(100 * F.col("shared") >= percent * F.col("n"))
+
+
+def star_pairs(postings: DataFrame) -> DataFrame:
+    """``u`` (a member) and ``v`` (the most central member) of every posting."""
     lead = F.struct(F.col("central"), (-F.col("cls")).alias("minus"))
-    if comp is None:
-        heads = postings.groupBy("tok").agg(F.max(lead).alias("head"))
-        return postings.join(heads, "tok").select(F.col("cls").alias("u"), (-F.col("head.minus")).alias("v")).where("u != v").distinct()
-    with_comp = postings.join(comp, "cls")
-    spans = with_comp.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("central", (-F.col("cls")).alias("minus"), "comp")).alias("head")).where("lo != hi").select("tok", F.col("head.comp").alias("first"))
-    open_ = with_comp.join(spans, "tok")
-    heads = open_.where("comp != first").groupBy("tok").agg(F.max(F.struct("central", (-F.col("cls")).alias("minus"), "comp")).alias("head"))
-    return open_.join(heads, "tok").where(F.col("comp") != F.col("head.comp")).select(F.col("cls").alias("u"), (-F.col("head.minus")).alias("v")).distinct()
+    heads = postings.groupBy("tok").agg(F.max(lead).alias("head"))
+    return postings.join(heads, "tok").select(F.col("cls").alias("u"), (-F.col("head.minus")).alias("v")).where("u != v").distinct()
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """Pairs with enough equal coordinates."""
-    left = classes.select(F.col("cls").alias("u"), F.col("sig").alias("a"))
-    right = classes.select(F.col("cls").alias("v"), F.col("sig").alias("b"))
-    return pairs.join(left, "u").join(right, "v").where(_equal_coordinates("a", "b") >= matches).select("u", "v")
+def similar_pairs(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs with enough equal coordinates whose bound reaches the threshold."""
+    left = classes.select(F.col("cls").alias("u"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("c_a"))
+    right = classes.select(F.col("cls").alias("v"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("c_b"))
+    most = F.least("c_a", "c_b")
+    may = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    return pairs.join(left, "u").join(right, "v").where(may & (_equal_coordinates("a", "b") >= matches)).select("u", "v")
 
 
-def remaining_pairs(postings: DataFrame, comp: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """Pairs of different components that share a posting and enough coordinates: the exact rest after the star rounds.
+def remaining_pairs(postings: DataFrame, comp: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs of different components that share a posting and pass all bounds: the exact rest after the stars.
 
     Postings that still span components are cut into blocks of members; two blocks meet in one task, which compares
     signatures in NumPy and names only the pairs that pass, each in the first posting where it can meet.
@@ -177,12 +197,12 @@ def remaining_pairs(postings: DataFrame, comp: DataFrame, classes: DataFrame, ma
     with_comp = postings.select("tok", "coord", "cls").join(comp, "cls")
     spans = with_comp.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi").select("tok", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     open_ = with_comp.join(spans, "tok").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    open_ = open_.join(prefix, "cls").join(classes.select("cls", "sig"), "cls")
+    open_ = open_.join(prefix, "cls").join(classes.select("cls", "sig", "n", "shared"), "cls")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("mine")).alias("p"), F.greatest(b, F.col("mine")).alias("q")))
-    dealt = open_.select("tok", "coord", "cls", "comp", "prefix", "sig", "mine", F.explode(other).alias("pair")).select("tok", "pair.p", "pair.q", "coord", "cls", "comp", "prefix", "sig", "mine")
+    dealt = open_.select("tok", "coord", "cls", "comp", "prefix", "sig", "n", "shared", "mine", F.explode(other).alias("pair")).select("tok", "pair.p", "pair.q", "coord", "cls", "comp", "prefix", "sig", "n", "shared", "mine")
 
     def run(table: pa.Table) -> pa.Table:
-        cls, comp_, mine = (np.asarray(table.column(c).to_numpy()) for c in ("cls", "comp", "mine"))
+        cls, comp_, mine, n, shared = (np.asarray(table.column(c).to_numpy()) for c in ("cls", "comp", "mine", "n", "shared"))
         coord, p, q = table.column("coord")[0].as_py(), table.column("p")[0].as_py(), table.column("q")[0].as_py()
         sig = np.array(table.column("sig").to_pylist(), np.int64)
         masks = np.array([sum(1 << c for c in x) for x in table.column("prefix").to_pylist()], _U64)
@@ -192,7 +212,8 @@ def remaining_pairs(postings: DataFrame, comp: DataFrame, classes: DataFrame, ma
         found_u, found_v = [], []
         for i in a.tolist():
             js = b[b > i] if p == q else b
-            js = js[comp_[js] != comp_[i]]
+            most = np.minimum(shared[js], shared[i])
+            js = js[(comp_[js] != comp_[i]) & (100 * most >= percent * (n[js] + n[i] - most))]
             if len(js) == 0:
                 continue
             equal = sig[js] == sig[i]
@@ -213,30 +234,27 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, matches: int = MAT
     """``doc_id, n_shingles, component_id, kept`` for every document: its set's size, the least id it is linked to through any chain (itself
     included), and whether that is its own."""
     texts = docs_text(docs, id_col, text_col)
-    signed = materialize(signed_docs(texts), "signed")
+    signed = materialize(signed_docs(texts), "signed", FILES)
     # min over structs: equal keys mean equal sets, so the signature is any member's
-    classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("cls"), F.col("m.sig").alias("sig"))
-    classes = materialize(classes, "classes")
-    postings = materialize(shared_postings(classes, matches), "postings")
-    active = materialize(postings.select("cls", "central").distinct(), "active")
-    few = classes.select("cls", "sig").join(active.select("cls"), "cls", "left_semi")
-    few = materialize(few, "active-signatures")
-    sets = materialize(class_sets(texts, active), "sets")
-    links, comp = None, None
-    for step in range(ROUNDS + 1):
-        pairs = star_pairs(postings, comp) if step < ROUNDS else remaining_pairs(postings, comp, few, matches)
-        pairs = similar_pairs(pairs, few, matches) if step < ROUNDS else pairs
-        found = materialize(confirm(pairs, sets, percent), "links")
-        n_found = found.count()
-        if n_found:
-            links = found if links is None else links.unionByName(found)
-            groups = connected_components(links)
-            comp = active.select("cls").join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
-            comp = materialize(comp, "components")
-        elif comp is None:
-            comp = active.select("cls", F.col("cls").alias("comp"))
-    groups = active.select("cls").join(comp, "cls").where("cls != comp")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("cls"), F.col("m.sig").alias("sig"))
+    classes = materialize(classes, "classes", FILES)
+    postings = materialize(shared_postings(classes, matches), "postings", FILES)
+    sets = materialize(class_sets(texts, postings.select("cls").distinct()), "sets", FILES)
+    able = materialize(bounded_classes(sets, percent), "able", FILES)
+    postings = materialize(postings.join(able.select("cls"), "cls"), "able-postings", FILES)
+    few = materialize(classes.select("cls", "sig").join(able, "cls"), "able-signatures", FILES)
+    links = materialize(confirm(similar_pairs(star_pairs(postings), few, matches, percent), sets, percent), "links", FILES)
+
+    def components(links: DataFrame) -> DataFrame:
+        found = connected_components(links).select(F.col("node").alias("cls"), "component")
+        return materialize(able.select("cls").join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), "components", FILES)
+
+    comp = components(links)
+    rest = materialize(confirm(remaining_pairs(postings, comp, few, matches, percent), sets, percent), "rest", FILES)
+    if not rest.isEmpty():
+        comp = components(links.unionByName(rest))
+    groups = comp.where("cls != comp")
     by_key = classes.select("k1", "k2", "cls").join(groups, "cls", "left").select("k1", "k2", F.coalesce("comp", "cls").alias("comp"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(by_key, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return narrow(out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")))

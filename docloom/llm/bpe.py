@@ -46,6 +46,10 @@ def byte_letters() -> dict[str, int]:
     return {c: b for b, c in letters.items()}
 
 
+#: Marks an id among ranks; above every rank.
+WHOLE_ID = 1 << 24
+
+
 class PieceCoder:
     def __init__(self, data: bytes):
         import tiktoken
@@ -110,6 +114,27 @@ class PieceCoder:
         coded = self.library.encode_batch_fast([s for _, s in found], add_special_tokens=False)
         return {s: i for (i, s), e in zip(found, coded, strict=True) if e.ids == [i]}
 
+    def word_symbols(self, word: bytes) -> list[int]:
+        """Ranks of a word without white space, for word-end vocabularies; ids from the general path come with ``WHOLE_ID`` added.
+
+        Letters alone, and letters before one full stop or comma, are each one pre-token and need no pattern.
+        """
+        end, piece = self.end, self._piece
+        if word.isascii():
+            if word.isalpha():
+                return piece(word.lower() + end)
+            if word[-1] in b".," and word[:-1].isalpha():
+                return [*piece(word[:-1].lower() + end), 256 + word[-1]]
+        else:
+            text = word.decode("utf-8")
+            tail = text[-1] in ".,"
+            body = text[:-1] if tail else text
+            low = body.lower()
+            if body.isalpha() and low.isalpha() and "Σ" not in body and unicodedata.is_normalized("NFC", text):
+                ranks = piece(low.encode("utf-8") + end)
+                return [*ranks, 256 + ord(text[-1])] if tail else ranks
+        return [i + WHOLE_ID for i in self.encode(word.decode("utf-8"))]
+
     def encode(self, piece: str) -> list[int]:
         """Ids of one piece."""
         if "<|" in piece and any(s in piece for s in self.special):

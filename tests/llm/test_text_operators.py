@@ -433,3 +433,14 @@ def test_rules_equal_brute_force(spark, docs, corpus):
 def test_rules_run_no_python(docs, spark):
     plan = quality_rules.rate_quality(docs, spark.createDataFrame([(1,)], "doc_id long"), buckets=64)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_words_of_every_kind_equal_the_library(vocabularies):
+    import pyarrow as pa
+
+    from docloom.llm.common import utf8_buffers
+
+    text = "İstanbul, ΣΑΣ. straße, é. ﬁn Ǆ ªº ŉ ſ K. Å . , .. a., don't's 'll 12,3. naïve, É, ß. <|endoftext|> x<|startoftext|>y 日本語。 日本, İ. ẞ The, THE. the"
+    coder = packing.WordCoder(bpe.piece_coder(bpe.read_bytes(str(vocabularies.path("word_bpe_49k.json")))))
+    ids, _ = coder.encode(*utf8_buffers(pa.array([text])), 1)
+    assert ids.tolist() == [*coder.coder.library.encode(text, add_special_tokens=False).ids, 1]

@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a Python worker; temporaries stay a few times this size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
 
@@ -95,6 +96,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int = SLIC
             stop = min(n, max(stop, start + 1))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Freed memory goes back to the system: a Python worker serves many tasks and would keep the largest one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 # ---------------------------------------------------------------- hashing

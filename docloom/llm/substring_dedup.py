@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHasher, bound_batches, mix, narrow, shuffle_partitions, slices, span_hashes, utf8_buffers, window_starts, word_spans
+from .common import WindowHasher, bound_batches, give_back_memory, mix, narrow, shuffle_partitions, slices, span_hashes, utf8_buffers, window_starts, word_spans
 
 WINDOW = 35
 ANCHOR = 8
 #: Entries settled together in a task; bounds a worker's memory.
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 _U64 = np.uint64
 BLOCKS = "bucket int, h binary, doc binary, pos binary, known binary"
@@ -128,6 +128,8 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
         rows = [(int(bucket[x]), doc[x:y].tobytes(), pos[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "doc", "pos"])
+        del got, rows, h, doc, pos, known, order, group, total, good, bucket
+        give_back_memory()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _gathered(batches, [np.int64, np.uint32])

@@ -3,7 +3,7 @@
 Base spans are found in the text itself. A worklist then unwraps layers: percent
 encoding, \\u and \\x escapes, base64 (plain and URL-safe) and gzip or zlib data inside
 those. Each new layer is scanned again and put back on the list until nothing new
-turns up; a set of layers already seen ends cycles. Every layer carries, for each of
+turns up; a set of layers already seen, each with where it came from, ends cycles. Every layer carries, for each of
 its characters, the span of the original text it came from, so findings are reported
 in code points of the original.
 
@@ -63,6 +63,10 @@ class Layer:
     def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
         self.text, self.start, self.end = text, start, end
 
+    def key(self) -> tuple:
+        """Text and places: equal texts at different places are different layers."""
+        return self.text, self.start and tuple(self.start), self.end and tuple(self.end)
+
     def origin(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (min(self.start[a:b]), max(self.end[a:b]))
 
@@ -159,11 +163,12 @@ def scan(text: str, hex_runs: bool = True, wrapped: bool = True) -> tuple[list[t
     base = find(text, hex_runs)
     more: set[tuple[str, int, int]] = set()
     if wrapped:
-        seen, work = {text}, [Layer(text)]
+        work = [Layer(text)]
+        seen = {work[0].key()}
         while work:
             for below in unwrap(work.pop()):
-                if below.text not in seen:
-                    seen.add(below.text)
+                if (key := below.key()) not in seen:
+                    seen.add(key)
                     work.append(below)
                     more.update((kind, *below.origin(a, b)) for kind, a, b in find(below.text))
         more.difference_update(base)

@@ -134,6 +134,17 @@ def test_wrapped_secrets_map_to_their_wrapping(wrapped):
     assert base == secret_scan.find(text)
 
 
+@pytest.mark.parametrize("raw", [LEAK.encode(), gzip.compress(LEAK.encode())])
+def test_each_copy_of_a_wrapped_secret_is_found(spark, raw):
+    token = base64.b64encode(raw).decode()
+    text = f"a {token} b {token} c {urllib.parse.quote(token, safe='')} d"
+    spans = secret_scan.scan(text)[1]
+    at = [m.start() for m in re.finditer(re.escape(token), text)]
+    assert len(at) >= 2 and all(any(k == "assign" and p <= a < b <= p + len(token) for k, a, b in spans) for p in at)
+    got = secret_scan.redact(spark.createDataFrame([(1, f"a {token} b {token} c")], "doc_id long, text string")).collect()
+    assert got[0]["text"].count("[SECRET]") == 2
+
+
 def test_escapes_and_cycles_end():
     assert secret_scan.scan("%25" * 50)[1] == []
     assert secret_scan.scan("\\u005cu005c" * 20)[1] == []

@@ -25,7 +25,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,7 +250,7 @@ def pack_tokens(tokens: DataFrame, kind: type, vocab: int, window: int = 2048, s
     stats = tokens.sparkSession.sparkContext.broadcast((idf, n_tokens / max(n_docs, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = -1
         names: list[int] = []
         docs: list[np.ndarray] = []
         held = 0
@@ -278,6 +277,8 @@ def pack_tokens(tokens: DataFrame, kind: type, vocab: int, window: int = 2048, s
             return pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in slices(batches, 1):
+            if sequence < 0:
+                sequence = batch.column(2)[0].as_py() << 40
             data, off = utf8_buffers(batch.column(1))
             ids = data.view(kind)
             off = off // np.dtype(kind).itemsize
@@ -291,7 +292,9 @@ def pack_tokens(tokens: DataFrame, kind: type, vocab: int, window: int = 2048, s
         if docs:
             yield from flush()
 
-    return narrow(tokens.select("doc_id", "ids").mapInArrow(run, PIECES))
+    # the stream's own number: a task that joins several streams has one number for all of them
+    streams = narrow(tokens.select("doc_id", "ids")).select("doc_id", "ids", F.spark_partition_id().alias("stream"))
+    return streams.mapInArrow(run, PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,6 +58,16 @@ def test_packing_is_exact(docs, corpus, vocabularies):
     check_pieces(Q.packing_digest(packing.pack_documents(docs, path, shard_tokens=3000)).collect(), coded)
 
 
+def test_sequences_stay_apart_over_many_scan_partitions(spark):
+    coded = {d: [*range(2, 2 + d % 50), 1] for d in range(400)}
+    most = 4 * max(2, spark.sparkContext.defaultParallelism)
+    rows = [(d, np.array(ids, "<u2").tobytes()) for d, ids in coded.items()]
+    tokens = spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3 * most)
+    packed = packing.pack_tokens(tokens, np.uint16, 64)
+    check_pieces(Q.packing_digest(packed).collect(), coded)
+    check_pieces(Q.packing_digest(packed.coalesce(2)).collect(), coded)
+
+
 def test_packing_of_an_empty_table(empty, vocabularies):
     assert packing.pack_documents(empty, str(vocabularies.path("word_bpe_49k.json"))).collect() == []
 

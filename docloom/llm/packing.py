@@ -4,8 +4,8 @@
 2. Document frequencies of all token ids are counted over that whole table. The vocabulary
    bounds this (tens of thousands of numbers), so it is collected and broadcast.
 3. The table is read again; every ``shard_tokens`` tokens of a scan partition form a shard with an
-   inverted index of its own (posting lists with BM25 impacts, idf from all documents). Each seed document's
-   rarest terms are looked up, and its best unused neighbours fill the seed's window greedily. A document that
+   inverted index of its own (posting lists with BM25 impacts, idf from all documents). All terms of a seed
+   document are looked up, and its best unused neighbours fill the seed's window greedily. A document that
    crosses the end of a window is cut there and goes on as the next seed.
 
 No shuffle of texts or ids takes place, a shard's size is bounded whatever the data, and no
@@ -35,8 +35,10 @@ from .common import Interner, docs_text, materialize, narrow, ranges, slices, ut
 CACHE_ENTRIES = 800_000
 #: Tokens of a shard: bounds an index to some tens of MB.
 SHARD_TOKENS = 2_000_000
-#: Rarest terms of a seed that are looked up.
-QUERY_TERMS = 24
+#: Rarest terms of a seed that are looked up; None: all of them.
+QUERY_TERMS = None
+#: Terms in more than this part of a shard's documents have a row of impacts besides their postings.
+ROW_SHARE = 0.25
 K1, B = 1.2, 0.75
 _N_DOCS, _N_TOKENS = -1, -2
 
@@ -169,17 +171,32 @@ class Shard:
         self.impact = (idf[term] * tf * (K1 + 1) / (tf + norm[doc]))[order].astype(np.float32)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
         self.free = np.ones(n, bool)
+        common = np.flatnonzero(np.diff(self.first) > ROW_SHARE * n)
+        self.row = dict(zip(common.tolist(), range(len(common)), strict=True))
+        self.rows = np.zeros((len(common), n), np.float32)
+        for i, t in enumerate(common.tolist()):
+            a, b = self.first[t], self.first[t + 1]
+            self.rows[i, self.posting[a:b]] = self.impact[a:b]
+        self.scored: tuple[int, np.ndarray] | None = None
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Scores of all documents, free or not; the last seed's are kept, as it may be asked again."""
+        if self.scored is None or self.scored[0] != seed:
+            terms = self.terms[seed]
+            if QUERY_TERMS is not None and len(terms) > QUERY_TERMS:
+                terms = terms[np.argpartition(self.idf[terms], -QUERY_TERMS)[-QUERY_TERMS:]]
+            start, counts = self.first[terms], self.first[terms + 1] - self.first[terms]
+            rare = counts <= ROW_SHARE * len(self.docs)
+            at = ranges(start[rare], counts[rare])
+            scores = np.bincount(self.posting[at], self.impact[at], len(self.docs)).astype(np.float32)
+            for t in terms[~rare].tolist():
+                scores += self.rows[self.row[t]]
+            self.scored = seed, scores
+        return self.scored[1]
 
     def neighbours(self, seed: int, k: int = 16) -> np.ndarray:
         """Unused documents by falling score, the earlier first where equal; [] if none shares a term."""
-        terms = self.terms[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(self.idf[terms], -QUERY_TERMS)[-QUERY_TERMS:]]
-        scores = np.zeros(len(self.docs), np.float32)
-        for t in terms.tolist():
-            a, b = self.first[t], self.first[t + 1]
-            scores[self.posting[a:b]] += self.impact[a:b]
-        scores *= self.free
+        scores = self.scores(seed) * self.free
         if len(scores) > k:
             best = np.argpartition(scores, -k)[-k:]
         else:

@@ -94,6 +94,20 @@ def test_neighbours_are_the_best_by_brute_force(monkeypatch):
         assert 3 not in got and seed not in got
 
 
+def test_neighbours_share_any_term_of_a_long_seed():
+    rng = np.random.default_rng(2)
+    alone = np.arange(300, 400)  # the seed's rarest ids, in no other document of the shard
+    shared = rng.permutation(300)
+    docs = [np.concatenate([alone, shared[:200]]), *[shared[200 - k : 260 - k] for k in (0, 10, 50, 30)], np.arange(400, 450)]
+    docs = [d.astype(np.uint16) for d in docs]
+    idf = np.concatenate([np.full(300, 1.0), np.full(150, 9.0)]).astype(np.float32)
+    shard = packing.Shard(docs, idf, 60.0)
+    shard.free[0] = False
+    assert shard.neighbours(0).tolist() == [3, 4, 2]
+    shard.free[3] = False
+    assert shard.neighbours(0).tolist() == [4, 2]
+
+
 # ------------------------------------------------------------------ secrets
 def brute_secrets(t):
     out = []

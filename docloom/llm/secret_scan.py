@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Base spans are found in the text itself. A worklist then unwraps layers: percent
-encoding, \\u and \\x escapes, base64 (plain and URL-safe) and gzip or zlib data inside
-those. Each new layer is scanned again and put back on the list until nothing new
+encoding, \\u and \\x escapes, base64 (plain and URL-safe, also in lines or behind a prefix) and
+gzip or zlib data inside those, also where only some of its bytes are escaped. Each new layer is scanned again and put back on the list until nothing new
 turns up; a set of layers already seen, each with where it came from, ends cycles. Every layer carries, for each of
 its characters, the span of the original text it came from, so findings are reported
 in code points of the original.
@@ -10,16 +10,17 @@ in code points of the original.
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows each give a
 row; an empty table gives an empty table; other columns are ignored. Overlapping findings of different kinds are all
 reported; a span found both in the text and in a layer is reported once, as a base span.
-A decompressed layer is read to ``MAX_LAYER_BYTES`` (a guard against decompression bombs).
+Findings and encodings are ASCII, so decoded bytes matter only in runs of printable ASCII. Decompressed data is read to its end,
+in layers of some ``LAYER_BYTES`` (a guard against decompression bombs); a run that crosses the end of one goes on in the next.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,25 @@ from pyspark.sql import functions as F
 from .common import bound_batches, docs_text, narrow, slices, utf8_buffers
 
 KINDS = ("assign", "access", "hex")
-MAX_LAYER_BYTES = 64 << 20
+LAYER_BYTES, OVERLAP, BLOCK = 64 << 20, 1 << 20, 1 << 20
 
 _ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)*+")  # one run, or lines of them
+_BREAK = re.compile(r"[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+")
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")  # no finding is shorter
+_GZIP = b"\x1f\x8b\x08"
+_PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+_PERCENT_PACKED = re.compile(r"%1[Ff]%8[Bb]%08|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa])")
+_PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|([!-$&-~])")
+_ESCAPE_PACKED = re.compile(r"\\(?:x|u00)1[Ff]\\(?:x|u00)8[Bb]\\(?:x08|u0008|b)|(?:x|\\(?:x|u00)78)(?:\^|\\(?:x|u00)(?:01|5[Ee]|9[Cc]|[Dd][Aa]))")
+_ESCAPE_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|([ -\[\]-~])|\\([abfnrtv0\\'\"/])")
+_NAMED = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
+#: Characters of findings and encodings: a layer's end is cut in front of them.
+_RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\.:\"'> \t\r\n"
 _HEX_CLASS = np.zeros(256, bool)
 _HEX_CLASS[list(b"0123456789abcdef")] = True
 _BASE64_CLASS = np.zeros(256, bool)
@@ -56,39 +68,33 @@ def find(text: str, hex_runs: bool = True) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A text and, for each character, where it came from in the original; None: the original itself."""
+    """A text and, for each character, where it came from in the original; None: the original itself; numbers: all from one place."""
 
     __slots__ = ("text", "start", "end")
 
-    def __init__(self, text: str, start: list[int] | None = None, end: list[int] | None = None):
+    def __init__(self, text: str, start: list[int] | int | None = None, end: list[int] | int | None = None):
         self.text, self.start, self.end = text, start, end
 
     def key(self) -> tuple:
         """Text and places: equal texts at different places are different layers."""
+        if isinstance(self.start, int):  # may be large: its digest
+            return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass")).digest(), self.start, self.end
         return self.text, self.start and tuple(self.start), self.end and tuple(self.end)
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (min(self.start[a:b]), max(self.end[a:b]))
+        if self.start is None or isinstance(self.start, int):
+            return (a, b) if self.start is None else (self.start, self.end)
+        return min(self.start[a:b]), max(self.end[a:b])
 
 
 def _bytes_layer(raw: bytes, spans: list[tuple[int, int]]) -> Layer | None:
-    """UTF-8 text whose bytes came from ``spans``; compressed data is inflated and maps to the whole of it."""
-    whole = (spans[0][0], spans[-1][1])
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
-        try:
-            opener = zlib.decompressobj(47)
-            raw = opener.decompress(raw, MAX_LAYER_BYTES)
-            spans = []
-        except zlib.error:
-            return None
+    """UTF-8 text whose bytes came from ``spans``."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
     if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.9 * len(text):
         return None
-    if not spans:
-        return Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
     starts, ends, at = [], [], 0
     for c in text:
         size = len(c.encode("utf-8"))
@@ -98,14 +104,114 @@ def _bytes_layer(raw: bytes, spans: list[tuple[int, int]]) -> Layer | None:
     return Layer(text, starts, ends)
 
 
+def _inflate(blocks: Iterable[bytes], used: list[int]) -> Iterator[bytes]:
+    """Decompressed data in bounded blocks, of all gzip members in a row, to the end or the first error; ``used[0]`` counts the bytes read."""
+    opener = zlib.decompressobj(47)
+    try:
+        for block in blocks:
+            if opener is None:
+                if not _GZIP.startswith(block[:3]):
+                    return
+                opener = zlib.decompressobj(47)
+            used[0] += len(block)
+            while True:
+                out = opener.decompress(block, BLOCK)
+                if out:
+                    yield out
+                if opener.eof:
+                    block = opener.unused_data
+                    opener = None
+                    if not block:
+                        break
+                    if not _GZIP.startswith(block[:3]):
+                        used[0] -= len(block)
+                        return
+                    opener = zlib.decompressobj(47)
+                    continue
+                block = opener.unconsumed_tail
+                if not block and len(out) < BLOCK:
+                    break
+    except zlib.error:
+        return
+
+
+def _inflated(blocks: Callable[[], Iterable[bytes]], place: Callable[[int], tuple[int, int]]) -> tuple[int, Iterator[Layer]]:
+    """Bytes of compressed data (0: it is none), and its layers; ``place`` tells where so many bytes came from."""
+    used = [0]
+    if not sum(map(len, _inflate(blocks(), used))):
+        return 0, iter(())
+
+    def layers() -> Iterator[Layer]:
+        where, held, n, most = place(used[0]), [], 0, LAYER_BYTES
+        for out in _inflate(blocks(), [0]):
+            held.append(out.decode("latin-1"))  # a byte a character; what is not ASCII ends a run in any case
+            n += len(out)
+            if n >= most:
+                text = "".join(held)
+                yield Layer(text, *where)
+                cut = min(len(text.rstrip(_RUN)), n - OVERLAP)
+                held = [text[cut if n - cut <= LAYER_BYTES else n - OVERLAP :]]
+                n = len(held[0])
+                most = n + LAYER_BYTES
+        yield Layer("".join(held), *where)
+
+    return used[0], layers()
+
+
+def _packed(raw: bytes, place: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
+    """What compressed data anywhere in ``raw`` holds; ``place`` tells where the bytes of a range came from."""
+    done = 0
+    for m in _PACKED.finditer(raw):
+        if (a := m.start()) >= done:
+            cuts = lambda a=a: (raw[i : i + 1024] for i in range(a, len(raw), 1024))
+            used, layers = _inflated(cuts, lambda n, a=a: place(a, a + n))
+            done = a + used
+            yield from layers
+
+
+def _packed_escapes(layer: Layer, first: re.Pattern, byte: re.Pattern, value: Callable[[re.Match], int]) -> Iterator[Layer]:
+    """What compressed data holds of which some bytes are escaped and others stand for themselves."""
+    text, done = layer.text, 0
+    for m in first.finditer(text):
+        if (a := m.start()) < done:
+            continue
+        ends: list[int] = []
+
+        def blocks(a: int = a, ends: list[int] = ends) -> Iterator[bytes]:
+            at, out = a, bytearray()
+            ends.clear()
+            while one := byte.match(text, at):
+                at = one.end()
+                ends.append(at)
+                out.append(value(one))
+                if len(out) == 1024:
+                    yield bytes(out)
+                    out.clear()
+            yield bytes(out)
+
+        used, layers = _inflated(blocks, lambda n, a=a, ends=ends: layer.origin(a, ends[n - 1]))
+        if used:
+            done = ends[used - 1]
+            yield from layers
+
+
+def _percent_value(m: re.Match) -> int:
+    return int(m[1], 16) if m[1] else 32 if m[2] == "+" else ord(m[2])
+
+
+def _escape_value(m: re.Match) -> int:
+    return int(m[1], 16) if m[1] else ord(m[2]) if m[2] else _NAMED.get(m[3], ord(m[3]))
+
+
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
-    """The layer with every match decoded, and each compressed match on its own."""
+    """The layer with every match decoded."""
     text, out, starts, ends, last, changed = layer.text, [], [], [], 0, False
 
     def keep(a: int, b: int) -> None:
         out.append(text[a:b])
-        starts.extend(range(a, b) if layer.start is None else layer.start[a:b])
-        ends.extend(range(a + 1, b + 1) if layer.end is None else layer.end[a:b])
+        if not isinstance(layer.start, int):
+            starts.extend(range(a, b) if layer.start is None else layer.start[a:b])
+            ends.extend(range(a + 1, b + 1) if layer.end is None else layer.end[a:b])
 
     for m in pattern.finditer(text):
         raw, spans = decode(m)
@@ -119,7 +225,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
         last, changed = m.end(), True
     if changed:
         keep(last, len(text))
-        yield Layer("".join(out), starts, ends)
+        yield Layer("".join(out), layer.start, layer.end) if isinstance(layer.start, int) else Layer("".join(out), starts, ends)
 
 
 def _percent(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
@@ -135,26 +241,44 @@ def _escape(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
+    """Printable and compressed data in runs of base64, lines joined, at each of the four alignments."""
     for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
+        if m.end() - m.start() < 16:
             continue
-        try:
-            raw = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        parts, last = [], m.start()
+        for gap in _BREAK.finditer(layer.text, m.start(), m.end()):
+            parts.append((last, gap.start()))
+            last = gap.end()
+        parts.append((last, m.end()))
+        body = "".join(layer.text[a:b] for a, b in parts).translate({45: 43, 95: 47})
+        if len(body) < 16:
             continue
-        a = m.start()
-        spans = [layer.origin(a + i * 8 // 6, a + (i * 8 + 7) // 6 + 1) for i in range(len(raw))] if raw[:1] not in b"\x1f\x78" and raw[:1].isascii() else [layer.origin(a, a + len(body))] * len(raw)
-        if raw and (part := _bytes_layer(raw, spans)):
-            yield part
+        at = np.concatenate([np.arange(a, b) for a, b in parts]) if parts[1:] else np.arange(m.start(), m.end())
+        for shift in range(4):
+            rest = (len(body) - shift) % 4
+            coded = body[shift : len(body) - (rest == 1)]
+            raw = base64.b64decode(coded + "=" * (-len(coded) % 4))
+            place = lambda i, j, s=shift, at=at: layer.origin(int(at[s + i * 8 // 6]), int(at[s + (j * 8 - 1) // 6]) + 1)
+            for p in _PRINTABLE.finditer(raw):
+                text = p[0].decode("ascii")
+                if isinstance(layer.start, int):
+                    yield Layer(text, layer.start, layer.end)
+                else:
+                    spans = [place(i, i + 1) for i in range(p.start(), p.end())]
+                    yield Layer(text, [a for a, _ in spans], [b for _, b in spans])
+            yield from _packed(raw, place)
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers directly below."""
     if "%" in layer.text:
         yield from _replaced(layer, _PERCENT, _percent)
+        yield from _packed_escapes(layer, _PERCENT_PACKED, _PERCENT_BYTE, _percent_value)
     if "\\" in layer.text:
         yield from _replaced(layer, _ESCAPE, _escape)
+        yield from _packed_escapes(layer, _ESCAPE_PACKED, _ESCAPE_BYTE, _escape_value)
+    if isinstance(layer.start, int):  # decompressed: it may be compressed twice
+        yield from _packed(layer.text.encode("latin-1", "replace"), layer.origin)
     yield from _base64(layer)
 
 
@@ -163,19 +287,26 @@ def scan(text: str, hex_runs: bool = True, wrapped: bool = True) -> tuple[list[t
     base = find(text, hex_runs)
     more: set[tuple[str, int, int]] = set()
     if wrapped:
-        work = [Layer(text)]
-        seen = {work[0].key()}
-        while work:
-            for below in unwrap(work.pop()):
-                if (key := below.key()) not in seen:
-                    seen.add(key)
-                    work.append(below)
-                    more.update((kind, *below.origin(a, b)) for kind, a, b in find(below.text))
+        top = Layer(text)
+        seen, work = {top.key()}, [unwrap(top)]
+        while work:  # one layer of each depth is held
+            below = next(work[-1], None)
+            if below is None:
+                work.pop()
+            elif (key := below.key()) not in seen:
+                seen.add(key)
+                more.update((kind, *below.origin(a, b)) for kind, a, b in find(below.text))
+                work.append(unwrap(below))
         more.difference_update(base)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(more, key=order)
 
 
+def _may_wrap(text: str, coded: bool) -> bool:
+    """Whether a text may hold layers; ``coded``: it has a run of base64."""
+    return coded or any(c in text for c in "%\\\n\r")
+
+
 def _with_run(data: np.ndarray, off: np.ndarray, kind: np.ndarray, length: int = 16) -> np.ndarray:
     """Which texts may have a run of ``length`` bytes of a class."""
     breaks = np.concatenate([[-1], np.flatnonzero(~kind[data]), [len(data)]])
@@ -199,7 +330,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in slices(batches, 1):
             data, off = utf8_buffers(batch.column(1))
             hexes, coded = _with_run(data, off, _HEX_CLASS), _with_run(data, off, _BASE64_CLASS)
-            found = [scan(t, h, c or "%" in t or "\\" in t) for t, h, c in zip(batch.column(1).to_pylist(), hexes, coded, strict=True)]
+            found = [scan(t, h, _may_wrap(t, c)) for t, h, c in zip(batch.column(1).to_pylist(), hexes, coded, strict=True)]
             columns = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in f[i]] for f in found], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "base", "decoded"])
 
@@ -216,7 +347,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> D
     def clean(text: str | None, hexes: bool, coded: bool) -> str | None:
         if not text:
             return text
-        base, more = scan(text, hexes, coded or "%" in text or "\\" in text)
+        base, more = scan(text, hexes, _may_wrap(text, coded))
         if not base and not more:
             return text
         out, last = [], 0

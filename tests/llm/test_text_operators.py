@@ -169,6 +169,45 @@ def test_each_copy_of_a_wrapped_secret_is_found(spark, raw):
     assert got[0]["text"].count("[SECRET]") == 2
 
 
+def noise(n):
+    return "".join(random.Random(3).choices("ghijklmnopqrstuvwxyz ,;", k=n))
+
+
+LONG = noise(400) + LEAK + noise(400)
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        base64.encodebytes(LONG.encode()).decode(),
+        base64.encodebytes(gzip.compress(LONG.encode())).decode().replace("\n", "\r\n  "),
+        "word\n" + base64.encodebytes(zlib.compress(LONG.encode())).decode() + "more words",
+        base64.encodebytes(gzip.compress(LONG.encode())).decode().replace("\n", "\\n"),
+        urllib.parse.quote(gzip.compress(LONG.encode())),
+        urllib.parse.quote_plus(zlib.compress(LONG.encode())),
+        urllib.parse.quote(urllib.parse.quote(gzip.compress(LONG.encode()))),
+        repr(gzip.compress(LONG.encode())),
+        repr(zlib.compress(LONG.encode())),
+        "/a/b/" + base64.b64encode(LEAK.encode()).decode(),
+        "id-" + base64.b64encode(LEAK.encode()).decode(),
+        "id_x-" + base64.b64encode(gzip.compress(LEAK.encode())).decode(),
+        base64.b64encode(gzip.compress(gzip.compress(LEAK.encode()))).decode(),
+        base64.b64encode(gzip.compress(noise(50).encode()) + gzip.compress(LEAK.encode())).decode(),
+    ],
+)
+def test_all_ways_of_wrapping_are_unwrapped(wrapped):
+    more = secret_scan.scan(f"before: {wrapped} after")[1]
+    assert "assign" in [k for k, _, _ in more]
+    assert all(8 <= a < b <= 8 + len(wrapped) for _, a, b in more)
+
+
+def test_long_decompressed_layers_are_read_to_their_end():
+    inner = base64.b64encode(gzip.compress(LEAK.encode())).decode()
+    for text in (("x y, " * 100 + "\n") * 150_000 + LEAK, ", " * ((32 << 20) - 20) + inner + " ," * 1000):
+        token = base64.b64encode(gzip.compress(text.encode(), 1)).decode()
+        assert ("assign", 2, 2 + len(token.rstrip("="))) in secret_scan.scan(f"a {token} b")[1]
+
+
 def test_escapes_and_cycles_end():
     assert secret_scan.scan("%25" * 50)[1] == []
     assert secret_scan.scan("\\u005cu005c" * 20)[1] == []

@@ -8,7 +8,8 @@ samples read back from the stored bytes:
 * segments by energy with hysteresis: a segment opens above ``high`` and closes below ``low``.
 
 Log-mel frames are stored as tensors of one fixed shape ``(block_frames, n_mels)``: the last is padded with the floor value
-and carries its true number of frames. ``to_tensors`` gives the Arrow fixed-shape tensor column. Long media are handled in
+and carries its true number of frames. Tasks build them as Arrow fixed-shape tensors, whose storage Spark holds as lists of floats;
+``to_tensors`` gives the tensor column again. Long media are handled in
 blocks of frames, so memory does not grow with the length of a recording.
 
 Defined results: a null text counts as empty, whose payload is 64 zero bytes; equal payloads give equal values, as each row
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import docs_text, slices, utf8_buffers
+from .common import docs_text, materialize, slices, utf8_buffers
 
 
 @dataclass(frozen=True)
@@ -173,13 +174,23 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def store_media(docs: DataFrame, spec: AudioSpec = AudioSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, media``: each text's payload as a WAVE file."""
+    """``doc_id, media, n_bytes``: each text's payload as a WAVE file, and the bytes of the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wav_bytes(payload_of(t), spec.rate) for t in _texts(batch)], pa.binary())], ["doc_id", "media"])
+            texts = list(_texts(batch))
+            media = pa.array([wav_bytes(payload_of(t), spec.rate) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), media, pa.array(map(len, texts), pa.int64())], ["doc_id", "media", "n_bytes"])
 
-    return docs_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, media binary")
+    return docs_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, media binary, n_bytes long")
+
+
+def tensor_array(tensors: list[np.ndarray], spec: AudioSpec) -> pa.ExtensionArray:
+    """Blocks as one Arrow array of fixed-shape tensors."""
+    shape = (spec.block_frames, spec.n_mels)
+    values = np.stack(tensors) if tensors else np.empty((0, *shape), np.float32)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), shape[0] * shape[1])
+    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), shape), storage)
 
 
 def log_mel_tensors(media: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
@@ -196,9 +207,9 @@ def log_mel_tensors(media: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFram
                 mels, _ = features.log_mel(np.frombuffer(wav_payload(m), np.uint8))
                 rows += [(name, i, *b) for i, b in enumerate(features.blocks(mels))]
             if rows:
-                flat = np.concatenate([r[5].ravel() for r in rows])
+                flat = tensor_array([r[5] for r in rows], spec).storage.flatten()
                 size = spec.block_frames * spec.n_mels
-                tensor = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, size, dtype=np.int32), pa.array(flat))
+                tensor = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, size, dtype=np.int32), flat)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.int32()), tensor], ["doc_id", "block", "start_s", "end_s", "n_frames", "tensor"])
 
     return media.select("doc_id", "media").mapInArrow(run, schema)
@@ -215,28 +226,36 @@ def to_tensors(table: pa.Table, spec: AudioSpec = AudioSpec()) -> pa.Table:
 
 
 def describe_media(docs: DataFrame, spec: AudioSpec = AudioSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text, read the stored bytes back, and describe them: sizes, digests and a short form of the features.
+    """Store each text as media in a written table, and describe what is read back from there."""
+    return describe_stored(materialize(store_media(docs, spec, id_col, text_col), "media"), spec)
+
+
+def describe_stored(media: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
+    """Stored media (``doc_id, media, n_bytes``) described: sizes, digests, all segments and a text form of the features.
 
-    ``feature`` names frames, segments (first to last frame, at most three named; all are counted) and a digest of all
-    log-mel values rounded to 0.1 dB.
+    ``feature`` names frames, all segments (start to end in seconds), a digest of all log-mel values rounded to 0.1 dB, and the
+    number of fixed-shape tensors with a digest of their values, likewise rounded, true frames and time spans.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s:double,end_s:double>>"
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(spec)
         for batch in slices(batches, 1):
             rows = []
-            for name, text in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
-                media = wav_bytes(payload_of(text), spec.rate)
-                payload = wav_payload(media)
+            for name, wave, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = wav_payload(wave)
                 mels, energy = features.log_mel(np.frombuffer(payload, np.uint8))
-                spans = features.segments(energy)
+                spans = [(features.seconds(a), features.seconds(b)) for a, b in features.segments(energy)]
                 digest = hashlib.sha256(np.rint(mels * 10).astype("<i2").tobytes()).hexdigest()[:16]
-                shown = ",".join(f"{features.seconds(a):.3f}-{features.seconds(b):.3f}" for a, b in spans[:3])
-                feature = f"frames={len(mels)};mel={float(mels.mean()):.1f};segments={len(spans)}[{shown}];digest={digest}"
-                rows.append((name, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                blocks = features.blocks(mels)
+                tensors = tensor_array([b[3] for b in blocks], spec)
+                own = hashlib.sha256(np.rint(tensors.to_numpy_ndarray() * 10).astype("<i2").tobytes())
+                own.update(";".join(f"{a:.3f}-{b:.3f}:{n}" for a, b, n, _ in blocks).encode())
+                shown = ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans)
+                feature = f"frames={len(mels)};mel={float(mels.mean()):.1f};segments={len(spans)}[{shown}];digest={digest};tensors={len(tensors)}:{own.hexdigest()[:16]}"
+                rows.append((name, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wave), hashlib.sha256(wave).hexdigest(), feature, [dict(zip(("start_s", "end_s"), s, strict=True)) for s in spans]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return media.select("doc_id", "media", "n_bytes").mapInArrow(run, schema)

@@ -309,6 +309,19 @@ def test_segments_and_tensors(spark):
     assert all(r["start_s"] < r["end_s"] for r in rows)
 
 
+def test_all_segments_and_tensors_are_described(spark):
+    text = ("Az09" * 2000 + "\x7f" * 8000) * 9
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = A.describe_media(frame).collect()[0]
+    f = A.Features(A.AudioSpec())
+    mels, energy = f.log_mel(np.frombuffer(A.payload_of(text.encode()), np.uint8))
+    want = [(f.seconds(a), f.seconds(b)) for a, b in f.segments(energy)]
+    assert len(want) > 3 and [tuple(s) for s in row["segments"]] == want
+    assert "[" + ",".join(f"{a:.3f}-{b:.3f}" for a, b in want) + "]" in row["feature"]
+    blocks = A.log_mel_tensors(A.store_media(frame)).count()
+    assert blocks == -(-len(mels) // 64) and f";tensors={blocks}:" in row["feature"]
+
+
 def test_media_of_an_empty_table(empty):
     assert A.describe_media(empty).collect() == [] and A.log_mel_tensors(A.store_media(empty)).collect() == []
 

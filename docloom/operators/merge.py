@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import profiles as P
 from docloom.functions.text import any_of, strip
@@ -25,41 +29,60 @@ def clean_noise(chunks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ neighbours
-def _may_join(a: Column, b: Column, boundary: str) -> Column:
-    text_a, text_b = F.length(a["chunk_text"]), F.length(b["chunk_text"])
-    sections = (F.coalesce(a["section_path"], F.lit("")) == "") | (F.coalesce(b["section_path"], F.lit("")) == "") | (a["section_path"] == b["section_path"])
-    tables = (a["chunk_type"] == "table") | (b["chunk_type"] == "table")
-    near = F.abs(a["page_no"] - b["page_no"]) <= 1
-    small = (text_a < P.MERGE_MIN) | (text_b < P.MERGE_MIN)
-    return ~tables & near & sections & (text_a + text_b <= P.MAX_CHUNK) & small & ~strip(b["chunk_text"]).rlike(boundary)
+def _may_join(a: dict, b: dict) -> bool:
+    """Whether ``b`` joins what its predecessors have become; a missing kind, page or text joins nothing."""
+    if None in (a["chunk_type"], b["chunk_type"], a["page_no"], b["page_no"], a["chunk_text"], b["chunk_text"]) or b["opens"]:
+        return False
+    text_a, text_b = len(a["chunk_text"]), len(b["chunk_text"])
+    sections = not a["section_path"] or not b["section_path"] or a["section_path"] == b["section_path"]
+    tables = a["chunk_type"] == "table" or b["chunk_type"] == "table"
+    near = abs(a["page_no"] - b["page_no"]) <= 1
+    small = text_a < P.MERGE_MIN or text_b < P.MERGE_MIN
+    return not tables and near and sections and text_a + text_b <= P.MAX_CHUNK and small
 
 
-def _joined(a: Column, b: Column) -> Column:
-    first = lambda c: F.when(F.coalesce(a[c], F.lit("")) != "", a[c]).otherwise(b[c])
-    kind = F.when((a["chunk_type"] == "clause") | (b["chunk_type"] == "clause"), "clause").otherwise(first("chunk_type"))
-    made = {"chunk_id": a["chunk_id"], "doc_id": a["doc_id"], "title": a["title"], "domain": a["domain"], "page_no": F.least(a["page_no"], b["page_no"]), "section_path": first("section_path"), "chunk_type": kind, "clause_no": first("clause_no"), "chunk_text": F.substring(F.concat(a["chunk_text"], F.lit("\n"), b["chunk_text"]), 1, P.MAX_CHUNK)}
-    return F.struct(*[made[c].alias(c) for c in CHUNK_FIELDS], a["n_merged"].__add__(1).alias("n_merged"))
+def _joined(a: dict, b: dict) -> dict:
+    first = lambda c: a[c] if a[c] else b[c]
+    kind = "clause" if "clause" in (a["chunk_type"], b["chunk_type"]) else first("chunk_type")
+    made = {"page_no": min(a["page_no"], b["page_no"]), "section_path": first("section_path"), "chunk_type": kind, "clause_no": first("clause_no"), "chunk_text": (a["chunk_text"] + "\n" + b["chunk_text"])[: P.MAX_CHUNK]}
+    return a | made | {"n_merged": a["n_merged"] + 1}
 
 
 def merge_neighbours(chunks: DataFrame, profile: P.ChunkProfile = P.FINANCE) -> DataFrame:
     """Small neighbours of a document joined from left to right; each is held against what its predecessors have become.
 
-    A fold over each document's chunks in order. A document's chunks meet in one row, so its size must fit a task.
-    Adds ``n_merged``, how many chunks were joined to the first.
+    A fold over each document's chunks in order: a task sorts its documents (the sort spills) and holds only the open chunk,
+    so memory does not grow with a document; one task reads all of it. Adds ``n_merged``, how many chunks were joined to the first.
     """
-    item = F.struct(*[F.col(c) for c in CHUNK_FIELDS], F.lit(0).alias("n_merged"))
-    keyed = F.struct(chunk_index(F.col("chunk_id")).alias("n"), F.col("chunk_ord").alias("o"), item.alias("item"))
-    grouped = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda k: k["item"]).alias("items"))
-    kind = grouped.schema["items"].dataType.simpleString()
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = F.when(F.size(acc) > 0, _may_join(last, x, profile.boundary)).otherwise(F.lit(False))
-        shorter = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(fits, F.concat(shorter, F.array(_joined(last, x)))).otherwise(F.concat(acc, F.array(x)))
-
-    merged = grouped.select(F.posexplode(F.aggregate("items", F.array().cast(kind), step)).alias("chunk_ord", "c"))
-    return merged.select("c.*", F.col("chunk_ord").cast("long").alias("chunk_ord"))
+    schema = T.StructType([chunks.schema[c] for c in CHUNK_FIELDS]).add("n_merged", T.IntegerType()).add("chunk_ord", T.LongType())
+    ordered = chunks.select(*CHUNK_FIELDS, chunk_index(F.col("chunk_id")).alias("n"), "chunk_ord", strip(F.col("chunk_text")).rlike(profile.boundary).alias("opens"))
+    ordered = ordered.repartition("doc_id").sortWithinPartitions("doc_id", "n", "chunk_ord", *CHUNK_FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, types = None, []
+
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(schema.names, types, strict=True)], schema.names)
+
+        for batch in batches:
+            types = [*(batch.schema.field(c).type for c in CHUNK_FIELDS), pa.int32(), pa.int64()]
+            done = []
+            for at in range(0, batch.num_rows, 500):
+                for x in batch.slice(at, 500).to_pylist():
+                    same = last is not None and last["doc_id"] == x["doc_id"]
+                    if same and _may_join(last, x):
+                        last = _joined(last, x)
+                        continue
+                    if last is not None:
+                        done.append(last)
+                    last = x | {"n_merged": 0, "chunk_ord": last["chunk_ord"] + 1 if same else 0}
+                if done:
+                    yield batch_of(done)
+                    done = []
+        if last is not None:
+            yield batch_of([last])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def annotate_formulas(chunks: DataFrame) -> DataFrame:

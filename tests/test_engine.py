@@ -233,6 +233,17 @@ def test_neighbours_merge_with_what_they_have_become(spark):
     assert got == [("a-chunk-1", 502, 1), ("a-chunk-3", 502, 1), ("a-chunk-11", 5, 0), ("a-chunk-12", 1, 0), ("a-chunk-13", 1, 0), ("b-chunk-1", 1, 0)]
 
 
+def test_neighbours_of_a_large_document_do_not_meet_in_one_row(spark):
+    c = chunks_of(spark, *[chunk(i, "a", "字" * 2) for i in range(1, 3001)], *[chunk(i, None, "无") for i in (1, 2)])
+    out = merge.merge_neighbours(c)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+    rows = sorted(out.where("doc_id = 'a'").collect(), key=lambda r: r["chunk_ord"])
+    assert [r["chunk_ord"] for r in rows] == list(range(len(rows))) and sum(r["n_merged"] + 1 for r in rows) == 3000
+    assert "".join(r["chunk_text"] for r in rows).replace("\n", "") == "".join("字" * 2 for i in range(1, 3001))
+    assert [(r["chunk_text"], r["n_merged"]) for r in out.where("doc_id is null").collect()] == [("无\n无", 1)]
+
+
 def test_formula_tags_and_noise(spark):
     c = chunks_of(spark, chunk(1, "a", "增长12%，3倍，5万元，1/2，比例"), chunk(2, "a", "[公式] 已有 5%"), chunk(3, "a", "【打印】 正文 链接： "), chunk(4, "a", "无"))
     tagged = [r["chunk_text"] for r in merge.annotate_formulas(c).orderBy("chunk_ord").collect()]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import near_dedup, packing, quality_model, secret_scan, substring_dedup
-from docloom.llm.common import narrow, shared_path
+from docloom.llm.common import shared_path
 from docloom.llm.queries import GOOD, packing_digest, trained_grader, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,8 +24,7 @@ def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (Jaccard 0.8 on five-word shingles): the one with the least id."""
-    groups = near_dedup.near_duplicate_groups(docs, percent=80, matches=30)
-    return narrow(docs.select(COLUMNS).join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS))
+    return near_dedup.drop_copies(docs.select(COLUMNS), percent=80, matches=30)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Shared pieces of the training-data operators.
 
-* ``shared_path`` / ``materialize``: written tables in the folder the cluster
-  names in ``spark.checkpoint.dir`` (one of our own only where it is unset).
+* ``shared_path`` / ``materialize`` / ``discard``: written tables in the folder the cluster
+  names in ``spark.checkpoint.dir`` (one of our own only on a local master where it is unset).
+* ``narrow`` / ``partitions_for``: numbers of tasks that follow the stored size of what a plan reads.
 * Arrow helpers that hand NumPy views over text columns, in bounded slices.
 * Vectorised word and window hashing: a word is a maximal run of bytes other
   than 0x20 and 0x09-0x0D; windows of words are hashed by a Rabin-Karp
@@ -24,22 +25,37 @@ from pyspark.sql import functions as F
 #: Text bytes handled at once in a Python worker; temporaries stay a few times this size.
 SLICE_BYTES = 1 << 19
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+#: Stored bytes a task takes at most, where a number of tasks is chosen here.
+TASK_BYTES = 128 << 20
 
 
 # ---------------------------------------------------------------- shared files
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; sets a folder of our own only where that is unset."""
+    """A fresh path under ``spark.checkpoint.dir``; sets a folder of our own only where that is unset, and only if driver and tasks share the machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Stored size of the tables a plan reads, as Spark's file listing gives it: no job runs. Rows that come from elsewhere count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def narrow(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """At most ``per_core`` partitions for each core of the cluster, without a shuffle: small partitions end in fewer files."""
-    return df.coalesce(per_core * max(2, df.sparkSession.sparkContext.defaultParallelism))
+    """At most ``per_core`` partitions for each core, or one for each ``TASK_BYTES`` read if those are more, without a shuffle.
+
+    Small partitions end in fewer files; large tables keep the partitions they have.
+    """
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(max(per_core * cores, -(-stored_bytes(df) // TASK_BYTES)))
 
 
 def materialize(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
@@ -50,6 +66,20 @@ def materialize(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing will read again."""
+    for table in tables:
+        spark, files = table.sparkSession, table.inputFiles()
+        if files and "/docloom/" in files[0]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Shuffle partitions for the rows of ``df``: the session's number, or one for each ``TASK_BYTES`` that the plan reads if those are more."""
+    return max(shuffle_partitions(df.sparkSession), -(-stored_bytes(df) // TASK_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -112,6 +142,8 @@ def give_back_memory() -> None:
 _MASK = (1 << 64) - 1
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
+#: Base of a second, independent window hash.
+SECOND_BASE = 0xA0761D6478BD642F
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -175,10 +207,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class WindowHasher:
     """Rabin-Karp over word hashes: any run of words in constant time."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, base: int = _WORD_BASE):
         self.total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * powers(_WORD_BASE, len(words)), out=self.total[1:])
-        self.inv = powers(inverse(_WORD_BASE), len(words) + 1)
+        np.cumsum(words * powers(base, len(words)), out=self.total[1:])
+        self.inv = powers(inverse(base), len(words) + 1)
 
     def runs(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix((self.total[start + length] - self.total[start]) * self.inv[start])

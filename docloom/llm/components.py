@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges", 1)
     mark = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars", 1)
+        before, now = now, materialize(_small_star(_large_star(now)), "stars", 1)
+        discard(before)
         n = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(n) == mark:
             break

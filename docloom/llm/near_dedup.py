@@ -14,11 +14,16 @@ min(c) in common, so a class with c below the threshold's share of n can have no
 
 Within a posting, pairs are not written out: its members are held against its most central member (the one whose postings are the most
 common), pairs with enough equal coordinates are confirmed on full sets, and confirmed links join components. Where a posting still spans
-several components, its members are compared block by block inside tasks, and pairs of different components that pass all bounds are
-confirmed too, so that no link is lost; members of one component need no further comparison.
+several components, its members meet block by block inside tasks, each block with its members' sets: collisions are counted, bounds and full
+sets decide at once, and a union-find in the task names a link only where it joins two components. What a task writes is thus
+bounded by its members, however many pairs there are, and no component is lost.
+
+Classes are numbered apart from documents, so an id that repeats with other texts is in several classes.
 
 Defined results: null or empty texts, and texts without words, have an empty set and are linked with nothing; equal texts
-share a component; repeated ids are one document for the grouping, and each row gives a row; a row without an id has the component of equal texts, if any; an empty table gives an empty table; other columns are ignored.
+share a component; each row gives a row and is judged by its own text, rows that share an id are not linked by it; a row without an id
+has the component of equal texts, if any; very long texts are whole sets like any other, handled one at a time where they exceed a slice;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WindowHasher, docs_text, lower_ascii, materialize, mix, narrow, ranges, shuffle_partitions, slices, span_hashes, utf8_buffers, word_spans
+from .common import WindowHasher, discard, docs_text, lower_ascii, materialize, mix, narrow, partitions_for, ranges, slices, span_hashes, utf8_buffers, word_spans
 from .components import connected_components
 from .substring_dedup import BLOCK, BLOCKS, repeated, settle
 
@@ -38,9 +43,9 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 36
 #: Ids up to which a list of active classes is broadcast; beyond, it is joined by shuffle.
-BROADCAST_IDS = 500_000
-#: Members of a posting compared at once in the last step.
-BLOCK_MEMBERS = 512
+BROADCAST_IDS = 250_000
+#: Members of a posting, and shingles of their sets, in one block of the last step: some 10 MB.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 4_096, 1_000_000
 #: Files a core writes of each intermediate table.
 FILES = 2
 _U64 = np.uint64
@@ -88,8 +93,8 @@ def _binary_rows(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * flat.dtype.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def signed_docs(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, k1, k2, sig`` (array of COORDINATES ints)."""
+def signed_docs(texts: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n, k1, k2, sig`` (array of COORDINATES ints) of ``doc_id, text``; ``text_key`` hashes the exact text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 19):
@@ -97,22 +102,27 @@ def signed_docs(docs: DataFrame) -> DataFrame:
             k1, k2 = set_keys(h, off)
             sig = signatures(h, off)
             column = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, COORDINATES, dtype=np.int32), pa.array(sig.view(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), column], ["doc_id", "n", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), column], ["doc_id", "text_key", "n", "k1", "k2", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<int>")
+    return texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n long, k1 long, k2 long, sig array<int>")
 
 
 def class_sets(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """``cls, items``: the full sets (blobs of sorted 64-bit hashes) of the documents listed in ``active`` (``cls``)."""
+    """``cls, items``: the full sets (blobs of sorted 64-bit hashes) of the classes listed in ``active`` (``cls, doc_id, k1, k2``).
+
+    Only documents whose id stands for a listed class are read again; the keys tell which of them has its set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             h, off = shingle_sets(*utf8_buffers(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary_rows(h, off)], ["cls", "items"])
+            k1, k2 = set_keys(h, off)
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), _binary_rows(h, off)], ["k1", "k2", "items"])
 
-    ids = active.select(F.col("cls").alias("doc_id"))
-    ids = F.broadcast(ids) if active.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "cls long, items binary").dropDuplicates(["cls"])
+    ids, keys = active.select("doc_id").distinct(), active.select("k1", "k2", "cls")
+    if active.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids, keys = F.broadcast(ids), F.broadcast(keys)
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "k1 long, k2 long, items binary").join(keys, ["k1", "k2"]).select("cls", "items").dropDuplicates(["cls"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +160,7 @@ def shared_postings(classes: DataFrame, matches: int) -> DataFrame:
 
 def bounded_classes(sets: DataFrame, percent: int) -> DataFrame:
     """``cls, n, shared``: set sizes and how many of the shingles some other class has, for classes that can have a link."""
-    parts = shuffle_partitions(sets.sparkSession)
+    parts = partitions_for(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -187,61 +197,85 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, matches: int, percent: i
     return pairs.join(left, "u").join(right, "v").where(may & (_equal_coordinates("a", "b") >= matches)).select("u", "v")
 
 
-def remaining_pairs(postings: DataFrame, comp: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs of different components that share a posting and pass all bounds: the exact rest after the stars.
+def remaining_links(postings: DataFrame, comp: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links (``u, v``) that join components which share a posting: the exact rest after the stars.
 
-    Postings that still span components are cut into blocks of members; two blocks meet in one task, which compares
-    signatures in NumPy and names only the pairs that pass, each in the first posting where it can meet.
+    Postings that still span components are cut into blocks of members; two blocks meet in one task, which confirms links on full
+    sets. A pair is looked at in the first posting where it can meet, and pairs within the largest component not at all. A task names
+    fewer links than it has members.
     """
-    prefix = postings.groupBy("cls").agg(F.collect_list("coord").alias("prefix"))
-    with_comp = postings.select("tok", "coord", "cls").join(comp, "cls")
-    spans = with_comp.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo != hi").select("tok", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    open_ = with_comp.join(spans, "tok").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    open_ = open_.join(prefix, "cls").join(classes.select("cls", "sig", "n", "shared"), "cls")
+    prefix = postings.groupBy("cls").agg(F.expr("bit_or(shiftleft(1L, coord))").alias("prefix"))
+    known = comp.join(classes.select("cls", "n"), "cls")
+    with_comp = postings.select("tok", "coord", "cls").join(known, "cls")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    spans = with_comp.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("blocks")).where("lo != hi").select("tok", "blocks")
+    open_ = with_comp.drop("n").join(spans, "tok").withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    open_ = open_.join(prefix, "cls").join(classes.select("cls", "sig", "n", "shared"), "cls").join(sets, "cls")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("mine")).alias("p"), F.greatest(b, F.col("mine")).alias("q")))
-    dealt = open_.select("tok", "coord", "cls", "comp", "prefix", "sig", "n", "shared", "mine", F.explode(other).alias("pair")).select("tok", "pair.p", "pair.q", "coord", "cls", "comp", "prefix", "sig", "n", "shared", "mine")
+    columns = ["coord", "cls", "comp", "prefix", "sig", "n", "shared", "mine", "items"]
+    dealt = open_.select("tok", *columns, F.explode(other).alias("pair")).select("tok", "pair.p", "pair.q", *columns)
 
     def run(table: pa.Table) -> pa.Table:
-        cls, comp_, mine, n, shared = (np.asarray(table.column(c).to_numpy()) for c in ("cls", "comp", "mine", "n", "shared"))
-        coord, p, q = table.column("coord")[0].as_py(), table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        sig = np.array(table.column("sig").to_pylist(), np.int64)
-        masks = np.array([sum(1 << c for c in x) for x in table.column("prefix").to_pylist()], _U64)
-        a = np.flatnonzero(mine == p)
-        b = np.flatnonzero(mine == q)
-        below = _U64((1 << coord) - 1)
-        found_u, found_v = [], []
-        for i in a.tolist():
-            js = b[b > i] if p == q else b
-            most = np.minimum(shared[js], shared[i])
-            js = js[(comp_[js] != comp_[i]) & (100 * most >= percent * (n[js] + n[i] - most))]
-            if len(js) == 0:
-                continue
-            equal = sig[js] == sig[i]
-            good = equal.sum(axis=1) >= matches
-            js, equal = js[good], equal[good]
-            if len(js) == 0:
-                continue
-            bits = (equal.astype(_U64) << np.arange(COORDINATES, dtype=_U64)).sum(axis=1, dtype=_U64)
-            js = js[(bits & masks[js] & masks[i] & below) == 0]
-            found_u += [int(cls[i])] * len(js)
-            found_v += cls[js].tolist()
-        return pa.table({"u": pa.array(found_u, pa.int64()), "v": pa.array(found_v, pa.int64())})
+        u, v = links_of_block(table.combine_chunks(), matches, percent)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return dealt.groupBy("tok", "p", "q").applyInArrow(run, "u long, v long")
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = 85, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every document: its set's size, the least id it is linked to through any chain (itself
-    included), and whether that is its own."""
-    texts = docs_text(docs, id_col, text_col)
+def links_of_block(table: pa.Table, matches: int, percent: int) -> tuple[list[int], list[int]]:
+    """Links between the members of two blocks (or of one) of a posting that join components."""
+    cls, label, mine, n, shared, prefix = (np.asarray(table.column(c).to_numpy()).copy() for c in ("cls", "comp", "mine", "n", "shared", "prefix"))
+    below = np.int64((1 << table.column("coord")[0].as_py()) - 1)
+    sig = np.array(table.column("sig").combine_chunks().flatten().to_numpy(), np.int32).reshape(-1, COORDINATES)
+    halves = table.column("p")[0].as_py() != table.column("q")[0].as_py()
+    values, counts = np.unique(label, return_counts=True)
+    settled = label == values[counts.argmax()]
+    place = np.arange(len(cls))
+    flat = off = mark = None
+    us: list[int] = []
+    vs: list[int] = []
+    for i in np.flatnonzero(~settled).tolist():
+        js = place[(label != label[i]) & (settled | (place > i))]
+        js = js[mine[js] != mine[i]] if halves else js
+        most = np.minimum(shared[js], shared[i])
+        js = js[100 * most >= percent * (n[js] + n[i] - most)]
+        if len(js) == 0:
+            continue
+        equal = sig[js] == sig[i]
+        good = equal.sum(axis=1) >= matches
+        js, equal = js[good], equal[good]
+        bits = (equal.astype(_U64) << np.arange(COORDINATES, dtype=_U64)).sum(axis=1, dtype=_U64).view(np.int64)
+        js = js[(bits & prefix[js] & prefix[i] & below) == 0]
+        if len(js) == 0:
+            continue
+        if flat is None:  # numbers of the shingles, only where some pair has to be confirmed
+            data, off = utf8_buffers(table.column("items").combine_chunks())
+            off = off // 8
+            names, flat = np.unique(data.view(_U64), return_inverse=True)
+            mark = np.zeros(len(names), bool)
+        own = flat[off[i] : off[i + 1]]
+        mark[own] = True
+        sizes = off[js + 1] - off[js]
+        common = np.add.reduceat(mark[flat[ranges(off[js], sizes)]].astype(np.int64), np.cumsum(sizes) - sizes)
+        mark[own] = False
+        for j in js[100 * common >= percent * (sizes + len(own) - common)].tolist():
+            if label[j] != label[i]:
+                us.append(int(cls[i]))
+                vs.append(int(cls[j]))
+                label[label == label[j]] = label[i]
+    return us, vs
+
+
+def _grouped(texts: DataFrame, percent: int, matches: int) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id`` of every row."""
     signed = materialize(signed_docs(texts), "signed", FILES)
     # min over structs: equal keys mean equal sets, so the signature is any member's
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("cls"), F.col("m.sig").alias("sig"))
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select(F.monotonically_increasing_id().alias("cls"), "k1", "k2", "m.doc_id", "m.sig")
     classes = materialize(classes, "classes", FILES)
-    postings = materialize(shared_postings(classes, matches), "postings", FILES)
-    sets = materialize(class_sets(texts, postings.select("cls").distinct()), "sets", FILES)
+    every = materialize(shared_postings(classes, matches), "postings", FILES)
+    sets = materialize(class_sets(texts, classes.select("cls", "doc_id", "k1", "k2").join(every.select("cls").distinct(), "cls", "left_semi")), "sets", FILES)
     able = materialize(bounded_classes(sets, percent), "able", FILES)
-    postings = materialize(postings.join(able.select("cls"), "cls"), "able-postings", FILES)
+    postings = materialize(every.join(able.select("cls"), "cls"), "able-postings", FILES)
     few = materialize(classes.select("cls", "sig").join(able, "cls"), "able-signatures", FILES)
     links = materialize(confirm(similar_pairs(star_pairs(postings), few, matches, percent), sets, percent), "links", FILES)
 
@@ -250,11 +284,28 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, matches: int = MAT
         return materialize(able.select("cls").join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), "components", FILES)
 
     comp = components(links)
-    rest = materialize(confirm(remaining_pairs(postings, comp, few, matches, percent), sets, percent), "rest", FILES)
+    rest = materialize(remaining_links(postings, comp, few, sets, matches, percent), "rest", FILES)
     if not rest.isEmpty():
         comp = components(links.unionByName(rest))
-    groups = comp.where("cls != comp")
-    by_key = classes.select("k1", "k2", "cls").join(groups, "cls", "left").select("k1", "k2", F.coalesce("comp", "cls").alias("comp"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(by_key, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return narrow(out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")))
+    discard(every, sets, postings, few, links, rest)
+    named = classes.select("cls", "doc_id").join(comp, "cls")
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    groups = comp.join(least, "comp").select("cls", "least")
+    by_key = classes.select("k1", "k2", "cls", F.col("doc_id").alias("own")).join(groups, "cls", "left").select("k1", "k2", F.coalesce("least", "own").alias("least"))
+    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "k1", "k2").join(by_key, ["k1", "k2"], "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicate_groups(docs: DataFrame, percent: int = 85, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every document: its set's size, the least id it is linked to through any chain (itself
+    included), and whether that is its own."""
+    found = _grouped(docs_text(docs, id_col, text_col), percent, matches)
+    return narrow(found.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept")))
+
+
+def drop_copies(docs: DataFrame, percent: int = 85, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without those whose component has a lesser id; a row is told by its id and its text, and stays if it has no id."""
+    found = _grouped(docs_text(docs, id_col, text_col), percent, matches)
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    mine = (F.col(f"`{id_col}`").cast("long") == F.col("_gone_id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) == F.col("_gone_key"))
+    return narrow(docs.join(gone, mine, "left_anti"))

@@ -9,12 +9,14 @@ a window whose anchor occurs once cannot repeat.
 2. Windows with a repeated anchor are counted by their own hash in the same way.
 3. Repeated windows of a document merge into maximal intervals, which are removed.
 
-Texts are shuffled once, by document; both uses read the same exchange. A hash of 64 bits stands for a window: a
-wrong removal takes a collision (odds about 10**-7 for 10**6 candidate windows).
-
-Defined results: a null or empty text has no words and stays empty; a text shorter than a window loses nothing; repeated rows are
-documents of their own as long as their ids differ (rows with one id are told apart by a row number given at the scan); overlapping copies
-inside one text count as repeats; an empty table gives an empty table.
+Texts are shuffled once, by document; both uses read the same exchange. Two Rabin-Karp hashes with different bases, 128 bits, stand for
+a window: a wrong removal takes a collision of both (odds under 10**-13 for 10**12 candidate windows). The number of partitions
+follows the stored size of the table, so what a task gathers stays bounded.
+
+Defined results: a null or empty text has no words and stays empty; a text shorter than a window loses nothing; very long texts are whole, handled
+one at a time where they exceed a slice; repeated rows are documents of their own, whether or not their ids differ (rows are told apart by a
+number given at the scan; rows that do not come straight from a scan are written first, so that the number cannot change); overlapping copies
+inside one text count as repeats; an empty table gives an empty table; other columns are ignored, or kept where the operator says so.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WindowHasher, bound_batches, give_back_memory, mix, narrow, shuffle_partitions, slices, span_hashes, utf8_buffers, window_starts, word_spans
+from .common import SECOND_BASE, WindowHasher, bound_batches, give_back_memory, materialize, mix, narrow, partitions_for, slices, span_hashes, utf8_buffers, window_starts, word_spans
 
 WINDOW = 35
 ANCHOR = 8
@@ -34,7 +36,7 @@ ANCHOR = 8
 BLOCK = 500_000
 
 _U64 = np.uint64
-BLOCKS = "bucket int, h binary, doc binary, pos binary, known binary"
+BLOCKS = "bucket int, h binary, g binary, doc binary, pos binary, known binary"
 
 
 def _sliding_min(values: np.ndarray, k: int) -> np.ndarray:
@@ -67,15 +69,15 @@ def anchors_of(hasher: WindowHasher, first: np.ndarray, window: int, anchor: int
     return starts, doc, place, runs[place]
 
 
-def settle(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of one block by bucket of the hash.
+def settle(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, n_buckets: int, g: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Blobs of one block by bucket of the hash; ``g`` is a second half of the hash, if there is one.
 
     Entries whose hash occurs again in the block are known to repeat: the first of them stays in the bucket of its hash, to tell
     others; the rest go to buckets by position, as they need no answer.
     """
-    order = np.argsort(h, kind="stable")
-    h, doc, pos = h[order], doc[order], pos[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
+    order = np.argsort(h, kind="stable") if g is None else np.lexsort((g, h))
+    h, doc, pos, g = h[order], doc[order], pos[order], h[:0] if g is None else g[order]
+    new = _new(h, g)
     group = np.cumsum(new) - 1
     known = np.bincount(group)[group] > 1
     route = np.where(known & ~new, (h ^ (pos.astype(_U64) * _U64(0x9E3779B97F4A7C15))) * _U64(0xD6E8FEB86659FD93), h)
@@ -84,10 +86,18 @@ def settle(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, n_buckets: int) -> I
     away = (known & ~new).astype(np.uint8) * 2 + known.astype(np.uint8)
     order = np.argsort(bucket.astype(np.uint32), kind="stable")
     bucket, h, doc, pos, away = bucket[order], h[order], doc[order], pos[order], away[order]
+    g = g[order] if len(g) else g
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    rows = [(int(bucket[a]), h[a:b].tobytes(), doc[a:b].tobytes(), pos[a:b].tobytes(), away[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    rows = [(int(bucket[a]), h[a:b].tobytes(), g[a:b].tobytes(), doc[a:b].tobytes(), pos[a:b].tobytes(), away[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]], ["bucket", "h", "doc", "pos", "known"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]], ["bucket", "h", "g", "doc", "pos", "known"])
+
+
+def _new(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where a new hash begins among sorted ones; ``g`` may be empty."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) if len(g) else h[1:] != h[:-1]
+    return new
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray] | None:
@@ -111,13 +121,13 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _gathered(batches, [_U64, np.int64, np.uint32, np.uint8])
+        got = _gathered(batches, [_U64, _U64, np.int64, np.uint32, np.uint8])
         if got is None:
             return
-        h, doc, pos, known = got
-        order = np.argsort(h)
-        h, doc, pos, known = h[order], doc[order], pos[order], known[order]
-        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+        h, g, doc, pos, known = got
+        order = np.lexsort((g, h)) if len(g) else np.argsort(h)
+        h, g, doc, pos, known = h[order], g[order] if len(g) else g, doc[order], pos[order], known[order]
+        group = np.cumsum(_new(h, g)) - 1
         total = np.bincount(group, weights=known < 2)[group]
         good = (known > 0) | (total > 1)
         doc, pos = doc[good], pos[good]
@@ -128,7 +138,7 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
         rows = [(int(bucket[x]), doc[x:y].tobytes(), pos[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "doc", "pos"])
-        del got, rows, h, doc, pos, known, order, group, total, good, bucket
+        del got, rows, h, g, doc, pos, known, order, group, total, good, bucket
         give_back_memory()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +153,9 @@ def repeated(blocks: DataFrame, n: int) -> DataFrame:
             own = cut[a : a + 5001]
             yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]]), pa.array([pos[x:y].tobytes() for x, y in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["row_id", "positions"])
 
-    answers = blocks.repartition(n, "bucket").mapInArrow(count, "bucket int, doc binary, pos binary")
-    return answers.repartition(n, "bucket").mapInArrow(collect, "row_id long, positions binary")
+    # a bucket is a partition: hashing its number again would put several into one
+    answers = blocks.repartitionById(n, "bucket").mapInArrow(count, "bucket int, doc binary, pos binary")
+    return answers.repartitionById(n, "bucket").mapInArrow(collect, "row_id long, positions binary")
 
 
 def _joined(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -161,7 +172,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
     ``texts`` has ``row_id`` (unique) and ``text`` first; further columns ride along, so that all uses share one exchange.
     """
-    n = shuffle_partitions(texts.sparkSession)
+    n = partitions_for(texts)
     anchor = min(anchor, window)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +204,8 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             batch = batch.take(pa.array(marked))
             data, off = utf8_buffers(batch.column(1))
             starts, ends, first = word_spans(data, off)
-            hasher = WindowHasher(span_hashes(data, starts, ends))
+            words = span_hashes(data, starts, ends)
+            hasher, second = WindowHasher(words), WindowHasher(words, SECOND_BASE)
             begin, doc, place, _ = anchors_of(hasher, first, window, anchor)
             wanted = np.concatenate([(i << 32) + _positions(b) for i, b in enumerate(batch.column(batch.num_columns - 1).to_pylist())])
             chosen = np.isin((doc << 32) + place - first[doc], wanted)
@@ -201,13 +213,17 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHO
             begin, doc, local = begin[chosen], doc[chosen], local[chosen]
             if len(begin) == 0:
                 continue
-            held.append((hasher.runs(begin, window), batch.column(0).to_numpy()[doc], local.astype(np.uint32)))
+            held.append((hasher.runs(begin, window), batch.column(0).to_numpy()[doc], local.astype(np.uint32), second.runs(begin, window)))
             size += len(begin)
             if size >= BLOCK:
-                yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), n)
+                yield from flush(held)
                 held, size = [], 0
         if held:
-            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), n)
+            yield from flush(held)
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, doc, pos, g = (np.concatenate(x) for x in zip(*held, strict=True))
+        return settle(h, doc, pos, n, g)
 
     places = repeated(texts.mapInArrow(first_pass, BLOCKS), n)
     windows = _joined(texts, places).mapInArrow(second_pass, BLOCKS)
@@ -242,7 +258,11 @@ def _dealt(docs: DataFrame, columns: list, text_col: str) -> DataFrame:
     """The rows numbered and dealt out by their number; all later uses share this exchange."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     bound_batches(docs.sparkSession)
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), text, *columns).repartition(shuffle_partitions(docs.sparkSession), "row_id")
+    rows = docs.select(text, *columns)
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = materialize(rows, "rows")  # a recomputed shuffle may give its rows in another order, and so other numbers
+    others = [c for c in rows.columns if c != "text"]
+    return rows.select(F.monotonically_increasing_id().alias("row_id"), "text", *others).repartition(partitions_for(rows), "row_id")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,6 +65,59 @@ def test_many_variants_of_one_text(spark):
     assert got == brute_groups(rows, 85)
 
 
+def variants(n, edits, length=110, seed=7):
+    """Texts of one base whose pairs all stay below the threshold."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    rows = []
+    for d in range(n):
+        words = list(base)
+        for k in range(edits):
+            words[(d * 13 + k * (length // edits) + rng.randrange(8)) % length] = f"e{d}x{k}"
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("n", [150, 300, 600])
+def test_variants_below_the_threshold_name_no_pairs(n):
+    """What a block names is bounded by its members, however many of its pairs pass the bounds."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = variants(n, 1)
+    for percent in (85, 99):  # all linked; none linked
+        h, off = N.shingle_sets(*N.utf8_buffers(pa.array([t for _, t in rows])))
+        sizes = np.diff(off)
+        sig = N.signatures(h, off)
+        table = pa.table({
+            "cls": np.arange(n), "comp": np.arange(n), "mine": np.zeros(n, np.int32), "n": sizes, "shared": sizes, "prefix": np.full(n, -1), "coord": np.zeros(n, np.int32), "p": np.zeros(n, np.int32), "q": np.zeros(n, np.int32),
+            "sig": pa.array(list(sig.view(np.int32))), "items": pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary()),
+        })
+        u, v = N.links_of_block(table, 36, percent)
+        assert len(u) == len(v) and len(u) <= (n - 1 if percent == 85 else 0)
+        if percent == 85:
+            sets = [set(h[a:b].tolist()) for a, b in zip(off[:-1], off[1:], strict=True)]
+            assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in zip(u, v, strict=True))
+            assert len(u) > n // 2
+
+
+def test_ids_that_repeat_with_other_texts_lose_no_link(spark):
+    a, b = variants(2, 1, seed=1), [(0, " ".join(f"c{i}" for i in range(100))), (1, " ".join(f"c{i}" for i in range(1, 101)))]
+    rows = [(1, a[0][1]), (1, b[0][1]), (2, b[1][1]), (3, a[1][1]), (9, "alone in here with five words"), (None, b[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in N.near_duplicate_groups(frame).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (9, 9), (None, 1)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in N.drop_copies(frame).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[4], rows[5]], key=str)
+
+
+def test_passages_of_rows_after_a_shuffle(docs, corpus):
+    got = {r["doc_id"]: r["n_removed"] for r in S.dedup_substrings(docs.repartition(5, "doc_id")).collect()}
+    assert got == {d: v[1] for d, v in brute_passages(corpus).items()}
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}

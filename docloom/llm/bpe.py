@@ -4,8 +4,9 @@
 part of a text that no pre-token leaves. A pre-token that is a vocabulary string
 encoding alone as one token is looked up directly (the whole-token shortcut,
 proved by ``whole_tokens`` with the library itself); the others are merged by a
-rank table built from the same merges. Pieces that hold a special string go to
-the library.
+rank table built from the same merges. Pieces that hold a special string, or a
+character that is not of one class in all Unicode tables since 3.2 (the library's
+tables and Python's are of different versions), go to the library.
 
 The end-of-word suffix of word-end vocabularies is written as the byte 0xFF,
 which no UTF-8 text holds; joining it to the last byte has the first rank, so
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -46,6 +48,23 @@ def byte_letters() -> dict[str, int]:
     return {c: b for b, c in letters.items()}
 
 
+@lru_cache(maxsize=1)
+def young_characters() -> re.Pattern:
+    """Finds a character that Unicode 3.2 did not know, or put into another class than today: tables may differ on it."""
+    old = unicodedata.ucd_3_2_0.category
+    ranges: list[list[int]] = []
+    for c in range(0x80, 0x110000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        was = old(chr(c))
+        if was == "Cn" or was[0] != unicodedata.category(chr(c))[0]:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 #: Marks an id among ranks; above every rank.
 WHOLE_ID = 1 << 24
 
@@ -94,6 +113,7 @@ class PieceCoder:
         self.end = end
         self._piece = tiktoken.Encoding("pieces", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.whole: dict[str, int] = {}
+        self.young = young_characters().search
 
     def whole_tokens(self) -> dict[str, int]:
         """Vocabulary strings proved, by the library, to be one pre-token and one token; string -> id."""
@@ -130,14 +150,14 @@ class PieceCoder:
             tail = text[-1] in ".,"
             body = text[:-1] if tail else text
             low = body.lower()
-            if body.isalpha() and low.isalpha() and "Σ" not in body and unicodedata.is_normalized("NFC", text):
+            if body.isalpha() and low.isalpha() and "Σ" not in body and unicodedata.is_normalized("NFC", text) and not self.young(text):
                 ranks = piece(low.encode("utf-8") + end)
                 return [*ranks, 256 + ord(text[-1])] if tail else ranks
         return [i + WHOLE_ID for i in self.encode(word.decode("utf-8"))]
 
     def encode(self, piece: str) -> list[int]:
         """Ids of one piece."""
-        if "<|" in piece and any(s in piece for s in self.special):
+        if ("<|" in piece and any(s in piece for s in self.special)) or (not piece.isascii() and self.young(piece)):
             return self.library.encode(piece, add_special_tokens=False).ids
         if self.lower:
             if not piece.isascii():

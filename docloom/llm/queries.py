@@ -91,19 +91,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 
 URL_SQL = r"""
-WITH RECURSIVE u AS (
-  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+WITH u AS (
+  SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path,
+         array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')), '&') AS query FROM u
+), k AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS key FROM h
 ), r(verdict, rhost, rpath) AS (
   VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
 ), m AS (
   SELECT h.page_id, r.verdict, rhost || rpath AS rule, row_number() OVER (PARTITION BY h.page_id ORDER BY length(rhost || rpath) DESC) AS n
   FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+), j AS (
+  SELECT k.*, m.rule, m.verdict FROM k LEFT JOIN m ON m.page_id = k.page_id AND m.n = 1
+), s AS (
+  SELECT key FROM j WHERE key IS NOT NULL GROUP BY key HAVING bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false)
 )
-SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
-FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.n = 1
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN s.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN s ON s.key = j.key
 """
 
 #: Near-duplicate groups by brute force over shingle sets.
@@ -141,5 +147,5 @@ FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for the queries that it can express. The url query's has no aliases: the tables hold no redirects or canonical links."""
+    """DuckDB SQL for the queries that it can express. The url query's joins urls by their keys only: the tables hold no redirects or canonical links."""
     return {"op3_url_filter": URL_SQL, "op9_near_duplicates": NEAR_SQL, "op10_repeated_passages": PASSAGES_SQL}

@@ -8,7 +8,7 @@ its characters, the span of the original text it came from, so findings are repo
 in code points of the original.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows each give a
-row; an empty table gives an empty table; other columns are ignored. Overlapping findings of different kinds are all
+row; an empty table gives an empty table; other columns are ignored; very long texts are scanned whole. Overlapping findings of different kinds are all
 reported; a span found both in the text and in a layer is reported once, as a base span.
 Findings and encodings are ASCII, so decoded bytes matter only in runs of printable ASCII. Decompressed data is read to its end,
 in layers of some ``LAYER_BYTES`` (a guard against decompression bombs); a run that crosses the end of one goes on in the next.
@@ -39,6 +39,7 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)*+")  # one run, or lines of them
 _BREAK = re.compile(r"[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+")
+_PADDING = re.compile(r"(?:={1,2}|(?:%3[Dd]){1,2})?")
 _PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")  # no finding is shorter
 _GZIP = b"\x1f\x8b\x08"
 _PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
@@ -87,21 +88,9 @@ class Layer:
         return min(self.start[a:b]), max(self.end[a:b])
 
 
-def _bytes_layer(raw: bytes, spans: list[tuple[int, int]]) -> Layer | None:
-    """UTF-8 text whose bytes came from ``spans``."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.9 * len(text):
-        return None
-    starts, ends, at = [], [], 0
-    for c in text:
-        size = len(c.encode("utf-8"))
-        starts.append(spans[at][0])
-        ends.append(spans[at + size - 1][1])
-        at += size
-    return Layer(text, starts, ends)
+def _bytes_layer(raw: bytes, spans: list[tuple[int, int]]) -> Layer:
+    """Bytes that came from ``spans``, a character each: findings and encodings are ASCII, so other bytes need no decoding and none is left out."""
+    return Layer(raw.decode("latin-1"), [a for a, _ in spans], [b for _, b in spans])
 
 
 def _inflate(blocks: Iterable[bytes], used: list[int]) -> Iterator[bytes]:
@@ -216,8 +205,6 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
     for m in pattern.finditer(text):
         raw, spans = decode(m)
         part = _bytes_layer(raw, [layer.origin(a, b) for a, b in spans])
-        if part is None:
-            continue
         keep(last, m.start())
         out.append(part.text)
         starts.extend(part.start)
@@ -340,7 +327,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """The documents with every finding, decoded ones included, replaced by ``mask``; all columns stay.
 
-    Overlapping findings become one mask. A null text stays null.
+    Overlapping findings become one mask, and the padding of an encoded one goes with it. A null text stays null; very long texts are whole.
     """
     at = docs.columns.index(text_col)
 
@@ -351,6 +338,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> D
         if not base and not more:
             return text
         out, last = [], 0
+        more = [(kind, a, _PADDING.match(text, b).end()) for kind, a, b in more]
         for _, a, b in sorted([*base, *more], key=lambda s: s[1]):
             if a >= last:
                 out += [text[last:a], mask]

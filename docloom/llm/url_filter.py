@@ -7,10 +7,13 @@ these edges carry a block decision to all aliases. An explicit allow has precede
 blocked by its aliases, and a component with an allowed member passes no block on.
 
 A url's key is its lower-case host without a leading ``www.``, its path without a closing slash, and its query
-without tracking parameters; scheme and fragment do not count. Urls with one key are one node.
+without tracking parameters; scheme and fragment do not count. Urls with one key are one node, with or without links.
+
+All links of a page count; relative ones are resolved against its url or its ``<base href>``, and ``&amp;`` in them is decoded.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and is
-allowed; null html has no links; repeated rows each give a row; an empty table gives an empty table; other columns are ignored. Rules of equal
+allowed; null html has no links; links to other schemes or to a place in the page itself are none; very long urls and pages are whole;
+repeated rows each give a row; an empty table gives an empty table; other columns are ignored. Rules of equal
 length: the one listed first wins.
 """
 
@@ -66,22 +69,51 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
+def _without_dots(url: Column) -> Column:
+    """The path of an absolute url with its ``.`` and ``..`` parts resolved."""
+    head = F.regexp_extract(url, r"^[^:]+://[^/?#]*", 0)
+    path = F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, part: F.when(part == "..", up(done)).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+    parts = F.aggregate(F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), F.array_join(parts, "/"), tail)).otherwise(url)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """``href`` as an absolute url, seen from the absolute url ``base``; null if it names no other page."""
+    scheme = F.regexp_extract(base, r"^([^:]+)://", 1)
+    root = F.regexp_extract(base, r"^[^:]+://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^:]+://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)", 1))
+    full = (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .when((href == "") | href.startswith("#") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(href.startswith("?"), F.concat(root, path, href))
+        .otherwise(F.concat(root, folder, href))
+    )
+    return _without_dots(full)
+
+
+_HREF = r"""\bhref\s*=\s*["']?([^"'\s>]+)"""
+_CANONICAL = r"""\brel\s*=\s*["']?canonical\b"""
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``src, dst`` urls of canonical links and meta refreshes found in ``html``."""
+    """``src, dst`` urls of all canonical links and meta refreshes found in ``html``."""
     html = F.col("html")
-    canonical = [r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b"""]
-    refresh = [r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""]
-    found = F.array(*[F.regexp_extract(html, p, 1) for p in [*canonical, *refresh]])
-    host, _ = host_and_path(F.col("url"))
-    scheme = F.regexp_extract("url", "^(.*?)://", 1)
-    absolute = F.when(F.contains("dst", F.lit("://")), F.col("dst")).when(F.startswith("dst", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("dst"))).when(F.startswith("dst", F.lit("/")), F.concat(scheme, F.lit("://"), host, F.col("dst")))
-    return (
-        pages.where(html.rlike("(?i)canonical|refresh") & F.col("url").contains("://"))
-        .select("url", F.explode(F.array_distinct(found)).alias("dst"))
-        .where("dst != ''")
-        .select(F.col("url").alias("src"), absolute.alias("dst"))
-        .where("dst is not null")
-    )
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda tag: tag.rlike("(?i)" + _CANONICAL))
+    canonical = F.transform(links, lambda tag: F.regexp_extract(tag, "(?i)" + _HREF, 1))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda tag: tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
+    refresh = F.transform(metas, lambda tag: F.regexp_extract(tag, r"""(?i)\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?([^"'\s>]+)""", 1))
+    own = F.regexp_extract(html, r"(?is)<base\b[^>]*?" + _HREF, 1)
+    plain = lambda x: F.regexp_replace(x, "(?i)&amp;", "&")
+    base = F.when(own != "", F.coalesce(resolve(plain(own), F.col("url")), F.col("url"))).otherwise(F.col("url"))
+    found = F.array_distinct(F.filter(F.concat(canonical, refresh), lambda x: x != ""))
+    rows = pages.where(html.rlike("(?i)canonical|refresh") & F.col("url").contains("://")).select("url", base.alias("base"), F.explode(found).alias("href"))
+    return rows.select(F.col("url").alias("src"), resolve(plain(F.col("href")), F.col("base")).alias("dst")).where("dst is not null")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
@@ -105,7 +137,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     decided = own.where("own is not null").select("key", F.col("own.verdict").alias("verdict")).unionByName(ends.select(url_key(F.col("url")).alias("key"), match_rule(end_host, end_path, rules)["verdict"].alias("verdict")).where("verdict is not null"))
     decided = decided.groupBy("key").agg(F.max(F.col("verdict") == "block").alias("block"), F.max(F.col("verdict") == "allow").alias("allow"))
     nodes = components.select(F.col("node").alias("key"), "component")
-    spread = nodes.join(decided, "key").groupBy("component").agg((F.max("block") & ~F.max("allow")).alias("blocked"))
-    alias = nodes.join(spread, "component", "left").select("key", "component", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    # a key without a link is a component of its own: all urls with this key share its decision
+    mine = F.coalesce("component", "key")
+    spread = decided.join(nodes, "key", "left").groupBy(mine.alias("group")).agg(F.max("block").alias("block"), F.max("allow").alias("allow")).where("block and not allow").select("group", F.lit(True).alias("blocked"))
+    out = own.join(nodes, "key", "left").withColumn("group", mine).join(spread, "group", "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
-    return own.join(alias, "key", "left").select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")
+    return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")

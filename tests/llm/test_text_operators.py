@@ -222,6 +222,25 @@ def test_redaction_masks_findings_and_keeps_columns(docs, spark):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_bytes_that_are_no_text_hide_nothing(spark):
+    """Escaped bytes that are no UTF-8, or mostly unprintable, are still decoded; an encoded secret's padding is masked with it."""
+    for head in (b"\xff\xfe", bytes(range(1, 32)) * 3, "é".encode()[:1]):
+        raw = head + b" token=abcdefghijklmnop"
+        for coded in ("".join(f"%{b:02x}" for b in raw), "".join(f"\\x{b:02x}" for b in raw)):
+            text = f"see {coded} there"
+            assert secret_scan.scan(text)[1] == [("assign", 4 + (len(head) + 1) * (len(coded) // len(raw)), 4 + len(coded))]
+    padded = base64.b64encode(b"password=supersecretvalue1").decode()
+    assert padded.endswith("=")
+    assert secret_scan.redact(spark.createDataFrame([(1, f"x {padded} y {padded}")], "doc_id long, text string")).first()["text"] == "x [SECRET] y [SECRET]"
+
+
+def test_a_text_of_several_megabytes(spark):
+    secret = "token=abcdefghijklmnop"
+    text = "plain words here\n" * 150_000 + secret + " " + base64.b64encode(secret.encode() * 2).decode()
+    got = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s["kind"], s["start"]) for s in got["base"]] == [("assign", 2_550_000)] and len(got["decoded"]) >= 1
+
+
 def test_secrets_of_an_empty_table(empty):
     assert secret_scan.scan_secrets(empty).collect() == []
 
@@ -255,6 +274,30 @@ def test_urls_rules_and_aliases(spark):
     assert url_filter.filter_urls(frame.limit(0), Q.URL_RULES).collect() == []
 
 
+def test_urls_with_one_key_are_one_node(spark):
+    rows = [
+        page(1, "http://example.com/de/"), page(2, "https://www.example.com/de"), page(3, "http://example.com/de?utm_source=x"), page(4, "http://example.com/d"),
+        page(5, "http://k.example/a", '<link rel=canonical href="http://k.example/a/">'), page(6, "http://x.org/fr/"), page(7, "http://x.org/fr"), page(8, "", None),
+    ]
+    got = collect(url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), Q.URL_RULES), "page_id")
+    assert {i: r["verdict"] for i, r in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
+
+
+def test_all_links_are_resolved(spark):
+    link = '<link href="{}" rel="canonical">'.format
+    cases = {
+        "y": "http://h.example/a/y", "./y": "http://h.example/a/y", "../y/../z?q=1&amp;r=2": "http://h.example/z?q=1&r=2", "?p=1": "http://h.example/a/b?p=1", "/r": "http://h.example/r", "//o.example/r": "http://o.example/r",
+        "https://o.example": "https://o.example", "#top": None, "mailto:x@y": None,
+    }
+    rows = [(i, "http://h.example/a/b?c=1", link(href)) for i, href in enumerate(cases)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for (_, url, html), want in zip(rows, cases.values(), strict=True):
+        got = [r["dst"] for r in url_filter.page_links(spark.createDataFrame([(1, url, html)], frame.schema)).collect()]
+        assert got == ([want] if want else [])
+    many = spark.createDataFrame([(1, "http://h.example/a", "<base href='/deep/er/'>" + link("x") + link("y") + "<META HTTP-EQUIV=refresh content='0;URL=z'><link rel=next href=n>")], frame.schema)
+    assert sorted(r["dst"] for r in url_filter.page_links(many).collect()) == [f"http://h.example/deep/er/{c}" for c in "xyz"]
+
+
 # ------------------------------------------------------------------ audio
 def test_media_round_trip(docs, corpus):
     got = collect(A.describe_media(docs))
@@ -531,3 +574,20 @@ def test_words_of_every_kind_equal_the_library(vocabularies):
     coder = packing.WordCoder(bpe.piece_coder(bpe.read_bytes(str(vocabularies.path("word_bpe_49k.json")))))
     ids, _ = coder.encode(*utf8_buffers(pa.array([text])), 1)
     assert ids.tolist() == [*coder.coder.library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_characters_that_unicode_tables_disagree_on(vocabularies):
+    rng = random.Random(11)
+    odd = "꟱᲻abzÉ9 .,ⴀა\U00010d40ẞ\U0001f600\u0378"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    data = bpe.read_bytes(str(vocabularies.path("byte_bpe_50k.json")))
+    library = bpe.library_tokenizer(data)
+    counts = token_counts.TokenCounter(bpe.piece_coder(data)).count(texts)
+    assert counts.tolist() == [len(e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    data = bpe.read_bytes(str(vocabularies.path("word_bpe_49k.json")))
+    library = bpe.library_tokenizer(data)
+    coder = packing.WordCoder(bpe.piece_coder(data))
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ids, _ = coder.encode(raw, np.array([0, len(raw)]), 1)
+        assert ids[:-1].tolist() == library.encode(t, add_special_tokens=False).ids

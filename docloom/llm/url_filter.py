@@ -19,8 +19,12 @@ length: the one listed first wins.
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,32 +73,13 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
-def _without_dots(url: Column) -> Column:
-    """The path of an absolute url with its ``.`` and ``..`` parts resolved."""
-    head = F.regexp_extract(url, r"^[^:]+://[^/?#]*", 0)
-    path = F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    tail = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
-    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-    step = lambda done, part: F.when(part == "..", up(done)).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
-    parts = F.aggregate(F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array().cast("array<string>"), step)
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), F.array_join(parts, "/"), tail)).otherwise(url)
-
-
-def resolve(href: Column, base: Column) -> Column:
-    """``href`` as an absolute url, seen from the absolute url ``base``; null if it names no other page."""
-    scheme = F.regexp_extract(base, r"^([^:]+)://", 1)
-    root = F.regexp_extract(base, r"^[^:]+://[^/?#]*", 0)
-    path = F.regexp_extract(base, r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)", 1))
-    full = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when((href == "") | href.startswith("#") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(href.startswith("?"), F.concat(root, path, href))
-        .otherwise(F.concat(root, folder, href))
-    )
-    return _without_dots(full)
+def resolve(url: str, stated: str, href: str) -> str | None:
+    """``href`` as an absolute url, seen from ``url`` or from the base that the page states; null if it names no other page."""
+    try:
+        out = urljoin(urljoin(url, html.unescape(stated)) if stated else url, html.unescape(href))
+    except ValueError:  # no url
+        return None
+    return out if "://" in out and not href.startswith("#") else None
 
 
 _HREF = r"""\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -103,17 +88,21 @@ _CANONICAL = r"""\brel\s*=\s*["']?canonical\b"""
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``src, dst`` urls of all canonical links and meta refreshes found in ``html``."""
-    html = F.col("html")
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda tag: tag.rlike("(?i)" + _CANONICAL))
+    page = F.col("html")
+    links = F.filter(F.regexp_extract_all(page, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda tag: tag.rlike("(?i)" + _CANONICAL))
     canonical = F.transform(links, lambda tag: F.regexp_extract(tag, "(?i)" + _HREF, 1))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda tag: tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
+    metas = F.filter(F.regexp_extract_all(page, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda tag: tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""))
     refresh = F.transform(metas, lambda tag: F.regexp_extract(tag, r"""(?i)\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?([^"'\s>]+)""", 1))
-    own = F.regexp_extract(html, r"(?is)<base\b[^>]*?" + _HREF, 1)
-    plain = lambda x: F.regexp_replace(x, "(?i)&amp;", "&")
-    base = F.when(own != "", F.coalesce(resolve(plain(own), F.col("url")), F.col("url"))).otherwise(F.col("url"))
     found = F.array_distinct(F.filter(F.concat(canonical, refresh), lambda x: x != ""))
-    rows = pages.where(html.rlike("(?i)canonical|refresh") & F.col("url").contains("://")).select("url", base.alias("base"), F.explode(found).alias("href"))
-    return rows.select(F.col("url").alias("src"), resolve(plain(F.col("href")), F.col("base")).alias("dst")).where("dst is not null")
+    rows = pages.where(page.rlike("(?i)canonical|refresh") & F.col("url").contains("://")).select("url", F.regexp_extract(page, r"(?is)<base\b[^>]*?" + _HREF, 1).alias("stated"), F.explode(found).alias("href"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = batch.column(0)
+            seen = pa.array(map(resolve, *(c.to_pylist() for c in batch.columns)), pa.string())
+            yield pa.RecordBatch.from_arrays([urls.cast(pa.string()), seen], ["src", "dst"])
+
+    return rows.mapInArrow(run, "src string, dst string").where("dst is not null")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:

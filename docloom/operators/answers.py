@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions import text as T
+from docloom.sources.shared import stored
 
 NO_EVIDENCE = "无候选证据"
 
@@ -132,6 +133,7 @@ def answer_object(text: Column) -> Column:
     return F.from_json(body, "answer string, reasoning string")
 
 
+# Wordings that name an answer.
 _RAW_PATTERNS = [r"答案[是为：:\s]+([A-Fa-f]+)", r"正确答案[是为：:\s]+([A-Fa-f]+)", r"应选[为是：:\s]+([A-Fa-f]+)", r"选择[为了是：:\s]+([A-Fa-f]+)", r"选\s*([A-Fa-f]+)\s*[。\.]", r"^\s*([A-Fa-f]+)\s*$"]
 
 
@@ -147,19 +149,34 @@ ANSWERS = "qid string, reply string, prompt_tokens long, completion_tokens long"
 Answerer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def ask(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None = None) -> DataFrame:
-    """``qid, reply, prompt_tokens, completion_tokens, attempts`` from a pluggable model: an iterator function over batches of prompts.
+def ask_traced(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None = None) -> DataFrame:
+    """``qid, attempt, success, reply, prompt_tokens, completion_tokens``: every attempt at every question.
 
-    ``ladder`` holds simpler prompts for questions whose reply is null, tried one after another.
+    ``answerer`` is a pluggable model: an iterator function over batches of prompts. ``ladder`` holds simpler prompts for questions
+    whose reply is null, tried one after another. Each step's replies are written before anything reads them, so a model is
+    called once for each question and step, however often the result is used.
     """
-    out = prompts.mapInPandas(answerer, ANSWERS).withColumn("attempts", F.lit(1))
-    for i, simpler in enumerate(ladder or [], 2):
-        failed = out.where("reply is null").select("qid")
-        again = simpler.join(failed, "qid", "left_semi").mapInPandas(answerer, ANSWERS).withColumn("attempts", F.lit(i))
-        out = out.where("reply is not null").unionByName(again)
+    tried: list[DataFrame] = []
+    for n, step in enumerate([prompts, *(ladder or [])], 1):
+        if tried:
+            failed = tried[-1].where("not success").select("qid")
+            if failed.isEmpty():
+                break
+            step = step.join(failed, "qid", "left_semi")
+        replies = step.mapInPandas(answerer, ANSWERS)
+        tried.append(stored(replies.select("qid", F.lit(n).alias("attempt"), F.col("reply").isNotNull().alias("success"), "reply", "prompt_tokens", "completion_tokens"), "replies"))
+    out = tried[0]
+    for more in tried[1:]:
+        out = out.unionByName(more)
     return out
 
 
+def ask(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None = None) -> DataFrame:
+    """``qid, reply, prompt_tokens, completion_tokens, attempts``: each question's last attempt of ``ask_traced``."""
+    last = F.max_by(F.struct("reply", "prompt_tokens", "completion_tokens"), "attempt").alias("last")
+    return ask_traced(prompts, answerer, ladder).groupBy("qid").agg(last, F.max("attempt").alias("attempts")).select("qid", "last.*", "attempts")
+
+
 def combine_answers(cases: DataFrame, rule: DataFrame, replies: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
     """``qid, domain, answer, prompt_tokens, completion_tokens, total_tokens``: a verified reply before a first one before the rule's answer; tokens add up."""
     domain = F.col("domain") if "domain" in cases.columns else F.lit("unknown")

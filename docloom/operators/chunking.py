@@ -59,15 +59,24 @@ def segment(text: Column, profile: P.ChunkProfile = P.FINANCE, entities: bool =
 
 
 def pack_fragments(parts: Column, profile: P.ChunkProfile = P.FINANCE) -> Column:
-    """A part joins the one before, with a blank, while that is shorter than the target; tables and boundaries never do."""
+    """A part joins the one before, with a blank, while that is shorter than the target; tables and boundaries never do.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & ~is_table(x, profile) & ~is_boundary(x, profile)
-        fits = F.when(joins, F.length(last) < profile.target).otherwise(F.lit(False))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(normalize(F.concat(last, F.lit(" "), x), entities=False)))).otherwise(F.concat(acc, F.array(x)))
+    Parts come normalised, as ``segment`` gives them, so joining needs no second normalisation and lengths alone decide: the fold
+    runs over numbers and yields where groups begin; each group is then joined once.
+    """
+    sized = F.transform(parts, lambda x: F.struct(F.length(x).alias("size"), (is_table(x, profile) | is_boundary(x, profile)).alias("alone")))
+    none = F.array().cast("array<struct<start:int,size:int>>")
+    start = F.struct(none.alias("done"), F.lit(0).alias("first"), F.lit(profile.target).alias("size"), F.lit(1).alias("at"))
+
+    def flush(s: Column) -> Column:
+        return F.when(s["first"] > 0, F.concat(s["done"], F.array(F.struct(s["first"].alias("start"), (s["at"] - s["first"]).alias("size"))))).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        longer = F.struct(s["done"].alias("done"), s["first"].alias("first"), (s["size"] + 1 + x["size"]).alias("size"), (s["at"] + 1).alias("at"))
+        opened = F.struct(flush(s).alias("done"), s["at"].alias("first"), x["size"].alias("size"), (s["at"] + 1).alias("at"))
+        return F.when((s["size"] < profile.target) & ~x["alone"], longer).otherwise(opened)
 
-    return F.aggregate(parts, _nothing(), step)
+    return F.transform(F.aggregate(sized, start, step, flush), lambda g: F.array_join(F.slice(parts, g["start"], g["size"]), " "))
 
 
 def _split_table(part: Column, profile: P.ChunkProfile) -> Column:
@@ -120,7 +129,8 @@ def chunk_pages(pages: DataFrame, profile: P.ChunkProfile = P.FINANCE) -> DataFr
     """
     staged = pages.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("parts", segment(F.col("text"), profile))
     staged = staged.withColumn("parts", pack_fragments(F.col("parts"), profile)).withColumn("parts", split_oversized(F.col("parts"), profile))
-    rows = staged.select("doc_id", "title", "domain", "page_no", "section_path", F.posexplode("parts").alias("part_ord", "chunk_text"))
+    # outer: an inner explode would infer a filter on the size of the array, and so cut every page twice more
+    rows = staged.select("doc_id", "title", "domain", "page_no", "section_path", F.posexplode_outer("parts").alias("part_ord", "chunk_text")).where("part_ord is not null")
     first = F.row_number().over(Window.partitionBy("doc_id", "page_no", prefix_key(F.col("chunk_text"))).orderBy("part_ord"))
     rows = rows.withColumn("first", first).where("first = 1")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "part_ord"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions import text as T
+from docloom.sources.shared import stored
 
 FIELDS = list(P.FIELD_WEIGHTS)
 
@@ -64,6 +65,36 @@ def base_scores(contexts: DataFrame, prepared: DataFrame, pairs: DataFrame) -> D
     return scored.groupBy("qid", "chunk_id").agg(F.sum(weight * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), mean)).alias("base"))
 
 
+#: Distinct tokens of questions up to which their list is broadcast.
+BROADCAST_TOKENS = 200_000
+
+
+def search(questions: DataFrame, rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], question_tokens: Column, top: int = P.TOP_CHUNKS) -> DataFrame:
+    """``qid``, ``key``, ``score, rank``: the best rows of a whole corpus for every question, by BM25 over weighted ``fields`` (arrays of tokens).
+
+    The corpus is read once for each field: postings of tokens that some question holds, and each row's length under an empty token, are stored;
+    statistics, document frequencies and scores come from those. Rows that share no token with a question are not ranked.
+    """
+    asked = questions.select("qid", F.explode(F.array_distinct(question_tokens)).alias("token"))
+    wanted = asked.select("token").distinct().unionByName(questions.sparkSession.createDataFrame([("",)], "token string"))
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else wanted
+    parts = None
+    for field, tokens in fields.items():
+        held = rows.select(key, tokens.alias("tokens")).withColumn("length", F.size("tokens"))  # once a row, before tokens become rows
+        sized = held.select(key, "length", F.explode(F.concat("tokens", T.strings([""]))).alias("token"))
+        posted = stored(sized.join(wanted, "token", "left_semi").groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+        stats = posted.where("token = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
+        found = posted.where("token != ''")
+        df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        impact = weights[field] * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("mean"))
+        scored = found.join(df, "token").join(F.broadcast(stats), F.lit(True)).select(key, "token", impact.alias("impact"))  # one row of statistics
+        part = asked.join(scored, "token").select("qid", key, "impact")
+        parts = part if parts is None else parts.unionByName(part)
+    total = parts.groupBy("qid", key).agg(F.round(F.sum("impact"), 4).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
+    return total.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def _some(text: Column, words: list[str]) -> Column:
     return text.rlike(T.literal_alternatives(words))
 

@@ -17,21 +17,42 @@ def option_rows(questions: DataFrame) -> DataFrame:
     return questions.select("qid", "question", F.explode(named).alias("o")).select("qid", "question", "o.option", "o.option_text")
 
 
-def score_evidence(options: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Every option against every candidate of its question (at most some tens): ``evidence_score`` and ``evidence_rank``.
+def token_counts(rows: DataFrame, by: list[str], tokens: Column) -> DataFrame:
+    """``by``, ``token, tf``: counted in the tasks first, so a row's repeats are not shuffled."""
+    return rows.select(*by, F.explode(tokens).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("tf"))
 
-    ``evidence`` has ``qid, rank`` and the chunk's columns.
+
+def overlaps(asked: DataFrame, by: list[str], found: DataFrame) -> DataFrame:
+    """``by``, ``rank, overlap``: shared tokens of ``asked`` (``by, token, tf``) and ``found`` (``qid, rank, token, tf``) as multisets, over the norm of the asked counts plus one.
+
+    What ``text.overlap`` gives for two arrays, by a join of counts: work grows with tokens, not with their product. Pairs without a shared token have no row.
+    """
+    norm = asked.groupBy(*by).agg((F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")) + 1.0).alias("norm"))
+    common = asked.join(found.select("qid", "rank", "token", F.col("tf").alias("there")), ["qid", "token"]).groupBy(*by, "rank").agg(F.sum(F.least("tf", "there")).alias("common"))
+    return common.join(norm, by).select(*by, "rank", (F.col("common") / F.col("norm")).alias("overlap"))
+
+
+def score_evidence(options: DataFrame, evidence: DataFrame, top: int | None = None) -> DataFrame:
+    """Every option against every candidate of its question (at most some tens): ``evidence_score`` and ``evidence_rank``, up to ``top``.
+
+    ``evidence`` has ``qid, rank`` (each pair once) and the chunk's columns; it is read several times, so it should be stored. Texts join only the rows that stay.
     """
-    options = options.withColumns({"o_tokens": T.tokens(F.col("option_text")), "q_tokens": T.tokens(F.col("question")), "o_numbers": F.array_distinct(T.plain_numbers(F.col("option_text")))})
-    evidence = evidence.withColumns({"c_tokens": T.tokens(F.coalesce("chunk_text", F.lit(""))), "c_numbers": F.array_distinct(T.plain_numbers(F.coalesce("chunk_text", F.lit("")))), "s_tokens": T.tokens(F.coalesce("section_path", F.lit("")))})
-    rows = options.join(evidence, "qid")
+    found = token_counts(evidence, ["qid", "rank"], T.tokens(F.coalesce("chunk_text", F.lit(""))))
+    of_option = overlaps(token_counts(options, ["qid", "option"], T.tokens(F.col("option_text"))), ["qid", "option"], found)
+    of_question = overlaps(token_counts(options.select("qid", "question").dropDuplicates(["qid"]), ["qid"], T.tokens(F.col("question"))), ["qid"], found)
+    own = options.select("qid", "option", T.tokens(F.col("option_text")).alias("o_tokens"), F.array_distinct(T.plain_numbers(F.col("option_text"))).alias("o_numbers"))
+    theirs = evidence.select("qid", "rank", T.plain_numbers(F.coalesce("clause_no", F.lit(""))).alias("clause_numbers"), F.array_distinct(T.plain_numbers(F.coalesce("chunk_text", F.lit("")))).alias("c_numbers"), T.tokens(F.coalesce("section_path", F.lit(""))).alias("s_tokens"))
+    rows = own.join(theirs, "qid").join(of_option, ["qid", "option", "rank"], "left").join(of_question.withColumnRenamed("overlap", "q_overlap"), ["qid", "rank"], "left")
     shared = lambda a, b: F.size(F.array_intersect(a, b))
-    clause = F.when(shared("o_numbers", T.plain_numbers(F.coalesce("clause_no", F.lit("")))) > 0, 0.2).otherwise(0.0)
+    clause = F.when(shared("o_numbers", "clause_numbers") > 0, 0.2).otherwise(0.0)
     number = F.least(0.15 * shared("o_numbers", "c_numbers"), F.lit(0.3))
     section = F.least(0.05 * shared("o_tokens", "s_tokens"), F.lit(0.15))
-    total = T.overlap(F.col("o_tokens"), F.col("c_tokens")) + 0.3 * T.overlap(F.col("q_tokens"), F.col("c_tokens")) + clause + number + section
+    none = F.lit(0.0)
+    total = F.coalesce("overlap", none) + 0.3 * F.coalesce("q_overlap", none) + clause + number + section
     rank = F.row_number().over(Window.partitionBy("qid", "option").orderBy(F.desc("evidence_score"), "rank"))
-    return rows.withColumn("evidence_score", total).withColumn("evidence_rank", rank)
+    scored = rows.select("qid", "option", "rank", total.alias("evidence_score")).withColumn("evidence_rank", rank)
+    scored = scored if top is None else scored.where(F.col("evidence_rank") <= top)
+    return options.join(scored, ["qid", "option"]).join(evidence, ["qid", "rank"])
 
 
 def has_substance() -> Column:
@@ -48,7 +69,7 @@ def verdicts(options: DataFrame, evidence: DataFrame) -> DataFrame:
 
     ``evidence`` in the result holds the three best chunks in order. Options without any candidate are insufficient.
     """
-    scored = score_evidence(options, evidence).where("evidence_rank <= 3")
+    scored = score_evidence(options, evidence, 3)
     item = F.struct("evidence_rank", "evidence_score", "chunk_id", "doc_id", "page_no", "section_path", "chunk_type", "clause_no", "chunk_text")
     grouped = scored.groupBy("qid", "option").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
     rows = options.join(grouped, ["qid", "option"], "left")

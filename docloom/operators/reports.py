@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom import profiles as P
 from docloom.functions import text as T
 from docloom.functions.html import select_simply
+from docloom.sources.shared import stored
 
 
 def nearest_rank(rows: DataFrame, value: str, ratio: float, by: list[str] | None = None) -> DataFrame:
@@ -153,8 +154,7 @@ REQUIRED = ["qid", "domain", "split", "question", "options", "answer_format", "t
 def case_issues(questions: DataFrame, available: DataFrame) -> DataFrame:
     """Questions as read, with ``missing_doc_ids``, ``case_options``, ``case_format`` and ``issues``."""
     known = available.select("doc_id").distinct()
-    row = F.monotonically_increasing_id()
-    q = questions.withColumn("row", row)
+    q = stored(questions.withColumn("row", F.monotonically_increasing_id()), "cases")  # both uses of the number see the same
     q = q.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("row")))
     missing = q.select("row", F.explode("doc_ids").alias("doc_id")).join(known, "doc_id", "left_anti").groupBy("row").agg(F.array_sort(F.collect_list("doc_id")).alias("missing_doc_ids"))
     q = q.join(missing, "row", "left").withColumn("missing_doc_ids", F.coalesce("missing_doc_ids", T.strings([])))
@@ -228,7 +228,7 @@ def letter_differences(answers: DataFrame, gold: DataFrame) -> DataFrame:
 def stratified_sample(rows: DataFrame, stratum: Column, key: str, sizes: dict[str, int], seed: int = 20260625) -> DataFrame:
     """A fixed number of rows of each stratum, chosen by a seeded hash of ``key``: the same rows on every run."""
     wanted = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    n = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    n = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), key))
     return rows.withColumn("stratum", stratum).withColumn("n", n).where(F.col("n") <= F.coalesce(F.try_element_at(wanted, F.col("stratum")), F.lit(0))).drop("n")
 
 

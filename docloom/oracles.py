@@ -38,7 +38,61 @@ for _tag in ("script", "style", "noscript", "form", "svg", "footer", "header", "
 for _pattern, _by in (("(?is)<!--.*?-->", "' '"), ("(?is)<br\\s*/?>", "chr(10)"), ("(?is)</(p|div|li|tr|section|article|h\\d)>", "chr(10)"), ("(?is)<[^>]+>", "' '")):
     _STRIP = f"regexp_replace({_STRIP}, '{_pattern}', {_by}, 'g')"
 
-_OPTIONS = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 20)[1:4]"
+_OPTIONS = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 20)"
+
+
+_PARTS = "list_filter(list_transform(string_split(regexp_replace(array_to_string({0}, chr(10)), '([.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
+_OPENS = "regexp_matches({0}, '^(?:Section|Article|Chapter) [0-9]+')"
+
+#: Parts of each document, joined while the last is shorter than 1000: a fold over the list, its state one list of texts.
+_PACKED = f"""
+parts AS (SELECT doc_id, {_PARTS.format(_LINES.format(_TEXT))} AS parts FROM documents),
+packed AS (SELECT doc_id, list_reduce(list_prepend({{'p': []::VARCHAR[]}}, list_transform(parts, lambda x: {{'p': [x]}})), lambda a, b:
+  CASE WHEN len(a.p) > 0 AND length(a.p[-1]) < 1000 AND NOT starts_with(b.p[1], '[table]') AND NOT {_OPENS.format("b.p[1]")} THEN {{'p': list_append(a.p[1:len(a.p) - 1], a.p[-1] || ' ' || b.p[1])}}
+  ELSE {{'p': list_concat(a.p, b.p)}} END).p AS packed FROM parts)"""
+
+#: Parts over 1200 as sentences, packed up to 1000; a single one is cut to 1200.
+_BLOCKS = f"""{_PACKED},
+each_part AS (SELECT doc_id, unnest(packed) AS part, unnest(range(len(packed))) AS place FROM packed),
+folded AS (SELECT doc_id, place, part, list_reduce(list_prepend({{'done': []::VARCHAR[], 'open': ''}}, list_transform(list_filter(string_split(regexp_replace(part, '([.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10)) <> ''), lambda x: {{'done': []::VARCHAR[], 'open': x}})), lambda a, b:
+  CASE WHEN length(a.open) + length(b.open) <= 1000 THEN {{'done': a.done, 'open': a.open || b.open}}
+  ELSE {{'done': CASE WHEN a.open <> '' THEN list_append(a.done, a.open) ELSE a.done END, 'open': substr(b.open, 1, 1200)}} END) AS f FROM each_part WHERE length(part) > 1200),
+blocks AS (SELECT doc_id, place, 0 AS sub, part AS block FROM each_part WHERE length(part) <= 1200
+  UNION ALL SELECT doc_id, place, unnest(range(len(all_))) AS sub, unnest(all_) FROM (SELECT doc_id, place, CASE WHEN f.open <> '' THEN list_append(f.done, f.open) ELSE f.done END AS all_ FROM folded)),
+numbered AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY place, sub) - 1 AS n FROM blocks)"""
+
+#: Evidence scores of every option (``i`` counts an item's sentences) against the item's best documents.
+_SCORES = f"""
+top AS ({_bm25_sql({"text": 1.0})}),
+o AS (SELECT item_id, question, unnest(options) AS option_text, unnest(range(len(options))) AS i FROM (SELECT item_id, {_TEXT} AS question, {_OPTIONS.format(_TEXT)} AS options FROM benchmark)),
+ot AS (SELECT item_id, i, token, count(*) AS tf FROM (SELECT item_id, i, unnest({_TOKENS.format("option_text")}) AS token FROM o) GROUP BY ALL),
+qt AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM benchmark) GROUP BY ALL),
+dt AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM documents SEMI JOIN top USING (doc_id)) GROUP BY ALL),
+onorm AS (SELECT item_id, i, sqrt(CAST(sum(tf * tf) AS DOUBLE)) + 1 AS n FROM ot GROUP BY ALL), qnorm AS (SELECT item_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) + 1 AS n FROM qt GROUP BY ALL),
+oc AS (SELECT ot.item_id, ot.i, top.doc_id, sum(least(ot.tf, dt.tf)) AS c FROM ot JOIN top USING (item_id) JOIN dt ON dt.doc_id = top.doc_id AND dt.token = ot.token GROUP BY ALL),
+qc AS (SELECT qt.item_id, top.doc_id, sum(least(qt.tf, dt.tf)) AS c FROM qt JOIN top USING (item_id) JOIN dt ON dt.doc_id = top.doc_id AND dt.token = qt.token GROUP BY ALL),
+nums AS (SELECT o.item_id, o.i, top.doc_id, len(list_intersect(list_distinct(regexp_extract_all(o.option_text, '\\d+(?:\\.\\d+)?')), regexp_extract_all(coalesce(d.text, ''), '\\d+(?:\\.\\d+)?'))) AS k FROM o JOIN top USING (item_id) JOIN documents d ON d.doc_id = top.doc_id),
+s AS (SELECT o.item_id, o.i, top.doc_id, top.rank, coalesce(oc.c / onorm.n, 0) + 0.3::DOUBLE * coalesce(qc.c / qnorm.n, 0) + least(0.15::DOUBLE * nums.k, 0.3::DOUBLE) AS score
+  FROM o JOIN top USING (item_id) JOIN nums ON nums.item_id = o.item_id AND nums.i = o.i AND nums.doc_id = top.doc_id LEFT JOIN oc ON oc.item_id = o.item_id AND oc.i = o.i AND oc.doc_id = top.doc_id
+  LEFT JOIN onorm ON onorm.item_id = o.item_id AND onorm.i = o.i LEFT JOIN qc ON qc.item_id = o.item_id AND qc.doc_id = top.doc_id LEFT JOIN qnorm ON qnorm.item_id = o.item_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, i ORDER BY score DESC, rank) AS n FROM s) WHERE n <= 3)"""
+_QID = "item_id || '-' || (i // 6) AS qid, ['A', 'B', 'C', 'D', 'E', 'F'][i % 6 + 1] AS option"
+
+#: Latin texts hold none of the negations and calculation words, so an option is supported or its evidence insufficient.
+_VERDICTS = f"""{_SCORES},
+held AS (SELECT best.item_id, best.i, max(score) FILTER (WHERE n = 1) AS top1, sum(score) / count(*) AS average, string_agg(coalesce(d.text, ''), ' ' ORDER BY n) AS top_text FROM best JOIN documents d USING (doc_id) GROUP BY 1, 2),
+facts AS (SELECT o.item_id, o.i, coalesce(top1, 0) AS top1, coalesce(average, 0) AS average, coalesce(top_text, '') AS top_text, list_distinct(regexp_extract_all(option_text, '\\d+(?:\\.\\d+)?\\s*%|\\d+(?:\\.\\d+)?')) AS markers,
+  list_distinct({_TOKENS.format("option_text")}) AS tokens, len(list_intersect(regexp_extract_all(option_text, '\\d+(?:\\.\\d+)?'), regexp_extract_all(coalesce(top_text, ''), '\\d+(?:\\.\\d+)?'))) AS matched
+  FROM o LEFT JOIN held ON held.item_id = o.item_id AND held.i = o.i),
+judged AS (SELECT *, CASE WHEN len(markers) > 0 THEN len(list_filter(markers, lambda m: contains(regexp_replace(top_text, '\\s+', '', 'g'), regexp_replace(m, '\\s+', '', 'g')))) > 0 WHEN len(tokens) = 0 THEN true
+  ELSE len(list_filter(tokens, lambda w: contains(top_text, w))) / len(tokens) >= 0.3::DOUBLE END AS substance FROM facts),
+first_ AS (SELECT *, CASE WHEN top1 < 0.1::DOUBLE OR average < 0.2::DOUBLE OR NOT substance THEN 'insufficient' ELSE 'support' END AS v, CASE WHEN top1 < 0.1::DOUBLE THEN 0.1::DOUBLE WHEN average < 0.2::DOUBLE THEN 0.2::DOUBLE WHEN NOT substance THEN 0.25::DOUBLE
+  WHEN matched > 0 THEN round(least(least(0.4::DOUBLE + average * 0.6::DOUBLE, 0.9::DOUBLE) + 0.1::DOUBLE, 0.95::DOUBLE), 2) ELSE round(least(0.4::DOUBLE + average * 0.6::DOUBLE, 0.9::DOUBLE), 2) END AS c,
+  median(CASE WHEN top1 > 0 THEN top1 END) OVER g AS middle, count(CASE WHEN top1 > 0 THEN 1 END) OVER g AS positive FROM judged WINDOW g AS (PARTITION BY item_id, i // 6)),
+final AS (SELECT *, v <> 'insufficient' AND positive >= 3 AND middle > 0.1::DOUBLE AND top1 < 0.35::DOUBLE * middle AS weak FROM first_),
+verdicts AS (SELECT {_QID}, CASE WHEN weak THEN 'insufficient' ELSE v END AS verdict, CASE WHEN weak THEN 0.25::DOUBLE ELSE c END AS confidence, round(top1, 6) AS top1_score FROM final)"""
+
+_META = "coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]+name=[\"'']{0}[\"''][^>]+content=[\"''](.*?)[\"'']', 1), ''), nullif(regexp_extract(html, '(?is)<meta[^>]+content=[\"''](.*?)[\"''][^>]+name=[\"'']{0}[\"'']', 1), ''))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -79,40 +133,59 @@ GROUP BY 1, 2, 3 HAVING count(*) >= any_value(least)""",
         "segment_sentences": f"""
 WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(array_to_string({lines}, chr(10)), '([.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '') AS parts FROM documents)
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_parts, CAST(coalesce(list_max(list_transform(parts, lambda x: length(x))), 0) AS BIGINT) AS longest FROM t""",
-        "evidence_top3": f"""
-WITH top AS ({_bm25_sql({"text": 1.0})}),
-o AS (SELECT item_id, question, unnest(options) AS option_text, unnest(range(len(options))) AS i FROM (SELECT item_id, {_TEXT} AS question, {_OPTIONS.format(_TEXT)} AS options FROM benchmark)),
-ot AS (SELECT item_id, i, token, count(*) AS tf FROM (SELECT item_id, i, unnest({_TOKENS.format("option_text")}) AS token FROM o) GROUP BY ALL),
-qt AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM benchmark) GROUP BY ALL),
-dt AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM documents SEMI JOIN top USING (doc_id)) GROUP BY ALL),
-onorm AS (SELECT item_id, i, sqrt(CAST(sum(tf * tf) AS DOUBLE)) + 1 AS n FROM ot GROUP BY ALL), qnorm AS (SELECT item_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) + 1 AS n FROM qt GROUP BY ALL),
-oc AS (SELECT ot.item_id, ot.i, top.doc_id, sum(least(ot.tf, dt.tf)) AS c FROM ot JOIN top USING (item_id) JOIN dt ON dt.doc_id = top.doc_id AND dt.token = ot.token GROUP BY ALL),
-qc AS (SELECT qt.item_id, top.doc_id, sum(least(qt.tf, dt.tf)) AS c FROM qt JOIN top USING (item_id) JOIN dt ON dt.doc_id = top.doc_id AND dt.token = qt.token GROUP BY ALL),
-nums AS (SELECT o.item_id, o.i, top.doc_id, len(list_intersect(list_distinct(regexp_extract_all(o.option_text, '\\d+(?:\\.\\d+)?')), regexp_extract_all(coalesce(d.text, ''), '\\d+(?:\\.\\d+)?'))) AS k FROM o JOIN top USING (item_id) JOIN documents d ON d.doc_id = top.doc_id),
-s AS (SELECT o.item_id, o.i, top.doc_id, top.rank, coalesce(oc.c / onorm.n, 0) + 0.3::DOUBLE * coalesce(qc.c / qnorm.n, 0) + least(0.15::DOUBLE * nums.k, 0.3::DOUBLE) AS score
-  FROM o JOIN top USING (item_id) JOIN nums ON nums.item_id = o.item_id AND nums.i = o.i AND nums.doc_id = top.doc_id LEFT JOIN oc ON oc.item_id = o.item_id AND oc.i = o.i AND oc.doc_id = top.doc_id
-  LEFT JOIN onorm ON onorm.item_id = o.item_id AND onorm.i = o.i LEFT JOIN qc ON qc.item_id = o.item_id AND qc.doc_id = top.doc_id LEFT JOIN qnorm ON qnorm.item_id = o.item_id)
-SELECT CAST(item_id AS VARCHAR) AS qid, ['A', 'B', 'C', 'D'][i + 1] AS option, n, CAST(doc_id AS VARCHAR) AS doc_id, round(score, 4) AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY item_id, i ORDER BY score DESC, rank) AS n FROM s) WHERE n <= 3""",
+        "pack_fragments": f"WITH {_PACKED} SELECT doc_id, CAST(n AS INTEGER) AS n, length(part) AS length, md5(part) AS part_md5 FROM (SELECT doc_id, unnest(packed) AS part, unnest(range(len(packed))) AS n FROM packed)",
+        "split_oversized": f"WITH {_BLOCKS} SELECT doc_id, CAST(n AS INTEGER) AS n, length(block) AS length FROM numbered",
+        "chunk_documents": f"""
+WITH {_BLOCKS}, firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(substr(block, 1, 160), '\\s+', '', 'g') ORDER BY n) AS first FROM numbered)
+SELECT doc_id || '-chunk-' || row_number() OVER (PARTITION BY doc_id ORDER BY n) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id,
+  CASE WHEN starts_with(block, '[table]') THEN 'table' WHEN regexp_matches(block, '^\\s*(?:Section|Article) [0-9]+') THEN 'clause' ELSE 'prose' END AS chunk_type, length(block) AS length FROM firsts WHERE first = 1""",
+        "evidence_top3": f"WITH {_SCORES} SELECT {_QID}, n, CAST(doc_id AS VARCHAR) AS doc_id, round(score, 4) AS score FROM best",
+        "verdicts": f"WITH {_VERDICTS} SELECT qid, option, verdict, confidence, top1_score FROM verdicts",
+        "rule_answers": f"""
+WITH {_VERDICTS}, a AS (SELECT qid, string_agg(option, '' ORDER BY option) FILTER (WHERE verdict = 'support') AS yes, string_agg(option, '' ORDER BY option) FILTER (WHERE verdict = 'insufficient') AS open FROM verdicts GROUP BY 1)
+SELECT qid, coalesce(yes, open, 'A') AS answer FROM a""",
+        "html_meta": f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages)
+SELECT page_id, coalesce({_META.format("ArticleTitle")}, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t]+', ' ', 'g'))) AS title,
+  coalesce({_META.format("PubDate")}, nullif(regexp_extract(html, '(?is)<th>\\s*发文日期\\s*</th>\\s*<td[^>]*>(.*?)</td>', 1), ''), '') AS pub_date,
+  coalesce({_META.format("ContentSource")}, {_META.format("SiteName")}, nullif(regexp_extract(html, '(?is)<th>\\s*发布机构\\s*</th>\\s*<td[^>]*>(.*?)</td>', 1), ''), nullif(regexp_extract(html, '(?i)主办单位[:：]\\s*([^<\\n]+)', 1), ''), '') AS source FROM t""",
+        "merge_adjacent": f"""
+WITH t AS (SELECT conv_id, list({{'done': []::STRUCT(l BIGINT, n BIGINT)[], 'l': length({_TEXT}), 'n': 0::BIGINT, 'opens': {_OPENS.format(f"trim({_TEXT})")}}} ORDER BY turn, {_TEXT}) AS items FROM conversations GROUP BY 1),
+f AS (SELECT conv_id, list_reduce(items, lambda a, b: CASE WHEN NOT b.opens AND a.l + b.l <= 1200 AND (a.l < 200 OR b.l < 200) THEN {{'done': a.done, 'l': least(a.l + b.l + 1, 1200), 'n': a.n + 1, 'opens': a.opens}}
+  ELSE {{'done': list_append(a.done, {{'l': a.l, 'n': a.n}}), 'l': b.l, 'n': 0::BIGINT, 'opens': b.opens}} END) AS r FROM t),
+d AS (SELECT conv_id, list_append(r.done, {{'l': r.l, 'n': r.n}}) AS chunks FROM f)
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, chunk_ord, c.l AS length, c.n AS n_merged FROM (SELECT conv_id, unnest(chunks) AS c, unnest(range(len(chunks))) AS chunk_ord FROM d)""",
+        "stratified_sample": """
+SELECT stratum, doc_id FROM (SELECT lang AS stratum, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('20260625-' || doc_id), doc_id) AS n FROM documents)
+WHERE n <= CASE stratum WHEN 'en' THEN 20 WHEN 'fr' THEN 10 WHEN 'de' THEN 10 WHEN 'es' THEN 10 ELSE 0 END""",
         "dedup_exact": f"SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY regexp_replace({_TEXT}, '\\s+', '', 'g')",
         "dedup_prefix160": f"""
 SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, regexp_replace(substr({_TEXT}, 1, 160), '\\s+', '', 'g') ORDER BY doc_id) AS n FROM documents) WHERE n = 1""",
         "dedup_latest": "SELECT conv_id, arg_max(role, turn) AS role, CAST(arg_max(length(coalesce(text, '')), turn) AS BIGINT) AS n, min(turn) AS first_turn FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1",
-        "dup_report": f"SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus FROM (SELECT count(*) AS n FROM documents GROUP BY regexp_replace({_TEXT}, '\\s+', '', 'g')) WHERE n > 1",
+        "dup_report": f"SELECT 'global' AS scope, count(*) AS groups, CAST(sum(n - 1) AS BIGINT) AS surplus FROM (SELECT count(*) AS n FROM documents GROUP BY regexp_replace({_TEXT}, '\\s+', '', 'g')) WHERE n > 1 HAVING count(*) > 0",
         "chunk_quality": f"""
-SELECT count(*) AS total, min(length(t)) AS min_length, median(length(t)) AS median_length, round(avg(length(t)), 4) AS mean_length, max(length(t)) AS max_length,
-count(*) FILTER (WHERE length(trim(t)) < 20) AS excessively_short, count(*) FILTER (WHERE regexp_matches(t, '[^\\s]{{50,}}')) AS long_runs FROM (SELECT {_TEXT} AS t FROM documents)""",
+WITH t AS (SELECT {_TEXT} AS t, length({_TEXT}) AS n, source, doc_id % 10 = 0 AS clause FROM documents)
+SELECT count(*) AS total_chunks, min(n) AS min_length, median(n) AS median_length, round(avg(n), 1) AS mean_length, max(n) AS max_length,
+count(*) FILTER (WHERE n < 200) AS lt_200, count(*) FILTER (WHERE n BETWEEN 200 AND 499) AS range_200_500, count(*) FILTER (WHERE n BETWEEN 500 AND 799) AS range_500_800, count(*) FILTER (WHERE n >= 800) AS gte_800,
+round(100.0::DOUBLE * count(*) FILTER (WHERE n < 200) / count(*), 1) AS lt_200_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE n BETWEEN 200 AND 499) / count(*), 1) AS range_200_500_pct,
+round(100.0::DOUBLE * count(*) FILTER (WHERE n BETWEEN 500 AND 799) / count(*), 1) AS range_500_800_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE n >= 800) / count(*), 1) AS gte_800_pct,
+count(*) FILTER (WHERE clause) AS with_clause, round(100.0::DOUBLE * count(*) FILTER (WHERE clause) / count(*), 1) AS clause_pct, count(*) FILTER (WHERE contains(t, chr(65533))) AS garbled_chars,
+count(*) FILTER (WHERE regexp_matches(t, '[^\\x{{4e00}}-\\x{{9fff}}\\x{{3000}}-\\x{{303f}}\\x{{ff00}}-\\x{{ffef}}\\s]{{50,}}')) AS long_non_cjk, count(*) FILTER (WHERE length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) = 0) AS empty_text,
+count(*) FILTER (WHERE trim(coalesce(source, '')) = '') AS no_section_path, count(*) FILTER (WHERE length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) < 20) AS excessively_short FROM t""",
         "length_buckets": f"SELECT CASE WHEN n < 200 THEN 'lt_200' WHEN n < 500 THEN 'range_200_500' WHEN n < 800 THEN 'range_500_800' ELSE 'gte_800' END AS bucket, count(*) AS n FROM (SELECT length({_TEXT}) AS n FROM documents) GROUP BY 1",
         "sensitive_scan": f"SELECT doc_id, regexp_matches({_TEXT}, '\\b1[3-9]\\d{{9}}\\b|\\b\\d{{17}}[\\dXx]\\b|\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b') AS sensitive FROM documents",
         "annotate_numbers": f"""
 WITH t AS (SELECT doc_id, {_TEXT} AS text, list_filter([CASE WHEN regexp_matches({_TEXT}, '\\d+(?:\\.\\d+)?\\s*%') THEN '[公式] 百分比' END, CASE WHEN regexp_matches({_TEXT}, '\\d+(?:\\.\\d+)?\\s*[÷/]\\s*\\d+(?:\\.\\d+)?') THEN '[公式] 除法' END], lambda x: x IS NOT NULL) AS tags FROM documents)
 SELECT doc_id, md5(CASE WHEN len(tags) > 0 AND NOT starts_with(text, '[公式]') THEN array_to_string(tags, ' ') || ' ' || substr(text, 1, 1200 - length(array_to_string(tags, ' ')) - 1) ELSE text END) AS text_md5 FROM t""",
         "question_plan": f"""
-SELECT CAST(item_id AS VARCHAR) AS qid, 'general' AS domain, 'multi_select' AS question_type, false AS requires_multi_doc, 1 AS min_doc_coverage,
-array_to_string(regexp_extract_all({_TEXT}, '\\d+(?:\\.\\d+)?%?'), ',') AS numbers FROM benchmark WHERE len({_OPTIONS.format(_TEXT)}) > 0""",
-        "evidence_pack": """
-WITH t AS (SELECT source, doc_id, CAST(sum(n_chars) OVER w AS BIGINT) AS running, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
-SELECT source, doc_id, running FROM t WHERE n <= 5 OR running <= 24000""",
+SELECT item_id || '-' || unnest(range((n + 5) // 6)) AS qid, 'general' AS domain, 'multi_select' AS question_type, false AS requires_multi_doc, 1 AS min_doc_coverage, numbers
+FROM (SELECT item_id, len({_OPTIONS.format(_TEXT)}) AS n, array_to_string(regexp_extract_all({_TEXT}, '\\d+(?:\\.\\d+)?%?'), ',') AS numbers FROM benchmark) WHERE n > 0""",
+        "evidence_pack": f"""
+WITH top AS ({_bm25_sql({"text": 1.0})}),
+l AS (SELECT item_id, rank, rank || '. [doc=' || doc_id || ', page=1] ' || substr(trim(regexp_replace(coalesce(d.text, ''), '\\s+', ' ', 'g')), 1, 1200) AS line FROM top JOIN documents d USING (doc_id)),
+w AS (SELECT *, sum(length(line)) OVER (PARTITION BY item_id ORDER BY rank) AS running, count(*) OVER (PARTITION BY item_id) * 5 AS quota FROM l),
+t AS (SELECT item_id, string_agg(line, chr(10) ORDER BY rank) AS text FROM w WHERE rank <= quota OR running <= 24000 GROUP BY 1)
+SELECT CAST(item_id AS VARCHAR) AS qid, md5(text) AS text_md5, length(text) AS length FROM t""",
         "summary_row": """
 WITH t AS (SELECT concat_ws('-', conv_id, turn) AS qid, substr(role, 1, 1) AS r, length(coalesce(text, '')) AS p, turn AS c, length(role) AS t FROM conversations),
 a AS (SELECT qid, coalesce(nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(upper(coalesce(r, '')), '[A-F]'))), ''), ''), 'A') AS answer, p, c, t FROM t)

@@ -34,9 +34,9 @@ class Engine:
     def postprocess(self, chunks: DataFrame) -> DataFrame:
         """Noise out, neighbours merged, formulas tagged, boilerplate once."""
         merged = merge.merge_neighbours(merge.clean_noise(chunks).drop("noise_removed"), self.profile)
-        # a global order: documents by name, chunks as they come
-        ordered = merge.annotate_formulas(merged).withColumn("chunk_ord", F.shiftleft(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 38) - 1)), 24) + F.col("chunk_ord"))
-        return merge.dedup_templates(ordered)
+        # a global order: documents by name, chunks as they come; numbers rise through the sorted partitions and are fixed by writing them
+        ordered = merge.annotate_formulas(merged).orderBy("doc_id", "chunk_ord").withColumn("chunk_ord", F.monotonically_increasing_id())
+        return merge.dedup_templates(loop.stored(ordered, "ordered"))
 
     # -------------------------------------------------------------- questions
     def rank(self, questions: DataFrame, chunks: DataFrame) -> DataFrame:

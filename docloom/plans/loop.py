@@ -6,32 +6,17 @@ to the shared folder, which keeps plans short and survives lost executors; the d
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions import text as T
 from docloom.operators import ranking, reasoning
+from docloom.sources.shared import stored
 
 from . import planner
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written below ``spark.checkpoint.dir`` (a folder of our own only where unset) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "docloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def resolve_documents(plans: DataFrame, prepared: DataFrame, available: DataFrame) -> DataFrame:
     """Adds ``current_docs``: mode A takes the named documents that are available; mode B ranks them, after those of the round before for questions over several."""
     ids = available.select("doc_id").distinct()

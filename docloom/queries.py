@@ -17,6 +17,7 @@ from docloom.functions import text as T
 from docloom.operators import answers, chunking, merge, pages, ranking, reasoning, reports
 from docloom.plans import planner
 from docloom.sources import sinks
+from docloom.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,23 +52,12 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("mean_length"))
 
 
-def _bm25(spark: SparkSession, sf_dir: str, fields: dict[str, float]) -> DataFrame:
-    """Top twelve documents of every benchmark text. Only tokens that questions hold are counted: a semi-join before the aggregation."""
-    asked = bench_questions(spark, sf_dir).select("item_id", F.explode(F.array_distinct(T.latin_tokens(F.col("text")))).alias("token"))
-    wanted = asked.select("token").distinct()
-    corpus = docs(spark, sf_dir)
-    total = None
-    for field, weight in fields.items():
-        sized = corpus.select("doc_id", T.latin_tokens(F.coalesce(field, F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens"))
-        stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
-        tf = sized.select("doc_id", "length", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        impact = ranking.bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("mean"))
-        posted = tf.join(df, "token").join(F.broadcast(stats), F.lit(True)).select("doc_id", "token", (weight * impact).alias("impact"))  # one row of statistics
-        part = asked.join(posted, "token").select("item_id", "doc_id", "impact")
-        total = part if total is None else total.unionByName(part)
-    scored = total.groupBy("item_id", "doc_id").agg(F.round(F.sum("impact"), 4).alias("score"))
-    return _top(scored, ["item_id"], [F.desc("score"), "doc_id"], P.TOP_CHUNKS).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+def _bm25(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFrame:
+    """Top twelve documents of every benchmark text."""
+    fields = {c: T.latin_tokens(F.coalesce(c, F.lit(""))) for c in weights}
+    asked = bench_questions(spark, sf_dir).withColumnRenamed("item_id", "qid")
+    found = ranking.search(asked, docs(spark, sf_dir), "doc_id", fields, weights, T.latin_tokens(F.col("text")))
+    return found.select(F.col("qid").alias("item_id"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,12 +146,12 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("doc_id", F.posexplode("packed").alias("n", "part")).select("doc_id", "n", F.length("part").cast("long").alias("length"), F.md5("part").alias("part_md5"))
+    return _parts(spark, sf_dir).select("doc_id", F.posexplode_outer("packed").alias("n", "part")).where("n is not null").select("doc_id", "n", F.length("part").cast("long").alias("length"), F.md5("part").alias("part_md5"))
 
 
 def split_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parts(spark, sf_dir).withColumn("blocks", chunking.split_oversized(F.col("packed"), P.LATIN))
-    return rows.select("doc_id", F.posexplode("blocks").alias("n", "block")).select("doc_id", "n", F.length("block").cast("long").alias("length"))
+    return rows.select("doc_id", F.posexplode_outer("blocks").alias("n", "block")).where("n is not null").select("doc_id", "n", F.length("block").cast("long").alias("length"))
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +175,7 @@ def dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = docs(spark, sf_dir).groupBy(F.regexp_replace("text", r"\s+", "").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counted.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
+    return merge.duplicate_report(docs(spark, sf_dir).withColumnRenamed("text", "chunk_text"))
 
 
 def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +187,11 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ scans and quality
 def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("text")
-    return docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.min(n).cast("long").alias("min_length"), F.median(n).alias("median_length"), F.round(F.avg(n), 4).alias("mean_length"), F.max(n).cast("long").alias("max_length"), F.count_if(F.length(F.trim("text")) < 20).alias("excessively_short"), F.count_if(F.col("text").rlike(r"[^\s]{50,}")).alias("long_runs"))
+    """Documents as chunks, their source as section; every tenth id has a clause number."""
+    clause = F.when(F.col("doc_id") % 10 == 0, "1")
+    rows = docs(spark, sf_dir).select(F.col("text").alias("chunk_text"), F.col("source").alias("section_path"), F.lit("prose").alias("chunk_type"), clause.alias("clause_no"))
+    out = reports.chunk_quality(rows)
+    return out.select(*[F.col(c).cast("long" if t in ("int", "bigint") else t).alias(c) for c, t in out.dtypes])
 
 
 def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,10 +209,13 @@ def annotate_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ questions and evidence
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as questions over the documents that rank best; their sentences are the options."""
-    options = F.slice(F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda x: F.length(x) > 20), 1, 4)
-    q = bench_questions(spark, sf_dir).select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"), options.alias("options"))
-    return q.where(F.size("options") > 0).withColumns({"answer_format": F.lit("multi"), "doc_ids": T.strings([]), "mode": F.lit("A")})
+    """Benchmark texts as questions whose options are all their sentences over 20 characters: one question for each six of them, ``item-group``."""
+    options = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda x: F.length(x) > 20)
+    rows = bench_questions(spark, sf_dir).withColumn("every", options).where(F.size("every") > 0)
+    most = len(P.OPTION_NAMES)
+    q = rows.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / most).cast("int"))).alias("group"))
+    q = q.select("item_id", F.concat_ws("-", F.col("item_id").cast("string"), F.col("group").cast("string")).alias("qid"), F.col("text").alias("question"), F.slice("every", F.col("group") * most + 1, F.lit(most)).alias("options"))
+    return q.withColumns({"answer_format": F.lit("multi"), "doc_ids": T.strings([]), "mode": F.lit("A")})
 
 
 def question_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,32 +223,39 @@ def question_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.select("qid", "domain", "question_type", "requires_multi_doc", "min_doc_coverage", F.array_join("numbers", ",").alias("numbers"))
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25_topk(spark, sf_dir).select(F.col("item_id").cast("string").alias("qid"), "doc_id", F.col("rank").cast("int").alias("rank"))
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_id, rank`` and the best documents as chunks."""
+    found = bm25_topk(spark, sf_dir).select("item_id", "doc_id", F.col("rank").cast("int").alias("rank"))
     own = docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.lit("").alias("section_path"), F.lit("prose").alias("chunk_type"), F.lit(None).cast("string").alias("clause_no"), F.lit(1).alias("page_no"), F.col("text").alias("chunk_text"))
     return found.join(own, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
+def _options_and_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q = stored(_questions(spark, sf_dir), "questions")
+    evidence = stored(_candidates(spark, sf_dir), "candidates").join(q.select("item_id", "qid"), "item_id").drop("item_id")
+    return q, reasoning.option_rows(q), evidence
+
+
 def evidence_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = reasoning.score_evidence(reasoning.option_rows(_questions(spark, sf_dir)), _evidence(spark, sf_dir))
-    return scored.where("evidence_rank <= 3").select("qid", "option", F.col("evidence_rank").cast("long").alias("n"), "doc_id", F.round("evidence_score", 4).alias("score"))
+    _, options, evidence = _options_and_evidence(spark, sf_dir)
+    scored = reasoning.score_evidence(options, evidence, 3)
+    return scored.select("qid", "option", F.col("evidence_rank").cast("long").alias("n"), "doc_id", F.round("evidence_score", 4).alias("score"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reasoning.verdicts(reasoning.option_rows(_questions(spark, sf_dir)), _evidence(spark, sf_dir)).select("qid", "option", "verdict", "confidence", F.round("top1_score", 6).alias("top1_score"))
+    _, options, evidence = _options_and_evidence(spark, sf_dir)
+    return reasoning.verdicts(options, evidence).select("qid", "option", "verdict", "confidence", F.round("top1_score", 6).alias("top1_score"))
 
 
 def rule_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _questions(spark, sf_dir)
-    return answers.choose_answers(reasoning.verdicts(reasoning.option_rows(q), _evidence(spark, sf_dir)), q)
+    q, options, evidence = _options_and_evidence(spark, sf_dir)
+    return answers.choose_answers(reasoning.verdicts(options, evidence), q)
 
 
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each source in id order while they fit a budget of characters."""
-    running = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id"))
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = docs(spark, sf_dir).select("source", "doc_id", "n_chars").withColumns({"running": running, "n": n})
-    return rows.where((F.col("n") <= P.EVIDENCE_PER_DOC) | (F.col("running") <= P.EVIDENCE_CHARS)).select("source", "doc_id", "running")
+    """The best documents of every benchmark text as numbered evidence lines within the budget of a prompt."""
+    packed = answers.pack_evidence(stored(_candidates(spark, sf_dir), "candidates").withColumn("qid", F.col("item_id").cast("string")))
+    return packed.select("qid", F.md5("evidence_text").alias("text_md5"), F.length("evidence_text").cast("long").alias("length"))
 
 
 # ------------------------------------------------------------------ reports
@@ -273,8 +275,8 @@ def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
-    return counted.orderBy(F.desc("n"), "first").limit(12).select("event_type", "n")
+    cases = table(spark, sf_dir, "events").select(F.col("event_id").alias("row"), F.array("event_type").alias("issues"))
+    return reports.issue_counts(cases).withColumnRenamed("issue", "event_type")
 
 
 def gold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,8 @@ from .text import format_timestamp, normalize, null_if_empty
 # Blocks that never hold content, and classes of navigation.
 DROPPED_TAGS = ["script", "style", "noscript", "form", "svg", "footer", "header", "nav", "aside"]
 OLD_DROPPED_TAGS = DROPPED_TAGS[:7]
-NAV_CLASSES = ["nav", "menu", "breadcrumb", "sidebar", "top-bar", "head-box", "footer", "header", "link", "share", "print", "close"]
 CLOSING_TAGS = r"p|div|li|tr|section|article|h\d"
-_NAV_BLOCK = rf"""(?is)<div[^>]+class=["'][^"']*(?:{"|".join(NAV_CLASSES)})[^"']*["'][^>]*>.*?</div>"""
+_NAV_BLOCK = r"""(?is)<div[^>]+class=["'][^"']*(?:nav|menu|breadcrumb|sidebar|top-bar|head-box|footer|header|link|share|print|close)[^"']*["'][^>]*>.*?</div>"""
 
 
 def meta(page: Column, name: str) -> Column:
@@ -116,6 +115,7 @@ def page_text(page: Column) -> Column:
 
 
 # ------------------------------------------------------------------ the validation report's simpler selection
+# Blocks that the report looks into.
 _PREFERRED = [r"""(?is)<div[^>]+class=["'][^"']*(?:detail-news|article-content|TRS_Editor|Custom_UnionStyle)[^"']*["'][^>]*>(.*?)</div>""", r"(?is)<article[^>]*>(.*?)</article>"]
 _GENERAL = [
     r"""(?is)<div[^>]+(?:id|class)=["'][^"']*(?:content|article|main|detail|正文|TRS_Editor|Custom_UnionStyle)[^"']*["'][^>]*>(.*?)</div>""",

@@ -6,7 +6,7 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType
@@ -152,6 +152,18 @@ def expand_synonyms(text: Column, query_tokens: Column) -> Column:
     return F.array_distinct(F.concat(query_tokens, *extra))
 
 
+def expand_by_table(rows: DataFrame, synonyms: DataFrame, text: str, tokens_col: str, domain: str = "domain") -> DataFrame:
+    """``rows`` with the tokens of every synonym group that has a term in ``text`` added to ``tokens_col``; ordered, distinct.
+
+    ``synonyms`` has ``domain`` (``_global``: for all) and ``terms`` (an array): a dictionary of bounded size, kept as one array literal
+    of the table's rows beside each question.
+    """
+    every = synonyms.agg(F.array_sort(F.collect_list(F.struct("domain", "terms", F.flatten(F.transform("terms", tokens)).alias("tokens")))).alias("_groups"))
+    fits = lambda g: ((g["domain"] == "_global") | (g["domain"] == F.col(domain))) & F.exists(g["terms"], lambda t: F.contains(F.lower(F.col(text)), F.lower(t)))
+    extra = F.flatten(F.transform(F.filter("_groups", fits), lambda g: g["tokens"]))
+    return rows.join(F.broadcast(every), F.lit(True)).withColumn(tokens_col, F.array_distinct(F.concat(tokens_col, extra))).drop("_groups")  # one row
+
+
 def normalize_domain(domain: Column) -> Column:
     low = F.lower(domain)
     known = F.create_map(*[F.lit(x) for kv in P.DOMAIN_ALIASES.items() for x in kv])
@@ -264,3 +276,15 @@ def in_context(text: Column, term: Column, reach: int = 60) -> Column:
 def missing_from(dropped: Column, included: Column) -> Column:
     """Numbers of ``dropped`` that ``included`` lacks, in order."""
     return F.array_except(numbers(dropped), numbers(included))
+
+
+def sentences_missing_from(dropped: Column, included: Column, least: int = 8) -> Column:
+    """Sentences of ``dropped`` (``least`` characters or more) that do not occur in ``included``, white space aside; in order, distinct."""
+    there = search_form(included)
+    parts = F.transform(F.split(dropped, "(?<=[。；！？.!?;])|\\n"), lambda s: collapse(s))
+    return F.array_distinct(F.filter(parts, lambda s: (F.length(s) >= least) & ~F.contains(there, search_form(s))))
+
+
+def terms_missing_from(dropped: Column, included: Column) -> Column:
+    """Search tokens of ``dropped`` that ``included`` lacks, in order, distinct."""
+    return F.array_except(tokens(dropped), tokens(included))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom import profiles as P
-from docloom.functions.text import any_of, strip
+from docloom.functions.text import any_of, strings, strip
 
 CHUNK_FIELDS = ["chunk_id", "doc_id", "title", "domain", "page_no", "section_path", "chunk_type", "clause_no", "chunk_text"]
 
@@ -188,6 +188,14 @@ def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     return out
 
 
+def by_path_or_qid(rows: DataFrame, path_parts: list[str], qid_prefixes: list[str], path: str = "path", qid: str = "qid") -> DataFrame:
+    """Rows whose path (either kind of slash) holds one of ``path_parts``, or whose question id starts with one of ``qid_prefixes``; a missing column fits nothing."""
+    none = F.lit(False)
+    in_path = F.exists(strings(path_parts), lambda p: F.contains(F.lower(F.translate(path, "\\", "/")), F.lower(p))) if path in rows.columns else none
+    in_qid = F.exists(strings(qid_prefixes), lambda p: F.startswith(qid, p)) if qid in rows.columns else none
+    return rows.where(F.coalesce(in_path, none) | F.coalesce(in_qid, none))
+
+
 def first_per_key(rows: DataFrame, keys: list, order: list) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")

@@ -417,6 +417,44 @@ def test_model_answers_with_a_ladder(spark):
     assert p["system"] == "系统" and "A. 甲\nB. 乙" in p["user"] and answers.NO_EVIDENCE in p["user"] and "（A-B）" in p["user"]
 
 
+def test_a_model_sees_each_prompt_once_a_step(spark, tmp_path):
+    """However often the replies are read: each attempt is stored before anything uses it."""
+    log = str(tmp_path / "calls")
+
+    def answerer(batches):
+        for pdf in batches:
+            with open(log, "a") as f:
+                f.writelines(f"{q}\n" for q in pdf["qid"])
+            yield pdf.assign(reply=[None if q == "q2" else "A" for q in pdf["qid"]], prompt_tokens=1, completion_tokens=1)[["qid", "reply", "prompt_tokens", "completion_tokens"]]
+
+    prompts = spark.createDataFrame([("q1", "s", "u"), ("q2", "s", "u"), ("q3", "s", "u")], "qid string, system string, user string")
+    out = answers.ask(prompts, answerer, [prompts, prompts])
+    for _ in range(2):
+        got = {r["qid"]: (r["reply"], r["attempts"]) for r in out.collect()}
+    assert got == {"q1": ("A", 1), "q2": (None, 3), "q3": ("A", 1)}
+    with open(log) as f:
+        calls = f.read().split()
+    assert {q: calls.count(q) for q in set(calls)} == {"q1": 1, "q2": 3, "q3": 1}
+    trace = answers.ask_traced(prompts, answerer, [prompts]).where("qid = 'q2'").orderBy("attempt").collect()
+    assert [(r["attempt"], r["success"]) for r in trace] == [(1, False), (2, False)]
+
+
+def test_missing_evidence_and_rows_by_path(spark):
+    row = spark.range(1).select(F.lit("Net income rose. It fell by 3.5% in May.\nShort.").alias("a"), F.lit("it fell  by 3.5% in May. Net loss").alias("b"))
+    got = row.select(T.sentences_missing_from(F.col("a"), F.col("b")), T.terms_missing_from(F.col("a"), F.col("b")), T.missing_from(F.col("b"), F.col("a"))).first()
+    assert list(got) == [["Net income rose."], ["income", "rose.", "short."], []]
+    rows = spark.createDataFrame([("C:\\tmp\\Local\\x", "q1"), ("/data/y", "test-2"), (None, None), ("/data/z", "q3")], "path string, qid string")
+    assert [r["qid"] for r in merge.by_path_or_qid(rows, ["tmp/local"], ["test-"]).collect()] == ["q1", "test-2"]
+    assert merge.by_path_or_qid(rows.select("qid"), ["tmp"], ["q3"]).count() == 1
+
+
+def test_synonyms_from_a_table(spark):
+    groups = spark.createDataFrame([("_global", ["revenue", "turnover"]), ("insurance", ["payout", "benefit"])], "domain string, terms array<string>")
+    rows = spark.createDataFrame([("insurance", "Payout and Revenue", ["payout", "revenue"]), ("research", "payout", ["payout"])], "domain string, question string, query_tokens array<string>")
+    got = {r["domain"]: r["query_tokens"] for r in T.expand_by_table(rows, groups, "question", "query_tokens").collect()}
+    assert got == {"insurance": ["payout", "revenue", "turnover", "benefit"], "research": ["payout"]}
+
+
 def test_evidence_packing_keeps_every_document(spark):
     rows = [chunk(i, "a", "甲" * 1100) for i in range(1, 31)] + [chunk(i, "b", "净利润" + "乙" * 1100) for i in range(31, 41)]
     ev = chunks_of(spark, *rows).withColumns({"qid": F.lit("q"), "rank": F.col("chunk_ord").cast("int")})

@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries that it can express.
 
-White space is ASCII on both sides here: the tables hold no other kind at line ends. Queries that depend on folds over produced
-rows, on Python's HTML entities or on Spark's hash have no entry and are tested against plain Python.
+White space is ASCII on both sides here: the tables hold no other kind at line ends. Folds over produced
+rows are ``list_reduce`` over a list of states. The diversified choice and the main content of pages have no entry and are tested against plain Python.
 """
 
 from __future__ import annotations

@@ -46,8 +46,11 @@ def write_report_csv(rows: DataFrame, path: str) -> None:
 
 
 def markdown_table(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A small aggregate as a markdown table; reports are at most ``limit`` rows."""
-    cells = [list(map(lambda v: "" if v is None else str(v), r)) for r in rows.limit(limit).collect()]
+    """A small aggregate as a markdown table; one of more than ``limit`` rows is an error, as it is no report and nothing is left out in silence."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows: write a table instead")
+    cells = [list(map(lambda v: "" if v is None else str(v), r)) for r in found]
     line = lambda c: "| " + " | ".join(x.replace("|", "\\|") for x in c) + " |"
     return "\n".join([f"## {title}", "", line(rows.columns), line(["---"] * len(rows.columns)), *map(line, cells), ""])
 

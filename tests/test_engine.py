@@ -516,6 +516,8 @@ def test_reports(spark, tmp_path):
     mine = spark.createDataFrame([("1", "AB"), ("2", "B"), ("3", "C")], "qid string, answer string")
     assert reports.accuracy(mine, gold).first()["accuracy"] == 0.5
     assert {x["qid"]: (x["missed"], x["extra"]) for x in reports.letter_differences(mine, gold).collect()}["1"] == ("C", "B")
+    with pytest.raises(ValueError):
+        sinks.markdown_table(gold, "t", limit=1)
     assert "| qid |" in sinks.markdown_table(gold, "t").replace("answer |", "").replace("| qid | ", "| qid |")
     sinks.replace_table(gold, f"{tmp_path}/t")
     sinks.replace_table(mine, f"{tmp_path}/t")

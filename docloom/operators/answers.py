@@ -93,29 +93,74 @@ def simulate_packing(evidence: DataFrame, total: int = 20, max_chars: int = 18_0
     return grouped.select("qid", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("o")).select("qid", "o.*")
 
 
+# How a document's full text is introduced and cut.
+FULL_TEXT = "=== 文档 %s（%d个chunk，%d字符，展示%d字符）===\n%s"
+FULL_TEXT_NONE = "=== 文档 %s（无预处理数据）===\n"
+CUT_MARK = "…[截断]"
+
+
 def full_texts(chunks: DataFrame, per_doc: int = 28_000) -> DataFrame:
-    """``doc_id, full_text``: a document's chunks by page and id, joined by line ends, as long as the whole stays within ``per_doc`` characters."""
-    size = F.sum(F.length("chunk_text") + 1).over(Window.partitionBy("doc_id").orderBy("page_no", "chunk_id"))
-    kept = chunks.withColumn("size", size).where(F.col("size") <= per_doc + 1)
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "chunk_id", "chunk_text"))), lambda x: x["chunk_text"]), "\n").alias("full_text"))
+    """``doc_id, full_text, n_chunks, chars, shown``: a document's chunks by page and id, joined by line ends, up to ``per_doc`` characters.
+
+    The chunk that does not fit is cut and marked if more than 100 characters are left. ``shown`` counts whole chunks only; sizes are
+    summed by a window, so only what is shown is gathered.
+    """
+    size = F.length(F.coalesce("chunk_text", F.lit("")))
+    through = F.sum(size).over(Window.partitionBy("doc_id").orderBy(F.coalesce("page_no", F.lit(0)), "chunk_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = chunks.select("doc_id", F.coalesce("page_no", F.lit(0)).alias("page_no"), "chunk_id", F.coalesce("chunk_text", F.lit("")).alias("chunk_text"), size.alias("size"), through.alias("through"))
+    rows = rows.withColumns({"whole": F.col("through") <= per_doc, "left": F.lit(per_doc) - F.col("through") + F.col("size")})
+    part = F.when(F.col("whole"), F.col("chunk_text")).when(F.col("left") > 100, F.concat(F.expr("substring(chunk_text, 1, CAST(left AS INT))"), F.lit(CUT_MARK)))
+    # a null is not collected: chunks beyond the limit stay out of the array
+    shown = F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct("page_no", "chunk_id", part.alias("part")))))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(shown, lambda x: x["part"]), "\n").alias("full_text"), F.count(F.lit(1)).alias("n_chunks"), F.sum("size").alias("chars"), F.coalesce(F.sum(F.when(F.col("whole"), F.col("size"))), F.lit(0)).alias("shown"))
+
+
+def document_prompts(cases: DataFrame, texts: DataFrame) -> DataFrame:
+    """``qid, system, user``: prompts over the full texts (``full_texts``) of each case's documents, in their order; an unknown document says so.
+
+    ``cases`` has ``qid, question, options, answer_format, doc_ids``.
+    """
+    named = cases.select("qid", F.posexplode("doc_ids").alias("place", "doc_id")).join(texts, "doc_id", "left")
+    part = F.when(F.col("full_text").isNull(), F.format_string(FULL_TEXT_NONE, "doc_id")).otherwise(F.format_string(FULL_TEXT, "doc_id", "n_chunks", "chars", "shown", "full_text"))
+    named = named.select("qid", "place", part.alias("part"))
+    joined = named.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "\n\n").alias("documents"))
+    letters = F.when(F.col("answer_format") == "multi", "多个选项字母，按字母顺序连写。").when(F.col("answer_format").isin("mcq", "tf"), "单个选项字母。").otherwise("选项字母。")
+    ask_ = F.concat(F.lit("\n\n逐个选项独立判断：有直接证据的选，被证据排除的不选，无法确认的不选。"), option_scope(), F.lit("答案是"), letters, F.lit('\n输出JSON：{"answer":"AC","reasoning":"…"}'))
+    user = F.concat(F.lit("文档全文：\n\n"), F.coalesce("documents", F.lit("")), F.lit("\n\n问题："), F.coalesce("question", F.lit("")), F.lit("\n选项：\n"), option_lines(), ask_)
+    return cases.join(joined, "qid", "left").select("qid", F.lit("你负责阅读文档并答题。只依据给出的文档全文选择答案，不补充外部知识。").alias("system"), user.alias("user"))
+
+
+def prejudgments(results: DataFrame) -> DataFrame:
+    """``qid, prejudgment``: the verdicts so far as a block for the prompt, which the evidence may overrule. Questions without results have no row."""
+    line = F.concat(F.lit("- 选项"), "option", F.lit("：本地初判="), "verdict")
+    rows = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("option", line.alias("line")))).alias("found"))
+    return rows.select("qid", F.concat(F.lit("\n本地初判（仅供参考，以证据为准，可推翻）：\n"), F.array_join(F.transform("found", lambda x: x["line"]), "\n"), F.lit("\n")).alias("prejudgment"))
 
 
 # ------------------------------------------------------------------ prompts: templates are data, assembly is a projection
+def option_lines() -> Column:
+    """The options, each after its letter."""
+    return F.array_join(F.transform("options", lambda o, i: F.concat(F.get(T.strings(list(P.OPTION_NAMES)), i), F.lit(". "), o)), "\n")
+
+
+def option_scope() -> Column:
+    """How many options there are, and that only they can be chosen."""
+    n = F.size("options")
+    return F.concat(F.lit("本题共有"), n.cast("string"), F.lit("个选项（A-"), F.get(T.strings(list(P.OPTION_NAMES)), n - 1), F.lit("），只能从中选择，不得选择未列出的选项。"))
+
+
 def render_prompts(cases: DataFrame, templates: DataFrame, verify: bool = False) -> DataFrame:
     """``qid, system, user`` from templates by answer format and domain (``answer_format, domain, system, verify_system, instruction``).
 
-    ``cases`` has ``qid, domain, question, options, answer_format, evidence_text`` and, to verify, ``first_answer``. A domain without a template uses ``general``.
+    ``cases`` has ``qid, domain, question, options, answer_format, evidence_text``, to verify ``first_answer``, and at will ``prejudgment``. A domain without a template uses ``general``.
     """
     general = templates.where("domain = 'general'").drop("domain")
     own = cases.join(F.broadcast(templates), ["answer_format", "domain"], "left").join(F.broadcast(general.select("answer_format", *[F.col(c).alias(f"g_{c}") for c in ("system", "verify_system", "instruction")])), "answer_format", "left")
     of = lambda c: F.coalesce(c, f"g_{c}")
-    letters = T.strings(list(P.OPTION_NAMES))
-    named = F.array_join(F.transform("options", lambda o, i: F.concat(F.get(letters, i), F.lit(". "), o)), "\n")
-    n = F.size("options")
-    scope = F.concat(F.lit("本题共有"), n.cast("string"), F.lit("个选项（A-"), F.get(letters, n - 1), F.lit("），只能从中选择，不得选择未列出的选项。"))
-    parts = [F.lit("问题："), F.col("question"), F.lit("\n选项：\n"), named, F.lit("\n\n证据：\n"), F.coalesce("evidence_text", F.lit(NO_EVIDENCE)), F.lit("\n\n")]
+    parts = [F.lit("问题："), F.col("question"), F.lit("\n选项：\n"), option_lines(), F.lit("\n\n证据：\n"), F.coalesce("evidence_text", F.lit(NO_EVIDENCE)), F.lit("\n\n")]
+    parts += [F.coalesce("prejudgment", F.lit(""))] if "prejudgment" in cases.columns else []
     parts += [F.lit("初步答案："), F.col("first_answer"), F.lit("\n")] if verify else []
-    return own.select("qid", of("verify_system" if verify else "system").alias("system"), F.concat(*parts, of("instruction"), scope).alias("user"))
+    return own.select("qid", of("verify_system" if verify else "system").alias("system"), F.concat(*parts, of("instruction"), option_scope()).alias("user"))
 
 
 def short_prompts(cases: DataFrame, evidence: DataFrame, chunks: int = 10, chars: int = 500) -> DataFrame:

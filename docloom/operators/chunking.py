@@ -157,9 +157,12 @@ def manifest_counts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def extraction_policy(file_type: Column, category: Column, size_bytes: Column, relative: Column) -> Column:
-    """struct<table_recovery, plumber>: tables are looked for in PDF files of 64 MB (reports) or 8 MB, never in research or regulatory attachments."""
-    limit = F.when(category == "financial_reports", 64 << 20).otherwise(8 << 20)
+def extraction_policy(file_type: Column, category: Column, size_bytes: Column, relative: Column, reports: bool = True) -> Column:
+    """struct<table_recovery, plumber>: tables are looked for in PDF files of 64 MB (reports) or 8 MB, never in research or regulatory attachments.
+
+    Without ``reports``, the stricter policy: no tables of financial reports either.
+    """
+    limit = F.when(category == "financial_reports", (64 << 20) if reports else -1).otherwise(8 << 20)
     attachment = (category == "regulatory") & relative.contains("attachments")
     return F.struct(((file_type == "pdf") & (size_bytes <= limit) & (category != "research") & ~attachment).alias("table_recovery"), ((file_type == "pdf") & (category == "research")).alias("plumber"))
 

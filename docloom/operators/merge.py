@@ -188,6 +188,56 @@ def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     return out
 
 
+# Ids of questions that tests make, ids of the official question sets, and test runners' folders.
+TEST_QIDS, OFFICIAL_QID, TEST_FOLDERS = ["q-", "test-", "debug-", "loop-"], r"^(?i)(fc|fin|ins|reg|res)_a_\d+$", ["/pytest-of-"]
+
+
+def named_documents(evidence: Column, facts: Column | None = None) -> Column:
+    """Ids that a row's evidence (structs with ``doc_id``) and its ledger's facts (structs with ``doc_ids``) name, each once, sorted."""
+    none = F.array().cast("array<string>")
+    of_facts = none if facts is None else F.flatten(F.coalesce(F.transform(facts, lambda f: F.coalesce(f["doc_ids"], none)), F.array(none)))
+    named = F.concat(F.coalesce(F.transform(evidence, lambda e: e["doc_id"]), none), of_facts)
+    return F.array_sort(F.array_distinct(F.filter(named, lambda d: F.coalesce(d, F.lit("")) != "")))
+
+
+def delete_cascade(tables: dict[str, DataFrame], official: DataFrame) -> dict[str, DataFrame]:
+    """``documents, chunks, results, tasks, evidence, answers`` without what test runs left; other tables stay as they are.
+
+    Documents below a test runner's folder (``source_path``) go with their chunks and preprocessing tasks. Results and evidence rows go
+    if they name one of them (``doc_ids``, see ``named_documents``), or if their question id looks like a test's and they name no document of
+    ``official`` (``doc_id``); evidence also goes with a removed result's question id, unless that is official. Question tasks and answers follow the results. Nulls fit nothing.
+    """
+    gone = by_path_or_qid(tables["documents"], TEST_FOLDERS, [], path="source_path").where("doc_id is not null").select("doc_id").distinct()
+    known = official.where("doc_id is not null").select("doc_id").distinct()
+    qid = F.coalesce("qid", F.lit(""))
+    is_official = qid.rlike(OFFICIAL_QID)
+    is_test = F.exists(strings(TEST_QIDS), lambda p: F.startswith(F.lower(qid), p)) & ~is_official
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """Adds ``drop``; rows with the same documents are judged once."""
+        ids = rows.select("doc_ids").distinct()
+        each = ids.select("doc_ids", F.explode("doc_ids").alias("doc_id"))
+        hits = each.join(gone.withColumn("gone", F.lit(True)), "doc_id", "left").join(known.withColumn("known", F.lit(True)), "doc_id", "left")
+        flags = hits.groupBy("doc_ids").agg(F.max(F.coalesce("gone", F.lit(False))).alias("gone"), F.max(F.coalesce("known", F.lit(False))).alias("known"))
+        return rows.join(flags, "doc_ids", "left").withColumn("drop", F.coalesce("gone", F.lit(False)) | (is_test & ~F.coalesce("known", F.lit(False)))).drop("gone", "known")
+
+    out = dict(tables)
+    for name in ("documents", "chunks"):
+        out[name] = tables[name].join(gone, "doc_id", "left_anti").select(*tables[name].columns)
+    results = judged(tables["results"])
+    removed = results.where("drop")
+    tasks_gone = removed.where("task_id is not null").select("task_id").distinct()
+    qids_gone = removed.where((qid != "") & ~is_official).select("qid").distinct()
+    out["results"] = results.where("not drop").select(*tables["results"].columns)
+    out["answers"] = tables["answers"].join(qids_gone, "qid", "left_anti").select(*tables["answers"].columns)
+    out["evidence"] = judged(tables["evidence"]).where("not drop").join(qids_gone, "qid", "left_anti").select(*tables["evidence"].columns)
+    asked, other = tables["tasks"].where("type = 'question'"), tables["tasks"].where("not (type <=> 'question')")
+    asked = asked.join(tasks_gone, "task_id", "left_anti").join(qids_gone, "qid", "left_anti")
+    ingested, rest = other.where("type = 'preprocess'"), other.where("not (type <=> 'preprocess')")
+    out["tasks"] = rest.unionByName(ingested.join(gone, "doc_id", "left_anti")).unionByName(asked).select(*tables["tasks"].columns)
+    return out
+
+
 def by_path_or_qid(rows: DataFrame, path_parts: list[str], qid_prefixes: list[str], path: str = "path", qid: str = "qid") -> DataFrame:
     """Rows whose path (either kind of slash) holds one of ``path_parts``, or whose question id starts with one of ``qid_prefixes``; a missing column fits nothing."""
     none = F.lit(False)

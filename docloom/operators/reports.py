@@ -176,9 +176,20 @@ def issue_counts(cases: DataFrame, top: int = 12) -> DataFrame:
     return rows.groupBy("issue").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("first")).orderBy(F.desc("n"), "first").limit(top).drop("first")
 
 
-def case_status(cases: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """PASS, WARN or FAIL of each case. ``outcomes`` has ``qid, n_docs, n_chunks, n_evidence``; none means it could not run."""
-    rows = cases.join(outcomes, "qid", "left")
+def corpus_assets(manifest: DataFrame, chunks: DataFrame, sample: int = 50) -> DataFrame:
+    """One row: usable documents, documents with chunks, usable ones without any, and the first ``sample`` of those by id."""
+    usable = manifest.where((F.coalesce("status", F.lit("done")) == "done") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    chunked = chunks.where("doc_id is not null").select("doc_id").distinct()
+    both = usable.withColumn("usable", F.lit(True)).join(chunked.withColumn("chunked", F.lit(True)), "doc_id", "full")
+    bare = both.where("usable and chunked is null")
+    counts = both.agg(F.count("usable").alias("document_count"), F.count("chunked").alias("chunk_document_count"), F.count_if(F.col("usable") & F.col("chunked").isNull()).alias("documents_without_chunks"))
+    first = bare.select("doc_id").orderBy("doc_id").limit(sample).agg(F.array_sort(F.collect_list("doc_id")).alias("sample_documents_without_chunks"))
+    return counts.join(F.broadcast(first), F.lit(True))  # one row each
+
+
+def case_status(cases: DataFrame, outcomes: DataFrame, key: str = "qid") -> DataFrame:
+    """PASS, WARN or FAIL of each case. ``outcomes`` has ``key``, ``n_docs, n_chunks, n_evidence``; none means it could not run."""
+    rows = cases.join(outcomes, key, "left")
     gaps = [F.when(F.coalesce(c, F.lit(0)) == 0, r) for c, r in (("n_docs", "candidate_doc_ids_empty"), ("n_chunks", "candidate_chunks_empty"), ("n_evidence", "evidence_empty"))]
     runs = F.col("case_format").isNotNull() & F.col("case_options").isNotNull()
     every = F.when(runs, F.concat("issues", F.array_compact(F.array(*gaps)))).otherwise(F.col("issues"))

@@ -5,8 +5,11 @@ Without them a file yields no page, and the caller's fallback chunk says so.
 
 from __future__ import annotations
 
+import contextlib
 import importlib
 import io
+import signal
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import profiles as P
+from docloom.functions.text import normalize
+from docloom.sources.readers import decode_utf8
 
 PAGES = "doc_id string, page_no int, text string, tables array<string>, error string"
 
@@ -62,43 +67,108 @@ def _scanned(page, text: str) -> bool:
     return sum(r.width * r.height for r in images) >= 0.30 * area > 0 if images else len(text) < 40
 
 
-def page_text(page) -> str:
+def page_text(page, ocr: bool = True) -> str:
     """Text of a PyMuPDF page; a scanned page's recognised text, at twice the size, if that is longer."""
     text = page.get_text("text").strip()
-    reader = ocr_reader() if _scanned(page, text) else None
+    reader = ocr_reader() if ocr and _scanned(page, text) else None
     seen = reader(page.get_pixmap(dpi=144).tobytes("png")).strip() if reader else ""
     return seen if len(seen) > len(text) else text
 
 
-def extract(content: bytes, plumber: bool, tables: bool) -> list[tuple[int, str, list[str]]]:
-    """(page, text, tables) of a file with whichever library is there."""
-    fitz, pdfplumber = (None if plumber else _module("fitz")), _module("pdfplumber")
+Pages = list[tuple[int, str, list[str]]]
+
+
+def _plumber_pages(content: bytes, tables: bool) -> Pages:
+    with _module("pdfplumber").open(io.BytesIO(content)) as doc:
+        return [(i, page.extract_text() or "", [table_lines(t) for t in page.extract_tables() or []] if tables else []) for i, page in enumerate(doc.pages, 1)]
+
+
+def _tables_of(page) -> list[str]:
+    """A PyMuPDF page's tables; a page on which the search fails has none."""
+    try:
+        return [table_lines(t.extract()) for t in page.find_tables().tables]
+    except TimeoutError:
+        raise
+    except Exception:  # noqa: BLE001 - one page's tables do not cost the file
+        return []
+
+
+def extract(content: bytes, plumber: bool, tables: bool, ocr: bool = False) -> Pages:
+    """(page, text, tables) of a file: by PyMuPDF unless ``plumber`` is asked for, by pdfplumber where PyMuPDF is missing, fails or finds no table at all; nothing without either."""
+    fitz, other = (None if plumber else _module("fitz")), _module("pdfplumber")
     if fitz is not None:
-        with fitz.open(stream=content, filetype="pdf") as doc:
-            return [(i, page_text(page), [table_lines(t.extract()) for t in page.find_tables().tables] if tables else []) for i, page in enumerate(doc, 1)]
-    if pdfplumber is not None:
-        with pdfplumber.open(io.BytesIO(content)) as doc:
-            return [(i, page.extract_text() or "", [table_lines(t) for t in page.extract_tables()] if tables else []) for i, page in enumerate(doc.pages, 1)]
-    return []
+        try:
+            with fitz.open(stream=content, filetype="pdf") as doc:
+                found = [(i, page_text(page, ocr), _tables_of(page) if tables else []) for i, page in enumerate(doc, 1)]
+        except TimeoutError:
+            raise
+        except Exception:
+            if other is None:
+                raise
+        else:
+            if tables and other is not None and not any(any(t) for _, _, t in found):
+                more = {n: t for n, _, t in _plumber_pages(content, True)}
+                found = [(n, text, more.get(n, [])) for n, text, _ in found]
+            return found
+    return _plumber_pages(content, tables) if other is not None else []
+
 
+@contextlib.contextmanager
+def time_limit(seconds: int | None) -> Iterator[None]:
+    """Raises ``TimeoutError`` after ``seconds`` in a worker's main thread; no limit elsewhere or without a number."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
 
-def read_pdf_pages(files: DataFrame) -> DataFrame:
-    """``PAGES`` of PDF files (``doc_id, content, plumber, table_recovery``); a file that fails gives one row with its error."""
+    def stop(*_) -> None:
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def read_pdf_pages(files: DataFrame, ocr: bool = False, timeout: int | None = None) -> DataFrame:
+    """``PAGES`` of PDF files (``doc_id, content, plumber, table_recovery``); a file that fails, or takes longer than ``timeout`` seconds, gives one row with its error.
+
+    A file at a time is held; a null content counts as an empty file.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PAGES.split(", ")]
         for batch in batches:
-            rows: list[tuple] = []
             for r in batch.itertuples():
                 try:
-                    rows += [(r.doc_id, n, text, tables, None) for n, text, tables in extract(bytes(r.content), r.plumber, r.table_recovery)]
+                    with time_limit(timeout):
+                        rows = [(r.doc_id, n, text, tables, None) for n, text, tables in extract(bytes(r.content or b""), r.plumber, r.table_recovery, ocr)]
+                except TimeoutError:
+                    rows = [(r.doc_id, None, None, [], f"subprocess_timeout_{timeout}s")]
                 except Exception as e:  # noqa: BLE001 - any broken file becomes a row
-                    rows.append((r.doc_id, None, None, [], f"process_exception_{type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
+                    rows = [(r.doc_id, None, None, [], f"process_exception_{type(e).__name__}")]
+                yield pd.DataFrame(rows, columns=names).astype({"page_no": "Int32"})
 
     return files.select("doc_id", "content", "plumber", "table_recovery").mapInPandas(run, PAGES)
 
 
+def best_effort_text(files: DataFrame) -> DataFrame:
+    """``doc_id, text`` for validation, of files (``doc_id, file_type, content``): text and HTML decoded, a PDF's pages joined by line ends, anything else or broken empty."""
+    plain = files.select("doc_id", F.when(F.col("file_type").isin("txt", "html"), F.coalesce(decode_utf8("content"), F.lit(""))).otherwise("").alias("text"), "file_type")
+    pages = read_pdf_pages(files.where("file_type = 'pdf'").select("doc_id", "content", F.lit(False).alias("plumber"), F.lit(False).alias("table_recovery"))).where("page_no is not null")
+    read = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\n").alias("pages"))
+    return plain.where("not (file_type <=> 'pdf')").select("doc_id", "text").unionByName(plain.where("file_type = 'pdf'").join(read, "doc_id", "left").select("doc_id", F.coalesce("pages", F.lit("")).alias("text")))
+
+
 def with_tables(text: Column, tables: Column) -> Column:
     """A page's text and its tables, each under the table mark."""
     marked = F.transform(F.filter(tables, lambda t: t != ""), lambda t: F.concat(F.lit(P.TABLE_MARK + "\n"), t))
     return F.array_join(F.concat(F.filter(F.array(text), lambda x: x != ""), marked), "\n\n")
+
+
+def pages_with_tables(files: DataFrame, ocr: bool = False, timeout: int | None = None) -> DataFrame:
+    """``doc_id, page_no, text`` of the PDF files that can be read, tables included; files as for ``read_pdf_pages``."""
+    pages = read_pdf_pages(files, ocr, timeout).where("page_no is not null")
+    return pages.select("doc_id", "page_no", with_tables(normalize(F.col("text")), F.col("tables")).alias("text"))

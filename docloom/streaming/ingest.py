@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom import profiles as P
-from docloom.operators.chunking import chunk_pages
+from docloom.operators.chunking import chunk_pages, extraction_policy
 from docloom.operators.pages import clean_pages
-from docloom.sources import readers
+from docloom.sources import pdf, readers
 
 N_PARTS = 64
 
@@ -21,13 +21,14 @@ N_PARTS = 64
 def file_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    return raw.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), readers.file_type(F.col("path")).alias("file_type"), "content")
+    return raw.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), readers.file_type(F.col("path")).alias("file_type"), F.col("length").alias("size"), "content")
 
 
 def chunks_of_files(files: DataFrame, domain: str = "general", profile: P.ChunkProfile = P.FINANCE) -> DataFrame:
-    """The batch pipeline from files to numbered chunks."""
+    """The batch pipeline from files to numbered chunks. PDF files (``size``: theirs) give pages where a library for them is there."""
     pages = readers.read_pages(files)
-    cleaned = clean_pages(pages.where("file_type = 'html'").drop("file_type"))
+    scanned = files.where("file_type = 'pdf'").withColumn("policy", extraction_policy(F.col("file_type"), F.lit(domain), F.col("size"), F.col("path"))).select("doc_id", "content", "policy.*")
+    cleaned = clean_pages(pages.where("file_type = 'html'").drop("file_type").unionByName(pdf.pages_with_tables(scanned)))
     plain = pages.where("file_type = 'txt'").select("doc_id", "page_no", "text", readers_section("text"))
     return chunk_pages(cleaned.unionByName(plain).withColumns({"title": F.col("doc_id"), "domain": F.lit(domain)}), profile)
 

@@ -11,7 +11,7 @@ from docloom.functions import text as T
 from docloom.operators import answers, chunking, merge, pages, ranking, reasoning, reports
 from docloom.plans import planner, prompts
 from docloom.plans.engine import Engine
-from docloom.sources import readers, sinks
+from docloom.sources import pdf, readers, sinks
 from docloom.streaming import ingest
 
 
@@ -527,3 +527,140 @@ def test_reports(spark, tmp_path):
 def test_tables_serialise(spark):
     rows = spark.createDataFrame([([["项目", None, " 金 \n额 "], ["", None, " "], ["甲", "1", "2"]],)], "t array<array<string>>")
     assert rows.select(readers.serialize_table(F.col("t")).alias("s")).first()["s"] == "项目 |  | 金 额\n甲 | 1 | 2"
+
+
+# ------------------------------------------------------------------ PDF files, cases, full documents, cascades
+PDF_STUB = """
+import time
+
+class Page:
+    def __init__(self, text): self.text = text
+    def get_text(self, kind="text"): return self.text.split("|T|")[0]
+    extract_text = get_text
+    def get_images(self, full=True): return []
+    def extract_tables(self): return [[c.split(",") for c in t.split(";")] for t in self.text.split("|T|")[1:]]
+    def find_tables(self):
+        if NO_TABLES in self.text: raise RuntimeError
+        return type("Found", (), {"tables": [type("Table", (), {"extract": lambda self, t=t: t})() for t in self.extract_tables()]})()
+
+class Pdf(list):
+    pages = property(lambda self: self)
+    def __enter__(self): return self
+    def __exit__(self, *a): return False
+
+NO_TABLES = "no-fast-tables"
+BROKEN = ("broken", "fast-broken") if __name__ == "fitz" else ("broken",)
+
+def open(source=None, stream=None, filetype=None):
+    text = (stream if stream is not None else source.read()).decode()
+    if text.split(" ")[0] in BROKEN: raise ValueError(text)
+    if text.startswith("slow") and __name__ == "fitz": time.sleep(30)
+    return Pdf(Page(p) for p in text.split("\\f"))
+"""
+
+
+@pytest.fixture(scope="module")
+def pdf_stubs(spark, tmp_path_factory):
+    """Stand-ins for the two PDF libraries: pages are split by form feeds, tables follow ``|T|``."""
+    for name in ("fitz", "pdfplumber"):
+        path = tmp_path_factory.mktemp("stub") / f"{name}.py"
+        path.write_text(PDF_STUB)
+        spark.sparkContext.addPyFile(str(path))
+
+
+def test_pdf_pages_tables_and_errors(spark, pdf_stubs):
+    files = [("a", b"one|T|x,1;y,2\fno two", False, True), ("b", b"broken", False, True), ("c", b"fast-broken file", False, False), ("d", b"slow", False, False), ("e", b"no-fast-tables|T|z,3", False, True), ("f", b"p|T|q,4", True, True), ("g", None, False, False)]
+    files = spark.createDataFrame(files, "doc_id string, content binary, plumber boolean, table_recovery boolean")
+    got = {}
+    for r in pdf.read_pdf_pages(files, timeout=1).collect():
+        got.setdefault(r["doc_id"], []).append((r["page_no"], r["text"], r["tables"], r["error"]))
+    assert sorted(got.pop("a")) == [(1, "one", ["x | 1\ny | 2"], None), (2, "no two", [], None)]
+    assert got.pop("b") == [(None, None, [], "process_exception_ValueError")] and got.pop("d") == [(None, None, [], "subprocess_timeout_1s")]
+    # the second library takes over where the first fails or finds no table
+    assert got.pop("c") == [(1, "fast-broken file", [], None)] and got.pop("e") == [(1, "no-fast-tables", ["z | 3"], None)] and got.pop("f") == [(1, "p", ["q | 4"], None)]
+    assert got == {"g": [(1, "", [], None)]}
+    plain = spark.createDataFrame([("h", "txt", b"hi \xff"), ("i", "pdf", b"1\f2"), ("j", "pdf", b"broken"), ("k", "unknown", b"x"), ("l", "txt", None), ("m", None, b"y")], "doc_id string, file_type string, content binary")
+    assert {r["doc_id"]: r["text"] for r in pdf.best_effort_text(plain).collect()} == {"h": "hi ", "i": "1\n2", "j": "", "k": "", "l": "", "m": ""}
+    assert pdf.read_pdf_pages(files.limit(0)).count() == 0
+
+
+def test_ingest_reads_pdf_files(spark, tmp_path, pdf_stubs):
+    (tmp_path / "insurance").mkdir()
+    (tmp_path / "insurance" / "good.pdf").write_bytes("第一条 本合同等待期为90天，自合同生效日起计算。|T|项目,金额;给付,100\f第二条 身故保险金按基本保险金额给付。".encode())
+    (tmp_path / "insurance" / "bad.pdf").write_bytes(b"broken")
+    documents, chunks = Engine(spark).ingest(str(tmp_path))
+    status = {r["doc_id"]: (r["status"], r["page_count"]) for r in documents.collect()}
+    assert status == {"good": ("done", 2), "bad": ("failed", 1)}
+    texts = [r["chunk_text"] for r in chunks.where("doc_id = 'good'").orderBy("chunk_ord").collect()]
+    assert any("等待期" in t for t in texts) and any(t.startswith(P.TABLE_MARK) and "给付 | 100" in t for t in texts)
+    ingest.ingest(spark, str(tmp_path / "insurance"), f"{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination(60)
+    streamed = spark.read.parquet(f"{tmp_path}/table")
+    assert {r["chunk_text"] for r in streamed.collect()} == set(texts) and {r["doc_id"] for r in streamed.select("doc_id").collect()} == {"good"}
+    policy = lambda **k: one(spark, chunking.extraction_policy(F.lit("pdf"), F.lit("financial_reports"), F.lit(1), F.lit("x"), **k)["table_recovery"], t="")
+    assert policy() and not policy(reports=False)
+
+
+def test_cases_run_once_each(spark):
+    c = chunks_of(spark, chunk(1, "p1", "第一条 本合同等待期为90天，自合同生效日起计算。", section="保险责任", clause="第一条", kind="clause", domain="insurance", title="甲保险"))
+    schema = "qid string, domain string, split string, question string, options map<string,string>, answer_format string, type string, doc_ids array<string>"
+    options = {"A": "等待期为90天", "B": "等待期为365天"}
+    rows = [("q1", "insurance", "A", "等待期", options, "mcq", "t", ["p1"]), ("q1", "insurance", "A", "等待期", options, "multi", "t", ["p1", "gone"]), ("q2", None, "A", None, options, "mcq", "t", ["p1"]), ("q3", "insurance", "A", "x", {}, "mcq", "t", ["p1"]), ("q4", "insurance", "A", "x", options, "MCQ", "t", None)]
+    questions = spark.createDataFrame(rows, schema).coalesce(1)
+    got = Engine(spark).run_cases(questions, c, c.select("doc_id")).orderBy("row").collect()
+    assert [(r["qid"], r["status"], r["answer"]) for r in got] == [("q1", "PASS", "A"), ("q1", "WARN", "A"), ("q2", "FAIL", "A"), ("q3", "FAIL", None), ("q4", "FAIL", "A")]
+    assert got[0]["preview"] and got[0]["n_chunks"] == 1 and got[1]["missing_doc_ids"] == ["gone"] and got[1]["candidate_doc_ids"] == ["p1"] and "duplicate_qid" in got[1]["all_issues"]
+    assert "candidate_doc_ids_empty" in got[4]["all_issues"] and got[4]["n_chunks"] == 1
+    assert Engine(spark).run_cases(questions.limit(0), c, c.select("doc_id")).count() == 0
+
+
+def test_diagnosis_of_listed_questions(spark):
+    c = chunks_of(spark, chunk(1, "p1", "第一条 本合同等待期为90天，自合同生效日起计算。", section="保险责任", clause="第一条", kind="clause", domain="insurance", title="甲保险"))
+    q = questions_of(spark, ("q1", "等待期为多少天", ["等待期为90天", "等待期为365天"], "mcq", ["p1"]), ("q2", "等待期", ["甲", "乙"], "mcq", ["p1"]))
+    gold = spark.createDataFrame([("q1", "B"), ("q2", "A")], "qid string, answer string")
+    out = Engine(spark).diagnose(q, c, ["q1"], gold)
+    assert [tuple(r) for r in out["differences"].collect()] == [("q1", "B", "A")]
+    assert {r["qid"] for r in out["results"].collect()} == {"q1"}
+
+
+def test_prompts_over_full_documents(spark):
+    c = chunks_of(spark, chunk(1, "d", "a" * 150, page=1), chunk(2, "d", "b" * 150, page=2), chunk(3, "d", "c", page=3), chunk(1, "e", "x" * 40), chunk(2, "e", "y" * 40), chunk(1, "f", None))
+    got = {r["doc_id"]: tuple(r)[1:] for r in answers.full_texts(c, 260).collect()}
+    assert got == {"d": ("a" * 150 + "\n" + "b" * 110 + answers.CUT_MARK, 3, 301, 150), "e": ("x" * 40 + "\n" + "y" * 40, 2, 80, 80), "f": ("", 1, 0, 0)}
+    assert {r["doc_id"]: r["full_text"] for r in answers.full_texts(c, 200).collect()}["d"] == "a" * 150  # too little is left for a part
+    q = questions_of(spark, ("1", "问", ["甲", "乙"], "multi", ["e", "none"]), ("2", None, ["甲"], "mcq", None))
+    users = {r["qid"]: r["user"] for r in answers.document_prompts(q, answers.full_texts(c)).collect()}
+    assert "=== 文档 e（2个chunk，80字符，展示80字符）===\n" + "x" * 40 in users["1"] and users["1"].index("文档 e") < users["1"].index("文档 none（无预处理数据）") and "A. 甲\nB. 乙" in users["1"] and "2" in users
+    results = spark.createDataFrame([("1", "B", "reject"), ("1", "A", "support")], "qid string, option string, verdict string")
+    block = answers.prejudgments(results)
+    assert "选项A：本地初判=support\n- 选项B：本地初判=reject" in block.first()["prejudgment"] and answers.prejudgments(results.limit(0)).count() == 0
+    rendered = answers.render_prompts(q.withColumns({"domain": F.lit("insurance"), "evidence_text": F.lit("据")}).join(block, "qid", "left"), prompts.default_templates(spark))
+    users = {r["qid"]: r["user"] for r in rendered.collect()}
+    assert "本地初判=support" in users["1"]
+
+
+def test_what_tests_left_goes_with_all_that_names_it(spark):
+    make = spark.createDataFrame
+    tables = {
+        "documents": make([("t", "C:\\Temp\\pytest-of-me\\x"), ("k", "/data/k"), (None, None)], "doc_id string, source_path string"),
+        "chunks": make([("t", "1"), ("k", "2")], "doc_id string, chunk_id string"),
+        "results": make([("r1", "x1", ["t"]), ("fc_a_1", "x2", ["t", "k"]), ("Test-1", "x3", ["u"]), ("test-2", "x4", ["o"]), ("fin_a_2", "x5", ["k"]), (None, None, None)], "qid string, task_id string, doc_ids array<string>"),
+        "tasks": make([("question", "x1", "r1", None), ("question", "x2", "fc_a_1", None), ("question", "y", "Test-1", None), ("question", "z", "fin_a_2", None), ("preprocess", "p", None, "t"), ("preprocess", "q", None, "k"), (None, None, None, None)], "type string, task_id string, qid string, doc_id string"),
+        "evidence": make([("r1", ["k"]), ("fc_a_1", ["k"]), ("other", ["t"]), ("debug-1", []), ("test-2", ["o"])], "qid string, doc_ids array<string>"),
+        "answers": make([("r1", "A"), ("fc_a_1", "B"), ("Test-1", "C")], "qid string, answer string"),
+        "more": make([("r1",)], "qid string"),
+    }
+    out = merge.delete_cascade(tables, make([("o",), ("k",)], "doc_id string"))
+    ids = lambda name, c: sorted(str(r[c]) for r in out[name].collect())
+    assert ids("documents", "doc_id") == ["None", "k"] and ids("chunks", "doc_id") == ["k"]
+    assert ids("results", "qid") == ["None", "fin_a_2", "test-2"]
+    assert ids("tasks", "task_id") == ["None", "q", "z"]
+    assert ids("evidence", "qid") == ["fc_a_1", "test-2"] and ids("answers", "qid") == ["fc_a_1"] and out["more"].count() == 1
+    named = make([([("a",), (None,), ("b",)], [(["c", "a"],)])], "evidence array<struct<doc_id:string>>, facts array<struct<doc_ids:array<string>>>")
+    assert named.select(merge.named_documents(F.col("evidence"), F.col("facts"))).first()[0] == ["a", "b", "c"]
+
+
+def test_documents_without_chunks_are_listed(spark):
+    manifest = spark.createDataFrame([("a", "done"), ("b", None), ("c", "failed"), (None, "done"), ("d", "done")], "doc_id string, status string")
+    chunks = spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "doc_id string")
+    assert tuple(reports.corpus_assets(manifest, chunks, sample=1).first()) == (3, 2, 2, ["b"])
+    assert tuple(reports.corpus_assets(manifest.limit(0), chunks.limit(0)).first()) == (0, 0, 0, [])

@@ -2,6 +2,10 @@
 
 Every stage reads what its predecessor wrote as Parquet and works on all of it. All stages but the last
 return the columns of ``documents``.
+
+Defined results: a null or empty text is graded like any other and is no copy of anything; the third stage drops it, as it drops texts that consist of
+repeated passages only; very long texts go through whole; of rows with equal or near-equal texts one stays, rows that share an id but not a text are judged apart; columns
+other than those of ``documents`` are dropped at once; an empty table, or one of which nothing is kept, gives an empty table.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ every document is scored.
 
 Defined results: a null or empty text has only the bin features and gets a score like any other;
 ratings that are null, or whose document is missing, are left out of the fit; several ratings of a
-document each count; without any rating the weights are zero and grades equally likely; repeated rows each give a row; an
-empty table gives an empty table; other columns are ignored.
+document each count; without any rating the weights are zero and grades equally likely; very long texts are whole; a row without an id is scored too;
+repeated rows each give a row; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ each task, so only ``buckets`` rows a task are shuffled, and texts are never shu
 trusted (then they are joined by shuffle). Scoring is a projection.
 
 Defined results: a null or empty text has no words, all counts zero, ratio null, and fails the base rules; a text of one
-word has one unigram and no bigram; repeated rows each give a row; without trusted documents all ratios are zero and pass; an
+word has one unigram and no bigram; very long texts are whole; a row without an id is no trusted one; repeated rows each give a row; without trusted documents all ratios are zero and pass; an
 empty table gives an empty table; other columns are ignored.
 """
 

@@ -10,7 +10,8 @@ Texts are cut at single blanks between two characters that are not white space:
 no pre-token continues over such a place, so the pieces' counts add up exactly.
 A bounded table keeps the counts of recent pieces.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
+Defined results: a null text counts as empty (0 bytes, 0 tokens); very long texts are
+counted whole; a row without an id keeps its null; repeated rows
 each give a row; an empty table gives an empty table; other columns are ignored.
 """
 

@@ -2,11 +2,13 @@
 
 Pieces come from a sentencepiece model file. A unigram model's log scores are used as they are; a merge-ranked model
 states ranks instead, which become Zipf log scores, -ln(rank + 1). A character that no piece covers costs ten less than the
-lowest score and is written as byte pieces. Blanks are written as the marker U+2581, one is put in front of a text, and
-decoding turns them back; a literal U+2581 in a text therefore decodes to a blank.
+lowest score and is written as byte pieces. A user-defined piece scores the highest score for each of its bytes, less a tenth. Blanks are
+written as the marker U+2581, one is put in front of a text unless the model says not to, and
+decoding turns them back; a literal U+2581 in a text therefore decodes to a blank. A model that rewrites characters, drops blanks or puts the marker
+behind words is refused when it is loaded.
 
-No piece has a marker after another character, so the best path of a text is the best paths of its parts between such
-places, one after another. The parts' paths are kept in a bounded table.
+Where no piece has a marker after another character (checked at load), the best path of a text is the best paths of its parts between such
+places, one after another; otherwise a text is one part. The parts' paths are kept in a bounded table.
 
 Defined results: a null text counts as empty, which has no pieces; ties go to the longer last piece; repeated rows each
 give a row; an empty table gives an empty table; other columns are ignored; very long texts take time and memory in proportion to
@@ -30,7 +32,7 @@ from .bpe import read_bytes
 from .common import Interner, docs_text, ranges, slices, utf8_buffers
 
 MARKER = "▁"
-_NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
+_NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM = 1
 #: Parts and ids of a worker's table of paths; it is emptied when full and lives as long as the worker.
 CACHE_ENTRIES, CACHE_IDS = 800_000, 8_000_000
@@ -92,6 +94,15 @@ def read_pieces(data: bytes) -> list[Piece]:
     return [Piece(p.text, score.get(i, 0.0), p.kind) for i, p in enumerate(pieces)]
 
 
+def read_prefix(data: bytes) -> bool:
+    """Whether a model file puts a marker in front of a text; an error if it asks for what is not done here."""
+    spec = dict(f for number, value in _fields(data) if number == 3 for f in _fields(value))
+    trainer = dict(f for number, value in _fields(data) if number == 2 for f in _fields(value))
+    if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("only models without character rules that keep all blanks and mark them in front of words can be read")
+    return bool(spec.get(3, 1))
+
+
 class DoubleArray:
     """A trie over bytes in two integer arrays: child of s by byte c is base[s] + c, if check there is s."""
 
@@ -155,17 +166,22 @@ class UnigramCoder:
     def __init__(self, data: bytes, cache_entries: int = CACHE_ENTRIES):
         self.pieces = read_pieces(data)
         self.cache_entries = cache_entries
-        normal = [i for i, p in enumerate(self.pieces) if p.kind == _NORMAL]
-        self.trie = DoubleArray([self.pieces[i].text.encode("utf-8") for i in normal])
-        self.number = normal
-        self.scores = [self.pieces[i].score for i in normal]
-        self.unknown_score = min(self.scores) - 10.0
+        self.front = MARKER if read_prefix(data) else ""
+        found = [i for i, p in enumerate(self.pieces) if p.kind in (_NORMAL, _USER)]
+        keys = [self.pieces[i].text.encode("utf-8") for i in found]
+        self.trie = DoubleArray(keys)
+        self.number = found
+        normal = [p.score for p in self.pieces if p.kind == _NORMAL]
+        most = max(normal)
+        self.scores = [self.pieces[i].score if self.pieces[i].kind == _NORMAL else len(key) * most - 0.1 for i, key in zip(found, keys, strict=True)]
+        self.unknown_score = min(normal) - 10.0
+        self.cuts = not any(MARKER in self.pieces[i].text.lstrip(MARKER) for i in found)
         self.bytes = [0] * 256
         for i, p in enumerate(self.pieces):
             if p.kind == _BYTE:
                 self.bytes[int(p.text[3:5], 16)] = i
         self.is_byte = np.array([p.kind == _BYTE for p in self.pieces])
-        raw = [bytes([int(p.text[3:5], 16)]) if p.kind == _BYTE else p.text.replace(MARKER, " ").encode("utf-8") if p.kind == _NORMAL else b"" for p in self.pieces]
+        raw = [bytes([int(p.text[3:5], 16)]) if p.kind == _BYTE else p.text.replace(MARKER, " ").encode("utf-8") if p.kind in (_NORMAL, _USER) else b"" for p in self.pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_size = np.array([len(r) for r in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
@@ -241,9 +257,10 @@ class UnigramCoder:
     def parts(self, text: str) -> list[str]:
         if not text:
             return []
-        if "  " not in text and text[0] != " " and MARKER not in text:
+        if self.cuts and self.front and "  " not in text and text[0] != " " and MARKER not in text:
             return list(map(MARKER.__add__, text.split(" ")))
-        return _PARTS.findall(MARKER + text.replace(" ", MARKER))
+        marked = self.front + text.replace(" ", MARKER)
+        return _PARTS.findall(marked) if self.cuts else [marked]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and each text's offsets."""
@@ -263,10 +280,10 @@ class UnigramCoder:
         return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 bytes, markers as blanks, without the one put in front."""
+        """UTF-8 bytes, markers as blanks, without the one put in front, if the model has one."""
         ids = np.asarray(ids, np.int64)
         out = self.raw[ranges(self.raw_start[ids], self.raw_size[ids])].tobytes()
-        return out[1:] if out[:1] == b" " else out
+        return out[1:] if self.front and out[:1] == b" " else out
 
 
 _coders: dict[bytes, UnigramCoder] = {}

@@ -74,6 +74,14 @@ def test_whole_run_equals_the_stages(spark, folder):
     assert all(n == 2048 or n & (n - 1) == 0 for n in fill.values()) and np.mean(list(fill.values())) > 0
 
 
+def test_an_empty_table_and_one_of_which_nothing_is_kept(spark, folder, tmp_path):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    for name, rows in (("none", docs.limit(0)), ("blank", docs.limit(3).withColumn("text", F.when(F.col("doc_id") > 0, F.lit(" "))))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert C.run(spark, f"{tmp_path}/{name}").collect() == []
+
+
 def test_registered_queries():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")][0].startswith("op1_") and len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names

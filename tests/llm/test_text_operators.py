@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from docloom.llm import audio as A
-from docloom.llm import bpe, packing, quality_model, quality_rules, secret_scan, token_counts, unigram, url_filter
+from docloom.llm import bpe, common, near_dedup, packing, quality_model, quality_rules, secret_scan, substring_dedup, token_counts, unigram, url_filter
 from docloom.llm import queries as Q
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -446,6 +446,46 @@ def test_viterbi_equals_sentencepiece(pieces, corpus):
         assert mine == theirs or abs(value(mine) - value(theirs)) < 1e-2  # float32 ties
 
 
+def changed_model(path, change):
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = pb.ModelProto()
+    model.ParseFromString(bpe.read_bytes(path))
+    model.trainer_spec.model_type = 1
+    for p, q in zip(model.pieces, unigram.read_pieces(bpe.read_bytes(path)), strict=True):
+        p.score = q.score
+    change(model)
+    return model.SerializeToString()
+
+
+def test_user_defined_pieces_equal_sentencepiece(pieces):
+    """Also pieces with a marker inside, over which texts cannot be cut."""
+    spm = pytest.importorskip("sentencepiece")
+
+    def change(model):
+        normal = [p for p in model.pieces if p.type == 1]
+        for p, text in zip(normal[-4:], ["<sep>", "of▁the", "▁New▁York", "日本"], strict=True):
+            p.piece, p.type = text, 4
+
+    data = changed_model(pieces[0], change)
+    coder, library = unigram.UnigramCoder(data), spm.SentencePieceProcessor(model_proto=data)
+    assert not coder.cuts and pieces[1].cuts
+    for t in ["a<sep>b", "one of the New York papers", "日本語<sep><sep>", "of  the", "New York", ""]:
+        assert coder.encode(t) == library.encode(t)
+        assert coder.decode(coder.encode(t)).decode() == t
+    assert unigram.MARKER + "New" + unigram.MARKER + "York" in [coder.pieces[i].text for i in coder.encode("in New York")]
+
+
+def test_models_with_other_rules(pieces):
+    spm = pytest.importorskip("sentencepiece")
+    bare = changed_model(pieces[0], lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False))
+    coder, library = unigram.UnigramCoder(bare), spm.SentencePieceProcessor(model_proto=bare)
+    for t in ["hello there", " x", "  two", "日 本"]:
+        assert coder.encode(t) == library.encode(t) and coder.decode(coder.encode(t)).decode() == t
+    for change in (lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), lambda m: setattr(m.trainer_spec, "treat_whitespace_as_suffix", True)):
+        with pytest.raises(ValueError, match="only models"):
+            unigram.UnigramCoder(changed_model(pieces[0], change))
+
+
 def test_pieces_round_trip(spark, docs, corpus, pieces):
     path, _ = pieces
     coded = unigram.encode_pieces(docs, path)
@@ -502,6 +542,83 @@ def test_gradient_step_lowers_the_loss():
     assert ((tails > 0.5).sum(axis=1) == grade).mean() == 1.0
 
 
+def test_the_fit_is_a_minimum_by_brute_force():
+    """No step along any weight or threshold lowers the penalised loss, computed plainly."""
+    rng = random.Random(6)
+    own = [sorted(rng.sample(range(8), 3)) for _ in range(120)]
+    grade = np.array([min(2, max(0, round(sum(b < 4 for b in x) - 0.5 + rng.random() - 0.5))) for x in own])
+    l2 = 0.6
+    model = quality_model.fit_ordinal(np.repeat(np.arange(120), 3), np.concatenate(own), grade, 3, rounds=3000, l2=l2)
+
+    def loss(w, theta):
+        total = l2 / 2 * sum(x * x for x in w)
+        for x, g in zip(own, grade, strict=True):
+            below = [0.0, *(1 / (1 + np.exp(sum(w[b] for b in x) - t)) for t in theta), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total
+
+    w, theta = model.weights[:8].astype(float), model.thresholds
+    assert not model.weights[8:].any() and np.all(np.diff(theta) > 0)
+    best = loss(w, theta)
+    for params in (w, theta):
+        for k in range(len(params)):
+            for step in (-0.05, 0.05):
+                params[k] += step
+                assert loss(w, theta) > best
+                params[k] -= step
+
+
+def brute_features(text):
+    """Buckets of one text, word by word."""
+    one = lambda b: int(common.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]) & ((1 << 40) - 1)
+    mix = lambda x: int(common.mix(np.array([x & ((1 << 64) - 1)], np.uint64))[0])
+    words = [w.encode() for w in WORDS.findall(text)]
+    low = {one(re.sub(rb"[A-Z]", lambda m: m[0].lower(), w)) for w in words}
+    shape = lambda w: re.sub(rb"([aA0])\1+", rb"\1", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[A-Z]", b"A", re.sub(rb"[0-9]", b"0", w))))
+    shapes = Counter(one(shape(w)) for w in words)
+    repeat = 10 * (len(words) - len(low)) // len(words) if words else 10
+    n = quality_model.BUCKETS
+    out = {mix(h) % n for h in low} | {mix(mix(repeat + int(quality_model._REPEAT_SALT))) % n}
+    return out | {mix(h ^ mix(int(np.ceil(np.log2(len(words) / c))) + int(quality_model._SHAPE_SALT))) % n for h, c in shapes.items()}
+
+
+def test_features_and_scores_equal_brute_force(spark, docs, corpus):
+    texts = [t or "" for _, t in corpus] + ["A1b2!!x THE the The", "ééÉ 12,345.6 --"]
+    import pyarrow as pa
+
+    doc, bucket = quality_model.features(*common.utf8_buffers(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert set(bucket[doc == i].tolist()) == brute_features(t)
+    weights = np.random.default_rng(3).normal(size=quality_model.BUCKETS).astype(np.float32) / 50
+    model = quality_model.OrdinalModel(weights, np.array([-0.3, 0.4]))
+    got = collect(quality_model.score(docs, model, 2))
+    for d, t in corpus:
+        s = sum(float(weights[b]) for b in brute_features(t or ""))
+        tails = [1 / (1 + np.exp(c - s)) for c in (-0.3, 0.4)]
+        assert abs(got[d]["expected_grade"] - sum(tails)) < 1e-5 and abs(got[d]["tail_probability"] - tails[1]) < 1e-5 and got[d]["kept"] == (tails[1] >= 0.5)
+
+
+# ------------------------------------------------------------------ rows without an id, repeated rows, texts of several megabytes
+def test_odd_rows_go_through_every_operator(spark, vocabularies):
+    long = " ".join(f"w{i % 5000}" for i in range(500_000))
+    rows = [(None, "a row without an id, with words enough to be judged by all rules here"), (None, None), (1, "same row"), (1, "same row"), (2, ""), (3, long)]
+    docs = spark.createDataFrame([(*r, 0, "c") for r in rows], "doc_id long, text string, kept int, words string").repartition(2)
+    model = quality_model.OrdinalModel(np.zeros(quality_model.BUCKETS, np.float32), np.array([-0.5, 0.5]))
+    results = {
+        "secrets": secret_scan.scan_secrets(docs), "tokens": token_counts.count_tokens(docs, str(vocabularies.path("byte_bpe_50k.json"))), "pieces": unigram.encode_pieces(docs, str(vocabularies.path("piece_bpe_32k.model"))),
+        "grades": quality_model.score(docs, model, 2), "rules": quality_rules.rate_quality(docs, docs.select("doc_id")), "groups": near_dedup.near_duplicate_groups(docs), "passages": substring_dedup.dedup_substrings(docs), "media": A.describe_media(docs),
+    }
+    found = {name: df.collect() for name, df in results.items()}
+    for name, out in found.items():
+        assert sorted(str(r["doc_id"]) for r in out) == ["1", "1", "2", "3", "None", "None"], name
+    of = lambda name, column, d=3: {r[column] for r in found[name] if r["doc_id"] == d}
+    assert of("tokens", "n_bytes") == {len(long)} and of("rules", "n_words") == {500_000} and of("passages", "n_removed") == {500_000} and of("pieces", "round_trip") == {True}
+    assert of("groups", "n_shingles") == {5000} and of("groups", "component_id", 1) == {1}
+    packed = packing.pack_documents(docs, str(vocabularies.path("word_bpe_49k.json"))).collect()
+    assert {r["doc_id"] for r in packed} == {None, 1, 2, 3}
+    assert sum(r["length"] for r in packed if r["doc_id"] == 3) == next(r["doc_tokens"] for r in packed if r["doc_id"] == 3)
+
+
 # ------------------------------------------------------------------ rules
 def brute_rules(rows, trusted, buckets, min_ratio):
     h = lambda s: xxhash.xxh64_intdigest(s.encode(), seed=42)

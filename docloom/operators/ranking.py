@@ -1,7 +1,7 @@
 """Ranking of chunks and documents for all questions at once.
 
-Statistics belong to each question's candidate set. Only query tokens matter for them, so postings are joined with
-the questions' tokens before anything is counted: sizes grow with matches, not with the vocabulary.
+Statistics belong to each question's candidate set. Sizes of those sets are sums over documents and domains, and only postings of
+tokens that questions hold are counted: what is shuffled grows with matches, not with the vocabulary or with questions times chunks.
 """
 
 from __future__ import annotations
@@ -24,23 +24,66 @@ def prepare_chunks(chunks: DataFrame) -> DataFrame:
     return out.withColumns({"norm_domain": T.normalize_domain(F.col("domain")), "search_text": T.search_form(F.concat_ws(" ", *[F.coalesce(f, empty) for f in FIELDS])), "section_key": F.coalesce(T.null_if_empty(F.col("section_path")), T.null_if_empty(F.col("title")), F.col("chunk_id"))})
 
 
-def candidates(contexts: DataFrame, prepared: DataFrame) -> DataFrame:
-    """``qid, domain`` (resolved) and the chunks each question may use.
+#: Distinct tokens of questions up to which their list is broadcast.
+BROADCAST_TOKENS = 200_000
+#: Questions without documents that one pass over the corpus ranks; more of them take further passes.
+QUESTION_BLOCK = 500
+
+
+def _names_documents() -> Column:
+    return F.coalesce(F.size("doc_ids"), F.lit(0)) > 0
+
+
+def _in_domain() -> Column:
+    return F.col("only_domain").isNull() | (F.col("norm_domain") == F.col("only_domain"))
+
+
+def resolve_domains(contexts: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The contexts with ``q_domain`` and ``only_domain``, the domain that candidates must have (null: any).
 
-    Chunks of its documents (all, if it names none); of those the ones of its domain, unless there are none. A question without
-    a domain takes the most frequent of its chunks, the first where equal.
+    A question without a domain takes the most frequent of its documents' chunks (of all chunks, if it names none), the first where equal. A domain that no
+    such chunk has restricts nothing. Only counts by document and domain are joined, never chunks. Questions without an id are dropped.
     """
-    named = contexts.where(F.coalesce(F.size("doc_ids"), F.lit(0)) > 0).select("qid", F.col("domain").alias("q_domain"), F.explode(F.array_distinct("doc_ids")).alias("doc_id"))
-    open_ = contexts.where(F.coalesce(F.size("doc_ids"), F.lit(0)) == 0).select("qid", F.col("domain").alias("q_domain"))
-    ids = prepared.select("doc_id", "chunk_id", "chunk_ord", "norm_domain", F.coalesce("domain", F.lit("")).alias("domain"))
-    # a question without documents ranges over the corpus: every chunk is a candidate, as asked for
-    pairs = named.join(ids, "doc_id").select("qid", "q_domain", "doc_id", "chunk_id", "chunk_ord", "norm_domain", "domain").unionByName(open_.join(ids, F.lit(True)).select("qid", "q_domain", "doc_id", "chunk_id", "chunk_ord", "norm_domain", "domain"))
-    counted = pairs.where("domain != ''").groupBy("qid", "norm_domain").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_ord").alias("first"))
-    common = counted.groupBy("qid").agg(F.max(F.struct("n", (-F.col("first")).alias("minus"), "norm_domain"))["norm_domain"].alias("common"))
-    pairs = pairs.join(common, "qid", "left").withColumn("q_domain", F.when(T.normalize_domain(F.col("q_domain")) == "general", F.coalesce("common", F.lit("general"))).otherwise(T.normalize_domain(F.col("q_domain"))))
-    match = (F.col("q_domain") == "general") | (F.col("norm_domain") == F.col("q_domain"))
-    some = pairs.groupBy("qid").agg(F.max(match).alias("some"))
-    return pairs.join(some, "qid").where(match | ~F.col("some")).select("qid", "q_domain", "doc_id", "chunk_id", "chunk_ord")
+    named_domain = F.coalesce("domain", F.lit("")) != ""
+    of_docs = prepared.groupBy("doc_id", "norm_domain").agg(F.count_if(named_domain).alias("n"), F.min(F.when(named_domain, F.col("chunk_ord"))).alias("first"))
+    sums = [F.sum("n").alias("n"), F.min("first").alias("first")]
+    common = F.max(F.when(F.col("n") > 0, F.struct("n", (-F.col("first")).alias("minus"), "norm_domain")))["norm_domain"]
+    own = contexts.where(_names_documents()).select("qid", F.explode(F.array_distinct("doc_ids")).alias("doc_id")).join(of_docs, "doc_id").groupBy("qid", "norm_domain").agg(*sums)
+    every = of_docs.groupBy("norm_domain").agg(*sums)
+    asked = contexts.where("qid is not null").join(own.groupBy("qid").agg(common.alias("own")), "qid", "left").join(F.broadcast(every.agg(common.alias("every"))), F.lit(True))  # one row
+    given = T.normalize_domain(F.col("domain"))
+    asked = asked.withColumn("q_domain", F.when(given == "general", F.coalesce(F.when(_names_documents(), F.col("own")).otherwise(F.col("every")), F.lit("general"))).otherwise(given))
+    asked = asked.join(own.select("qid", F.col("norm_domain").alias("q_domain"), F.lit(True).alias("in_own")), ["qid", "q_domain"], "left")
+    asked = asked.join(every.select(F.col("norm_domain").alias("q_domain"), F.lit(True).alias("in_every")), "q_domain", "left")
+    present = F.when(_names_documents(), F.col("in_own")).otherwise(F.col("in_every"))
+    return asked.withColumn("only_domain", F.when((F.col("q_domain") != "general") & present, F.col("q_domain"))).drop("own", "every", "in_own", "in_every")
+
+
+def candidates(asked: DataFrame, rows: DataFrame, columns: list[str], base: DataFrame | None = None) -> DataFrame:
+    """Every chunk of ``rows`` a question may use: ``qid, q_domain``, ``columns`` of the question, the chunk's columns and, given ``base`` (``qid, chunk_id, base``), its score.
+
+    ``asked`` comes from ``resolve_domains``. Questions that name documents join their chunks by them. The others range over the corpus, since rules may rank
+    a chunk that shares no word with them: they are broadcast in blocks of about ``QUESTION_BLOCK``, chunks stream past a block with the scores they have, and
+    no pair is shuffled.
+    """
+    question = ["qid", "q_domain", "only_domain", *columns]
+    named = asked.where(_names_documents()).select(*question, F.explode(F.array_distinct("doc_ids")).alias("doc_id"))
+    out = named.join(rows, "doc_id").where(_in_domain())
+    if base is not None:
+        out = out.join(base, ["qid", "chunk_id"], "left")
+    open_ = asked.where(~_names_documents()).select(*question)
+    blocks = -(-open_.count() // QUESTION_BLOCK)
+    for i in range(blocks):
+        block = open_.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        near = rows
+        if base is not None:  # a chunk's scores for the block's questions travel in one map
+            scores = base.join(F.broadcast(block.select("qid")), "qid", "left_semi").groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("qid", "base"))).alias("bases"))
+            near = rows.join(scores, "chunk_id", "left")
+        near = near.join(F.broadcast(block), _in_domain())
+        if base is not None:
+            near = near.withColumn("base", F.try_element_at("bases", F.col("qid"))).drop("bases")
+        out = out.unionByName(near)
+    return out.drop("only_domain")
 
 
 def bm25(term_freq: Column, doc_freq: Column, n_docs: Column, length: Column, mean_length: Column) -> Column:
@@ -49,26 +92,39 @@ def bm25(term_freq: Column, doc_freq: Column, n_docs: Column, length: Column, me
     return idf * term_freq * (P.BM25_K1 + 1.0) / norm
 
 
-def base_scores(contexts: DataFrame, prepared: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``qid, chunk_id, base``: BM25 over title, section, clause and text, weighted, for candidates that share a token."""
-    sizes = [F.size(f"{f}_tokens").alias(f"len_{f}") for f in FIELDS]
-    lengths = pairs.select("qid", "chunk_id").join(prepared.select("chunk_id", *sizes), "chunk_id")
-    stats = lengths.groupBy("qid").agg(F.count(F.lit(1)).alias("n_docs"), *[F.when(F.sum(f"len_{f}") > 0, F.avg(f"len_{f}")).otherwise(1.0).alias(f"avg_{f}") for f in FIELDS])
+def base_scores(asked: DataFrame, prepared: DataFrame) -> DataFrame:
+    """``qid, chunk_id, base``: BM25 over title, section, clause and text, weighted, for candidates that share a token.
+
+    ``asked`` comes from ``resolve_domains``. Sizes of candidate sets are sums over documents and domains; postings are kept only of tokens that some question holds.
+    """
+    totals = {"n_docs": F.count(F.lit(1)), **{f"sum_{f}": F.sum(F.size(f"{f}_tokens")) for f in FIELDS}}
+    sizes = prepared.groupBy("doc_id", "norm_domain").agg(*[c.alias(n) for n, c in totals.items()])
+    sums = [F.sum(n).alias(n) for n in totals]
+    named = asked.where(_names_documents()).select("qid", "only_domain", "query_tokens", F.explode(F.array_distinct("doc_ids")).alias("doc_id"))
+    open_ = asked.where(~_names_documents()).select("qid", "only_domain", "query_tokens")
+    by_domain = sizes.groupBy(F.col("norm_domain").alias("pool")).agg(*sums)
+    pools = by_domain.unionByName(by_domain.agg(*sums).withColumn("pool", F.lit(None).cast("string")))
+    of_open = open_.join(F.broadcast(pools), F.col("only_domain").eqNullSafe(F.col("pool"))).select("qid", *totals)
+    stats = named.join(sizes, "doc_id").where(_in_domain()).groupBy("qid").agg(*sums).unionByName(of_open)
+    means = {f: F.when(F.col(f"sum_{f}") > 0, F.col(f"sum_{f}") / F.col("n_docs")).otherwise(1.0) for f in FIELDS}
+
+    wanted = asked.select(F.explode("query_tokens").alias("token")).distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else wanted
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("tokens")) for f in FIELDS])).alias("f")
-    postings = prepared.select("chunk_id", fields).select("chunk_id", "f.field", F.size("f.tokens").alias("length"), F.explode("f.tokens").alias("token")).groupBy("chunk_id", "field", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    wanted = contexts.select("qid", F.explode("query_tokens").alias("token"))
-    found = postings.join(wanted, "token").join(pairs.select("qid", "chunk_id"), ["qid", "chunk_id"])
+    place = ["chunk_id", "doc_id", "norm_domain"]
+    tokens = prepared.select(*place, fields).select(*place, "f.field", F.size("f.tokens").alias("length"), F.explode("f.tokens").alias("token")).join(wanted, "token", "left_semi")
+    postings = stored(tokens.groupBy(*place, "field", "length", "token").agg(F.count(F.lit(1)).alias("tf")), "question-postings")
+    hit = ["qid", "chunk_id", "field", "length", "token", "tf"]
+    in_docs = named.select("qid", "only_domain", "doc_id", F.explode("query_tokens").alias("token")).join(postings, ["doc_id", "token"]).where(_in_domain()).select(hit)
+    anywhere = open_.select("qid", "only_domain", F.explode("query_tokens").alias("token")).join(postings, "token").where(_in_domain()).select(hit)
+    found = in_docs.unionByName(anywhere)
     df = found.groupBy("qid", "field", "token").agg(F.count(F.lit(1)).alias("df"))
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in P.FIELD_WEIGHTS.items() for x in kv]), F.col("field"))
-    mean = F.coalesce(*[F.when(F.col("field") == f, F.col(f"avg_{f}")) for f in FIELDS])
+    mean = F.coalesce(*[F.when(F.col("field") == f, m) for f, m in means.items()])
     scored = found.join(df, ["qid", "field", "token"]).join(stats, "qid")
     return scored.groupBy("qid", "chunk_id").agg(F.sum(weight * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), mean)).alias("base"))
 
 
-#: Distinct tokens of questions up to which their list is broadcast.
-BROADCAST_TOKENS = 200_000
-
-
 def search(questions: DataFrame, rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], question_tokens: Column, top: int = P.TOP_CHUNKS) -> DataFrame:
     """``qid``, ``key``, ``score, rank``: the best rows of a whole corpus for every question, by BM25 over weighted ``fields`` (arrays of tokens).
 
@@ -129,9 +185,9 @@ CONTEXT = ["q_numbers", "q_refs", "section_terms", "exact_phrases", "high_value_
 
 def scored_candidates(contexts: DataFrame, prepared: DataFrame) -> DataFrame:
     """Every candidate with ``base``, ``boost`` and ``score``; ties go to the earlier chunk."""
-    pairs = candidates(contexts, prepared)
-    rows = pairs.join(base_scores(contexts, prepared, pairs), ["qid", "chunk_id"], "left").join(contexts.select("qid", *CONTEXT), "qid")
-    rows = rows.join(prepared.drop("doc_id", "chunk_ord", *[f"{f}_tokens" for f in FIELDS]), "chunk_id")
+    asked = stored(resolve_domains(contexts, prepared).select("qid", "q_domain", "only_domain", "doc_ids", "query_tokens", *CONTEXT), "asked")
+    base = stored(base_scores(asked, prepared), "base-scores")
+    rows = candidates(asked, prepared.drop(*[f"{f}_tokens" for f in FIELDS]), CONTEXT, base)
     out = rows.withColumn("base", F.coalesce("base", F.lit(0.0))).withColumn("boost", rule_boost())
     return out.withColumn("score", F.col("base") + F.col("boost"))
 
@@ -173,13 +229,14 @@ def matched_signals() -> Column:
 
 def rank_documents(contexts: DataFrame, prepared: DataFrame, top: int = P.TOP_DOCS) -> DataFrame:
     """``qid, doc_id, doc_score, doc_rank``: best chunk, a share of the next two, and small bonuses for signals and sections covered."""
-    scored = scored_candidates(contexts.withColumn("doc_ids", T.strings([])), prepared).withColumn("signals", matched_signals())
+    scored = scored_candidates(contexts.withColumn("doc_ids", T.strings([])), prepared)
     nth = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "chunk_ord"))
-    scored = scored.withColumn("nth", nth)
-    docs = scored.groupBy("qid", "doc_id").agg(
-        F.sum(F.when(F.col("nth") == 1, F.col("score")).when(F.col("nth") <= 3, 0.35 * F.col("score")).otherwise(0.0)).alias("top"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("n_signals"), F.countDistinct("section_key").alias("n_sections"), F.min("chunk_ord").alias("first"),
+    best = scored.select("qid", "doc_id", "chunk_ord", "score").withColumn("nth", nth).where(F.col("nth") <= 3)  # limited in each task before the shuffle
+    best = best.groupBy("qid", "doc_id").agg(F.sum(F.when(F.col("nth") == 1, F.col("score")).otherwise(0.35 * F.col("score"))).alias("top"))
+    covered = scored.select("qid", "doc_id", "chunk_ord", "section_key", matched_signals().alias("signals")).groupBy("qid", "doc_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("n_signals"), F.size(F.collect_set("section_key")).alias("n_sections"), F.min("chunk_ord").alias("first"),
     )
+    docs = best.join(covered, ["qid", "doc_id"])
     docs = docs.withColumn("doc_score", F.col("top") + 0.3 * F.col("n_signals") + 0.08 * F.col("n_sections"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("doc_score"), "first"))
     return docs.withColumn("doc_rank", rank).where(F.col("doc_rank") <= top).select("qid", "doc_id", "doc_score", "doc_rank")

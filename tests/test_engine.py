@@ -320,8 +320,7 @@ def test_bm25_equals_a_plain_model(spark):
     c = chunks_of(spark, *[chunk(i, f"d{i}", t) for i, t in enumerate(texts)])
     q = questions_of(spark, ("q", "现金流 abc", [], "mcq", []))
     ctx, prepared = contexts(q), ranking.prepare_chunks(c)
-    pairs = ranking.candidates(ctx, prepared)
-    got = {r["chunk_id"]: r["base"] for r in ranking.base_scores(ctx, prepared, pairs).collect()}
+    got = {r["chunk_id"]: r["base"] for r in ranking.base_scores(ranking.resolve_domains(ctx, prepared), prepared).collect()}
     tokens = [T.python_tokens(t) for t in texts]
     wanted = ctx.first()["query_tokens"]
     mean = max(sum(map(len, tokens)) / 4, 1)
@@ -337,10 +336,29 @@ def test_bm25_equals_a_plain_model(spark):
 def test_domain_filter_falls_back(spark):
     c = chunks_of(spark, chunk(1, "a", "保险责任说明", domain="insurance"), chunk(2, "b", "其他", domain="research"))
     q = questions_of(spark, ("ins", "保险责任", [], "mcq", []), ("fin", "票息条款", [], "mcq", ["b"]))
-    got = sorted((r["qid"], r["doc_id"]) for r in ranking.candidates(contexts(q), ranking.prepare_chunks(c)).collect())
+    prepared = ranking.prepare_chunks(c)
+    got = sorted((r["qid"], r["doc_id"]) for r in ranking.candidates(ranking.resolve_domains(contexts(q), prepared), prepared, []).collect())
     assert got == [("fin", "b"), ("ins", "a")]
 
 
+def test_questions_over_the_corpus_rank_like_those_that_name_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "QUESTION_BLOCK", 1)
+    rows = [chunk(1, "a", "保险责任与等待期90天", domain="insurance"), chunk(2, "a", "现金价值 2.5亿元", domain="insurance", kind="table"), chunk(3, "b", "第二条 营业收入增长", clause="第二条", domain="research"), chunk(4, "c", "营业收入 营业收入 现金流"), chunk(5, "c", "无关 目录")]
+    prepared = ranking.prepare_chunks(chunks_of(spark, *rows))
+    asked = [("保险责任等待期90天", ["90天"]), ("营业收入多少", ["2.5亿元"]), ("第二条规定了什么", []), ("什么", [])]
+    q = questions_of(spark, *[(f"{i}-{kind}", t, o, "mcq", d) for i, (t, o) in enumerate(asked) for kind, d in (("open", []), ("named", ["a", "b", "c", "c", "absent"]))])
+    scored = ranking.scored_candidates(contexts(q), prepared)
+    assert "Cartesian" not in scored._jdf.queryExecution().toString()
+    got = {}
+    for r in scored.collect():
+        got.setdefault(r["qid"], []).append((r["chunk_id"], r["q_domain"], round(r["base"], 9), round(r["boost"], 9)))
+    for i in range(len(asked)):
+        assert sorted(got[f"{i}-open"]) == sorted(got[f"{i}-named"]) != []
+    assert {c for c, *_ in got["0-open"]} == {"a-chunk-1", "a-chunk-2"} and any(b > 0 for _, _, b, _ in got["1-open"])
+    assert ranking.scored_candidates(contexts(q.limit(0)), prepared).collect() == []
+    assert ranking.scored_candidates(contexts(q), prepared.limit(0)).collect() == []
+
+
 def test_title_and_numeric_chunks_join(spark):
     c = chunks_of(spark, *[chunk(i, "d", f"第{i}段 金额{i}00亿元") for i in range(1, 9)])
     ranked = spark.createDataFrame([("q", "d-chunk-5", 1)], "qid string, chunk_id string, rank int")

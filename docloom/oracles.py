@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered queries that it can express.
 
 White space is ASCII on both sides here: the tables hold no other kind at line ends. Folds over produced
-rows are ``list_reduce`` over a list of states. The diversified choice and the main content of pages have no entry and are tested against plain Python.
+rows are ``list_reduce`` over a list of states; the diversified choice is a recursion over its steps. The main content of pages has no entry and is tested against plain Python.
 """
 
 from __future__ import annotations
@@ -155,6 +155,16 @@ f AS (SELECT conv_id, list_reduce(items, lambda a, b: CASE WHEN NOT b.opens AND
   ELSE {{'done': list_append(a.done, {{'l': a.l, 'n': a.n}}), 'l': b.l, 'n': 0::BIGINT, 'opens': b.opens}} END) AS r FROM t),
 d AS (SELECT conv_id, list_append(r.done, {{'l': r.l, 'n': r.n}}) AS chunks FROM f)
 SELECT CAST(conv_id AS VARCHAR) AS doc_id, chunk_ord, c.l AS length, c.n AS n_merged FROM (SELECT conv_id, unnest(chunks) AS c, unnest(range(len(chunks))) AS chunk_ord FROM d)""",
+        "diversified_top12": """
+WITH RECURSIVE r AS (
+  SELECT CAST(doc_id AS VARCHAR) AS chunk_id, lang, source, n_chars / 1000::DOUBLE AS now, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS n, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents
+), s AS (
+  SELECT 0 AS step, chunk_id, lang, source, now, place, FALSE AS picked FROM r WHERE n <= 12
+  UNION ALL
+  SELECT step + 1, chunk_id, lang, source, CASE WHEN place = best THEN '-inf'::DOUBLE ELSE now - CASE WHEN lang = l THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN lang = l AND source = c THEN 1.25::DOUBLE ELSE 0 END END, place, place = best
+  FROM (SELECT *, first_value(place) OVER w AS best, first_value(lang) OVER w AS l, first_value(source) OVER w AS c FROM s WINDOW w AS (ORDER BY now DESC, place)) WHERE step < 12
+)
+SELECT 'all' AS qid, chunk_id, step AS rank FROM s WHERE picked""",
         "stratified_sample": """
 SELECT stratum, doc_id FROM (SELECT lang AS stratum, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('20260625-' || doc_id), doc_id) AS n FROM documents)
 WHERE n <= CASE stratum WHEN 'en' THEN 20 WHEN 'fr' THEN 10 WHEN 'de' THEN 10 WHEN 'es' THEN 10 ELSE 0 END""",

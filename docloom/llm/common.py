@@ -5,13 +5,14 @@
 * ``narrow`` / ``partitions_for``: numbers of tasks that follow the stored size of what a plan reads.
 * Arrow helpers that hand NumPy views over text columns, in bounded slices.
 * Vectorised word and window hashing: a word is a maximal run of bytes other
-  than 0x20 and 0x09-0x0D; windows of words are hashed by a Rabin-Karp
-  polynomial modulo 2**64 through prefix sums.
+  than 0x20 and 0x09-0x0D and has two independent 64-bit hashes (lanes); windows of
+  words are hashed by a Rabin-Karp polynomial over word hashes modulo 2**64 through prefix sums.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import tempfile
 import uuid
@@ -140,9 +141,13 @@ def give_back_memory() -> None:
 
 # ---------------------------------------------------------------- hashing
 _MASK = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15
+_LENGTH_FACTOR = 0x9E3779B97F4A7C15
+_LANE_SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95))
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Spans of more bytes are hashed by a digest of their own.
+LONG_SPAN = 64
 _WORD_BASE = 0xD6E8FEB86659FD93
-#: Base of a second, independent window hash.
+#: Base of a second window hash, taken over the words' second lane.
 SECOND_BASE = 0xA0761D6478BD642F
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -197,11 +202,35 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(inverse(_BYTE_BASE), len(data) + 1)[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; lanes 0 and 1 are independent halves of 128 bits.
+
+    Eight bytes at a time go through a bijective, non-linear mix that starts from the length, so spans of equal length up to eight bytes never
+    collide. Spans over ``LONG_SPAN`` bytes have a keyed BLAKE2b digest instead, which bounds the number of rounds.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(_LENGTH_FACTOR) + _LANE_SEEDS[lane])
+    if len(data) == 0 or len(starts) == 0:
+        return h
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    words = np.lib.stride_tricks.as_strided(padded[: (len(padded) // 8) * 8].view(np.uint64), (len(data) + 8,), (1,))  # eight bytes from every place
+    at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8).astype(np.uint64)
+        chunk = words[starts[at] + done] & (_FULL >> (np.uint64(64) - np.uint64(8) * left))
+        h[at] = mix((h[at] ^ chunk) + _LANE_SEEDS[lane])
+        done += 8
+        at = at[size[at] > done]
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = data.tobytes() if len(long) > 1 else None
+        for i in long.tolist():
+            span = raw[starts[i] : ends[i]] if raw is not None else data[starts[i] : ends[i]].tobytes()
+            digest = hashlib.blake2b(span, digest_size=16, key=b"docloom").digest()
+            h[i] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return h
 
 
 class WindowHasher:

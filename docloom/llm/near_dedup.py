@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WindowHasher, discard, docs_text, lower_ascii, materialize, mix, narrow, partitions_for, ranges, slices, span_hashes, utf8_buffers, word_spans
+from .common import SECOND_BASE, WindowHasher, discard, docs_text, lower_ascii, materialize, mix, narrow, partitions_for, ranges, slices, span_hashes, utf8_buffers, word_spans
 from .components import connected_components
 from .substring_dedup import BLOCK, BLOCKS, repeated, settle
 
@@ -52,12 +52,12 @@ _U64 = np.uint64
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=_U64) * _U64(0x9E3779B97F4A7C15)) | _U64(1)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """All documents' sorted distinct shingle hashes, one after another, and their offsets."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents' sorted distinct shingle hashes, one after another, their offsets, and each shingle's second hash (of the words' other lane)."""
     data = lower_ascii(data)
     starts, ends, first = word_spans(data, off)
     n = np.diff(first)
-    hasher = WindowHasher(span_hashes(data, starts, ends))
+    hasher, second = WindowHasher(span_hashes(data, starts, ends)), WindowHasher(span_hashes(data, starts, ends, 1), SECOND_BASE)
     counts = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     begin = ranges(first[:-1], counts)
     doc = np.repeat(np.arange(len(n)), counts)
@@ -67,7 +67,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> t
     h = h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))])
+    kept = order[new]
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))]), mix(second.runs(begin[kept], length[kept]) + length[kept].astype(_U64))
 
 
 def signatures(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -82,9 +83,9 @@ def signatures(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_keys(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for a set, as two longs."""
-    total = [np.concatenate([[_U64(0)], np.cumsum(mix(h + _U64(salt)), dtype=_U64)]) for salt in (0x1234567, 0x89ABCDEF)]
+def set_keys(h: np.ndarray, off: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for a set, as two longs, one from each hash of its shingles."""
+    total = [np.concatenate([[_U64(0)], np.cumsum(mix(x + _U64(salt)), dtype=_U64)]) for x, salt in ((h, 0x1234567), (h2, 0x89ABCDEF))]
     a, b = (t[off[1:]] - t[off[:-1]] for t in total)
     return a.view(np.int64), b.view(np.int64)
 
@@ -98,8 +99,8 @@ def signed_docs(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 19):
-            h, off = shingle_sets(*utf8_buffers(batch.column(1)))
-            k1, k2 = set_keys(h, off)
+            h, off, h2 = shingle_sets(*utf8_buffers(batch.column(1)))
+            k1, k2 = set_keys(h, off, h2)
             sig = signatures(h, off)
             column = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, COORDINATES, dtype=np.int32), pa.array(sig.view(np.int32).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), column], ["doc_id", "text_key", "n", "k1", "k2", "sig"])
@@ -115,8 +116,8 @@ def class_sets(docs: DataFrame, active: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            h, off = shingle_sets(*utf8_buffers(batch.column(1)))
-            k1, k2 = set_keys(h, off)
+            h, off, h2 = shingle_sets(*utf8_buffers(batch.column(1)))
+            k1, k2 = set_keys(h, off, h2)
             yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), _binary_rows(h, off)], ["k1", "k2", "items"])
 
     ids, keys = active.select("doc_id").distinct(), active.select("k1", "k2", "cls")

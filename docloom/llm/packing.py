@@ -35,8 +35,6 @@ from .common import Interner, docs_text, materialize, narrow, ranges, slices, ut
 CACHE_ENTRIES = 800_000
 #: Tokens of a shard: bounds an index to some tens of MB.
 SHARD_TOKENS = 2_000_000
-#: Rarest terms of a seed that are looked up; None: all of them.
-QUERY_TERMS = None
 #: Terms in more than this part of a shard's documents have a row of impacts besides their postings.
 ROW_SHARE = 0.25
 K1, B = 1.2, 0.75
@@ -183,8 +181,6 @@ class Shard:
         """Scores of all documents, free or not; the last seed's are kept, as it may be asked again."""
         if self.scored is None or self.scored[0] != seed:
             terms = self.terms[seed]
-            if QUERY_TERMS is not None and len(terms) > QUERY_TERMS:
-                terms = terms[np.argpartition(self.idf[terms], -QUERY_TERMS)[-QUERY_TERMS:]]
             start, counts = self.first[terms], self.first[terms + 1] - self.first[terms]
             rare = counts <= ROW_SHARE * len(self.docs)
             at = ranges(start[rare], counts[rare])
@@ -197,12 +193,9 @@ class Shard:
     def neighbours(self, seed: int, k: int = 16) -> np.ndarray:
         """Unused documents by falling score, the earlier first where equal; [] if none shares a term."""
         scores = self.scores(seed) * self.free
-        if len(scores) > k:
-            best = np.argpartition(scores, -k)[-k:]
-        else:
-            best = np.arange(len(scores))
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0
+        best = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores)  # all ties of the last place, then the earlier ones
+        return best[np.argsort(-scores[best], kind="stable")][:k]
 
     def pack(self, window: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """(seed, pieces) of each sequence; a piece is (document, start, length)."""

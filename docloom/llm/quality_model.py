@@ -12,7 +12,7 @@ every document is scored.
 
 Defined results: a null or empty text has only the bin features and gets a score like any other;
 ratings that are null, or whose document is missing, are left out of the fit; several ratings of a
-document each count; without any rating the weights are zero and grades equally likely; very long texts are whole; a row without an id is scored too;
+document each count; of rows that share a rated id the text with the least hash is fitted; without any rating the weights are zero and grades equally likely; very long texts are whole; a row without an id is scored too;
 repeated rows each give a row; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -137,6 +137,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int =
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r["doc_id"],) for r in sample], "doc_id long").distinct()
     texts = docs_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -145,9 +146,8 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int =
             blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(bucket.astype("<i4"))])
             yield pa.RecordBatch.from_arrays([batch.column(0), blob], ["doc_id", "buckets"])
 
-    found = {}
-    for r in texts.mapInArrow(run, "doc_id long, buckets binary").collect():  # of at most sample_rows documents
-        found.setdefault(r["doc_id"], np.frombuffer(bytes(r["buckets"]), "<i4"))
+    rows = texts.mapInArrow(run, "doc_id long, buckets binary").collect()  # one for each of at most sample_rows ids
+    found = {r["doc_id"]: np.frombuffer(bytes(r["buckets"]), "<i4") for r in rows}
     rated = sorted((r["doc_id"], r["grade"]) for r in sample if r["doc_id"] in found)
     own = [found[d] for d, _ in rated]
     del found, sample

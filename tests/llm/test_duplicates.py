@@ -88,7 +88,7 @@ def test_variants_below_the_threshold_name_no_pairs(n):
 
     rows = variants(n, 1)
     for percent in (85, 99):  # all linked; none linked
-        h, off = N.shingle_sets(*N.utf8_buffers(pa.array([t for _, t in rows])))
+        h, off, _ = N.shingle_sets(*N.utf8_buffers(pa.array([t for _, t in rows])))
         sizes = np.diff(off)
         sig = N.signatures(h, off)
         table = pa.table({
@@ -103,6 +103,51 @@ def test_variants_below_the_threshold_name_no_pairs(n):
             assert len(u) > n // 2
 
 
+def thue_morse(n, flip=False):
+    """A word and its complement, equal under every polynomial hash modulo a power of two."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096, 8192])
+def test_regular_words_are_told_apart(spark, n):
+    import numpy as np
+
+    from docloom.llm.common import span_hashes
+
+    a, b = thue_morse(n), thue_morse(n, True)
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    for lane in (0, 1):
+        h = span_hashes(raw, np.array([0, n]), np.array([n, 2 * n]), lane)
+        assert h[0] != h[1]
+    common = [f"w{i}" for i in range(35)]
+    text = lambda w: " ".join([*common[:17], w, *common[18:]])
+    rows = [(1, text(a)), (2, text(b)), (3, a), (4, b), (5, f"{a} {b} x y z"), (6, f"{b} {a} x y z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in N.near_duplicate_groups(frame).collect()} == {d: d for d, _ in rows}
+    assert all(r["n_removed"] == 0 for r in S.dedup_substrings(frame).collect())
+    twice = spark.createDataFrame([*rows, (7, "before " + text(a))], "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: r["n_removed"] for r in S.dedup_substrings(twice).collect()} == {1: 35, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 35}
+
+
+def test_span_hashes_depend_on_the_span_alone():
+    import numpy as np
+
+    from docloom.llm.common import span_hashes
+
+    rng = np.random.default_rng(2)
+    spans = [bytes(rng.integers(0, 4, n, dtype=np.uint8)) for n in [*range(1, 70), 7, 8, 9, 15, 16, 17, 200]]
+    once, seen = [], {}
+    for lane in (0, 1):
+        alone = [int(span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]), lane)[0]) for x in spans]
+        ends = np.cumsum([len(x) for x in spans])
+        together = span_hashes(np.frombuffer(b"".join(spans), np.uint8), ends - [len(x) for x in spans], ends, lane)
+        assert together.tolist() == alone
+        for x, h in zip(spans, alone, strict=True):
+            assert seen.setdefault((lane, h), x) == x
+        once.append(alone)
+    assert not set(once[0]) & set(once[1])
+
+
 def test_ids_that_repeat_with_other_texts_lose_no_link(spark):
     a, b = variants(2, 1, seed=1), [(0, " ".join(f"c{i}" for i in range(100))), (1, " ".join(f"c{i}" for i in range(1, 101)))]
     rows = [(1, a[0][1]), (1, b[0][1]), (2, b[1][1]), (3, a[1][1]), (9, "alone in here with five words"), (None, b[0][1])]

@@ -72,8 +72,16 @@ def test_packing_of_an_empty_table(empty, vocabularies):
     assert packing.pack_documents(empty, str(vocabularies.path("word_bpe_49k.json"))).collect() == []
 
 
-def test_neighbours_are_the_best_by_brute_force(monkeypatch):
-    monkeypatch.setattr(packing, "QUERY_TERMS", 1000)
+def test_equal_documents_come_in_file_order():
+    docs = [np.arange(5, 25).astype(np.uint16)] * 60
+    shard = packing.Shard(docs, np.ones(30, np.float32), 20.0)
+    shard.free[0] = False
+    assert shard.neighbours(0).tolist() == list(range(1, 17))
+    shard.free[[2, 40]] = False
+    assert shard.neighbours(0).tolist() == [1, *range(3, 18)]
+
+
+def test_neighbours_are_the_best_by_brute_force():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 300, rng.integers(20, 120)).astype(np.uint16) for _ in range(60)]
     df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=300)
@@ -568,6 +576,14 @@ def test_the_fit_is_a_minimum_by_brute_force():
                 params[k] -= step
 
 
+def test_fit_reads_one_text_of_an_id(spark):
+    """An id that many rows share brings one text to the driver, whatever the order of rows."""
+    rows = [(1, f"text number {i} of a hot id") for i in range(400)] + [(2, "another text")]
+    ratings = spark.createDataFrame([(1, 2), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, grade int")
+    models = [quality_model.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), ratings, 3) for r, n in ((rows, 3), (rows[::-1], 5))]
+    assert np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].thresholds, models[1].thresholds)
+
+
 def brute_features(text):
     """Buckets of one text, word by word."""
     one = lambda b: int(common.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]) & ((1 << 40) - 1)

@@ -99,7 +99,41 @@ def docs_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+_PLACE_BITS = 33  # of the ids that Spark numbers rows with: the partition stands above
+
+
+def range_sorted(rows: DataFrame, order: list, name: str, n_rows: int, part_rows: int) -> DataFrame:
+    """The rows in ranges of the order, sorted and written, with their range ``part`` and their place ``at`` in it (from 0).
+
+    ``order`` has names (ascending, nulls first) or sort orders; it should tell all rows apart, so that no value is too common to be split. ``rows`` should be
+    a written table: it is read twice, for the ranges' borders and for the rows.
+    """
+    keys = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
+    n = max(1, min(shuffle_partitions(rows.sparkSession), n_rows // 4096), -(-n_rows // part_rows))
+    held = materialize(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()), name)
+    return held.select("*", F.shiftright("_row", _PLACE_BITS).cast("int").alias("part"), F.col("_row").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("at")).drop("_row")
+
+
 # ---------------------------------------------------------------- Arrow
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """All rows of one ``part`` (a column, in order) at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and part[a] != now:
+                yield int(now), pa.Table.from_batches(held)
+                held = []
+            now = part[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield int(now), pa.Table.from_batches(held)
+
+
 def utf8_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes (uint8) and offsets (int64, n + 1) of a string or binary array; null: empty."""
     n = len(arr)
@@ -184,9 +218,9 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and for each text the index of its first word (n + 1 entries)."""
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and for each text the index of its first word (n + 1 entries); ``between`` marks the bytes that no word has."""
+    inside = ~between[data]
     if len(data) == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
     cut = np.zeros(len(data) + 1, bool)

@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Base spans are found in the text itself. A worklist then unwraps layers: percent
-encoding, \\u and \\x escapes, base64 (plain and URL-safe, also in lines or behind a prefix) and
-gzip or zlib data inside those, also where only some of its bytes are escaped. Each new layer is scanned again and put back on the list until nothing new
+encoding (also %u), \\u, \\u{} and \\x escapes, UTF-16, base64 (plain and URL-safe, also in lines or behind a prefix) and
+gzip or zlib data (any window) inside those, also where only some of its bytes are escaped. Each new layer is scanned again and put back on the list until nothing new
 turns up; a set of layers already seen, each with where it came from, ends cycles. Every layer carries, for each of
 its characters, the span of the original text it came from, so findings are reported
 in code points of the original.
@@ -20,6 +20,7 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -31,21 +32,39 @@ from .common import bound_batches, docs_text, narrow, slices, utf8_buffers
 
 KINDS = ("assign", "access", "hex")
 LAYER_BYTES, OVERLAP, BLOCK = 64 << 20, 1 << 20, 1 << 20
+#: Escapes nested deeper than this are unwrapped to the end in one pass.
+DEEP = 8
 
 _ASSIGN = re.compile(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"[\\%]u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)*+")  # one run, or lines of them
 _BREAK = re.compile(r"[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*+")
 _PADDING = re.compile(r"(?:={1,2}|(?:%3[Dd]){1,2})?")
 _PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")  # no finding is shorter
+_WIDE = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){16,}"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){16,}"))  # UTF-16
+_WIDE_TEXT = tuple(re.compile(p.pattern.decode("latin-1")) for p in _WIDE)
 _GZIP = b"\x1f\x8b\x08"
-_PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
-_PERCENT_PACKED = re.compile(r"%1[Ff]%8[Bb]%08|(?:x|%78)(?:%01|%5[Ee]|\^|%9[Cc]|%[Dd][Aa])")
+#: First two bytes of zlib data: a window of 256 bytes to 32 KiB, no dictionary, and a checksum.
+_ZLIB = [(m, f) for m in range(0x08, 0x79, 16) for f in range(256) if (m * 256 + f) % 31 == 0 and not f & 32]
+_PACKED = re.compile(rb"\x1f\x8b\x08|" + b"|".join(re.escape(bytes(x)) for x in _ZLIB))
+
+
+
+def _escaped_starts(escape: Callable[[int], str], plain: str) -> str:
+    """Ways to write the first two bytes of zlib data of which one at least is escaped."""
+    known = lambda x: re.fullmatch(plain, chr(x)) is not None
+    ways = {f"{escape(m)}{escape(f)}" for m, f in _ZLIB}
+    ways |= {f"{re.escape(chr(m))}{escape(f)}" for m, f in _ZLIB if known(m)} | {f"{escape(m)}{re.escape(chr(f))}" for m, f in _ZLIB if known(f)}
+    return "|".join(sorted(ways))
+
+
+_ANY_CASE = lambda x: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in f"{x:02x}")
+_PERCENT_PACKED = re.compile(r"%1[Ff]%8[Bb]%08|x\^|" + _escaped_starts(lambda x: "%" + _ANY_CASE(x), "[!-$&-~]"))
 _PERCENT_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|([!-$&-~])")
-_ESCAPE_PACKED = re.compile(r"\\(?:x|u00)1[Ff]\\(?:x|u00)8[Bb]\\(?:x08|u0008|b)|(?:x|\\(?:x|u00)78)(?:\^|\\(?:x|u00)(?:01|5[Ee]|9[Cc]|[Dd][Aa]))")
+_ESCAPE_PACKED = re.compile(r"\\(?:x|u00)1[Ff]\\(?:x|u00)8[Bb]\\(?:x08|u0008|b)|x\^|" + _escaped_starts(lambda x: r"\\(?:x|u00)" + _ANY_CASE(x), r"[ -\[\]-~]"))
 _ESCAPE_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|([ -\[\]-~])|\\([abfnrtv0\\'\"/])")
 _NAMED = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 #: Characters of findings and encodings: a layer's end is cut in front of them.
@@ -71,16 +90,16 @@ def find(text: str, hex_runs: bool = True) -> list[tuple[str, int, int]]:
 class Layer:
     """A text and, for each character, where it came from in the original; None: the original itself; numbers: all from one place."""
 
-    __slots__ = ("text", "start", "end")
+    __slots__ = ("text", "start", "end", "depth")
 
-    def __init__(self, text: str, start: list[int] | int | None = None, end: list[int] | int | None = None):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start: list[int] | int | None = None, end: list[int] | int | None = None, depth: int = 0):
+        self.text, self.start, self.end, self.depth = text, start, end, depth  # depth: steps of escapes that led here
 
-    def key(self) -> tuple:
-        """Text and places: equal texts at different places are different layers."""
-        if isinstance(self.start, int):  # may be large: its digest
-            return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass")).digest(), self.start, self.end
-        return self.text, self.start and tuple(self.start), self.end and tuple(self.end)
+    def key(self) -> bytes:
+        """A digest of text and places: equal texts at different places are different layers."""
+        out = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=24)
+        out.update(repr((self.start, self.end)).encode() if self.start is None or isinstance(self.start, int) else array("q", [*self.start, *self.end]).tobytes())
+        return out.digest()
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None or isinstance(self.start, int):
@@ -212,9 +231,53 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Iterator[Layer]:
         last, changed = m.end(), True
     if changed:
         keep(last, len(text))
+        yield Layer("".join(out), layer.start, layer.end, layer.depth + 1) if isinstance(layer.start, int) else Layer("".join(out), starts, ends, layer.depth + 1)
+
+
+_COMPLETE = re.compile(_PERCENT.pattern.removesuffix("+") + "|" + _ESCAPE.pattern.removesuffix("+"))
+
+
+def _settled(layer: Layer) -> Iterator[Layer]:
+    """The layer with percent encoding and escapes decoded until none is left, in one pass: what ends with a complete escape is decoded at once, and what that gives may end another.
+
+    Nothing that a step between would show is lost: a finding holds no ``%`` or backslash, so a later step can take characters from its front
+    only, behind an escape whose digits make the finding of the step before longer.
+    """
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    opened: list[int] = []  # places of % and \\ in out that may begin an escape
+    changed = False
+    work: list[tuple[str, int, int]] = []
+    for i, c in enumerate(layer.text):
+        work.append((c, *layer.origin(i, i + 1)))
+        while work:
+            c, a, b = work.pop()
+            if c in "%\\":
+                opened.append(len(out))
+            out.append(c)
+            starts.append(a)
+            ends.append(b)
+            while opened and len(out) - opened[-1] > 10:
+                opened.pop()
+            m = _COMPLETE.fullmatch("".join(out[opened[-1] :])) if opened and len(out) - opened[-1] > 2 else None
+            if m:
+                at = opened.pop()
+                a, b = min(starts[at:]), max(ends[at:])
+                del out[at:], starts[at:], ends[at:]
+                raw = (_percent if m[0][0] == "%" and m[0][1] != "u" else _escape)(m)[0]
+                work += [(chr(x), a, b) for x in reversed(raw)]
+                changed = True
+    if changed:
         yield Layer("".join(out), layer.start, layer.end) if isinstance(layer.start, int) else Layer("".join(out), starts, ends)
 
 
+def _wide(layer: Layer) -> Iterator[Layer]:
+    """Text in UTF-16, every other byte zero."""
+    for order, pattern in enumerate(_WIDE_TEXT):
+        yield from _replaced(layer, pattern, lambda m, o=order: (m[0][o::2].encode("latin-1"), [(i, i + 2) for i in range(m.start(), m.end(), 2)]))
+
+
 def _percent(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
     return bytes.fromhex(m[0].replace("%", "")), [(i, i + 3) for i in range(m.start(), m.end(), 3)]
 
@@ -222,7 +285,7 @@ def _percent(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
 def _escape(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
     if m[0][1] == "x":
         return bytes.fromhex(m[0].replace("\\x", "")), [(i, i + 4) for i in range(m.start(), m.end(), 4)]
-    code = int(m[0][2:], 16)
+    code = int(m[0][2:].strip("{}"), 16)
     raw = chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else b"\xff"
     return raw, [(m.start(), m.end())] * len(raw)
 
@@ -253,16 +316,27 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 else:
                     spans = [place(i, i + 1) for i in range(p.start(), p.end())]
                     yield Layer(text, [a for a, _ in spans], [b for _, b in spans])
+            for order, pattern in enumerate(_WIDE if b"\0" in raw else ()):
+                for p in pattern.finditer(raw):
+                    spans = [place(i, i + 2) for i in range(p.start(), p.end(), 2)]
+                    text = p[0][order::2].decode("ascii")
+                    yield Layer(text, layer.start, layer.end) if isinstance(layer.start, int) else Layer(text, [a for a, _ in spans], [b for _, b in spans])
             yield from _packed(raw, place)
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers directly below."""
+    if "\0" in layer.text:
+        yield from _wide(layer)
+    if layer.depth >= DEEP:
+        yield from _settled(layer)
+        return
     if "%" in layer.text:
         yield from _replaced(layer, _PERCENT, _percent)
         yield from _packed_escapes(layer, _PERCENT_PACKED, _PERCENT_BYTE, _percent_value)
-    if "\\" in layer.text:
+    if "\\" in layer.text or "%u" in layer.text:
         yield from _replaced(layer, _ESCAPE, _escape)
+    if "\\" in layer.text:
         yield from _packed_escapes(layer, _ESCAPE_PACKED, _ESCAPE_BYTE, _escape_value)
     if isinstance(layer.start, int):  # decompressed: it may be compressed twice
         yield from _packed(layer.text.encode("latin-1", "replace"), layer.origin)
@@ -291,7 +365,7 @@ def scan(text: str, hex_runs: bool = True, wrapped: bool = True) -> tuple[list[t
 
 def _may_wrap(text: str, coded: bool) -> bool:
     """Whether a text may hold layers; ``coded``: it has a run of base64."""
-    return coded or any(c in text for c in "%\\\n\r")
+    return coded or any(c in text for c in "%\\\n\r\0")
 
 
 def _with_run(data: np.ndarray, off: np.ndarray, kind: np.ndarray, length: int = 16) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Packing, secrets, urls, audio, tokens, pieces, grades and rules against brute force, exact round trips and held-out accuracy."""
 
+import string
 import base64
 import gzip
 import hashlib
@@ -249,6 +250,68 @@ def test_a_text_of_several_megabytes(spark):
     assert [(s["kind"], s["start"]) for s in got["base"]] == [("assign", 2_550_000)] and len(got["decoded"]) >= 1
 
 
+def small_window(raw):
+    packer = zlib.compressobj(9, zlib.DEFLATED, 9)
+    return packer.compress(raw) + packer.flush()
+
+
+#: Each way to write bytes as text.
+WRITE = {
+    "percent": lambda b: "".join(f"%{x:02X}" for x in b),
+    "some percent": lambda b: "".join(chr(x) if chr(x) in string.ascii_letters + string.digits else f"%{x:02x}" for x in b),
+    "u": lambda b: "".join(f"\\u{x:04x}" for x in b),
+    "braces": lambda b: "".join(f"\\u{{{x:x}}}" for x in b),
+    "percent u": lambda b: "".join(f"%u{x:04X}" for x in b),
+    "x": lambda b: "".join(f"\\x{x:02x}" for x in b),
+    "base64": lambda b: base64.b64encode(b).decode(),
+    "base64 url": lambda b: base64.urlsafe_b64encode(b).decode().rstrip("="),
+    "base64 of utf-16": lambda b: base64.b64encode(b.decode("latin-1").encode("utf-16-le")).decode(),
+    "base64 of gzip": lambda b: base64.b64encode(gzip.compress(b)).decode(),
+    "percent of a small zlib window": lambda b: "".join(f"%{x:02x}" for x in small_window(b)),
+}
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_random_nestings_are_unwrapped(seed):
+    """What random encoders wrapped around a secret is found again and mapped to the place of the outermost code."""
+    rng = random.Random(seed)
+    key = "AKIA" + "".join(rng.choice("BCDGHJLMNP") for _ in range(18))
+    inner, names = f"<{key}>", [rng.choice([*WRITE]) for _ in range(rng.randrange(1, 5))]
+    for name in names:
+        inner = WRITE[name](inner.encode("latin-1"))
+    before, after = "Füllung. " * rng.randrange(3), " ende, und so weiter"
+    base, more = secret_scan.scan(before + inner + after)
+    found = [s for s in base + more if s[0] == "access"]
+    assert found, names
+    assert all(len(before) <= a < b <= len(before) + len(inner) for _, a, b in found), (names, found)
+
+
+def until_settled(text):
+    one = re.compile(r"%[0-9A-Fa-f]{2}|[\\%]u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
+    value = lambda m: chr(int(re.sub(r"^.U|^.u\{?|^\\x|^%|\}$", "", m[0]), 16))
+    while (out := one.sub(value, text, count=1)) != text:
+        text = out
+    return text
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_settled_layers_have_no_escape_left(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["%", "25", "5c", "u0025", "\\", "x", "x25", "u{41}", "41", "ab", "Z", " "]) for _ in range(60))
+    layer = next(secret_scan._settled(secret_scan.Layer(text)), secret_scan.Layer(text))
+    assert secret_scan._COMPLETE.search(layer.text) is None and layer.text == until_settled(text)
+    assert len(layer.text) == len(layer.start or layer.text)
+
+
+@pytest.mark.parametrize("text", ["%" + "25" * 100_000, "\\" + "u005c" * 40_000, "%" + "5cu0025" * 20_000])
+def test_deep_nestings_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    secret_scan.scan(text + "41KIABCDEFGHIJKLMNOPQRS and more")
+    assert time.process_time() - began < 30
+
+
 def test_secrets_of_an_empty_table(empty):
     assert secret_scan.scan_secrets(empty).collect() == []
 

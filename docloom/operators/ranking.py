@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions import text as T
+from docloom.operators import rules
 from docloom.sources.shared import stored
 
 FIELDS = list(P.FIELD_WEIGHTS)
@@ -125,71 +126,50 @@ def base_scores(asked: DataFrame, prepared: DataFrame) -> DataFrame:
     return scored.groupBy("qid", "chunk_id").agg(F.sum(weight * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), mean)).alias("base"))
 
 
-def search(questions: DataFrame, rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], question_tokens: Column, top: int = P.TOP_CHUNKS) -> DataFrame:
-    """``qid``, ``key``, ``score, rank``: the best rows of a whole corpus for every question, by BM25 over weighted ``fields`` (arrays of tokens).
+CONTEXT = ["q_numbers", "q_refs", "section_terms", "exact_phrases", "high_value_terms"]
 
-    The corpus is read once for each field: postings of tokens that some question holds, and each row's length under an empty token, are stored;
-    statistics, document frequencies and scores come from those. Rows that share no token with a question are not ranked.
-    """
-    asked = questions.select("qid", F.explode(F.array_distinct(question_tokens)).alias("token"))
-    wanted = asked.select("token").distinct().unionByName(questions.sparkSession.createDataFrame([("",)], "token string"))
-    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else wanted
-    parts = None
-    for field, tokens in fields.items():
-        held = rows.select(key, tokens.alias("tokens")).withColumn("length", F.size("tokens"))  # once a row, before tokens become rows
-        sized = held.select(key, "length", F.explode(F.concat("tokens", T.strings([""]))).alias("token"))
-        posted = stored(sized.join(wanted, "token", "left_semi").groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
-        stats = posted.where("token = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
-        found = posted.where("token != ''")
-        df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        impact = weights[field] * bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("mean"))
-        scored = found.join(df, "token").join(F.broadcast(stats), F.lit(True)).select(key, "token", impact.alias("impact"))  # one row of statistics
-        part = asked.join(scored, "token").select("qid", key, "impact")
-        parts = part if parts is None else parts.unionByName(part)
-    total = parts.groupBy("qid", key).agg(F.round(F.sum("impact"), 4).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
-    return total.withColumn("rank", rank).where(F.col("rank") <= top)
-
-
-def _some(text: Column, words: list[str]) -> Column:
-    return text.rlike(T.literal_alternatives(words))
-
-
-def rule_boost() -> Column:
-    """Additive rules over a candidate joined with its question's context."""
-    section, text, title = (F.coalesce(c, F.lit("")) for c in ("section_path", "chunk_text", "title"))
-    form, clause = F.col("search_text"), F.coalesce("clause_no", F.lit(""))
-    found_in_form = lambda terms: F.size(F.filter(terms, lambda t: (T.search_form(t) != "") & F.contains(form, T.search_form(t))))
-    phrases = found_in_form(F.filter("exact_phrases", lambda p: F.length(p) >= 4))
-    terms = found_in_form(F.col("high_value_terms"))
-    exact = (clause != "") & F.array_contains("q_refs", clause)
-    refs = F.when(exact, F.lit(8.0)).otherwise(3.0 * T.hits(section, F.col("q_refs")) + 2.0 * T.hits(text, F.col("q_refs")))
-    sections = F.least(T.hits(section, F.col("section_terms")), F.lit(2)) * 2.5 + F.least(T.hits(title, F.col("section_terms")), F.lit(1)) * 1.5
-    matched = F.size(F.array_distinct(F.filter("q_numbers", lambda n: F.contains(text, n) | F.contains(section, n) | F.contains(title, n))))
-    numbers = F.when(matched > 0, 2.0 + 1.2 * matched + F.when(matched == F.size("q_numbers"), 2.0).otherwise(0.0)).otherwise(0.0)
-    is_table, has_numbers = F.col("chunk_type") == "table", F.size("q_numbers") > 0
-    per_domain = {"regulatory": F.when(F.col("chunk_type") == "clause", 2.5).otherwise(0.0), "financial_reports": F.when(is_table, 3.0).otherwise(0.0), "financial_contracts": F.when(clause != "", 1.5).otherwise(0.0)}
-    domain = F.lit(0.0)
-    for name, (words, bonus) in P.DOMAIN_SECTION_TERMS.items():
-        domain = F.when(F.col("q_domain") == name, per_domain.get(name, F.lit(0.0)) + F.when(_some(section, words), bonus).otherwise(0.0)).otherwise(domain)
-    outline = F.contains(section, F.lit(P.OUTLINE_WORD)) | F.contains(F.substring(text, 1, 30), F.lit(P.OUTLINE_WORD))
-    return (
-        F.least(phrases, F.lit(2)) * 2.5 + F.least(terms, F.lit(6)) * 0.7 + F.when(terms >= 2, 1.0).otherwise(0.0)
-        + F.when(F.size("q_refs") > 0, refs).otherwise(0.0) + sections + numbers + domain
-        + F.when(is_table & has_numbers, 1.2).otherwise(0.0) - F.when(outline, 6.0).otherwise(0.0) - F.when(F.length(T.strip(text)) < 20, 1.5).otherwise(0.0)
-    )
 
+FEATURES = ["doc_id", "norm_domain", "chunk_ord", "section_key"]
 
-CONTEXT = ["q_numbers", "q_refs", "section_terms", "exact_phrases", "high_value_terms"]
 
+def _with_kind(asked: DataFrame) -> DataFrame:
+    return asked.select("qid", "q_domain", F.size("q_refs").alias("n_refs"), F.size("q_numbers").alias("n_numbers"), *[c.alias(n) for n, c in rules.kind_of_question().items()])
 
-def scored_candidates(contexts: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Every candidate with ``base``, ``boost`` and ``score``; ties go to the earlier chunk."""
+
+def _open_scores(asked: DataFrame, features: DataFrame, plain: DataFrame, hits: DataFrame, base: DataFrame, top: int) -> DataFrame:
+    """Scores of the chunks that a question over the corpus can choose: those with hits or shared tokens, and the best without."""
+    kinds = _with_kind(asked)
+    zero = [F.lit(0).alias(c) for c in rules.COUNTS]
+    none = F.lit(None).cast("double").alias("base")
+    chosen = kinds.select("qid", *rules.KIND).join(rules.plain_choice(plain, top), rules.KIND).select("qid", "chunk_id", *zero, none)
+    shared = base.join(asked.select("qid"), "qid", "left_semi").select("qid", "chunk_id", *zero, "base")
+    pairs = hits.select("qid", "chunk_id", *rules.COUNTS, none).unionByName(shared).unionByName(chosen)
+    pairs = pairs.groupBy("qid", "chunk_id").agg(*[F.sum(c).cast("int").alias(c) for c in rules.COUNTS], F.coalesce(F.max("base"), F.lit(0.0)).alias("base"))
+    rows = pairs.join(features, "chunk_id").join(kinds, "qid")
+    rows = rows.withColumn("boost", rules.boost({c: F.col(c) for c in rules.COUNTS}, F.col("n_refs"), F.col("n_numbers"), F.col("q_domain")))
+    return rows.select("qid", "q_domain", "chunk_id", *FEATURES, "base", "boost", (F.col("base") + F.col("boost")).alias("score"))
+
+
+def _ask(contexts: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = stored(resolve_domains(contexts, prepared).select("qid", "q_domain", "only_domain", "doc_ids", "query_tokens", *CONTEXT), "asked")
-    base = stored(base_scores(asked, prepared), "base-scores")
-    rows = candidates(asked, prepared.drop(*[f"{f}_tokens" for f in FIELDS]), CONTEXT, base)
-    out = rows.withColumn("base", F.coalesce("base", F.lit(0.0))).withColumn("boost", rule_boost())
-    return out.withColumn("score", F.col("base") + F.col("boost"))
+    features = stored(prepared.select("chunk_id", *FEATURES, *[c.alias(n) for n, c in rules.chunk_features().items()]), "features")
+    return asked, features, stored(base_scores(asked, prepared), "base-scores")
+
+
+def scored_candidates(contexts: DataFrame, prepared: DataFrame, top: int = P.TOP_CHUNKS) -> DataFrame:
+    """Candidates with ``base``, ``boost`` and ``score``; ties go to the earlier chunk.
+
+    Of questions that name documents these are all their chunks; of questions over the corpus all that can be among the ``top`` chosen.
+    """
+    asked, features, base = _ask(contexts, prepared)
+    named, open_ = asked.where(_names_documents()), asked.where(~_names_documents())
+    rows = candidates(named, prepared.drop(*[f"{f}_tokens" for f in FIELDS]), CONTEXT, base).withColumn("base", F.coalesce("base", F.lit(0.0)))
+    rows = rows.withColumns(rules.chunk_features()).withColumn("boost", rules.rule_boost())
+    out = rows.select("qid", "q_domain", "chunk_id", *FEATURES, "base", "boost", (F.col("base") + F.col("boost")).alias("score"))
+    if open_.isEmpty():
+        return out
+    hits, _ = rules.question_hits(open_, prepared)
+    return out.unionByName(_open_scores(open_, features, rules.plain_scores(open_, features), hits, base, top))
 
 
 def diversified(scored: DataFrame, top: int = P.TOP_CHUNKS) -> DataFrame:
@@ -222,24 +202,38 @@ def rank_chunks(contexts: DataFrame, prepared: DataFrame) -> DataFrame:
     return diversified(scored_candidates(contexts, prepared))
 
 
-def matched_signals() -> Column:
-    every = F.array_distinct(F.concat("q_refs", "q_numbers", "section_terms", "exact_phrases", "high_value_terms"))
-    return F.filter(every, lambda t: (T.search_form(t) != "") & F.contains(F.col("search_text"), T.search_form(t)))
-
-
 def rank_documents(contexts: DataFrame, prepared: DataFrame, top: int = P.TOP_DOCS) -> DataFrame:
-    """``qid, doc_id, doc_score, doc_rank``: best chunk, a share of the next two, and small bonuses for signals and sections covered."""
-    scored = scored_candidates(contexts.withColumn("doc_ids", T.strings([])), prepared)
-    nth = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "chunk_ord"))
-    best = scored.select("qid", "doc_id", "chunk_ord", "score").withColumn("nth", nth).where(F.col("nth") <= 3)  # limited in each task before the shuffle
-    best = best.groupBy("qid", "doc_id").agg(F.sum(F.when(F.col("nth") == 1, F.col("score")).otherwise(0.35 * F.col("score"))).alias("top"))
-    covered = scored.select("qid", "doc_id", "chunk_ord", "section_key", matched_signals().alias("signals")).groupBy("qid", "doc_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("signals")))).alias("n_signals"), F.size(F.collect_set("section_key")).alias("n_sections"), F.min("chunk_ord").alias("first"),
-    )
-    docs = best.join(covered, ["qid", "doc_id"])
-    docs = docs.withColumn("doc_score", F.col("top") + 0.3 * F.col("n_signals") + 0.08 * F.col("n_sections"))
+    """``qid, doc_id, doc_score, doc_rank``: best chunk, a share of the next two, and small bonuses for signals and sections covered.
+
+    A document without hits has a score that depends on the kind of question only, so of those the best ``top`` of each kind are enough. In a document with hits
+    its chunks without count too: of those the best few.
+    """
+    asked, features, base = _ask(contexts.withColumn("doc_ids", T.strings([])), prepared)
+    kinds = stored(_with_kind(asked), "kinds")
+    hits, signals = rules.question_hits(asked, prepared)
+    plain = stored(rules.plain_scores(asked, features), "plain-scores")
+    scored = stored(_open_scores(asked, features, plain, hits, base, 1).select("qid", "doc_id", "chunk_id", "chunk_ord", "score"), "hit-scores")
+    nth = F.row_number().over(Window.partitionBy(*rules.KIND, "doc_id").orderBy(F.desc("plain"), "chunk_ord"))
+    ranked = plain.select(*rules.KIND, "doc_id", "chunk_id", "chunk_ord", "plain", nth.alias("nth"))
+    whole = plain.groupBy(*rules.KIND, "doc_id").agg(F.size(F.collect_set("section_key")).alias("n_sections"), F.min("chunk_ord").alias("first"))
+    share = lambda score: F.sum(F.when(F.col("nth") == 1, score).otherwise(0.35 * score))
+
+    # documents that no question's patterns hit
+    without = ranked.where("nth <= 3").groupBy(*rules.KIND, "doc_id").agg(share(F.col("plain")).alias("top")).join(whole, [*rules.KIND, "doc_id"])
+    without = without.withColumn("doc_score", F.col("top") + 0.3 * F.lit(0) + 0.08 * F.col("n_sections"))
+    best = F.row_number().over(Window.partitionBy(*rules.KIND).orderBy(F.desc("doc_score"), "first"))
+    without = without.withColumn("n", best).where(F.col("n") <= top)
+    # documents with hits: their hit chunks, and as many others as can be among the first three
+    touched = scored.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_hit")).join(kinds.select("qid", *rules.KIND), "qid")
+    others = touched.join(ranked, [*rules.KIND, "doc_id"]).where(F.col("nth") <= 3 + F.col("n_hit")).select("qid", "doc_id", "chunk_id", "chunk_ord", F.col("plain").alias("score"))
+    every = scored.unionByName(others.join(scored.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti"))
+    place = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "chunk_ord"))
+    sums = every.withColumn("nth", place).where("nth <= 3").groupBy("qid", "doc_id").agg(share(F.col("score")).alias("top"))
+    found = sums.join(touched, ["qid", "doc_id"]).join(whole, [*rules.KIND, "doc_id"]).join(signals, ["qid", "doc_id"], "left")
+    found = found.select("qid", "doc_id", "first", (F.col("top") + 0.3 * F.coalesce("n_signals", F.lit(0)) + 0.08 * F.col("n_sections")).alias("doc_score"))
+    rest = kinds.select("qid", *rules.KIND).join(without, rules.KIND).join(touched.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "doc_id", "first", "doc_score")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("doc_score"), "first"))
-    return docs.withColumn("doc_rank", rank).where(F.col("doc_rank") <= top).select("qid", "doc_id", "doc_score", "doc_rank")
+    return found.unionByName(rest).withColumn("doc_rank", rank).where(F.col("doc_rank") <= top).select("qid", "doc_id", "doc_score", "doc_rank")
 
 
 # ------------------------------------------------------------------ additions to the ranked chunks

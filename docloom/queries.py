@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docloom import profiles as P
 from docloom.functions import html as H
 from docloom.functions import text as T
-from docloom.operators import answers, chunking, merge, pages, ranking, reasoning, reports
+from docloom.operators import answers, chunking, merge, pages, ranking, reasoning, reports, retrieval
 from docloom.plans import planner
 from docloom.sources import sinks
 from docloom.sources.shared import stored
@@ -56,7 +56,7 @@ def _bm25(spark: SparkSession, sf_dir: str, weights: dict[str, float]) -> DataFr
     """Top twelve documents of every benchmark text."""
     fields = {c: T.latin_tokens(F.coalesce(c, F.lit(""))) for c in weights}
     asked = bench_questions(spark, sf_dir).withColumnRenamed("item_id", "qid")
-    found = ranking.search(asked, docs(spark, sf_dir), "doc_id", fields, weights, T.latin_tokens(F.col("text")))
+    found = retrieval.search(asked, docs(spark, sf_dir), "doc_id", fields, weights, T.latin_tokens(F.col("text")))
     return found.select(F.col("qid").alias("item_id"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

@@ -20,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch at most: long texts would make the default of 10,000 rows too large for a worker.
+BATCH_ROWS, BATCH_BYTES = 4_000, 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written below the shared folder and read again: plans stay short, lost executors cost nothing that is done."""
     path = f"{shared_folder(df.sparkSession)}/docloom/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,8 @@ rows are ``list_reduce`` over a list of states; the diversified choice is a recu
 
 from __future__ import annotations
 
+from docloom import profiles as P
+
 _TEXT = "coalesce(text, '')"
 _TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9.%]+'), lambda t: length(t) > 1)"
 _LINES = (
@@ -31,6 +33,38 @@ scored AS (SELECT item_id, doc_id, round(sum(impact), 4) AS score FROM impacts G
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 12"""
 
 
+_STOP = "('" + "', '".join(P.STOP_WORDS) + "')"
+_ONCE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_PHRASES = _ONCE.format("list_filter(regexp_extract_all(question, '[\\x{4e00}-\\x{9fff}]{4,}|[A-Za-z0-9.%]{3,}'), lambda x: x NOT IN " + _STOP + ")") + "[1:16]"
+_NUMBERS = _ONCE.format("regexp_extract_all(question, '\\d+(?:\\.\\d+)?%?')")
+_HIGH = "list_filter(" + _ONCE.format(f"list_concat({_NUMBERS}, {_TOKENS.format('question')}, [question])") + f", lambda x: length(x) > 1 AND x NOT IN {_STOP})[1:24]"
+
+#: Scores by words and rules of every pair of benchmark text and document, and which patterns a document holds.
+_RULES = f"""
+WITH q AS (SELECT item_id, question, {_PHRASES} AS phrases, {_HIGH} AS high, {_NUMBERS} AS numbers FROM (SELECT item_id, {_TEXT} AS question FROM benchmark)),
+d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {_TEXT} AS text, regexp_replace(lower(coalesce(lang, '') || ' ' || {_TEXT}), '\\s+', '', 'g') AS form FROM documents),
+f AS (SELECT item_id, phrases, high, numbers, list_transform(list_filter(phrases, lambda x: length(x) >= 4), lambda x: regexp_replace(lower(x), '\\s+', '', 'g')) AS pf,
+             list_transform(high, lambda x: regexp_replace(lower(x), '\\s+', '', 'g')) AS hf, list_distinct(list_concat(phrases, high, numbers)) AS every FROM q),
+c AS (SELECT item_id, doc_id, source, lang, len(numbers) AS n, len(list_filter(pf, lambda x: x <> '' AND contains(form, x))) AS p, len(list_filter(hf, lambda x: x <> '' AND contains(form, x))) AS h,
+             len(list_filter(numbers, lambda x: contains(text, x) OR contains(lang, x))) AS m, length(trim(text)) AS size,
+             list_filter(every, lambda x: regexp_replace(lower(x), '\\s+', '', 'g') <> '' AND contains(form, regexp_replace(lower(x), '\\s+', '', 'g'))) AS held FROM f CROSS JOIN d),
+b AS (SELECT *, least(p, 2) * 2.5::DOUBLE + least(h, 6) * 0.7::DOUBLE + CASE WHEN h >= 2 THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN m > 0 THEN 2.0::DOUBLE + 1.2::DOUBLE * m + CASE WHEN m = n THEN 2.0 ELSE 0 END ELSE 0 END
+             + CASE WHEN doc_id % 10 = 0 AND n > 0 THEN 1.2::DOUBLE ELSE 0 END - CASE WHEN size < 20 THEN 1.5::DOUBLE ELSE 0 END AS boost FROM c)"""
+
+RULE_SCORES = f"""{_RULES}
+SELECT item_id, doc_id, round(boost, 4) AS boost FROM b QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(boost, 4) DESC, doc_id) <= 12"""
+
+DOCUMENT_RANK = f"""{_RULES},
+bm AS (SELECT item_id, doc_id, sum(weight * ({_BM25})) AS base FROM (SELECT DISTINCT item_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM benchmark) a JOIN (
+    SELECT field, weight, doc_id, token, length, count(*) AS tf FROM (SELECT field, weight, doc_id, len(toks) AS length, unnest(toks) AS token FROM (
+      SELECT 'text' AS field, 1.0::DOUBLE AS weight, doc_id, {_TOKENS.format(_TEXT)} AS toks FROM documents UNION ALL SELECT 'lang', 3.0, doc_id, {_TOKENS.format("coalesce(lang, '')")} FROM documents)) GROUP BY ALL
+  ) p USING (token) JOIN (SELECT field, token, count(DISTINCT doc_id) AS df FROM (SELECT 'text' AS field, doc_id, unnest({_TOKENS.format(_TEXT)}) AS token FROM documents UNION ALL SELECT 'lang', doc_id, unnest({_TOKENS.format("coalesce(lang, '')")}) FROM documents) GROUP BY 1, 2) x USING (field, token)
+  JOIN (SELECT 'text' AS field, count(*) AS n_docs, avg(len({_TOKENS.format(_TEXT)})) AS mean FROM documents UNION ALL SELECT 'lang', count(*), avg(len({_TOKENS.format("coalesce(lang, '')")})) FROM documents) s USING (field) GROUP BY 1, 2),
+r AS (SELECT b.*, coalesce(base, 0) + boost AS score FROM b LEFT JOIN bm USING (item_id, doc_id)),
+t AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS nth FROM r),
+g AS (SELECT item_id, source, sum(CASE WHEN nth = 1 THEN score WHEN nth <= 3 THEN 0.35::DOUBLE * score ELSE 0 END) + 0.3::DOUBLE * len(list_distinct(flatten(list(held)))) + 0.08::DOUBLE * count(DISTINCT lang) AS score, min(doc_id) AS first FROM t GROUP BY 1, 2)
+SELECT item_id, source, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first) AS rank FROM g) WHERE rank <= 8"""
+
 _STRIP = "html"
 for _tag in ("script", "style", "noscript", "form", "svg", "footer", "header", "nav", "aside"):
     # RE2 has no back-references: one pattern for each tag
@@ -108,6 +142,8 @@ d AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.
 n AS (SELECT item_id, sqrt(CAST(sum(tf * tf) AS DOUBLE)) + 1.0 AS norm FROM q GROUP BY 1),
 s AS (SELECT q.item_id, d.doc_id, round(sum(least(q.tf, d.tf)) / any_value(norm), 6) AS score FROM q JOIN d USING (token) JOIN n ON n.item_id = q.item_id GROUP BY 1, 2)
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 5""",
+        "rule_scores": RULE_SCORES,
+        "document_rank": DOCUMENT_RANK,
         "doc_rank": """
 WITH t AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents)
 SELECT source, round(sum(CASE WHEN r = 1 THEN CAST(n_chars AS DOUBLE) ELSE n_chars * 0.35::DOUBLE END), 4) AS score FROM t WHERE r <= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8""",

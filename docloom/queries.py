@@ -99,6 +99,28 @@ def diversified_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.diversified(scored).select("qid", "chunk_id", "rank")
 
 
+def _rule_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark texts as questions over the corpus, with the terms that rules look for; documents as chunks of their source, every tenth a table, languages as sections."""
+    none, text = T.strings([]), F.col("question")
+    q = bench_questions(spark, sf_dir).select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question")).withColumns({"domain": F.lit("general"), "doc_ids": none, "q_refs": none, "section_terms": none, "query_tokens": F.array_distinct(T.latin_tokens(text)), "q_numbers": F.array_distinct(T.numbers(text)), "exact_phrases": T.exact_phrases(text)})
+    q = q.withColumn("high_value_terms", T.high_value_terms(text, F.col("query_tokens"), F.col("q_numbers"), F.col("q_refs"), F.col("section_terms")))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("doc_id"), F.lit("").alias("title"), F.lit("general").alias("domain"), F.lit(1).alias("page_no"), F.coalesce("lang", F.lit("")).alias("section_path"), F.when(F.col("doc_id") % 10 == 0, "table").otherwise("prose").alias("chunk_type"), F.lit(None).cast("string").alias("clause_no"), F.col("text").alias("chunk_text"), F.col("doc_id").alias("chunk_ord"))
+    return q, stored(ranking.prepare_chunks(rows), "prepared")
+
+
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve documents of every benchmark text that the ranking rules lift most."""
+    q, prepared = _rule_inputs(spark, sf_dir)
+    rows = ranking.scored_candidates(q, prepared).select(F.col("qid").cast("long").alias("item_id"), F.col("chunk_ord").alias("doc_id"), F.round("boost", 4).alias("boost"))
+    return _top(rows, ["item_id"], [F.desc("boost"), "doc_id"], P.TOP_CHUNKS).select("item_id", "doc_id", "boost")
+
+
+def document_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources ranked for every benchmark text by their documents' words and rules, signals and sections."""
+    found = ranking.rank_documents(*_rule_inputs(spark, sf_dir))
+    return found.select(F.col("qid").cast("long").alias("item_id"), F.col("doc_id").alias("source"), F.round("doc_score", 4).alias("score"), F.col("doc_rank").cast("long").alias("rank"))
+
+
 # ------------------------------------------------------------------ pages
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", H.title_tag(F.coalesce("html", F.lit(""))).alias("title"))
@@ -317,7 +339,7 @@ def facet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        bm25_topk, token_freq, doc_stats, bm25_multi_field, overlap_score, doc_rank, signal_boost, diversified_top12, page_title, html_strip, html_meta, main_content, lines_clean, edge_lines, segment_sentences, pack_fragments,
+        bm25_topk, token_freq, doc_stats, bm25_multi_field, overlap_score, doc_rank, signal_boost, rule_scores, document_rank, diversified_top12, page_title, html_strip, html_meta, main_content, lines_clean, edge_lines, segment_sentences, pack_fragments,
         split_oversized, chunk_documents, dedup_exact, dedup_prefix160, dedup_latest, dup_report, merge_adjacent, chunk_quality, length_buckets, sensitive_scan, annotate_numbers, question_plan, evidence_top3, verdicts, rule_answers,
         evidence_pack, summary_row, p95_nearest_rank, status_pivot, issue_topk, gold_accuracy, availability_semi, missing_anti, union_overlay, usage_by_domain, stratified_sample, facet_summary,
     ]

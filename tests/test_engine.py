@@ -1,6 +1,7 @@
 """Behaviour of the retrieval engine on Chinese literals: cleaning, chunks, plans, ranking, verdicts, the loop."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -359,6 +360,139 @@ def test_questions_over_the_corpus_rank_like_those_that_name_all_of_it(spark, mo
     assert ranking.scored_candidates(contexts(q), prepared.limit(0)).collect() == []
 
 
+def random_corpus(seed, n_docs=60):
+    """Chunks of three domains and none, with tables, clauses, outlines, short and equal texts; one document has a third of them."""
+    import random
+
+    rng = random.Random(seed)
+    words = ["营业收入", "净利润", "现金流", "保险责任", "等待期90天", "2.5亿元", "第二条", "第十条 规定", "目录", "票息", "abc def", "rate 3.1%", "天气", "说明", "其他内容"]
+    rows = []
+    for d in range(n_docs):
+        domain = rng.choice(["insurance", "research", "financial_reports", "general"])
+        for i in range(rng.randrange(1, 5) if d else 60):
+            text = rng.choice(["", "短", "".join(rng.choice(words) + rng.choice(["", "，", " "]) for _ in range(rng.randrange(1, 12)))])
+            rows.append(chunk(i, f"d{d:02d}", text, section=rng.choice(["", "甲", "风险提示", "现金流量表", "第二条"]), kind=rng.choice(["prose", "table", "clause"]), clause=rng.choice([None, "", "第二条", "第十条"]), title=rng.choice(["", "评级", "报告"]), domain=domain)[:-1] + (len(rows) + 1,))
+    return rows
+
+
+ASKED = [("营业收入与净利润是多少", ["2.5亿元", "3.1%"]), ("第二条规定了什么", ["等待期90天"]), ("保险责任与等待期", ["90天"]), ("什么", []), ("风险提示 rate abc", []), ("评级与票息", ["甲"])]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pruned_choice_equals_that_from_every_pair(spark, monkeypatch, seed):
+    from docloom.operators import rules
+
+    rows = random_corpus(seed)
+    names = sorted({r[1] for r in rows})
+    prepared = ranking.prepare_chunks(chunks_of(spark, *rows)).cache()
+    passes = []
+    found = rules.pattern_hits
+    monkeypatch.setattr(rules, "pattern_hits", lambda *a: passes.append(1) or found(*a))
+    ask = lambda docs: contexts(questions_of(spark, *[(str(i), t, o, "mcq", docs) for i, (t, o) in enumerate(ASKED)]))
+    open_ = ranking.scored_candidates(ask([]), prepared)
+    plan = open_._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and len(passes) == 1
+    every = ranking.scored_candidates(ask(names), prepared)
+    key = lambda r: (r["qid"], r["chunk_id"])
+    pruned, full = ({key(r): r for r in x.collect()} for x in (open_, every))
+    assert len(pruned) < len(full) and all(abs(pruned[k]["base"] - full[k]["base"]) < 1e-9 and abs(pruned[k]["boost"] - full[k]["boost"]) < 1e-9 for k in pruned)
+    assert {k for k, r in full.items() if r["base"] > 0} <= set(pruned)
+    pick = lambda x: sorted((r["qid"], r["rank"], r["chunk_id"]) for r in ranking.diversified(x).collect())
+    assert pick(open_) == pick(every)
+
+    # documents, from every pair
+    squeeze = lambda t: re.sub(r"\s+", "", t.lower())
+    asked = {r["qid"]: r for r in ask([]).collect()}
+    forms = {r["chunk_id"]: r["search_text"] for r in prepared.select("chunk_id", "search_text").collect()}
+    groups = {}
+    for (q, _), r in full.items():
+        groups.setdefault((q, r["doc_id"]), []).append(r)
+    want = {}
+    for (q, d), found_ in groups.items():
+        best = sorted((r["score"] for r in found_), reverse=True)[:3]
+        terms = {t for c in ("q_refs", "q_numbers", "section_terms", "exact_phrases", "high_value_terms") for t in asked[q][c] if squeeze(t)}
+        held = {t for t in terms if any(squeeze(t) in forms[r["chunk_id"]] for r in found_)}
+        want.setdefault(q, []).append((best[0] + 0.35 * sum(best[1:]) + 0.3 * len(held) + 0.08 * len({r["section_key"] for r in found_}), -min(r["chunk_ord"] for r in found_), d))
+    got = {}
+    for r in ranking.rank_documents(ask([]), prepared).orderBy("qid", "doc_rank").collect():
+        got.setdefault(r["qid"], []).append((round(r["doc_score"], 6), r["doc_id"]))
+    assert {q: [x for x, _ in v] for q, v in got.items()} == {q: [round(x, 6) for x, *_ in sorted(v, reverse=True)[:8]] for q, v in want.items()}
+    assert all({d for _, d in got[q]} <= {d for x, _, d in want[q] if x >= got[q][-1][0] - 1e-6} for q in got)
+    prepared.unpersist()
+
+
+def test_finder_without_the_library(monkeypatch):
+    import sys
+
+    from docloom.operators import rules
+
+    patterns = {"ab": [0], "abc": [1], "b": [2, 3]}
+    assert rules.Finder(patterns)("xabcx") == {0, 1, 2, 3} and rules.Finder(patterns)("") == set() and rules.Finder({})("ab") == set()
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert rules.Finder(patterns)("xaby b") == {0, 2, 3}
+
+
+@pytest.mark.parametrize("weights", [{"text": 1.0}, {"text": 1.0, "source": 4.0}])
+def test_pruned_search_equals_scoring_every_pair(spark, monkeypatch, weights):
+    """Over several shards and packs, with ties, empty and null texts: the same twelve as from all scores, with few pairs scored in full."""
+    import math
+    import random
+    from collections import Counter
+
+    from docloom.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "SHARD_ROWS", 300)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(retrieval, "PACK_TOKENS", 60)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    zipf = [1 / (i + 1) for i in range(400)]
+    text = lambda n: " ".join(rng.choices(vocabulary, zipf, k=n))
+    rows = [(i, None if i % 50 == 0 else text(rng.randrange(0, 80)), rng.choice(["w1", "w2 w3", None])) for i in range(1200)]
+    rows += [(i, "w5 w9 w300", "w1") for i in range(2000, 2040)]
+    asked = [(f"q{i}", text(12)) for i in range(10)] + [("tie", "w300 w9"), ("none", "absent"), ("null", None), ("all", " ".join(vocabulary[:40]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    split = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda t: t != "")
+    counters = {k: spark.sparkContext.accumulator(0) for k in ("read", "entered", "completed")}
+    found = retrieval.search(spark.createDataFrame(asked, "qid string, text string"), frame, "doc_id", {f: split(F.col(f)) for f in weights}, weights, split(F.col("text")), counters=counters)
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["doc_id"], r["score"]))
+    fields = {f: [Counter((r[1 if f == "text" else 2] or "").split()) for r in rows] for f in weights}
+    for q, t in asked:
+        scores = [0.0] * len(rows)
+        for f, weight in weights.items():
+            mean = max(sum(c.total() for c in fields[f]) / len(rows), 1.0)
+            for w in set((t or "").split()):
+                df = sum(w in c for c in fields[f])
+                for i, c in enumerate(fields[f]):
+                    if c[w]:
+                        scores[i] += weight * math.log(1 + (len(rows) - df + 0.5) / (df + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean))
+        want = sorted(((round(s, 4), rows[i][0]) for i, s in enumerate(scores) if s > 0), key=lambda x: (-x[0], x[1]))[:12]
+        assert [d for d, _ in got.get(q, [])] == [d for _, d in want], q
+        assert all(abs(a - b) < 2e-4 for (_, a), (b, _) in zip(got.get(q, []), want, strict=True))
+    pairs = len(asked) * len(rows)
+    print({k: f"{c.value} of {pairs}" for k, c in counters.items()})
+    assert counters["completed"].value < pairs / 10
+
+
+def test_pruned_search_on_sf0_1_scores_a_tenth_of_all_pairs_at_most(spark):
+    import os
+
+    from docloom import queries as Q
+    from docloom.operators import retrieval
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("no tables")
+    counters = {k: spark.sparkContext.accumulator(0) for k in ("read", "entered", "completed")}
+    q, d = Q.bench_questions(spark, folder).withColumnRenamed("item_id", "qid"), Q.docs(spark, folder)
+    assert retrieval.search(q, d, "doc_id", {"text": T.latin_tokens(F.col("text"))}, {"text": 1.0}, T.latin_tokens(F.col("text")), counters=counters).count() == 12 * q.count()
+    pairs = q.count() * d.count()
+    print({k: f"{c.value} of {pairs} pairs" for k, c in counters.items()})
+    assert counters["completed"].value < pairs / 10
+
+
 def test_title_and_numeric_chunks_join(spark):
     c = chunks_of(spark, *[chunk(i, "d", f"第{i}段 金额{i}00亿元") for i in range(1, 9)])
     ranked = spark.createDataFrame([("q", "d-chunk-5", 1)], "qid string, chunk_id string, rank int")

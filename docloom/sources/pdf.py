@@ -5,11 +5,8 @@ Without them a file yields no page, and the caller's fallback chunk says so.
 
 from __future__ import annotations
 
-import contextlib
 import importlib
 import io
-import signal
-import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions.text import normalize
+from docloom.sources.guarded import ChildError, in_child
 from docloom.sources.readers import decode_utf8
 
 PAGES = "doc_id string, page_no int, text string, tables array<string>, error string"
@@ -87,8 +85,6 @@ def _tables_of(page) -> list[str]:
     """A PyMuPDF page's tables; a page on which the search fails has none."""
     try:
         return [table_lines(t.extract()) for t in page.find_tables().tables]
-    except TimeoutError:
-        raise
     except Exception:  # noqa: BLE001 - one page's tables do not cost the file
         return []
 
@@ -100,8 +96,6 @@ def extract(content: bytes, plumber: bool, tables: bool, ocr: bool = False) -> P
         try:
             with fitz.open(stream=content, filetype="pdf") as doc:
                 found = [(i, page_text(page, ocr), _tables_of(page) if tables else []) for i, page in enumerate(doc, 1)]
-        except TimeoutError:
-            raise
         except Exception:
             if other is None:
                 raise
@@ -113,29 +107,33 @@ def extract(content: bytes, plumber: bool, tables: bool, ocr: bool = False) -> P
     return _plumber_pages(content, tables) if other is not None else []
 
 
-@contextlib.contextmanager
-def time_limit(seconds: int | None) -> Iterator[None]:
-    """Raises ``TimeoutError`` after ``seconds`` in a worker's main thread; no limit elsewhere or without a number."""
-    if not seconds or threading.current_thread() is not threading.main_thread():
-        yield
-        return
-
-    def stop(*_) -> None:
-        raise TimeoutError
-
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        yield
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+def iter_pages(source: bytes | str, index: int = 0, count: int = 1, plumber: bool = False, tables: bool = False, ocr: bool = False) -> Iterator[tuple[int, str, list[str]]]:
+    """(page, text, tables) of part ``index`` of ``count`` of a file's pages (its path or content), one at a time; pdfplumber takes over where PyMuPDF is missing or cannot open the file."""
+    fitz, other = (None if plumber else _module("fitz")), _module("pdfplumber")
+    part = lambda n: range(n * index // count, n * (index + 1) // count)
+    if fitz is not None:
+        try:
+            doc = fitz.open(source) if isinstance(source, str) else fitz.open(stream=source, filetype="pdf")
+        except Exception:
+            if other is None:
+                raise
+        else:
+            with doc:
+                for i in part(len(doc)):
+                    yield i + 1, page_text(doc[i], ocr), _tables_of(doc[i]) if tables else []
+            return
+    if other is not None:
+        with other.open(source if isinstance(source, str) else io.BytesIO(source)) as doc:
+            for i in part(len(doc.pages)):
+                page = doc.pages[i]
+                yield i + 1, page.extract_text() or "", [table_lines(t) for t in page.extract_tables() or []] if tables else []
 
 
 def read_pdf_pages(files: DataFrame, ocr: bool = False, timeout: int | None = None) -> DataFrame:
-    """``PAGES`` of PDF files (``doc_id, content, plumber, table_recovery``); a file that fails, or takes longer than ``timeout`` seconds, gives one row with its error.
+    """``PAGES`` of PDF files (``doc_id, content, plumber, table_recovery``); a file that fails, ends its process or takes longer than ``timeout`` seconds gives one row with its error.
 
-    A file at a time is held; a null content counts as an empty file.
+    Each file is read in a child process, which is ended after the limit whatever code it is in. A file at a time is held (``page_source`` reads large ones in parts); a null content
+    counts as an empty file.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,12 +141,10 @@ def read_pdf_pages(files: DataFrame, ocr: bool = False, timeout: int | None = No
         for batch in batches:
             for r in batch.itertuples():
                 try:
-                    with time_limit(timeout):
-                        rows = [(r.doc_id, n, text, tables, None) for n, text, tables in extract(bytes(r.content or b""), r.plumber, r.table_recovery, ocr)]
-                except TimeoutError:
-                    rows = [(r.doc_id, None, None, [], f"subprocess_timeout_{timeout}s")]
-                except Exception as e:  # noqa: BLE001 - any broken file becomes a row
-                    rows = [(r.doc_id, None, None, [], f"process_exception_{type(e).__name__}")]
+                    pages = in_child(lambda r=r: iter(extract(bytes(r.content or b""), r.plumber, r.table_recovery, ocr)), timeout)
+                    rows = [(r.doc_id, n, text, tables, None) for n, text, tables in pages]
+                except ChildError as e:
+                    rows = [(r.doc_id, None, None, [], str(e))]
                 yield pd.DataFrame(rows, columns=names).astype({"page_no": "Int32"})
 
     return files.select("doc_id", "content", "plumber", "table_recovery").mapInPandas(run, PAGES)

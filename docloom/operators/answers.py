@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions import text as T
+from docloom.operators.reply_log import logged_replies
 from docloom.sources.shared import stored
 
 NO_EVIDENCE = "无候选证据"
@@ -194,12 +195,14 @@ ANSWERS = "qid string, reply string, prompt_tokens long, completion_tokens long"
 Answerer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def ask_traced(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None = None) -> DataFrame:
+def ask_traced(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None = None, log: str | None = None, calls: int = 8, timeout: float | None = 90) -> DataFrame:
     """``qid, attempt, success, reply, prompt_tokens, completion_tokens``: every attempt at every question.
 
     ``answerer`` is a pluggable model: an iterator function over batches of prompts. ``ladder`` holds simpler prompts for questions
     whose reply is null, tried one after another. Each step's replies are written before anything reads them, so a model is
-    called once for each question and step, however often the result is used.
+    called once for each question and step, however often the result is used. With ``log``, a folder that all tasks reach, each reply is
+    logged by the task that got it: tasks that are run again, and later runs with the same log, send no prompt a second time; ``calls`` bounds the
+    calls at a time and ``timeout`` the seconds of each (see ``reply_log``).
     """
     tried: list[DataFrame] = []
     for n, step in enumerate([prompts, *(ladder or [])], 1):
@@ -208,7 +211,7 @@ def ask_traced(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] |
             if failed.isEmpty():
                 break
             step = step.join(failed, "qid", "left_semi")
-        replies = step.mapInPandas(answerer, ANSWERS)
+        replies = step.mapInPandas(answerer, ANSWERS) if log is None else logged_replies(step, n, answerer, log, calls, timeout)
         tried.append(stored(replies.select("qid", F.lit(n).alias("attempt"), F.col("reply").isNotNull().alias("success"), "reply", "prompt_tokens", "completion_tokens"), "replies"))
     out = tried[0]
     for more in tried[1:]:
@@ -216,10 +219,10 @@ def ask_traced(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] |
     return out
 
 
-def ask(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None = None) -> DataFrame:
+def ask(prompts: DataFrame, answerer: Answerer, ladder: list[DataFrame] | None = None, **logging) -> DataFrame:
     """``qid, reply, prompt_tokens, completion_tokens, attempts``: each question's last attempt of ``ask_traced``."""
     last = F.max_by(F.struct("reply", "prompt_tokens", "completion_tokens"), "attempt").alias("last")
-    return ask_traced(prompts, answerer, ladder).groupBy("qid").agg(last, F.max("attempt").alias("attempts")).select("qid", "last.*", "attempts")
+    return ask_traced(prompts, answerer, ladder, **logging).groupBy("qid").agg(last, F.max("attempt").alias("attempts")).select("qid", "last.*", "attempts")
 
 
 def combine_answers(cases: DataFrame, rule: DataFrame, replies: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:

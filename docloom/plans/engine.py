@@ -54,10 +54,11 @@ class Engine:
         contexts = planner.query_contexts(planner.activate(planner.build_plans(questions), F.lit("base")), documents_only=True)
         return ranking.rank_documents(contexts, ranking.prepare_chunks(chunks))
 
-    def answer(self, questions: DataFrame, chunks: DataFrame, available: DataFrame | None = None, answerer: answers.Answerer | None = None, templates: DataFrame | None = None) -> dict[str, DataFrame]:
+    def answer(self, questions: DataFrame, chunks: DataFrame, available: DataFrame | None = None, answerer: answers.Answerer | None = None, templates: DataFrame | None = None, reply_log: str | None = None, calls: int = 8, timeout: float | None = 90) -> dict[str, DataFrame]:
         """The loop, then the rule's answer or a model's: ``answers, items, ledger`` beside the loop's tables.
 
         A model needs an ``answerer``; prompts come from ``templates`` or the default ones. Questions that ask for a check get a second call.
+        ``reply_log`` names a folder for replies, so that neither a lost task nor a second run sends a prompt again; ``calls`` and ``timeout`` bound the calls.
         """
         if answerer is not None and templates is None:
             templates = prompts.default_templates(self.spark)
@@ -69,13 +70,14 @@ class Engine:
         out = loop.run_loop(questions, chunks, available)
         rule = answers.choose_answers(out["results"], questions)
         replies = checks = None
+        logging = {"log": reply_log, "calls": calls, "timeout": timeout}
         if answerer is not None:
             cases = questions.join(answers.pack_evidence(out["evidence"]), "qid", "left")
             short = answers.render_prompts(answers.short_prompts(cases, out["evidence"]), templates)
-            replies = loop.stored(answers.ask(answers.render_prompts(cases, templates), answerer, [short, short]), "replies")
+            replies = loop.stored(answers.ask(answers.render_prompts(cases, templates), answerer, [short, short], **logging), "replies")
             first = answers.combine_answers(questions, rule, replies).select("qid", F.col("answer").alias("first_answer"))
             again = answers.needs_self_check(out["results"], questions).where("self_check").select("qid")
-            checks = loop.stored(answers.ask(answers.render_prompts(cases.join(again, "qid", "left_semi").join(first, "qid"), templates, verify=True), answerer), "checks")
+            checks = loop.stored(answers.ask(answers.render_prompts(cases.join(again, "qid", "left_semi").join(first, "qid"), templates, verify=True), answerer, **logging), "checks")
         out["answers"] = answers.combine_answers(questions, rule, replies, checks)
         out["items"] = answers.evidence_items(out["results"])
         out["ledger"] = loop.memory_ledger(out["results"], questions)

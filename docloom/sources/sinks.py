@@ -61,7 +61,7 @@ def write_dumps(rows: DataFrame, path: str) -> None:
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the target, then swap by rename: readers see the old table or the new one, never a part."""
+    """Write beside the target, then swap by two renames: no reader sees a part of a table, but one that opens it between them finds none. ``versioned.VersionedTable`` has no such gap."""
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     staged, old = f"{path}.staged", f"{path}.old"

@@ -14,6 +14,8 @@ from docloom import profiles as P
 from docloom.operators.chunking import chunk_pages, extraction_policy
 from docloom.operators.pages import clean_pages
 from docloom.sources import pdf, readers
+from docloom.sources.shared import stored
+from docloom.sources.versioned import VersionedTable
 
 N_PARTS = 64
 
@@ -57,10 +59,17 @@ def upsert_documents(batch: DataFrame, path: str, key: str = "doc_id", n_parts:
         fresh.unpersist()
 
 
-def ingest(spark: SparkSession, root: str, table: str, checkpoint: str, domain: str = "general", profile: P.ChunkProfile = P.FINANCE) -> StreamingQuery:
-    """Everything new below ``root`` into the chunk table, then stop; call again for what has come since."""
+def ingest(spark: SparkSession, root: str, table: str | VersionedTable, checkpoint: str, domain: str = "general", profile: P.ChunkProfile = P.FINANCE) -> StreamingQuery:
+    """Everything new below ``root`` into the chunk table, then stop; call again for what has come since.
+
+    A ``VersionedTable`` can be read while batches come in, and a batch rewrites only the parts that hold its documents.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert_documents(chunks_of_files(batch, domain, profile), table)
+        chunks = chunks_of_files(batch, domain, profile)
+        if isinstance(table, VersionedTable):
+            table.upsert(stored(chunks, "batch"))
+        else:
+            upsert_documents(chunks, table)
 
     return file_stream(spark, root).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -191,3 +191,102 @@ def test_scanned_pages_go_through_ocr(spark, monkeypatch):
     monkeypatch.setattr(pdf, "_ocr", [])
     monkeypatch.setattr(pdf, "_module", lambda name: None)
     assert pdf.page_text(Page("z", [])) == "z"
+
+
+# ------------------------------------------------------------------ replies
+def test_each_prompt_is_sent_once_though_a_task_is_lost(spark, tmp_path):
+    from docloom.operators import answers
+
+    sent, marker, log = str(tmp_path / "sent"), str(tmp_path / "lost"), str(tmp_path / "log")
+
+    def answerer(batches):
+        import pandas as pd
+
+        for b in batches:
+            qid = b["qid"][0]
+            if qid == "q5" and not os.path.exists(marker):
+                open(marker, "w").close()
+                os.kill(os.getppid(), 9)  # the task's worker is lost before the call
+                time.sleep(60)
+            with open(sent, "a") as f:
+                f.write(qid + "\n")
+            if qid == "q3":
+                time.sleep(60)
+            if qid == "q7":
+                raise ValueError("no model")
+            yield pd.DataFrame({"qid": b["qid"], "reply": ["A"], "prompt_tokens": [2], "completion_tokens": [1]})
+
+    prompts = spark.createDataFrame([(f"q{i}", "s", f"u{i}") for i in range(10)] + [("again", "s", "u1")], "qid string, system string, user string").repartition(3)
+    with pytest.raises(Exception, match="crashed|exit|lost|EOF|worker"):
+        answers.ask(prompts, answerer, log=log, calls=1, timeout=2).collect()  # one at a time: no other call is under way when the worker is lost
+    got = {r["qid"]: (r["reply"], r["prompt_tokens"], r["attempts"]) for r in answers.ask(prompts, answerer, log=log, calls=2, timeout=2).collect()}
+    assert got == {q: (None, 0, 1) if q in ("q3", "q7") else ("A", 2, 1) for q in [*(f"q{i}" for i in range(10)), "again"]}
+    calls = open(sent).read().split()
+    assert len(calls) == len(set(calls)) == 10  # "again" has the prompt of q1: one call for both
+    answers.ask(prompts, answerer, log=log, calls=2, timeout=2).collect()
+    assert open(sent).read().split() == calls
+    from docloom.operators.reply_log import read_log
+
+    errors = {r["error"] for r in read_log(spark, log).where("error is not null").collect()}
+    assert errors == {"subprocess_timeout_2s", "process_exception_ValueError"}
+    second = answers.ask_traced(prompts, answerer, [prompts], log=log, calls=2, timeout=2).where("attempt = 2").collect()
+    assert {r["qid"] for r in second} == {"q3", "q7"} and sorted(open(sent).read().split()) == sorted([*calls, "q3", "q7"])  # another attempt is another call
+
+
+# ------------------------------------------------------------------ versioned tables
+def test_versions_replace_each_other_whole(spark, tmp_path):
+    import threading
+
+    from docloom.sources.versioned import VersionedTable
+
+    table = VersionedTable(spark, f"{tmp_path}/t", part_bytes=6_000)
+    rows = lambda ids, v: spark.createDataFrame([(f"d{i}", n, f"{v}-{i}-{n}" * 20) for i in ids for n in range(3)], "doc_id string, n int, text string")
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    assert table.delete(rows([1], "x")) == 0
+    table.upsert(rows(range(300), "a"))
+    table.upsert(rows(range(300), "a"))  # now its size is known: it is split
+    parts = len(table.state()["parts"])
+    assert parts > 3
+    stop, seen = threading.Event(), []
+
+    def reader():
+        while not stop.is_set():
+            try:
+                seen.append(table.read().groupBy().count().first()[0])
+            except Exception as e:  # noqa: BLE001 - what the test looks for
+                seen.append(e)
+
+    thread = threading.Thread(target=reader)
+    thread.start()
+    small = table.upsert(rows([7], "b"))
+    table.upsert(rows([7, 1000], "c"))
+    table.delete(rows([8], "x"))
+    table.replace(table.read())
+    stop.set()
+    thread.join()
+    assert seen and set(seen) <= {900, 903}
+    whole = sum(p["bytes"] for p in table.state()["parts"])
+    assert 0 < small < whole / 2
+    got = {(r["doc_id"], r["n"]): r["text"] for r in table.read().collect()}
+    want = {(f"d{i}", n): f"{'c' if i in (7, 1000) else 'a'}-{i}-{n}" * 20 for i in [*range(300), 1000] if i != 8 for n in range(3)}
+    assert got == want
+    table.vacuum()
+    assert table.read().count() == 900 and len([f for f in os.listdir(f"{tmp_path}/t") if f.startswith("data-")]) == 1
+    table.upsert(rows([1], "z").limit(0))
+    table.delete(table.read())
+    assert table.read().count() == 0
+    table.upsert(rows([5], "n"))
+    assert table.read().count() == 3
+
+
+def test_a_stream_fills_a_versioned_table(spark, tmp_path):
+    from docloom.sources.versioned import VersionedTable
+    from docloom.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    table = VersionedTable(spark, f"{tmp_path}/chunks")
+    for name, text in (("a", "第一条 本合同等待期为90天。"), ("b", "第二条 身故保险金按基本保险金额给付。")):
+        (tmp_path / "in" / f"{name}.txt").write_text(text)
+        ingest.ingest(spark, f"{tmp_path}/in", table, f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert {r["doc_id"] for r in table.read().collect()} == {"a", "b"} and table.state()["version"] == 2

@@ -104,7 +104,8 @@ def tokens(text: Column) -> Column:
         short = F.when(size <= 4, grams(run, 3)).otherwise(strings([]))
         return F.when(han, F.concat(whole, grams(run, 2), short)).otherwise(F.array(run))
 
-    return F.filter(F.flatten(F.transform(runs, of_run)), lambda t: (F.length(t) > 1) & ~t.isin(P.STOP_WORDS))
+    every = F.filter(F.flatten(F.transform(runs, of_run)), lambda t: (F.length(t) > 1) & ~t.isin(P.STOP_WORDS))
+    return F.when(text.rlike("[\\u4e00-\\u9fff]"), every).otherwise(latin_tokens(text))  # texts without Han characters need no grams
 
 
 def latin_tokens(text: Column) -> Column:

@@ -17,7 +17,7 @@ from docloom.functions import text as T
 from docloom.operators import answers, chunking, merge, pages, ranking, reasoning, reports, retrieval
 from docloom.plans import planner
 from docloom.sources import sinks
-from docloom.sources.shared import stored
+from docloom.sources.shared import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf_dir, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def bench_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +109,7 @@ def _rule_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     q = bench_questions(spark, sf_dir).select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question")).withColumns({"domain": F.lit("general"), "doc_ids": none, "q_refs": none, "section_terms": none, "query_tokens": F.array_distinct(T.latin_tokens(text)), "q_numbers": F.array_distinct(T.numbers(text)), "exact_phrases": T.exact_phrases(text)})
     q = q.withColumn("high_value_terms", T.high_value_terms(text, F.col("query_tokens"), F.col("q_numbers"), F.col("q_refs"), F.col("section_terms")))
     rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("doc_id"), F.lit("").alias("title"), F.lit("general").alias("domain"), F.lit(1).alias("page_no"), F.coalesce("lang", F.lit("")).alias("section_path"), F.when(F.col("doc_id") % 10 == 0, "table").otherwise("prose").alias("chunk_type"), F.lit(None).cast("string").alias("clause_no"), F.col("text").alias("chunk_text"), F.col("doc_id").alias("chunk_ord"))
-    return q, stored(ranking.prepare_chunks(rows), "prepared")
+    return q, spread(stored(ranking.prepare_chunks(rows), "prepared"))
 
 
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,22 +127,22 @@ def document_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ pages
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", H.title_tag(F.coalesce("html", F.lit(""))).alias("title"))
+    return web_pages(spark, sf_dir).select("page_id", H.title_tag(F.coalesce("html", F.lit(""))).alias("title"))
 
 
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags stripped, entities left as they are, so that both sides agree on every character."""
     text = H.strip_tags(F.coalesce("html", F.lit("")), navigation=False, entities_too=False)
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(F.regexp_replace(text, r"\s+", " ")).alias("text_md5"), F.length(F.regexp_replace(text, r"\s+", "")).cast("long").alias("n_chars"))
+    return web_pages(spark, sf_dir).select("page_id", F.md5(F.regexp_replace(text, r"\s+", " ")).alias("text_md5"), F.length(F.regexp_replace(text, r"\s+", "")).cast("long").alias("n_chars"))
 
 
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = H.metadata(F.coalesce("html", F.lit("")))
-    return table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select("page_id", "m.title", "m.pub_date", "m.source")
+    return web_pages(spark, sf_dir).select("page_id", m.alias("m")).select("page_id", "m.title", "m.pub_date", "m.source")
 
 
 def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", H.main_content(F.coalesce("html", F.lit(""))).alias("content"))
+    return web_pages(spark, sf_dir).select("page_id", H.main_content(F.coalesce("html", F.lit(""))).alias("content"))
 
 
 # ------------------------------------------------------------------ lines and chunks
@@ -254,7 +258,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _options_and_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q = stored(_questions(spark, sf_dir), "questions")
-    evidence = stored(_candidates(spark, sf_dir), "candidates").join(q.select("item_id", "qid"), "item_id").drop("item_id")
+    evidence = spread(stored(_candidates(spark, sf_dir), "candidates")).join(q.select("item_id", "qid"), "item_id").drop("item_id")
     return q, reasoning.option_rows(q), evidence
 
 
@@ -276,7 +280,7 @@ def rule_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents of every benchmark text as numbered evidence lines within the budget of a prompt."""
-    packed = answers.pack_evidence(stored(_candidates(spark, sf_dir), "candidates").withColumn("qid", F.col("item_id").cast("string")))
+    packed = answers.pack_evidence(spread(stored(_candidates(spark, sf_dir), "candidates")).withColumn("qid", F.col("item_id").cast("string")))
     return packed.select("qid", F.md5("evidence_text").alias("text_md5"), F.length("evidence_text").cast("long").alias("length"))
 
 

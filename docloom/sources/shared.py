@@ -31,6 +31,13 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than cores, as rows over all cores: Spark does not cut a small file with one row group, so one task would do all the work. Larger tables have splits enough and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if len(df.inputFiles()) < cores and size < cores * (128 << 20) else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written below the shared folder and read again: plans stay short, lost executors cost nothing that is done."""
     path = f"{shared_folder(df.sparkSession)}/docloom/{name}-{uuid.uuid4().hex}"

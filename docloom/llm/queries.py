@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import spread
+
 from . import audio, merkle, near_dedup, nearest, packing, quality_model, quality_rules, resampling, secret_scan, substring_dedup, token_counts, unigram, url_filter
 
 #: Rules of the registered url query (fixed values).
@@ -48,15 +50,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.describe_media(table(spark, sf_dir, "documents")).drop("segments")  # all of them stand in the feature
+    return audio.describe_media(spread(table(spark, sf_dir, "documents"))).drop("segments")  # all of them stand in the feature
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
 
 
 def op6_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = unigram.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    coded = unigram.encode_pieces(spread(table(spark, sf_dir, "documents")), vocabulary("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_pieces", "n_byte_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 
@@ -71,7 +73,7 @@ def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (F.col("toxic") == 0))
-    return quality_rules.rate_quality(table(spark, sf_dir, "documents"), trusted).drop("ratio")
+    return quality_rules.rate_quality(spread(table(spark, sf_dir, "documents")), trusted).drop("ratio")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ samples read back from the stored bytes:
 Log-mel frames are stored as tensors of one fixed shape ``(block_frames, n_mels)``: the last is padded with the floor value
 and carries its true number of frames. Tasks build them as Arrow fixed-shape tensors, whose storage Spark holds as lists of floats;
 ``to_tensors`` gives the tensor column again. Long media are handled in
-blocks of frames, so memory does not grow with the length of a recording.
+blocks of frames, but all samples and tensors of a recording are held while it is described: memory grows with its length (some 100 MB for 4 MB).
 
 Defined results: a null text counts as empty, whose payload is 64 zero bytes; equal payloads give equal values, as each row
 is computed by itself; repeated rows each give a row; an empty table gives an empty table; other columns are ignored.

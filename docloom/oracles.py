@@ -72,7 +72,7 @@ for _tag in ("script", "style", "noscript", "form", "svg", "footer", "header", "
 for _pattern, _by in (("(?is)<!--.*?-->", "' '"), ("(?is)<br\\s*/?>", "chr(10)"), ("(?is)</(p|div|li|tr|section|article|h\\d)>", "chr(10)"), ("(?is)<[^>]+>", "' '")):
     _STRIP = f"regexp_replace({_STRIP}, '{_pattern}', {_by}, 'g')"
 
-_OPTIONS = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 20)"
+_OPTIONS = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 _PARTS = "list_filter(list_transform(string_split(regexp_replace(array_to_string({0}, chr(10)), '([.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"

@@ -235,8 +235,8 @@ def annotate_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ questions and evidence
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as questions whose options are all their sentences over 20 characters: one question for each six of them, ``item-group``."""
-    options = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda x: F.length(x) > 20)
+    """Benchmark texts as questions whose options are all their sentences: one question for each six of them, ``item-group``."""
+    options = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
     rows = bench_questions(spark, sf_dir).withColumn("every", options).where(F.size("every") > 0)
     most = len(P.OPTION_NAMES)
     q = rows.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("every") - 1) / most).cast("int"))).alias("group"))

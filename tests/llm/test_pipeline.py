@@ -84,6 +84,6 @@ def test_an_empty_table_and_one_of_which_nothing_is_kept(spark, folder, tmp_path
 
 def test_registered_queries():
     names = list(entry.queries())
-    assert [n for n in names if n.startswith("op")][0].startswith("op1_") and len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert [n for n in names if n.startswith("op")][0].startswith("op1_") and len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
     assert 4 <= len(C.STAGES) <= 5

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom import profiles as P
 from docloom.functions.text import any_of, strings, strip
+from docloom.sources.shared import stored
 
 CHUNK_FIELDS = ["chunk_id", "doc_id", "title", "domain", "page_no", "section_path", "chunk_type", "clause_no", "chunk_text"]
 
@@ -48,41 +51,109 @@ def _joined(a: dict, b: dict) -> dict:
     return a | made | {"n_merged": a["n_merged"] + 1}
 
 
-def merge_neighbours(chunks: DataFrame, profile: P.ChunkProfile = P.FINANCE) -> DataFrame:
-    """Small neighbours of a document joined from left to right; each is held against what its predecessors have become.
+def _never_joins(a: dict, b: dict) -> bool:
+    """Whether ``b`` stays apart whatever ``a``, the chunk before it, has become: texts only grow, pages only fall, a section once known stays."""
+    if a["doc_id"] != b["doc_id"] or b["opens"] or None in (a["chunk_type"], b["chunk_type"], a["page_no"], b["page_no"], a["chunk_text"], b["chunk_text"]):
+        return True
+    size_a, size_b = len(a["chunk_text"]), len(b["chunk_text"])
+    sections = bool(a["section_path"] and b["section_path"] and a["section_path"] != b["section_path"])
+    return "table" in (a["chunk_type"], b["chunk_type"]) or b["page_no"] > a["page_no"] + 1 or sections or size_a + size_b > P.MAX_CHUNK or min(size_a, size_b) >= P.MERGE_MIN
 
-    A fold over each document's chunks in order: a task sorts its documents (the sort spills) and holds only the open chunk,
-    so memory does not grow with a document; one task reads all of it. Adds ``n_merged``, how many chunks were joined to the first.
-    """
-    schema = T.StructType([chunks.schema[c] for c in CHUNK_FIELDS]).add("n_merged", T.IntegerType()).add("chunk_ord", T.LongType())
-    ordered = chunks.select(*CHUNK_FIELDS, chunk_index(F.col("chunk_id")).alias("n"), "chunk_ord", strip(F.col("chunk_text")).rlike(profile.boundary).alias("opens"))
-    ordered = ordered.repartition("doc_id").sortWithinPartitions("doc_id", "n", "chunk_ord", *CHUNK_FIELDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, types = None, []
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield from batch.slice(at, 500).to_pylist()
 
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(schema.names, types, strict=True)], schema.names)
 
-        for batch in batches:
-            types = [*(batch.schema.field(c).type for c in CHUNK_FIELDS), pa.int32(), pa.int64()]
+def _batches(rows: Iterator[dict], schema: pa.Schema, most: int = 500) -> Iterator[pa.RecordBatch]:
+    done: list[dict] = []
+    for row in rows:
+        done.append(row)
+        if len(done) == most:
+            yield pa.RecordBatch.from_pylist(done, schema)
             done = []
-            for at in range(0, batch.num_rows, 500):
-                for x in batch.slice(at, 500).to_pylist():
-                    same = last is not None and last["doc_id"] == x["doc_id"]
-                    if same and _may_join(last, x):
-                        last = _joined(last, x)
-                        continue
-                    if last is not None:
-                        done.append(last)
-                    last = x | {"n_merged": 0, "chunk_ord": last["chunk_ord"] + 1 if same else 0}
-                if done:
-                    yield batch_of(done)
-                    done = []
+    if done:
+        yield pa.RecordBatch.from_pylist(done, schema)
+
+
+#: What the first fold knows of a row: nothing came before it in the task that settles it, it is whole, or the next task may add to it.
+HEAD, WHOLE, OPEN = 0, 1, 2
+
+
+def _fold_part(rows: Iterator[dict], part: int) -> Iterator[dict]:
+    """The chunks of one range of the sorted table. Rows before the first certain break depend on the range before and stay as they are."""
+    before, last = None, None
+    for at, x in enumerate(rows):
+        x |= {"part": part, "at": at, "n_merged": 0, "chunk_ord": 0, "kind": HEAD}
+        if last is None and (before is None or not _never_joins(before, x)):
+            yield x
+        elif last is not None and last["doc_id"] == x["doc_id"] and _may_join(last, x):
+            last = _joined(last, x)
+        else:
+            if last is not None:
+                yield last | {"kind": WHOLE}
+                x["chunk_ord"] = last["chunk_ord"] + 1 if last["doc_id"] == x["doc_id"] else 0
+            last = x
+        before = x
+    if last is not None:
+        yield last | {"kind": OPEN}
+
+
+def _fold_border(rows: Iterator[dict]) -> Iterator[dict]:
+    """Open chunks with the heads that follow them, in order of (``chain, part, at``)."""
+    last, part, n = None, None, 0
+    for x in rows:
+        if last is not None and last["chain"] == x["chain"] and last["doc_id"] == x["doc_id"] and x["kind"] == HEAD and _may_join(last, x):
+            last = _joined(last, x)
+            continue
         if last is not None:
-            yield batch_of([last])
+            yield last
+        if x["kind"] == HEAD:  # heads of a range are of one document: they count from nought, the range's other chunks after them
+            part, n = x["part"], n + 1 if part == x["part"] else 0
+            x["chunk_ord"] = n
+        last = x
+    if last is not None:
+        yield last
+
 
-    return ordered.mapInArrow(run, schema)
+def merge_neighbours(chunks: DataFrame, profile: P.ChunkProfile = P.FINANCE) -> DataFrame:
+    """Small neighbours of a document joined from left to right; each is held against what its predecessors have become.
+
+    The table is sorted by range, so a large document lies in several tasks. A fold needs to know what came before, but not behind a certain
+    break (another document, a boundary, a table, a page or section that cannot fit, texts too large together or both large enough): a task folds all from
+    its first such break on with one open chunk in memory. What crosses a border, the last chunk of a range and the rows before the next one's first break, is
+    folded afterwards; only a document without any certain break is one task there. Ordinals are counts in the range plus those of the ranges before.
+    Adds ``n_merged``, how many chunks were joined to the first. Rows of one document with equal ids and ordinals go by their other columns; a null document counts as one.
+    """
+    inner = T.StructType([chunks.schema[c] for c in CHUNK_FIELDS]).add("opens", T.BooleanType()).add("n_merged", T.IntegerType()).add("chunk_ord", T.LongType())
+    inner = inner.add("part", T.IntegerType()).add("at", T.LongType()).add("kind", T.IntegerType())
+    ordered = chunks.select(*CHUNK_FIELDS, chunk_index(F.col("chunk_id")).alias("n"), "chunk_ord", strip(F.col("chunk_text")).rlike(profile.boundary).alias("opens"))
+    ordered = ordered.repartitionByRange("doc_id", "n", "chunk_ord").sortWithinPartitions("doc_id", "n", "chunk_ord", *CHUNK_FIELDS)
+    arrow = to_arrow_schema(inner)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(_fold_part(_rows(batches), TaskContext.get().partitionId()), arrow)
+
+    folded = stored(ordered.mapInArrow(fold, inner), "neighbours")
+    whole, border = folded.where(F.col("kind") == WHOLE), folded.where(F.col("kind") != WHOLE)
+    # one row for each range of the table: the range whose open chunk its head continues
+    parts = border.groupBy("part").agg(F.max(F.col("kind") == OPEN).alias("opened"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    chains = parts.select("part", F.coalesce(F.max(F.when(F.col("opened"), F.col("part"))).over(earlier), F.lit(-1)).alias("before"))
+    linked = border.join(F.broadcast(chains), "part").withColumn("chain", F.when(F.col("kind") == OPEN, F.col("part")).otherwise(F.col("before"))).drop("before")
+    outer = T.StructType([linked.schema[c] for c in linked.columns])
+    arrow_outer = to_arrow_schema(outer)
+    settled = stored(linked.repartition("chain").sortWithinPartitions("chain", "part", "at").mapInArrow(lambda batches: _batches(_fold_border(_rows(batches)), arrow_outer), outer), "settled")
+    # documents that touch a border, at most two for each range; their counts by range
+    touched = F.broadcast(settled.select(F.col("doc_id").alias("_doc")).distinct())
+    counts = whole.select("doc_id", "part", "kind").join(touched, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").unionByName(settled.select("doc_id", "part", "kind"))
+    counts = counts.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == HEAD).alias("heads"))
+    sum_before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    places = F.broadcast(counts.select(F.col("doc_id").alias("_doc"), F.col("part").alias("_part"), F.coalesce(sum_before, F.lit(0)).alias("_before"), F.col("heads").alias("_heads")))
+    found = whole.unionByName(settled.select(*whole.columns)).join(places, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("part") == F.col("_part")), "left")
+    shift = F.coalesce("_before", F.lit(0)) + F.when(F.col("kind") == HEAD, 0).otherwise(F.coalesce("_heads", F.lit(0)))
+    return found.select(*CHUNK_FIELDS, "n_merged", (F.col("chunk_ord") + shift).alias("chunk_ord"))
 
 
 def annotate_formulas(chunks: DataFrame) -> DataFrame:

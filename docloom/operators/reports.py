@@ -12,17 +12,42 @@ from docloom.sources.shared import stored
 
 
 def nearest_rank(rows: DataFrame, value: str, ratio: float, by: list[str] | None = None) -> DataFrame:
-    """The value at position max(int(n * ratio), 1) of the sorted values, per group; no row for an empty group."""
+    """The value at position max(int(n * ratio), 1) of the sorted values, per group; nulls aside, no row for an empty group.
+
+    Equal values are counted first, then the counts are sorted by range, so a large group lies in several tasks. A group's count in each range (one row
+    a range, so few) tells which range holds the rank; only rows of that range are looked through.
+    """
     keys = by or []
-    whole = Window.partitionBy(*keys)
-    ranked = rows.where(F.col(value).isNotNull()).withColumns({"_n": F.row_number().over(whole.orderBy(value)), "_all": F.count(F.lit(1)).over(whole)})
-    return ranked.where(F.col("_n") == F.greatest((F.col("_all") * F.lit(float(ratio))).cast("int"), F.lit(1))).select(*keys, F.col(value).alias("value"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    sorted_ = stored(counted.repartitionByRange(*names, "value").withColumn("part", F.spark_partition_id()), "counts")
+    group = Window.partitionBy(*names)
+    sums = sorted_.groupBy(*names, "part").agg(F.sum("n").alias("n"))
+    sums = sums.withColumns({"before": F.sum("n").over(group.orderBy("part")) - F.col("n"), "all": F.sum("n").over(group)})
+    rank = F.greatest((F.col("all") * F.lit(float(ratio))).cast("long"), F.lit(1).cast("long"))
+    holding = sums.withColumn("left", rank - F.col("before")).where((F.col("left") > 0) & (F.col("left") <= F.col("n"))).select(*[F.col(k).alias(f"_{k}") for k in names], F.col("part").alias("_part"), "left")
+    same = F.col("part") == F.col("_part")
+    for k in names:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inside = sorted_.join(holding, same)
+    up_to = F.sum("n").over(Window.partitionBy(*names, "part").orderBy("value"))
+    found = inside.withColumn("up_to", up_to).where((F.col("up_to") >= F.col("left")) & (F.col("up_to") - F.col("n") < F.col("left")))
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "value")
 
 
 def preprocessing_summary(manifest: DataFrame) -> DataFrame:
-    """``facet, value, documents, avg_seconds, avg_chunks``: by type, status and category, and over all, in one pass."""
-    facets = F.explode(F.array(*[F.struct(F.lit(n).alias("facet"), F.col(c).alias("value")) for n, c in (("file_type", "file_type"), ("status", "status"), ("category", "category"))], F.struct(F.lit("all").alias("facet"), F.lit("all").alias("value")))).alias("f")
-    return manifest.select(facets, "processing_seconds", "chunk_count").groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("documents"), F.avg("processing_seconds").alias("avg_seconds"), F.avg("chunk_count").alias("avg_chunks"))
+    """``facet, value, documents, avg_seconds, avg_chunks``: by type, status and category, and over all: one aggregation over grouping sets; nothing for an empty table."""
+    facets = ["file_type", "status", "category"]
+    rows = manifest.select(*facets, "processing_seconds", "chunk_count")
+    grouped = rows.groupingSets([[F.col(c)] for c in facets] + [[]], *facets)
+    out = grouped.agg(F.grouping_id().alias("which"), F.count(F.lit(1)).alias("documents"), F.avg("processing_seconds").alias("avg_seconds"), F.avg("chunk_count").alias("avg_chunks"))
+    # a bit for each facet that is left out, the first facet's highest
+    left_out = {c: 7 - (4 >> i) for i, c in enumerate(facets)}
+    facet = F.coalesce(*[F.when(F.col("which") == bits, c) for c, bits in left_out.items()], F.lit("all"))
+    value = F.when(F.col("which") == 7, "all")
+    for c, bits in left_out.items():
+        value = value.when(F.col("which") == bits, F.col(c))
+    return out.select(facet.alias("facet"), value.alias("value"), "documents", "avg_seconds", "avg_chunks")
 
 
 # ------------------------------------------------------------------ chunk quality

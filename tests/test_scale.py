@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import profiles as P
-from docloom.operators import merge
+from docloom.operators import merge, reports
 
 CHUNK = "chunk_id string, doc_id string, title string, domain string, page_no int, section_path string, chunk_type string, clause_no string, chunk_text string, chunk_ord long"
 
@@ -70,3 +70,34 @@ def test_certain_breaks_hold_for_whatever_came_before():
         for before, x in zip(rows, rows[1:], strict=False):
             assert not (merge._never_joins(before, x) and merge._may_join(last, x))
             last = merge._joined(last, x) if merge._may_join(last, x) else x
+
+
+def test_nearest_rank_over_several_tasks(many_tasks):
+    dice = random.Random(7)
+    rows = [(dice.choice(["hot", "hot", "hot", "a", None]), dice.choice([None, 1.0, dice.uniform(-9, 9), float(dice.randint(0, 5)), float("nan") if dice.random() < 0.1 else 2.0])) for _ in range(3000)] + [("empty", None), ("one", 4.0)]
+    df = many_tasks.createDataFrame(rows, "g string, n double").repartition(8)  # a column of the name that counts have
+    for ratio in (0.0, 0.3, 0.95, 1.0):
+        got = {r["g"]: r["value"] for r in reports.nearest_rank(df, "n", ratio, ["g"]).collect()}
+        want = {}
+        for g in {g for g, v in rows if v is not None}:
+            values = sorted([v for k, v in rows if k == g and v is not None], key=lambda v: (v != v, v))
+            want[g] = values[max(int(len(values) * ratio), 1) - 1]
+        assert str(sorted(got.items(), key=str)) == str(sorted(want.items(), key=str))
+    found = reports.nearest_rank(df, "n", 0.5)
+    assert found.count() == 1 and reports.nearest_rank(df.limit(0), "n", 0.5).count() == 0
+    assert sum("/counts-" in f for f in found.inputFiles()) > 1  # a group without keys lies in several files
+
+
+def test_summary_by_grouping_sets(spark):
+    rows = [("pdf", "done", "a", 1.0, 2), ("pdf", "failed", None, None, 4), (None, "done", "a", 4.0, None)]
+    out = reports.preprocessing_summary(spark.createDataFrame(rows, "file_type string, status string, category string, processing_seconds double, chunk_count int"))
+    got = {(r["facet"], r["value"]): (r["documents"], r["avg_seconds"], r["avg_chunks"]) for r in out.collect()}
+    assert got == {("file_type", "pdf"): (2, 1.0, 3.0), ("file_type", None): (1, 4.0, None), ("status", "done"): (2, 2.5, 2.0), ("status", "failed"): (1, None, 4.0), ("category", "a"): (2, 2.5, 2.0), ("category", None): (1, None, 4.0), ("all", "all"): (3, 2.5, 3.0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_duplicate_report_counts_without_shuffling_texts(spark):
+    c = spark.createDataFrame([("a b",), ("ab",), ("a　b ",), ("c",), (None,), (None,), ("",), (" ",)], "chunk_text string")
+    assert {r["scope"]: (r["groups"], r["surplus"]) for r in merge.duplicate_report(c).collect()} == {"global": (3, 4)}
+    every = spark.createDataFrame([(chr(i),) for i in range(0x3100)], "t string")
+    assert every.where(merge.template_key(F.col("t")) != F.regexp_replace("t", r"(?U)\s+", "")).count() == 0

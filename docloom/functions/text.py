@@ -153,16 +153,27 @@ def expand_synonyms(text: Column, query_tokens: Column) -> Column:
     return F.array_distinct(F.concat(query_tokens, *extra))
 
 
-def expand_by_table(rows: DataFrame, synonyms: DataFrame, text: str, tokens_col: str, domain: str = "domain") -> DataFrame:
-    """``rows`` with the tokens of every synonym group that has a term in ``text`` added to ``tokens_col``; ordered, distinct.
+#: Characters of a synonym table that go along with each question at once.
+SYNONYM_CHARS = 4 << 20
 
-    ``synonyms`` has ``domain`` (``_global``: for all) and ``terms`` (an array): a dictionary of bounded size, kept as one array literal
-    of the table's rows beside each question.
+
+def expand_by_table(rows: DataFrame, synonyms: DataFrame, text: str, tokens_col: str, domain: str = "domain", most: int = SYNONYM_CHARS) -> DataFrame:
+    """``rows`` with the tokens of every synonym group that has a term in ``text`` added to ``tokens_col``; ordered by group, distinct.
+
+    ``synonyms`` has ``domain`` (``_global``: for all) and ``terms`` (an array). The table's size is counted first: up to ``most`` characters it is one
+    array beside each question, a larger one is dealt by hash into as many as it takes, each broadcast apart. Null domains, terms and texts fit nothing.
     """
-    every = synonyms.agg(F.array_sort(F.collect_list(F.struct("domain", "terms", F.flatten(F.transform("terms", tokens)).alias("tokens")))).alias("_groups"))
-    fits = lambda g: ((g["domain"] == "_global") | (g["domain"] == F.col(domain))) & F.exists(g["terms"], lambda t: F.contains(F.lower(F.col(text)), F.lower(t)))
-    extra = F.flatten(F.transform(F.filter("_groups", fits), lambda g: g["tokens"]))
-    return rows.join(F.broadcast(every), F.lit(True)).withColumn(tokens_col, F.array_distinct(F.concat(tokens_col, extra))).drop("_groups")  # one row
+    chars = synonyms.agg(F.sum(F.coalesce(F.aggregate(F.filter("terms", lambda t: t.isNotNull()), F.lit(0).cast("long"), lambda n, t: n + F.length(t)), F.lit(0)))).first()[0] or 0
+    blocks = max(1, -(-int(chars) // most))
+    groups = synonyms.select("domain", F.filter("terms", lambda t: t.isNotNull()).alias("terms")).withColumn("tokens", F.flatten(F.transform("terms", tokens)))
+    fits = lambda g: F.coalesce(((g["domain"] == "_global") | (g["domain"] == F.col(domain))) & F.exists(g["terms"], lambda t: F.contains(F.lower(F.col(text)), F.lower(t))), F.lit(False))
+    found, out = [], rows
+    for i in range(blocks):
+        block = groups.where(F.pmod(F.xxhash64("domain", "terms"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("domain", "terms", "tokens")).alias(f"_groups{i}"))
+        out = out.join(F.broadcast(block), F.lit(True)).withColumn(f"_groups{i}", F.filter(f"_groups{i}", fits))  # one row
+        found.append(f"_groups{i}")
+    extra = F.flatten(F.transform(F.array_sort(F.concat(*found)), lambda g: g["tokens"]))
+    return out.withColumn(tokens_col, F.array_distinct(F.concat(tokens_col, extra))).drop(*found)
 
 
 def normalize_domain(domain: Column) -> Column:

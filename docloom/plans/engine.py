@@ -54,11 +54,12 @@ class Engine:
         contexts = planner.query_contexts(planner.activate(planner.build_plans(questions), F.lit("base")), documents_only=True)
         return ranking.rank_documents(contexts, ranking.prepare_chunks(chunks))
 
-    def answer(self, questions: DataFrame, chunks: DataFrame, available: DataFrame | None = None, answerer: answers.Answerer | None = None, templates: DataFrame | None = None, reply_log: str | None = None, calls: int = 8, timeout: float | None = 90) -> dict[str, DataFrame]:
+    def answer(self, questions: DataFrame, chunks: DataFrame, available: DataFrame | None = None, answerer: answers.Answerer | None = None, templates: DataFrame | None = None, reply_log: str | None = None, calls: int = 8, timeout: float | None = 90, resume: str | None = None) -> dict[str, DataFrame]:
         """The loop, then the rule's answer or a model's: ``answers, items, ledger`` beside the loop's tables.
 
         A model needs an ``answerer``; prompts come from ``templates`` or the default ones. Questions that ask for a check get a second call.
         ``reply_log`` names a folder for replies, so that neither a lost task nor a second run sends a prompt again; ``calls`` and ``timeout`` bound the calls.
+        ``resume`` names a folder for the loop's steps, so that a stopped run goes on after its last whole one.
         """
         if answerer is not None and templates is None:
             templates = prompts.default_templates(self.spark)
@@ -67,7 +68,7 @@ class Engine:
         if "mode" not in questions.columns:
             questions = questions.withColumn("mode", F.lit("A"))
         available = chunks.select("doc_id").distinct() if available is None else available
-        out = loop.run_loop(questions, chunks, available)
+        out = loop.run_loop(questions, chunks, available, resume=resume)
         rule = answers.choose_answers(out["results"], questions)
         replies = checks = None
         logging = {"log": reply_log, "calls": calls, "timeout": timeout}

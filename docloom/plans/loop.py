@@ -15,6 +15,7 @@ from docloom.operators import ranking, reasoning
 from docloom.sources.shared import stored
 
 from . import planner
+from .ledger import Ledger
 
 
 def resolve_documents(plans: DataFrame, prepared: DataFrame, available: DataFrame) -> DataFrame:
@@ -42,22 +43,28 @@ def retrieve(plans: DataFrame, chunks: DataFrame, prepared: DataFrame, carried:
     return ranked.join(chunks, "chunk_id")
 
 
-def run_loop(questions: DataFrame, chunks: DataFrame, available: DataFrame, max_rounds: int = P.MAX_ROUNDS) -> dict[str, DataFrame]:
+def run_loop(questions: DataFrame, chunks: DataFrame, available: DataFrame, max_rounds: int = P.MAX_ROUNDS, resume: str | None = None) -> dict[str, DataFrame]:
     """``results`` (verdicts), ``evidence`` (candidates), ``evaluation`` and ``log`` of each question's chosen round.
 
     ``questions`` has ``qid, mode, question, options, answer_format, doc_ids``; ``available`` lists usable documents (``doc_id``). A round is
     accepted when nothing fails; after the last, the best round counts, the later where equal. Once an option has a verdict
     it keeps one: a later definite verdict replaces it, insufficient does not.
+
+    ``resume`` names a folder for the run's steps (``ledger.Ledger``): a run that stopped goes on after its last whole step. It must have been made from the same tables.
     """
-    prepared = stored(ranking.prepare_chunks(chunks), "prepared")
-    base = stored(planner.build_plans(questions).withColumn("mode", F.coalesce("mode", F.lit("A"))), "plans")
+    ledger = Ledger(chunks.sparkSession, resume)
+    ledger.check(questions=questions, chunks=chunks, available=available)
+    prepared = ledger.keep("prepared", lambda: ranking.prepare_chunks(chunks))
+    base = ledger.keep("plans", lambda: planner.build_plans(questions).withColumn("mode", F.coalesce("mode", F.lit("A"))))
     plans = planner.activate(base, F.lit("base")).withColumn("previous_docs", T.strings([]))
     done: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     definite, carried = None, None
     for round_no in range(1, max_rounds + 1):
-        plans = stored(resolve_documents(plans, prepared, available), "round-plans")
-        evidence = stored(retrieve(plans, chunks, prepared, carried, round_no == 1).withColumn("round", F.lit(round_no)), "evidence")
-        fresh = stored(reasoning.verdicts(reasoning.option_rows(plans), evidence), "verdicts")
+        step = lambda name, make, n=round_no: ledger.keep(f"{name}-{n}", make)
+        planned, earlier = plans, carried
+        plans = now_planned = step("round-plans", lambda p=planned: resolve_documents(p, prepared, available))
+        evidence = step("evidence", lambda p=now_planned, c=earlier, n=round_no: retrieve(p, chunks, prepared, c, n == 1).withColumn("round", F.lit(n)))
+        fresh = step("verdicts", lambda p=now_planned, e=evidence: reasoning.verdicts(reasoning.option_rows(p), e))
         sure = fresh.where("verdict != 'insufficient'").withColumn("round", F.lit(round_no))
         history = sure if definite is None else definite.unionByName(sure)
         latest = history.groupBy("qid", "option").agg(F.max_by(F.struct(*[c for c in sure.columns if c not in ("qid", "option", "round")]), "round").alias("last"))
@@ -65,20 +72,20 @@ def run_loop(questions: DataFrame, chunks: DataFrame, available: DataFrame, max_
         if definite is not None:
             kept = [F.coalesce(F.col(f"last.{c}"), F.col(c)).alias(c) for c in fresh.columns if c not in ("qid", "option", "evidence")]
             merged = fresh.join(latest, ["qid", "option"], "left").select("qid", "option", *kept, "evidence")
-        merged = stored(merged.withColumn("round", F.lit(round_no)), "merged")
-        evaluation = stored(reasoning.evaluate_rounds(plans, evidence, merged).withColumn("round", F.lit(round_no)), "evaluation")
+        merged = step("merged", lambda m=merged, n=round_no: m.withColumn("round", F.lit(n)))
+        evaluation = step("evaluation", lambda p=now_planned, e=evidence, m=merged, n=round_no: reasoning.evaluate_rounds(p, e, m).withColumn("round", F.lit(n)))
         done.append((merged, evidence, evaluation))
         open_ = evaluation.where("decision = 'retry'").select("qid", "next_action", "insufficient_options")
         if round_no == max_rounds or open_.isEmpty():
             break
-        definite = stored(history, "definite")
+        definite = step("definite", lambda h=history: h)
         gaps = fresh.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("verdict") == "insufficient", F.col("option")))).alias("gaps"))
         # evidence of options that have a verdict, in the order of options and ranks, goes along
         named = definite.select("qid", "option").distinct().join(fresh.select("qid", "option", F.posexplode("evidence").alias("n", "e")), ["qid", "option"])
         place = F.row_number().over(Window.partitionBy("qid").orderBy("option", "n"))
         now = named.select("qid", F.col("e.chunk_id").alias("chunk_id"), (place + 1000 * round_no).alias("place"))
         carried = now if carried is None else carried.unionByName(now)
-        carried = stored(carried.groupBy("qid", "chunk_id").agg(F.min("place").alias("place")), "carried")
+        carried = step("carried", lambda c=carried: c.groupBy("qid", "chunk_id").agg(F.min("place").alias("place")))
         # the base plan again, with what this round left open
         plans = planner.gap_plans(base.join(open_, "qid").join(gaps, "qid", "left").join(plans.select("qid", F.col("current_docs").alias("previous_docs")), "qid")).drop("next_action", "insufficient_options", "gaps")
     return choose_rounds(done)

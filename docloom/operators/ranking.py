@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions import text as T
-from docloom.operators import rules
+from docloom.operators import pairs, rules
 from docloom.sources.shared import stored
 
 FIELDS = list(P.FIELD_WEIGHTS)
@@ -150,8 +150,12 @@ def _open_scores(asked: DataFrame, features: DataFrame, plain: DataFrame, hits:
     return rows.select("qid", "q_domain", "chunk_id", *FEATURES, "base", "boost", (F.col("base") + F.col("boost")).alias("score"))
 
 
+def asked_of(contexts: DataFrame, prepared: DataFrame) -> DataFrame:
+    return stored(resolve_domains(contexts, prepared).select("qid", "q_domain", "only_domain", "doc_ids", "query_tokens", *CONTEXT), "asked")
+
+
 def _ask(contexts: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked = stored(resolve_domains(contexts, prepared).select("qid", "q_domain", "only_domain", "doc_ids", "query_tokens", *CONTEXT), "asked")
+    asked = asked_of(contexts, prepared)
     features = stored(prepared.select("chunk_id", *FEATURES, *[c.alias(n) for n, c in rules.chunk_features().items()]), "features")
     return asked, features, stored(base_scores(asked, prepared), "base-scores")
 
@@ -205,35 +209,17 @@ def rank_chunks(contexts: DataFrame, prepared: DataFrame) -> DataFrame:
 def rank_documents(contexts: DataFrame, prepared: DataFrame, top: int = P.TOP_DOCS) -> DataFrame:
     """``qid, doc_id, doc_score, doc_rank``: best chunk, a share of the next two, and small bonuses for signals and sections covered.
 
-    A document without hits has a score that depends on the kind of question only, so of those the best ``top`` of each kind are enough. In a document with hits
-    its chunks without count too: of those the best few.
+    Every pair of question and chunk is rated where the chunk is read (``pairs``); what is shuffled are three scores for each task, question and document.
     """
-    asked, features, base = _ask(contexts.withColumn("doc_ids", T.strings([])), prepared)
-    kinds = stored(_with_kind(asked), "kinds")
-    hits, signals = rules.question_hits(asked, prepared)
-    plain = stored(rules.plain_scores(asked, features), "plain-scores")
-    scored = stored(_open_scores(asked, features, plain, hits, base, 1).select("qid", "doc_id", "chunk_id", "chunk_ord", "score"), "hit-scores")
-    nth = F.row_number().over(Window.partitionBy(*rules.KIND, "doc_id").orderBy(F.desc("plain"), "chunk_ord"))
-    ranked = plain.select(*rules.KIND, "doc_id", "chunk_id", "chunk_ord", "plain", nth.alias("nth"))
-    whole = plain.groupBy(*rules.KIND, "doc_id").agg(F.size(F.collect_set("section_key")).alias("n_sections"), F.min("chunk_ord").alias("first"))
-    share = lambda score: F.sum(F.when(F.col("nth") == 1, score).otherwise(0.35 * score))
-
-    # documents that no question's patterns hit
-    without = ranked.where("nth <= 3").groupBy(*rules.KIND, "doc_id").agg(share(F.col("plain")).alias("top")).join(whole, [*rules.KIND, "doc_id"])
-    without = without.withColumn("doc_score", F.col("top") + 0.3 * F.lit(0) + 0.08 * F.col("n_sections"))
-    best = F.row_number().over(Window.partitionBy(*rules.KIND).orderBy(F.desc("doc_score"), "first"))
-    without = without.withColumn("n", best).where(F.col("n") <= top)
-    # documents with hits: their hit chunks, and as many others as can be among the first three
-    touched = scored.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_hit")).join(kinds.select("qid", *rules.KIND), "qid")
-    others = touched.join(ranked, [*rules.KIND, "doc_id"]).where(F.col("nth") <= 3 + F.col("n_hit")).select("qid", "doc_id", "chunk_id", "chunk_ord", F.col("plain").alias("score"))
-    every = scored.unionByName(others.join(scored.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti"))
-    place = F.row_number().over(Window.partitionBy("qid", "doc_id").orderBy(F.desc("score"), "chunk_ord"))
-    sums = every.withColumn("nth", place).where("nth <= 3").groupBy("qid", "doc_id").agg(share(F.col("score")).alias("top"))
-    found = sums.join(touched, ["qid", "doc_id"]).join(whole, [*rules.KIND, "doc_id"]).join(signals, ["qid", "doc_id"], "left")
-    found = found.select("qid", "doc_id", "first", (F.col("top") + 0.3 * F.coalesce("n_signals", F.lit(0)) + 0.08 * F.col("n_sections")).alias("doc_score"))
-    rest = kinds.select("qid", *rules.KIND).join(without, rules.KIND).join(touched.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti").select("qid", "doc_id", "first", "doc_score")
+    found = pairs.document_scores(asked_of(contexts.withColumn("doc_ids", T.strings([])), prepared), prepared)
+    found = found.select("qid", "doc_id", "first", (F.col("top") + 0.3 * F.col("n_signals") + 0.08 * F.col("n_sections")).alias("doc_score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("doc_score"), "first"))
-    return found.unionByName(rest).withColumn("doc_rank", rank).where(F.col("doc_rank") <= top).select("qid", "doc_id", "doc_score", "doc_rank")
+    return found.withColumn("doc_rank", rank).where(F.col("doc_rank") <= top).select("qid", "doc_id", "doc_score", "doc_rank")
+
+
+def rank_by_rules(contexts: DataFrame, prepared: DataFrame, top: int = P.TOP_CHUNKS) -> DataFrame:
+    """``qid, chunk_ord, boost``: the ``top`` chunks of the corpus that the additive rules (to four digits) lift most for each question; no words are counted."""
+    return pairs.best_boosts(asked_of(contexts.withColumn("doc_ids", T.strings([])), prepared), prepared, top)
 
 
 # ------------------------------------------------------------------ additions to the ranked chunks

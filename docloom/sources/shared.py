@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +33,15 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back_memory() -> None:
+    """Freed memory goes back to the system: a Python worker serves many tasks and would keep the largest one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer files than cores, as rows over all cores: Spark does not cut a small file with one row group, so one task would do all the work. Larger tables have splits enough and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

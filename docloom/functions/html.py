@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,13 +23,13 @@ CLOSING_TAGS = r"p|div|li|tr|section|article|h\d"
 _NAV_BLOCK = r"""(?is)<div[^>]+class=["'][^"']*(?:nav|menu|breadcrumb|sidebar|top-bar|head-box|footer|header|link|share|print|close)[^"']*["'][^>]*>.*?</div>"""
 
 
-def meta(page: Column, name: str) -> Column:
+def meta(page: Column, name: str, tidy: Callable[[Column], Column] = normalize) -> Column:
     """The content of a meta tag, whichever attribute comes first; null without one."""
     q = """["']"""
     first = rf"(?is)<meta[^>]+name={q}{re.escape(name)}{q}[^>]+content={q}(.*?){q}"
     second = rf"(?is)<meta[^>]+content={q}(.*?){q}[^>]+name={q}{re.escape(name)}{q}"
     found = F.when(page.rlike(first), F.regexp_extract(page, first, 1)).when(page.rlike(second), F.regexp_extract(page, second, 1))
-    return null_if_empty(normalize(found))
+    return null_if_empty(tidy(found))
 
 
 def title_tag(page: Column) -> Column:
@@ -45,16 +46,26 @@ def strip_tags(page: Column, tags: list[str] | None = None, navigation: bool = T
     return normalize(out, entities=entities_too)
 
 
-def metadata(page: Column) -> Column:
-    """struct<title, pub_date, source>, each from the first of several places that has it; empty if none has."""
-    cell = lambda name: null_if_empty(strip_tags(F.regexp_extract(page, rf"(?is)<th>\s*{name}\s*</th>\s*<td[^>]*>(.*?)</td>", 1)))
+def markup_only(title: Column) -> Column:
+    """``&lt;``, ``&gt;`` and ``&amp;`` decoded, blanks and tabs run together and cut at the ends; other entities stay as they are."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(title, r"[ \t]+", " "))
+
+
+def metadata(page: Column, tidy: Callable[[Column], Column] = normalize, title: Callable[[Column], Column] = normalize, cell_text: Callable[[Column], Column] = strip_tags) -> Column:
+    """struct<title, pub_date, source>, each from the first of several places that has it; empty if none has.
+
+    ``tidy`` is what becomes of the values found (by default entities are decoded too), ``title`` of the title tag's, ``cell_text`` of table cells.
+    """
+    cell = lambda name: null_if_empty(cell_text(F.regexp_extract(page, rf"(?is)<th>\s*{name}\s*</th>\s*<td[^>]*>(.*?)</td>", 1)))
     stamp = null_if_empty(F.regexp_extract(page, r"""(?i)class=["']fwrq["'][^>]+value=['"](\d{10,13})['"]""", 1))
-    owner = null_if_empty(normalize(F.regexp_extract(page, r"(?i)主办单位[:：]\s*([^<\n]+)", 1)))
+    owner = null_if_empty(tidy(F.regexp_extract(page, r"(?i)主办单位[:：]\s*([^<\n]+)", 1)))
     none = F.lit("")
     return F.struct(
-        F.coalesce(meta(page, "ArticleTitle"), normalize(title_tag(page)), none).alias("title"),
-        F.coalesce(meta(page, "PubDate"), format_timestamp(stamp), cell("发文日期"), none).alias("pub_date"),
-        F.coalesce(meta(page, "ContentSource"), meta(page, "SiteName"), cell("发布机构"), owner, none).alias("source"),
+        F.coalesce(meta(page, "ArticleTitle", tidy), title(title_tag(page)), none).alias("title"),
+        F.coalesce(meta(page, "PubDate", tidy), format_timestamp(stamp), cell("发文日期"), none).alias("pub_date"),
+        F.coalesce(meta(page, "ContentSource", tidy), meta(page, "SiteName", tidy), cell("发布机构"), owner, none).alias("source"),
     )
 
 

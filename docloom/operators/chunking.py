@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docloom import profiles as P
 from docloom.functions.text import clause_no, lines, normalize, strip
+from docloom.sources.shared import bound_batches
 
 STRINGS = "array<string>"
 
@@ -127,6 +128,7 @@ def chunk_pages(pages: DataFrame, profile: P.ChunkProfile = P.FINANCE) -> DataFr
 
     Within a page, a part that starts like an earlier one (160 characters, white space aside) is left out before numbers are given.
     """
+    bound_batches(pages.sparkSession)
     staged = pages.where(strip(F.coalesce("text", F.lit(""))) != "").withColumn("parts", segment(F.col("text"), profile))
     staged = staged.withColumn("parts", pack_fragments(F.col("parts"), profile)).withColumn("parts", split_oversized(F.col("parts"), profile))
     # outer: an inner explode would infer a filter on the size of the array, and so cut every page twice more

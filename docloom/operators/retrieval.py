@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import profiles as P
-from docloom.sources.shared import bound_batches, stored
+from docloom.sources.shared import bound_batches, give_back_memory, stored
 
 #: Distinct tokens of the questions of a pack, at most (but for a pack of one question).
 PACK_TOKENS = 200_000
 #: Rows of a shard, about, and of a block in it.
 SHARD_ROWS, BLOCK_ROWS = 16_384, 64
+#: Postings of a shard and tokens of a part of it, about: what a task holds does not grow with the corpus nor with the length of its texts.
+SHARD_POSTINGS, PART_TOKENS = 400_000, 200_000
 #: Rows of a shard that the rarest terms of a question may bring up for its threshold, as a share; and how many of those are scored.
 RARE_SHARE, FIRST_ROWS = 0.05, 64
 #: Scores are rounded to four digits before they are ranked; so much below the threshold may still tie with it.
@@ -42,6 +44,17 @@ def _kind(rows: DataFrame, column: str) -> str:
     return rows.schema[column].dataType.simpleString()
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that all fields of one have about ``PART_TOKENS`` tokens (one row at least)."""
+    for batch in batches:
+        sizes = sum(np.asarray(pc.fill_null(pc.list_value_length(c), 0), np.int64) for c in batch.columns[1:])
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART_TOKENS, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def index_shards(rows: DataFrame, key: str, fields: dict[str, Column], tokens: list[str]) -> DataFrame:
     """``keys`` and ``INDEX``: for each batch of rows the postings of ``tokens`` in every field; term = field * len(tokens) + token."""
     bound_batches(rows.sparkSession)
@@ -49,7 +62,7 @@ def index_shards(rows: DataFrame, key: str, fields: dict[str, Column], tokens: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(wanted.value, pa.string())
-        for batch in batches:
+        for batch in _parts(batches):
             n = batch.num_rows
             if n == 0:
                 continue
@@ -65,6 +78,7 @@ def index_shards(rows: DataFrame, key: str, fields: dict[str, Column], tokens: l
             keys = pa.ListArray.from_arrays(np.array([0, n], np.int32), pa.concat_arrays([batch.column(0)]))
             blobs = [np.concatenate(lengths).astype("<i4"), (both // n).astype("<u4"), (both % n).astype("<u4"), tf.astype("<u4")]
             yield pa.RecordBatch.from_arrays([keys, *[pa.array([b.tobytes()], pa.binary()) for b in blobs]], ["keys", *[c.split()[0] for c in INDEX.split(", ")]])
+        give_back_memory()
 
     asked = rows.select(F.col(key), *[c.alias(f"f{i}") for i, c in enumerate(fields.values())])
     return asked.mapInArrow(run, f"keys array<{_kind(rows, key)}>, {INDEX}")
@@ -195,16 +209,19 @@ class Searcher:
         self.qids, self.terms, self.df, self.weights, self.means, self.n_fields = qids, terms, df, weights, means, n_fields
 
     def shards(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-        parts, n = [], 0
+        parts, n, postings = [], 0, 0
         for batch in batches:
             for keys, lengths, term, row, tf in zip(*batch.columns, strict=True):
                 parts.append((keys.values, np.frombuffer(lengths.as_buffer(), "<i4"), *(np.frombuffer(x.as_buffer(), "<u4") for x in (term, row, tf))))
-                n += len(keys.values)
-                if n >= SHARD_ROWS:
-                    yield Shard(parts, self.n_fields, self.weights, self.means)
-                    parts, n = [], 0
+                n, postings = n + len(keys.values), postings + len(parts[-1][2])
+                if n >= SHARD_ROWS or postings >= SHARD_POSTINGS:
+                    shard = Shard(parts, self.n_fields, self.weights, self.means)
+                    parts, n, postings = [], 0, 0  # nothing of them is held beside the shard
+                    yield shard
+                    del shard
         if parts:
             yield Shard(parts, self.n_fields, self.weights, self.means)
+        give_back_memory()
 
 
 def _search_pack(asked: list[tuple], qid_kind: str, index: DataFrame, key: str, key_kind: str, n_tokens: int, weights: list[float], top: int, counters: dict | None) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, docs_text, lower_ascii, mix, narrow, slices, span_hashes, utf8_buffers, word_spans
+from .common import bound_batches, docs_text, give_back_memory, lower_ascii, mix, narrow, slices, span_hashes, utf8_buffers, word_spans
 
 BUCKETS = 1 << 18
 #: Rated documents that the fit reads at most.
@@ -94,7 +94,10 @@ def fit_ordinal(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, n_grades
     if n == 0:
         return OrdinalModel(weights, np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1)))
     common = (np.bincount(bucket, minlength=BUCKETS) >= MIN_DOCS)[bucket]
-    used, at = np.unique(bucket[common], return_inverse=True)
+    used = np.unique(bucket[common])
+    place = np.zeros(BUCKETS, np.int64)
+    place[used] = np.arange(len(used))
+    at = place[bucket[common]]
     doc = doc[common].astype(np.int64)
     del bucket, common
     share = np.clip(np.array([(grade <= k).mean() for k in range(n_grades - 1)]), 1e-3, 1 - 1e-3)
@@ -132,10 +135,10 @@ def sampled_ratings(ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: in
 
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on a bounded sample; features are made on the executors, and only (document, bucket) pairs reach the driver."""
-    sample = sampled_ratings(ratings, sample_rows).collect()  # two small numbers for each of at most sample_rows
+    """Fit on a bounded sample, in one task: the driver sees ids, grades and the finished model, never the sample's features."""
+    sample = [(r["doc_id"], r["grade"]) for r in sampled_ratings(ratings, sample_rows).collect()]  # two small numbers for each of at most sample_rows
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(r["doc_id"],) for r in sample], "doc_id long").distinct()
+    ids = spark.createDataFrame([(d,) for d, _ in sample], "doc_id long").distinct()
     texts = docs_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id", "left_semi")
     texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("n"))).alias("text"))
 
@@ -146,17 +149,22 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int =
             blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(bucket.astype("<i4"))])
             yield pa.RecordBatch.from_arrays([batch.column(0), blob], ["doc_id", "buckets"])
 
-    rows = texts.mapInArrow(run, "doc_id long, buckets binary").collect()  # one for each of at most sample_rows ids
-    found = {r["doc_id"]: np.frombuffer(bytes(r["buckets"]), "<i4") for r in rows}
-    rated = sorted((r["doc_id"], r["grade"]) for r in sample if r["doc_id"] in found)
-    own = [found[d] for d, _ in rated]
-    del found, sample
-    grades = np.array([g for _, g in rated], np.int64)
-    if not own:
-        return fit_ordinal(np.zeros(0, np.int32), np.zeros(0, np.int32), grades, n_grades)
-    doc, bucket = np.repeat(np.arange(len(own), dtype=np.int32), [len(b) for b in own]), np.concatenate(own)
-    del own
-    return fit_ordinal(doc, bucket, grades, n_grades)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {d: np.frombuffer(b.as_buffer(), "<i4") for batch in batches for d, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)}
+        rated = sorted((d, g) for d, g in sample if d in found)
+        grades = np.array([g for _, g in rated], np.int64)
+        own = [found[d] for d, _ in rated]
+        none = np.zeros(0, np.int32)
+        doc, bucket = np.repeat(np.arange(len(own), dtype=np.int32), [len(b) for b in own]), np.concatenate([none, *own])
+        del found, own
+        model = fit_ordinal(doc, bucket, grades, n_grades)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tobytes()], pa.binary())], ["weights", "thresholds"])
+        give_back_memory()
+
+    fitted = texts.mapInArrow(run, "doc_id long, buckets binary").repartition(1).mapInArrow(fit, "weights binary, thresholds binary").collect()  # a sample of bounded size; one row comes back
+    if not fitted:
+        return fit_ordinal(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64), n_grades)
+    return OrdinalModel(np.frombuffer(bytes(fitted[0]["weights"]), np.float32), np.frombuffer(bytes(fitted[0]["thresholds"]), np.float64))
 
 
 def score(docs: DataFrame, model: OrdinalModel, cut: int, min_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

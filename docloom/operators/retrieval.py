@@ -205,7 +205,7 @@ class Shard:
 class Searcher:
     """What every task needs of a pack of questions: their terms, document frequencies, impacts' weights."""
 
-    def __init__(self, qids: list, terms: list[np.ndarray], df: np.ndarray, weights: np.ndarray, means: np.ndarray, n_fields: int):
+    def __init__(self, qids: pa.Array, terms: list[np.ndarray], df: np.ndarray, weights: np.ndarray, means: np.ndarray, n_fields: int):
         self.qids, self.terms, self.df, self.weights, self.means, self.n_fields = qids, terms, df, weights, means, n_fields
 
     def shards(self, batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -224,14 +224,15 @@ class Searcher:
         give_back_memory()
 
 
-def _search_pack(asked: list[tuple], qid_kind: str, index: DataFrame, key: str, key_kind: str, n_tokens: int, weights: list[float], top: int, counters: dict | None) -> DataFrame:
+def _search_pack(qids: pa.Array, asked: list[np.ndarray], qid_kind: str, index: DataFrame, key: str, key_kind: str, n_tokens: int, weights: list[float], top: int, counters: dict | None) -> DataFrame:
+    """Questions go by their place in the pack; a task names them itself, since a local frame of names would cost each core a Python worker of its own, which stays."""
     spark = index.sparkSession
     n_fields = len(weights)
     df, n_rows, means = corpus_counts(index, n_tokens * n_fields, n_fields)
     factor = np.repeat(np.array(weights), n_tokens) * np.log(1.0 + (n_rows - df + 0.5) / (df + 0.5))
-    terms = [np.concatenate([ids + f * n_tokens for f in range(n_fields)]) for _, ids in asked]
+    terms = [np.concatenate([ids + f * n_tokens for f in range(n_fields)]) for ids in asked]
     terms = [t[df[t] > 0] for t in terms]
-    shared = spark.sparkContext.broadcast(Searcher([q for q, _ in asked], terms, df, factor, means, n_fields))
+    shared = spark.sparkContext.broadcast(Searcher(qids, terms, df, factor, means, n_fields))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
@@ -259,11 +260,9 @@ def _search_pack(asked: list[tuple], qid_kind: str, index: DataFrame, key: str,
                 for name, counter in counters.items():
                     counter.add(getattr(shard, name))
             q = np.concatenate(qs) if qs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), shard.keys.take(pa.array(np.concatenate(at) if at else q, pa.int64())), pa.array(np.concatenate(scores) if scores else q, pa.float64())], ["q", "key", "score"])
+            yield pa.RecordBatch.from_arrays([s.qids.take(pa.array(q, pa.int64())), shard.keys.take(pa.array(np.concatenate(at) if at else q, pa.int64())), pa.array(np.concatenate(scores) if scores else q, pa.float64())], ["qid", "key", "score"])
 
-    found = index.mapInArrow(second, f"q long, key {key_kind}, score double")
-    names = F.broadcast(spark.createDataFrame([(i, q) for i, (q, _) in enumerate(asked)], f"q long, qid {qid_kind}"))  # the pack's questions
-    return found.join(names, "q").select("qid", F.col("key").alias(key), "score")
+    return index.mapInArrow(second, f"qid {qid_kind}, key {key_kind}, score double").withColumnRenamed("key", key)
 
 
 def search(questions: DataFrame, rows: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], question_tokens: Column, top: int = P.TOP_CHUNKS, counters: dict | None = None) -> DataFrame:
@@ -277,11 +276,11 @@ def search(questions: DataFrame, rows: DataFrame, key: str, fields: dict[str, Co
     packs = max(1, -(-int(1.1 * n_tokens) // PACK_TOKENS))
     found = None
     for i in range(packs):
-        pack = [(r["qid"], r["tokens"]) for r in asked.where(F.pmod(F.xxhash64("qid"), F.lit(packs)) == i).collect()]  # a pack is bounded by its tokens
-        names = {t: n for n, t in enumerate(sorted({t for _, ts in pack for t in ts}))}
-        ids = [(q, np.array([names[t] for t in ts], np.int64)) for q, ts in pack]
+        pack = asked.where(F.pmod(F.xxhash64("qid"), F.lit(packs)) == i).toArrow()  # a pack is bounded by its tokens
+        names = {t: n for n, t in enumerate(sorted(set(pc.list_flatten(pack["tokens"]).to_pylist())))}
+        ids = [np.array([names[t] for t in ts], np.int64) for ts in pack["tokens"].to_pylist()]
         index = stored(index_shards(rows, key, fields, list(names)), "index")
-        part = _search_pack(ids, _kind(asked, "qid"), index, key, _kind(rows, key), len(names), [weights[f] for f in fields], top, counters)
+        part = _search_pack(pa.array(pack["qid"].to_pylist(), pack["qid"].type), ids, _kind(asked, "qid"), index, key, _kind(rows, key), len(names), [weights[f] for f in fields], top, counters)
         found = part if found is None else found.unionByName(part)
     found = found.withColumn("score", F.round("score", 4))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))
